@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import maybe_broadcast, stored
 
 BITS = 3
 SEED = 42
@@ -227,3 +227,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, limit: int = LIMIT) -> Data
     return all_fps.join(root, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
+    """docs, all columns, with only the document of smallest id of each component. Rows without an id are kept."""
+    got = stored(near_duplicates(docs, words).select("doc_id", "component_id"), "simhash-result")
+    first = got.where("doc_id = component_id").select(F.col("doc_id").alias("__first"))
+    n, different = first.agg(F.count("__first"), F.count_distinct("__first")).first()
+    kept = docs.join(maybe_broadcast(first.distinct(), different), F.col("doc_id") == F.col("__first"), "left_semi")
+    # A repeated id is repeated rows or different texts under one id: one row stays.
+    kept = kept if n == different else kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -33,12 +33,9 @@ FILE_BYTES = 16 << 20
 
 
 def base32(hexed: Column) -> Column:
-    """Base 32 of 40 hexadecimal digits: ten digits at a time are eight letters."""
-    words = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda g: F.conv(F.substring(hexed, g * 10 + 1, F.lit(10)), 16, 10).cast("long"))
-    letter = lambda i: F.substring(
-        F.lit(BASE32), (F.call_function("shiftright", F.get(words, (i / 8).cast("int")), (35 - 5 * (i % 8)).cast("int")).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)
-    )
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
+    """Base 32 of 40 hexadecimal digits: ten digits at a time are eight of base 32, written in its alphabet."""
+    groups = [F.lpad(F.conv(F.substring(hexed, at, 10), 16, 32), 8, "0") for at in (1, 11, 21, 31)]
+    return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def resolved(pages: DataFrame, least: int = 0) -> DataFrame:
