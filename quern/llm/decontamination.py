@@ -42,6 +42,8 @@ def shingles(words: Column, size: int = WORDS) -> Column:
     return F.array_distinct(F.when(n >= size, many).when(n > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>")))
 
 
+# explode() would let the optimizer push a test of the array below the projection that makes its words, and so split the text
+# again for every shingle; explode_outer() doesn't.
 def hashed(df: DataFrame, size: int) -> DataFrame:
     """df with hashes, from its column text."""
     df = df.withColumn("__words", F.transform(words_of(F.col("text")), lambda x: F.xxhash64(x)))
@@ -50,10 +52,10 @@ def hashed(df: DataFrame, size: int) -> DataFrame:
 
 def sketched(items: DataFrame, size: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(hash, item, need): the sketch of each item; need is how many shingles a document must share."""
-    rows = hashed(items, size).withColumn("hashes", F.array_sort(F.array_distinct("hashes"))).where(F.size("hashes") > 0)
+    rows = hashed(items, size).withColumn("hashes", F.array_sort(F.array_distinct("hashes")))
     m = F.size("hashes")
     need = F.ceil(F.round(m * F.lit(threshold), 6)).cast("int")
-    return rows.withColumn("need", need).select("item", "need", F.explode(F.slice("hashes", F.lit(1), m - F.col("need") + 1)).alias("hash"))
+    return rows.withColumn("need", need).select("item", "need", F.explode_outer(F.slice("hashes", F.lit(1), m - F.col("need") + 1)).alias("hash")).where("hash is not null")
 
 
 def row_key() -> Column:
@@ -71,7 +73,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WORDS, threshold: f
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
     items = stored(items.withColumn("item", F.xxhash64("item_id", "text")), "leaks-items")
     sketch = stored(sketched(items, size, threshold), "leaks-sketch")
-    probes = hashed(docs.select(row, "text"), size).select("row", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
+    probes = hashed(docs.select(row, "text"), size).select("row", F.coalesce(F.size("hashes"), F.lit(0)).alias("n"), F.explode_outer("hashes").alias("hash"))
     found = probes.join(maybe_broadcast(sketch), "hash").where("n >= need").select("row", "item").distinct()
     found = stored(found, "leaks-candidates")
     whole = items.withColumn("shingles", shingles(words_of(F.col("text")), size)).withColumn("need", F.ceil(F.round(F.size("shingles") * F.lit(threshold), 6)))
@@ -80,7 +82,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WORDS, threshold: f
     held = docs.withColumn("row", row).join(maybe_broadcast(wanted), "row").distinct()
     held = held.withColumn("own", shingles(words_of(F.col("text")), size))
     judged = F.transform("items", lambda x: F.struct(x.item_id.alias("item_id"), F.size(F.array_intersect(x.shingles, F.col("own"))).alias("n_shared"), F.size(x.shingles).alias("n_item"), x.need.alias("need")))
-    rows = held.select("doc_id", "row", F.explode(judged).alias("x")).where("x.n_shared >= x.need")
+    rows = held.select("doc_id", "row", F.explode_outer(judged).alias("x")).where("x.n_shared >= x.need")
     return rows.select("doc_id", "row", "x.item_id", F.col("x.n_shared").cast("long").alias("n_shared"), F.col("x.n_item").cast("long").alias("n_item"), (F.col("x.n_shared") / F.col("x.n_item")).alias("containment"))
 
 

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, simhash, substring, warc
+import corpus_pipeline
+
+from . import chat, decontamination, packing, secrets, simhash, substring, token_counts, toxicity, warc, winnowing
 from .common import arrow_batches
 
 
@@ -17,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secrets.scan(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "at", "word", "before", "after", "path", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").alias("length"), "score", "is_secret")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,11 +55,36 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048)
 
 
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scores(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.attributed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), rule="first")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_batches(spark)
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
+    "op2_decontamination": op2_decontamination,
     "op3_simhash": op3_simhash,
     "op4_chat": op4_chat,
     "op5_substring": op5_substring,
     "op6_warc": op6_warc,
     "op7_packing": op7_packing,
+    "op8_winnowing": op8_winnowing,
+    "op9_toxicity": op9_toxicity,
+    "op10_token_counts": op10_token_counts,
+    "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_decontamination": decontamination.SQL}

@@ -146,10 +146,11 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
     vote = trained(findings if findings is not None else labelled_findings(spark))
     words = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), F.xxhash64("doc_id", "text").alias("row"), F.split("text", SPACE).alias("words"))
     ats = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: is_candidate(F.get("words", i)))
-    found = words.withColumn("ats", ats).where(F.size("ats") > 0)
+    # explode_outer(): a filter on the array would be pushed below the split, which would then run for every word.
+    found = words.withColumn("ats", ats)
     at = lambda i: F.get("words", i)
     picked = F.transform("ats", lambda i: F.struct(i.alias("at"), at(i).alias("word"), F.concat_ws(" ", at(i - 2), at(i - 1)).alias("before"), at(i + 1).alias("after")))
-    rows = found.select("doc_id", "path", "row", F.explode(picked).alias("x")).select("doc_id", "path", "row", "x.*")
+    rows = found.select("doc_id", "path", "row", F.explode_outer(picked).alias("x")).where("x is not null").select("doc_id", "path", "row", "x.*")
     rows = features(rows.withColumn("candidate", core(F.col("word")))).withColumn("score", vote)
     return rows.select("doc_id", "row", "at", "word", "candidate", "before", "after", "path", F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("is_secret"))
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, W = 5, 32
+K, W = 4, 16
 POSITION_BITS = 27
 HASH_BITS = 36
 BUCKET_BYTES = 4 << 20
