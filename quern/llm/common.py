@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import share_code
+
 #: Rows up to which a table of a few longs a row (some 16 MB) may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -45,5 +47,6 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Small Arrow batches, as a row may hold a long text."""
+    """Small Arrow batches, as a row may hold a long text; and workers that find this package."""
+    share_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

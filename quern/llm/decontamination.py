@@ -37,6 +37,7 @@ def shingle_hashes(words: Column, size: int = WORDS) -> Column:
 
 
 def shingles(words: Column, size: int = WORDS) -> Column:
+    """Different shingles of a column of words; a column, as an expression would run again for each shingle."""
     n = F.size(words)
     many = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice(words, i, size), " "))
     return F.array_distinct(F.when(n >= size, many).when(n > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>")))
@@ -76,11 +77,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WORDS, threshold: f
     probes = hashed(docs.select(row, "text"), size).select("row", F.coalesce(F.size("hashes"), F.lit(0)).alias("n"), F.explode_outer("hashes").alias("hash"))
     found = probes.join(maybe_broadcast(sketch), "hash").where("n >= need").select("row", "item").distinct()
     found = stored(found, "leaks-candidates")
-    whole = items.withColumn("shingles", shingles(words_of(F.col("text")), size)).withColumn("need", F.ceil(F.round(F.size("shingles") * F.lit(threshold), 6)))
+    whole = items.withColumn("__words", words_of(F.col("text"))).withColumn("shingles", shingles(F.col("__words"), size)).withColumn("need", F.ceil(F.round(F.size("shingles") * F.lit(threshold), 6)))
     wanted = found.join(maybe_broadcast(whole.select("item", "item_id", "shingles", "need"), items.count()), "item")
     wanted = stored(wanted.groupBy("row").agg(F.collect_list(F.struct("item_id", "shingles", "need")).alias("items")), "leaks-wanted")
     held = docs.withColumn("row", row).join(maybe_broadcast(wanted), "row").distinct()
-    held = held.withColumn("own", shingles(words_of(F.col("text")), size))
+    held = held.withColumn("__words", words_of(F.col("text"))).withColumn("own", shingles(F.col("__words"), size)).drop("__words")
     judged = F.transform("items", lambda x: F.struct(x.item_id.alias("item_id"), F.size(F.array_intersect(x.shingles, F.col("own"))).alias("n_shared"), F.size(x.shingles).alias("n_item"), x.need.alias("need")))
     rows = held.select("doc_id", "row", F.explode_outer(judged).alias("x")).where("x.n_shared >= x.need")
     return rows.select("doc_id", "row", "x.item_id", F.col("x.n_shared").cast("long").alias("n_shared"), F.col("x.n_item").cast("long").alias("n_item"), (F.col("x.n_shared") / F.col("x.n_item")).alias("containment"))
