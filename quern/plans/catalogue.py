@@ -1,6 +1,435 @@
-"""Registered queries of the engine's own operators and their DuckDB SQL."""
+"""Registered queries of the engine's own operators over the driver's tables, and their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scores as S
+from ..functions import text as X
+from ..operators import chunking, context, conversations, fusion, gate, graph, ingest, search, telemetry, web
+from ..session import share_code
+from . import pipelines
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with SQL for the same rows."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            share_code(spark)
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return run
+
+    return add
+
+
+# How the driver's tables stand for the engine's: documents are chunks, benchmark items with an id divisible by 50 are queries.
+
+
+def chunk_table(t) -> DataFrame:
+    vectors = t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    rows = t("documents").join(vectors, "doc_id")
+    return rows.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source", F.array("lang").alias("tags"), F.concat(F.lit('{"source": "'), F.col("source"), F.lit('", "lang": "'), F.col("lang"), F.lit('"}')).alias("metadata"), "embedding")
+
+
+def query_table(t) -> DataFrame:
+    items = t("benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return items.join(t("embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+
+
+def vector_queries(t) -> DataFrame:
+    return t("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def vector_chunks(t) -> DataFrame:
+    return t("embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+
+
+def edge_table(t) -> DataFrame:
+    """nation is_a region; supplier runs_on nation; supplier provides part, from the orders in which it does."""
+    nation, region, supplier = t("nation"), t("region"), t("supplier")
+    none = F.array().cast("array<string>")
+    a = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_name").alias("source"), F.lit("is_a").alias("relation"), F.col("r_name").alias("target"), none.alias("sources"))
+    b = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(F.col("s_name").alias("source"), F.lit("runs_on").alias("relation"), F.col("n_name").alias("target"), F.array(F.concat(F.lit("src"), F.col("s_suppkey") % 20)).alias("sources"))
+    return a.unionByName(b)
+
+
+def triple_table(t) -> DataFrame:
+    item, part, supplier = t("lineitem"), t("part"), t("supplier")
+    rows = item.join(part, item.l_partkey == part.p_partkey).join(supplier, item.l_suppkey == supplier.s_suppkey)
+    kind = F.when(F.col("l_returnflag") == "R", "requires").when(F.col("l_returnflag") == "A", "allows").otherwise("provides")
+    return rows.select(F.col("s_name").alias("source"), kind.alias("relation"), F.col("p_name").alias("target"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("document"))
+
+
+def full_graph(t) -> DataFrame:
+    return graph.upserted(edge_table(t), triple_table(t)).select(*graph.EDGE, "sources")
+
+
+EDGES_SQL = """
+edges AS (
+  SELECT n_name AS source, 'is_a' AS relation, r_name AS target, CAST([] AS VARCHAR[]) AS sources FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT s_name, 'runs_on', n_name, ['src' || (s_suppkey % 20)] FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+triples AS (
+  SELECT s_name AS source, CASE l_returnflag WHEN 'R' THEN 'requires' WHEN 'A' THEN 'allows' ELSE 'provides' END AS relation, p_name AS target, 'o' || l_orderkey AS document
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
+graph AS (
+  SELECT source, relation, target, list(DISTINCT d) FILTER (WHERE d IS NOT NULL) AS sources, max(old) = 0 AS created
+  FROM (SELECT source, relation, target, unnest(CASE WHEN len(sources) = 0 THEN [NULL] ELSE sources END) AS d, 1 AS old FROM edges
+        UNION ALL SELECT source, relation, target, document, 0 FROM triples) GROUP BY ALL)
+"""
+PRIORITY_SQL = "CASE relation WHEN 'requires' THEN 78 WHEN 'runs_on' THEN 74 WHEN 'is_a' THEN 68 WHEN 'provides' THEN 66 WHEN 'allows' THEN 46 ELSE 0 END"
+NORM_SQL = r"regexp_replace(regexp_replace(replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(13) || chr(10), chr(10)), '[ \t]+', ' ', 'g'), '\n+', chr(10), 'g')"
+L2_SQL = "round(sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) ** 2))), 9)"
+TERMS_SQL = r"""
+terms AS (
+  SELECT query_id, term, min(o) AS o FROM (
+    SELECT item_id AS query_id, unnest(list_transform(regexp_split_to_array(text, '\s+'), lambda w: lower(trim(w, '.,:;!?()[]{}''"`')))) AS term, generate_subscripts(regexp_split_to_array(text, '\s+'), 1) AS o
+    FROM benchmark WHERE item_id % 50 = 0)
+  WHERE len(term) >= 3 AND term NOT IN ('and', 'are', 'czy', 'dla', 'for', 'jak', 'jest', 'kto', 'mowi', 'mówi', 'oraz', 'the', 'with', 'wczoraj') GROUP BY query_id, term),
+q AS (SELECT b.item_id AS query_id, b.text AS query, e.embedding AS wanted FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id WHERE b.item_id % 50 = 0),
+chunks AS (SELECT doc_id AS chunk_id, text AS content, source, lang, '{"source": "' || source || '", "lang": "' || lang || '"}' AS metadata, embedding FROM documents JOIN embeddings ON vec_id = doc_id)
+"""
+FIRST_TERMS_SQL = "firsts AS (SELECT query_id, term FROM terms QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o) <= 10)"
+LEXICAL_SQL = f"""{TERMS_SQL}, {FIRST_TERMS_SQL},
+lexical AS (
+  SELECT q.query_id, chunk_id, sum((content ILIKE '%' || term || '%')::INT * 2 + (source ILIKE '%' || term || '%')::INT * 4 + (metadata ILIKE '%' || term || '%')::INT) AS lexical_score
+  FROM chunks, firsts JOIN q USING (query_id) GROUP BY q.query_id, chunk_id HAVING lexical_score > 0)"""
+HYBRID_SQL = f"""{LEXICAL_SQL},
+near AS (SELECT query_id, chunk_id, md5(content) AS same, {L2_SQL.format(a="embedding", b="wanted")} AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS r FROM chunks, q QUALIFY r <= 25),
+said AS (SELECT l.query_id, l.chunk_id, md5(content) AS same, l.lexical_score, {L2_SQL.format(a="embedding", b="wanted")} AS distance, row_number() OVER (PARTITION BY l.query_id ORDER BY l.lexical_score DESC, distance, l.chunk_id) AS r
+  FROM lexical l JOIN chunks USING (chunk_id) JOIN q ON q.query_id = l.query_id QUALIFY r <= 250),
+both_paths AS (SELECT query_id, chunk_id, distance, 0 AS lexical_score, 'vector' AS path, 0 AS p, r, same FROM near UNION ALL SELECT query_id, chunk_id, distance, lexical_score, 'lexical', 1, r, same FROM said),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, same ORDER BY p, r) AS seen FROM both_paths) WHERE p = 0 OR seen = 1),
+hybrid AS (SELECT query_id, chunk_id, distance, lexical_score, path, row_number() OVER (PARTITION BY query_id ORDER BY p, r) AS ordinal FROM kept)"""
+LOW_SQL = r"""CASE WHEN trim({c}) = '' THEN 10 WHEN coalesce(list_sum(list_transform(regexp_extract_all({c}, '[A-Za-z0-9+/=]{{24,}}'), lambda x: len(x))), 0) / greatest(len({c}), 1) > 0.35 THEN 20
+  WHEN len(regexp_extract_all({c}, '[A-Za-z]{{3,}}')) < 5 THEN 8 ELSE 0 END"""
+RERANK_SQL = f"""{HYBRID_SQL},
+counted AS (SELECT h.query_id, h.chunk_id, any_value(h.distance) AS distance, any_value(h.ordinal) AS ordinal, any_value(content) AS content, any_value(c.source) AS source,
+    coalesce(sum(8 * contains(c.source, term)::INT + 6 * contains(lang, term)::INT + 4 * contains(lower(content), term)::INT), 0) AS words, coalesce(sum(contains(lower(content), term)::INT), 0) AS hits
+  FROM hybrid h JOIN chunks c USING (chunk_id) LEFT JOIN terms t ON t.query_id = h.query_id GROUP BY h.query_id, h.chunk_id),
+scored AS (SELECT *, words - least(distance, 50) * 0.25 + CASE WHEN hits >= 2 THEN 12 ELSE 0 END - ({LOW_SQL.format(c="content")}) - least(len(content), 3000) / 6000 AS score FROM counted),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ordinal) AS rank FROM scored)"""
+
+
+@query(f"""SELECT query_id, chunk_id, round(distance, 4) AS distance, rank FROM (
+  SELECT query_id, chunk_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM (
+    SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {L2_SQL.format(a="a.embedding", b="b.embedding")} AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)) WHERE rank <= 25""")
+def q_vector_topk(t):
+    return search.vector_top(vector_chunks(t), vector_queries(t)).withColumn("distance", F.round("distance", 4))
+
+
+@query(f"""WITH near AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, a.embedding AS x, b.embedding AS y, row_number() OVER (PARTITION BY a.vec_id ORDER BY {L2_SQL.format(a="a.embedding", b="b.embedding")}, b.vec_id) AS ordinal
+  FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY ordinal <= 20),
+c AS (SELECT query_id, chunk_id, ordinal, round(list_sum(list_transform(list_zip(x, y), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(x, lambda z: CAST(z AS DOUBLE) ** 2))) * sqrt(list_sum(list_transform(y, lambda z: CAST(z AS DOUBLE) ** 2)))), 12) AS cosine FROM near),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN spread < 0.02 THEN 0 ELSE -cosine END, ordinal) AS rank FROM (SELECT *, max(cosine) OVER w - min(cosine) OVER w AS spread FROM c WINDOW w AS (PARTITION BY query_id)))
+SELECT query_id, chunk_id, round(cosine, 6) AS cosine, rank FROM r WHERE rank <= 6""")
+def q_cosine_rerank(t):
+    hits = search.top(search.vector_top(vector_chunks(t), vector_queries(t), 20), 20, F.col("rank"), rank="ordinal")
+    rows = hits.join(vector_chunks(t).withColumnRenamed("embedding", "b"), "chunk_id").join(F.broadcast(vector_queries(t).withColumnRenamed("embedding", "a")), "query_id")
+    return search.cosine_reranked(rows).select("query_id", "chunk_id", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+@query(rf"""WITH n AS (SELECT doc_id, {NORM_SQL} AS c FROM documents)
+SELECT doc_id, md5(c) AS content_md5, len(c) >= 20 AND len(regexp_replace(c, '[\p{{L}}\p{{N}}\s]', '', 'g')) / greatest(len(c), 1) <= 0.4 AS valid FROM n""")
+def q_normalize_valid(t):
+    rows = t("documents").withColumn("c", X.normalized(F.col("text")))
+    return rows.select("doc_id", F.md5("c").alias("content_md5"), X.is_valid_chunk(F.col("c")).alias("valid"))
+
+
+@query(f"SELECT md5(lower({NORM_SQL})) AS hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1")
+def q_hash_dedup(t):
+    rows = t("documents").select(X.content_hash(X.normalized(F.col("text"))).alias("hash"), "doc_id")
+    return rows.groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source")
+def q_source_count(t):
+    return t("documents").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(^|[^\w])#([A-Za-z][A-Za-z0-9_-]*)', 2), lambda x: lower(x)))), ',') AS tags FROM documents""")
+def q_tags(t):
+    return t("documents").select("doc_id", F.array_join(F.array_sort(X.hash_tags(F.col("text"))), ",").alias("tags"))
+
+
+@query(f"SELECT doc_id, {LOW_SQL.format(c='text')} AS penalty FROM documents")
+def q_low_quality(t):
+    return t("documents").select("doc_id", X.low_quality(F.col("text")).alias("penalty"))
+
+
+@query(f"WITH {LEXICAL_SQL} SELECT query_id, chunk_id, CAST(lexical_score AS INT) AS lexical_score FROM lexical")
+def q_lexical_score(t):
+    return search.lexical_scores(chunk_table(t), query_table(t))
+
+
+@query(f"WITH {HYBRID_SQL} SELECT query_id, chunk_id, round(distance, 4) AS distance, CAST(lexical_score AS INT) AS lexical_score, path, CAST(ordinal AS INT) AS ordinal FROM hybrid")
+def q_hybrid_union(t):
+    return search.hybrid(chunk_table(t), query_table(t)).select("query_id", "chunk_id", F.round("distance", 4).alias("distance"), "lexical_score", "path", "ordinal")
+
+
+@query(f"WITH {RERANK_SQL} SELECT query_id, chunk_id, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM ranked")
+def q_rerank(t):
+    chunks, queries = chunk_table(t), query_table(t)
+    return search.reranked(search.hybrid(chunks, queries), chunks, queries).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
+
+
+@query(rf"""WITH {RERANK_SQL}, s AS (SELECT *, row_number() OVER (PARTITION BY query_id, lower(trim(content)) ORDER BY rank) AS seen FROM ranked WHERE len(trim(content)) >= 30)
+SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS rank FROM s WHERE seen = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 5""")
+def q_dedupe_clean(t):
+    return pipelines.first_hits(chunk_table(t), query_table(t), 5).select("query_id", "chunk_id", "rank")
+
+
+@query()
+def q_chunks(t):
+    return chunking.chunks(t("documents").select("doc_id", "text")).select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
+
+
+@query()
+def q_ingest(t):
+    return ingest.ingested(t("documents"))[1]
+
+
+@query(f"WITH {EDGES_SQL} SELECT source, relation, target, CAST(len(coalesce(sources, [])) AS INT) AS source_count, created FROM graph")
+def q_graph_upsert(t):
+    return graph.upserted(edge_table(t), triple_table(t)).select(*graph.EDGE, "source_count", "created")
+
+
+@query(f"WITH {EDGES_SQL} SELECT relation, count(*) AS n FROM graph GROUP BY relation")
+def q_type_counts(t):
+    return graph.type_counts(full_graph(t))
+
+
+def name_queries(t) -> DataFrame:
+    return t("part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.array("p_name").alias("terms"))
+
+
+MATCHED_SQL = f"""{EDGES_SQL},
+nq AS (SELECT p_partkey AS query_id, lower(p_name) AS term FROM part WHERE p_partkey % 50 = 0),
+matched AS (SELECT query_id, source, relation, target, coalesce(sources, []) AS sources, 10 * (lower(source) = term)::INT + 10 * (lower(target) = term)::INT + 2 * contains(lower(source), term)::INT + 2 * contains(lower(target), term)::INT AS score FROM graph, nq)"""
+BEST_SQL = f"""{MATCHED_SQL},
+capped AS (SELECT * FROM matched WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, len(sources) DESC, source, relation, target) <= 200),
+pairs AS (SELECT *, {PRIORITY_SQL} AS pr, least(len(sources), 10) AS ns FROM capped WHERE len(sources) > 0 QUALIFY row_number() OVER (PARTITION BY query_id, lower(source), lower(target) ORDER BY score DESC, {PRIORITY_SQL} DESC, least(len(sources), 10) DESC, source, relation, target) = 1),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pr DESC, ns DESC, source, relation, target) AS rank FROM pairs)"""
+
+
+@query(f"WITH {BEST_SQL} SELECT query_id, source, relation, target, CAST(score AS INT) AS score, CAST(rank AS INT) AS rank FROM best WHERE rank <= 10")
+def q_graph_search(t):
+    return graph.search(full_graph(t), name_queries(t)).select("query_id", *graph.EDGE, "score", "rank")
+
+
+@query(f"""WITH {EDGES_SQL}, c AS (SELECT *, count(DISTINCT relation) OVER (PARTITION BY source, target) AS types FROM graph)
+SELECT source, target, relation, row_number() OVER (PARTITION BY source, target ORDER BY {PRIORITY_SQL} DESC, least(len(sources), 25) DESC, len(relation), relation DESC) = 1 AS winner FROM c WHERE types > 1""")
+def q_conflict_winner(t):
+    return graph.conflicts(full_graph(t)).select("source", "target", "relation", "winner")
+
+
+@query(f"""WITH {EDGES_SQL} SELECT source, target, first(relation ORDER BY {PRIORITY_SQL} DESC, least(len(sources), 25) DESC, len(relation), relation DESC) AS relation, array_to_string(list_sort(list(DISTINCT relation)), ',') AS merged, CAST(len(list_distinct(flatten(list(coalesce(sources, []))))) AS INT) AS source_count FROM graph GROUP BY source, target""")
+def q_conflict_resolved(t):
+    return graph.resolved(full_graph(t)).select("source", "target", "relation", F.array_join("merged_types", ",").alias("merged"), F.size("sources").alias("source_count"))
+
+
+@query("""WITH e AS (SELECT s_name AS source, n_name AS target FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT n_name AS name FROM nation WHERE n_name NOT IN (SELECT target FROM e) UNION ALL SELECT c_name FROM customer""")
+def q_isolated(t):
+    nodes = t("nation").select(F.col("n_name").alias("name")).union(t("customer").select("c_name"))
+    return graph.isolated(nodes, edge_table(t).where("relation = 'runs_on'"))
+
+
+def raw_edges(t) -> DataFrame:
+    """Edges with other spellings: brands and names of parts."""
+    kind = F.element_at(X.literals(("used by", "Depends-On", "provide", "unknown link")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return t("part").select(F.col("p_name").alias("source"), kind.alias("relation"), F.lower("p_brand").alias("target"), F.array(F.concat(F.lit("p"), F.col("p_partkey") % 7)).alias("sources"))
+
+
+@query("""WITH p AS (SELECT *, list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]) AS ws FROM part),
+r AS (SELECT array_to_string(ws, ' ') AS source, CASE p_partkey % 4 WHEN 0 THEN 'uses' WHEN 1 THEN 'depends_on' WHEN 2 THEN 'provides' END AS relation, 'Brand' || p_brand[6:] AS target, 'p' || (p_partkey % 7) AS s FROM p)
+SELECT source, relation, target, array_to_string(list_sort(list(DISTINCT s)), ',') AS sources FROM r WHERE relation IS NOT NULL GROUP BY source, relation, target""")
+def q_graph_cleanup(t):
+    return graph.cleaned(raw_edges(t)).select(*graph.EDGE, F.array_join("sources", ",").alias("sources"))
+
+
+@query(f"WITH {EDGES_SQL}, p AS (SELECT * FROM graph WHERE contains(lower(source), 'ring') OR contains(lower(target), 'ring') ORDER BY source, relation, target LIMIT 100) SELECT DISTINCT name FROM (SELECT source AS name FROM p UNION ALL SELECT target FROM p)")
+def q_graph_data(t):
+    return graph.neighbourhood(full_graph(t), "ring")[0]
+
+
+BM25_SQL = f"""{EDGES_SQL},
+names AS (SELECT source AS name FROM graph UNION SELECT target FROM graph),
+tok AS (SELECT name, list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda w: w <> '') AS ws FROM names),
+posts AS (SELECT name, len, word, count(*) AS tf FROM (SELECT name, len(ws) AS len, unnest(ws) AS word FROM tok) GROUP BY ALL),
+st AS (SELECT count(*) AS n, avg(len(ws)) AS avg_len FROM tok), dfs AS (SELECT word, count(*) AS df FROM posts GROUP BY word),
+asked AS (SELECT DISTINCT p_partkey AS query_id, unnest(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')) AS word FROM part WHERE p_partkey % 50 = 0),
+bm AS (SELECT query_id, name, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avg_len))), 6) AS score FROM posts JOIN asked USING (word) JOIN dfs USING (word), st GROUP BY query_id, name),
+top20 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS rank FROM bm QUALIFY rank <= 20)"""
+
+
+@query(f"WITH {BM25_SQL} SELECT query_id, name, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM top20")
+def q_bm25(t):
+    g = full_graph(t)
+    names = g.select(F.col("source").alias("name")).union(g.select("target"))
+    return graph.bm25(names, name_queries(t)).withColumn("score", F.round("score", 4))
+
+
+@query(f"""WITH {BM25_SQL},
+hop AS (SELECT query_id, source, relation, target, max(score) AS ft, any_value(coalesce(sources, [])) AS sources FROM graph JOIN top20 ON name = source OR name = target GROUP BY ALL),
+cap AS (SELECT *, round(0.5 * least(ft / 4, 1) + 0.3 * ({PRIORITY_SQL}) / 80.0 + 0.2 * least(len(sources) / 5.0, 1), 4) AS g FROM hop QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY ft DESC, source, relation, target) <= 60),
+one AS (SELECT * FROM cap QUALIFY row_number() OVER (PARTITION BY query_id, lower(source), lower(target) ORDER BY g DESC, source, relation, target) = 1),
+fin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY g DESC, source, relation, target) AS rank FROM one)
+SELECT query_id, source, relation, target, g AS graph_score, CAST(rank AS INT) AS rank FROM fin WHERE rank <= 10""")
+def q_graph_scored(t):
+    return graph.scored_search(full_graph(t), name_queries(t)).select("query_id", *graph.EDGE, "graph_score", "rank")
+
+
+@query(f"""WITH {TERMS_SQL},
+ev AS (SELECT query_id, term FROM (SELECT query_id, term, min(o) AS o FROM (
+    SELECT item_id AS query_id, unnest(list_transform(regexp_split_to_array(trim(replace(lower(text), '_', ' ')), '\\s+'), lambda w: trim(w, '.,:;!?()[]{{}}''"`-/'))) AS term, generate_subscripts(regexp_split_to_array(trim(replace(lower(text), '_', ' ')), '\\s+'), 1) AS o FROM benchmark WHERE item_id % 50 = 0)
+  WHERE len(term) >= 3 AND term NOT IN ('and', 'are', 'czy', 'dla', 'for', 'jak', 'jest', 'kto', 'mowi', 'mówi', 'oraz', 'the', 'with', 'wczoraj') GROUP BY query_id, term) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o) <= 30),
+looked AS (SELECT query_id, chunk_id, content, source FROM chunks, q QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) <= 500),
+h AS (SELECT l.query_id, chunk_id, source, count(*) AS hits FROM looked l JOIN ev ON ev.query_id = l.query_id AND contains(lower(content), term) GROUP BY ALL),
+b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY hits DESC, chunk_id) = 1)
+SELECT query_id, chunk_id, source, CAST(hits AS INT) AS hits, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) AS INT) AS rank FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) <= 6""")
+def q_evidence(t):
+    chunks = chunk_table(t)
+    asked = query_table(t).select("query_id", X.evidence_terms(F.col("query")).alias("terms"))
+    wanted = chunks.select("source").distinct().crossJoin(F.broadcast(asked))
+    return search.evidence(chunks, wanted).select("query_id", "chunk_id", "source", "hits", "rank")
+
+
+def candidate_table(t) -> DataFrame:
+    """The vector and the lexical path (as evidence) of each query."""
+    rows = search.hybrid(chunk_table(t), query_table(t)).join(t("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source"), "chunk_id")
+    vector = F.col("path") == "vector"
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("query_id", "path").orderBy("ordinal")) - 1
+    return rows.select(
+        "query_id", F.when(vector, "vector").otherwise("evidence").alias("path"), rank.alias("rank"), "content", "source", F.when(vector, "vector").otherwise("graph_evidence").alias("type"),
+        F.when(vector, S.calibrated_score(F.col("distance"))).otherwise(F.least(F.col("lexical_score") / 40.0, F.lit(1.0))).alias("score"), F.lit(None).cast("string").alias("traversal"),
+    )
+
+
+@query(f"""WITH {HYBRID_SQL},
+cand AS (SELECT query_id, CASE path WHEN 'vector' THEN 'vector' ELSE 'evidence' END AS path, row_number() OVER (PARTITION BY query_id, path ORDER BY ordinal) - 1 AS rank, content, source,
+  CASE path WHEN 'vector' THEN exp(-greatest(distance, 0) / 30) ELSE least(lexical_score / 40.0, 1) END AS score FROM hybrid JOIN chunks USING (chunk_id)),
+k AS (SELECT *, substr(md5(source || '|' || substr(content, 1, 200)), 1, 16) AS key FROM cand),
+g AS (SELECT query_id, key, max(score) FILTER (WHERE path = 'vector') AS v, max(score) FILTER (WHERE path = 'evidence') AS e, sum(CASE path WHEN 'vector' THEN 0.5 ELSE 0.2 END / (61 + rank)) AS rrf, count(DISTINCT path) AS n, min(path) AS p,
+  min(CASE path WHEN 'vector' THEN 0 ELSE 1000000 END + rank) AS f FROM k GROUP BY query_id, key),
+s AS (SELECT *, round(least(greatest(coalesce(v, 0), coalesce(e, 0) * 0.7) + 0.15 * least(rrf / ((0.5 + 0.3 + 0.2) / 61), 1), 1), 4) AS fused_score FROM g)
+SELECT query_id, key, fused_score, CASE WHEN n > 1 THEN 'multi_path(vector|evidence)' ELSE p || '_primary' END AS reason, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, f) AS INT) AS fused_rank FROM s""")
+def q_rrf_fusion(t):
+    return fusion.fused(candidate_table(t)).select("query_id", "key", "fused_score", "reason", "fused_rank")
+
+
+@query()
+def q_relevance_gate(t):
+    hits = pipelines.first_hits(chunk_table(t), query_table(t), 5)
+    items = hits.select("query_id", F.col("rank").alias("ordinal"), F.lit("vector").alias("type"), "content", "source", "tags", S.live_score(F.col("distance")).alias("score"), "distance")
+    return gate.decided(query_table(t), items)[0]
+
+
+@query("""SELECT source AS query_id, doc_id, CAST(used AS BIGINT) AS used FROM (SELECT source, doc_id, sum(len(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE used <= 12000""")
+def q_pack_prefix(t):
+    items = t("documents").select(F.col("source").alias("query_id"), "doc_id", F.col("text").alias("content"))
+    return context.prefix(items, 12000, order="doc_id").select("query_id", "doc_id", "used")
+
+
+@query()
+def q_pack_truncate(t):
+    hits = search.reranked(search.hybrid(chunk_table(t), query_table(t)), chunk_table(t), query_table(t)).where("rank <= 20").persist()
+    items = hits.select("query_id", F.col("rank").alias("ordinal"), F.lit("vector").alias("type"), "content", "chunk_id")
+    return context.packed(items).select("query_id", "ordinal", "chunk_id", "truncated", F.length("content").alias("n_chars"))
+
+
+@query()
+def q_hybrid_context(t):
+    items, _ = pipelines.hybrid_context(chunk_table(t), query_table(t), edge_table(t))
+    return items.select("query_id", "ordinal", "type", "source", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"), F.round("s", 6).alias("score"), "accepted")
+
+
+@query()
+def q_hybrid_context_fused(t):
+    items, _ = pipelines.hybrid_context_fused(chunk_table(t), query_table(t), edge_table(t))
+    return items.select("query_id", "ordinal", "type", "source", F.md5("content").alias("content_md5"), F.round("s", 6).alias("score"), "accepted")
+
+
+@query()
+def q_answer_context(t):
+    return pipelines.answer_context(chunk_table(t), query_table(t)).select("query_id", "chunk_id", "rank", "used")
+
+
+@query("""SELECT conv_id, turn, md5(text) AS question_md5, md5(answer) AS answer_md5 FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'""")
+def q_qa_pairs(t):
+    return conversations.pairs(t("conversations")).select("conv_id", "turn", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
+
+
+@query()
+def q_qa_classify(t):
+    return conversations.classified(conversations.pairs(t("conversations"), True)).select("conv_id", "turn", "decision", "reason", F.array_join("tags", ",").alias("tags"))
+
+
+@query("""SELECT conv_id, turn, role, CAST(back AS INT) AS back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 6""")
+def q_history_last6(t):
+    return conversations.last_turns(t("conversations")).select("conv_id", "turn", "role", "back")
+
+
+@query(r"""WITH u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages), p AS (SELECT page_id, lower(regexp_extract(u, '^([^:/?#]+://[^/?#]*)', 1)) AS head, regexp_extract(u, '^[^:/?#]+://[^/?#]*([^?]*)', 1) AS path, regexp_extract(u, '(\?.+)$', 1) AS q FROM u)
+SELECT page_id, head || CASE WHEN path = '' THEN '/' WHEN path <> '/' AND path LIKE '%/' THEN path[:-2] ELSE path END || q AS url FROM p""")
+def q_canonical_url(t):
+    return t("pages").select("page_id", X.canonical_url(F.col("url")).alias("url"))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(regexp_replace(url, '#.*$', ''), '^[^:/?#]+://[^/?#]*([^?]*)', 1) AS path FROM pages)
+SELECT page_id, CASE WHEN path = '' THEN '/' WHEN list_filter(string_split(path, '/'), lambda x: x <> '')[2] = 'docs' THEN '/' || list_filter(string_split(path, '/'), lambda x: x <> '')[1] || '/' WHEN path LIKE '%/' THEN path
+  WHEN contains(string_split(path, '/')[-1], '.') THEN regexp_replace(path, '/[^/]*$', '') || '/' ELSE path || '/' END AS scope FROM p""")
+def q_scope_key(t):
+    return t("pages").select("page_id", X.scope_prefix(F.col("url")).alias("scope"))
+
+
+@query()
+def q_page_text(t):
+    return web.read(t("pages")).select("page_id", "title", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"), F.size("links").alias("n_links"))
+
+
+@query("SELECT event_type, count(*) AS n, CAST(trunc(avg(value)) AS BIGINT) AS avg_elapsed, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type")
+def q_telemetry_by_type(t):
+    rows = t("events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").cast("long").alias("avg_elapsed"), F.sum("k").alias("total"))
+
+
+@query("SELECT count(*) AS n, CAST(trunc(avg(value)) AS BIGINT) AS avg_elapsed, CAST(trunc(avg(len(props))) AS BIGINT) AS avg_chars, CAST(count(*) FILTER (WHERE event_type <> 'error') AS BIGINT) AS used FROM events")
+def q_telemetry_summary(t):
+    return telemetry.summary(t("events").select(F.col("value").alias("elapsed_ms"), F.length("props").alias("chars"), (F.col("event_type") != "error").alias("used")))
+
+
+@query("SELECT event_id, event_type, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000")
+def q_telemetry_tail(t):
+    return telemetry.tail(t("events")).select("event_id", "event_type", "value")
+
+
+@query("SELECT doc_id, quality, toxic FROM labels ORDER BY doc_id DESC LIMIT 50")
+def q_feedback_recent(t):
+    return telemetry.tail(t("labels"), 50, ("doc_id",)).select("doc_id", "quality", "toxic")
+
+
+@query("SELECT item_id, count(doc_id) AS n_documents, count(doc_id) > 0 AS passed FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
+def q_golden(t):
+    """Benchmark items are a stated query set, broadcast; every document's text is searched for each of them."""
+    items = t("benchmark").select("item_id", F.col("text").alias("wanted"))
+    found = t("documents").join(F.broadcast(items), F.contains("text", F.col("wanted"))).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+    rows = items.select("item_id").join(found, "item_id", "left").withColumn("n_documents", F.coalesce("n_documents", F.lit(0)).cast("long"))
+    return rows.select("item_id", "n_documents", (F.col("n_documents") > 0).alias("passed"))
+
+
+@query("SELECT source, array_to_string(list_sort(list(DISTINCT lang)), ',') AS langs, count(*) FILTER (WHERE len(text) >= 250) AS n_long FROM documents GROUP BY source")
+def q_source_rollup(t):
+    return t("documents").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"), F.count_if(F.length("text") >= 250).alias("n_long"))
