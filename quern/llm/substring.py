@@ -3,8 +3,8 @@
 A window of ``window`` words can only repeat if the half-length windows inside it repeat. Level one therefore asks
 about half-length windows only, and of those only about the smallest hash within each full window (the
 same in every copy of that window). Level two asks about full windows, but only where level one
-found a repetition; most of the text has dropped out by then. ``longest_repeats`` goes on doubling
-from there, until no candidates survive.
+found a repetition; most of the text has dropped out by then. A cut at ``window`` words needs no longer windows;
+``repeat_levels`` goes on doubling from there, until no candidates survive.
 
 Texts are dealt once into blocks of bounded size. A block asks every bucket of the hash space about its different
 hashes, each once however often it occurs, so a passage in a third of all documents costs one
@@ -86,13 +86,17 @@ class Block:
 
     def full(self, window: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Different (low, high) hashes of the windows at start, in order, and each window's place there."""
-        low, high = self.rolled(window, 0)[start], (self.rolled(window, 1)[start] >> np.uint64(32)).astype(np.uint32)
-        order = np.lexsort((high, low))
-        a, b = low[order], high[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
-        place = np.empty(len(a), np.int64)
-        place[order] = np.cumsum(new) - 1
-        return a[new], b[new], place
+        return distinct(self.rolled(window, 0)[start], (self.rolled(window, 1)[start] >> np.uint64(32)).astype(np.uint32))
+
+
+def distinct(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different (low, high) pairs in order, and each pair's place there."""
+    order = np.lexsort((high, low))
+    a, b = low[order], high[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+    place = np.empty(len(a), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return a[new], b[new], place
 
 
 def cuts(low: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
@@ -216,3 +220,90 @@ def repeats(docs: DataFrame, window: int = 13, base: int | None = None) -> DataF
     two = by.cogroup(one.groupBy("block")).applyInArrow(ask_two, ASK_SQL).groupBy("bucket").applyInArrow(tell_two, TELL_SQL)
     answers = one.unionByName(two)
     return by.cogroup(answers.groupBy("block")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
+
+
+NOTE = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("ids", pa.binary()), ("several", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64())])
+NOTE_SQL = "block long, bucket long, low binary, high binary, ids binary, several binary, doc_id long, n long"
+#: Buckets of notes that aren't asked: which windows a block asked about, and how many of a document's windows repeat.
+ASKED, FOUND = -1, -2
+
+
+def doubled(block: Block, window: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of ``length`` words, from those of half the length."""
+    if length == window:
+        return block.rolled(window, 0), block.rolled(window, 1)
+    half = length // 2
+    out = []
+    for h in doubled(block, window, half):
+        m = max(0, len(h) - half)
+        out.append(mixed(h[:m] * RATES[-1] + h[half:][:m] * RATES[-2]))
+    return out[0], out[1]
+
+
+def repeat_levels(docs: DataFrame, window: int = 13) -> DataFrame:
+    """(doc_id, length, n_windows): how many windows of window, 2 window, 4 window, ... words of a document also come in another one.
+
+    Only where both halves of a window repeat is it asked about, and the loop ends when nothing repeats. Rows without a doc_id are one document.
+    """
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_BYTES))
+    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")
+    dealt = stored(docs.select(key, F.col("doc_id").cast("long").alias("doc_id"), "text"), "substring-dealt")
+    told = dealt.sparkSession.createDataFrame([], "block long, bucket long, level int, n long, bits binary, asked binary")
+    found, length = None, window
+    while True:
+
+        def ask(keys, table, told):
+            block = Block(table.sort_by([("doc_id", "ascending"), ("text", "ascending")]))
+            at, rows = keys[0].as_py(), []
+            ok = block.ok(length)
+            start = np.flatnonzero(ok)
+            if length > window:
+                half = length // 2
+                asked = next((r["asked"] for r in told.to_pylist() if r["bucket"] == ASKED), b"")
+                before = np.flatnonzero(np.unpackbits(np.frombuffer(asked, np.uint8), count=max(0, len(block.at) - half + 1))) if asked else np.zeros(0, int)
+                low, high = (h[before] for h in doubled(block, window, half))
+                _, _, place = distinct(low, high >> np.uint64(32))
+                again = before[bits_of(told, 1)[place]] if len(before) else before
+                names, counts = np.unique(block.doc[again], return_counts=True)
+                rows += [(at, FOUND, None, None, None, None, None if block.missing[d] else int(block.ids[d]), int(c)) for d, c in zip(names, counts)]
+                mark = np.zeros(len(block.at) + length, bool)
+                mark[again] = True
+                start = start[mark[start] & mark[start + half]]
+            low, high = (h[start] for h in doubled(block, window, length))
+            low, high, place = distinct(low, high >> np.uint64(32))
+            ids = block.ids[block.doc[start]]
+            first, last = np.full(len(low), LAST), np.full(len(low), np.iinfo(np.int64).min)
+            np.minimum.at(first, place, ids)
+            np.maximum.at(last, place, ids)
+            mark = np.zeros(max(0, len(block.at) - length + 1), bool)
+            mark[start] = True
+            rows.append((at, ASKED, np.packbits(mark).tobytes(), None, None, None, None, len(start)))
+            rows += [(at, b, low[x].tobytes(), high[x].astype(np.uint32).tobytes(), first[x].tobytes(), np.packbits(last[x] > first[x]).tobytes(), None, x.stop - x.start) for b, x in cuts(low, blocks)]
+            return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), NOTE)], schema=NOTE)
+
+        def tell(keys, table):
+            low = [np.frombuffer(x, np.uint64) for x in table.column("low").to_pylist()]
+            high = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("high").to_pylist()])
+            ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
+            several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(a)) for x, a in zip(table.column("several").to_pylist(), low)]).astype(bool)
+            _, _, place = distinct(np.concatenate(low), high)
+            n = place.max() + 1
+            first, last, many = np.full(n, LAST), np.full(n, np.iinfo(np.int64).min), np.zeros(n, bool)
+            np.minimum.at(first, place, ids)
+            np.maximum.at(last, place, ids)
+            np.logical_or.at(many, place, several)
+            yes = np.split((many | (first < last))[place], np.cumsum([len(x) for x in low])[:-1])
+            cols = [table.column("block").combine_chunks(), table.column("bucket").combine_chunks(), pa.array([1] * len(yes), pa.int32()), pa.array([len(y) for y in yes], pa.int64()), pa.array([np.packbits(y).tobytes() for y in yes], pa.binary())]
+            return pa.Table.from_arrays(cols, schema=TELL)
+
+        notes = stored(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask, NOTE_SQL), "substring-notes")
+        if length > window:
+            level = notes.where(F.col("bucket") == FOUND).groupBy("doc_id").agg(F.sum("n").alias("n_windows")).select("doc_id", F.lit(length // 2).cast("long").alias("length"), "n_windows")
+            found = level if found is None else found.unionByName(level)
+        if not (notes.where(F.col("bucket") == ASKED).agg(F.sum("n")).first()[0] or 0):
+            return found if found is not None else dealt.sparkSession.createDataFrame([], "doc_id long, length long, n_windows long")
+        answers = notes.where(F.col("bucket") >= 0).groupBy("bucket").applyInArrow(tell, TELL_SQL).withColumn("asked", F.lit(None).cast("binary"))
+        own = notes.where(F.col("bucket") == ASKED).select("block", "bucket", F.lit(0).alias("level"), "n", F.lit(None).cast("binary").alias("bits"), F.col("low").alias("asked"))
+        told = answers.unionByName(own)
+        length *= 2

@@ -248,6 +248,30 @@ def test_substring_equals_brute_force(spark, odd_rows, window, small, monkeypatc
         assert substring.repeats(table(spark, rows).where("false"), window).count() == 0
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_substring_levels_equal_brute_force(spark, odd_rows, small, monkeypatch):
+    if small:
+        monkeypatch.setattr(substring, "BLOCK_BYTES", 3000)
+    rows = odd_rows + [(100, "a b " * 30, "s"), (101, "a b " * 20, "s"), (102, "z " + "a b " * 9, "s")]
+    got = {(str(r.doc_id), r.length): r.n_windows for r in substring.repeat_levels(table(spark, rows), 5).collect()}
+    docs, want, n = [(str(i), (t or "").split()) for i, t, _ in rows], {}, 5
+    while True:
+        names = {}
+        for i, w in docs:
+            for j in range(len(w) - n + 1):
+                names.setdefault(tuple(w[j : j + n]), set()).add(i)
+        level = {}
+        for i, w in docs:
+            if c := sum(len(names[tuple(w[j : j + n])]) > 1 for j in range(len(w) - n + 1)):
+                level[(i, n)] = level.get((i, n), 0) + c
+        if not level:
+            break
+        want |= level
+        n *= 2
+    assert got == want and n > 1000
+    assert substring.repeat_levels(table(spark, rows).where("false")).count() == 0
+
+
 # 6 warc
 
 
