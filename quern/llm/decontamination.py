@@ -23,6 +23,8 @@ from .common import maybe_broadcast, stored
 
 WORDS = 5
 THRESHOLD = 0.8
+#: Bytes of item texts up to which the items' shingles (some ten times as many) are broadcast.
+ITEM_BYTES = 4 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -40,7 +42,9 @@ def shingles(words: Column, size: int = WORDS) -> Column:
     """Different shingles of a column of words; a column, as an expression would run again for each shingle."""
     n = F.size(words)
     many = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.array_distinct(F.when(n >= size, many).when(n > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    # Never null, so that no test for null is pushed below the projection that makes the words.
+    return F.coalesce(F.array_distinct(F.when(n >= size, many).when(n > 0, F.array(F.array_join(words, " ")))), none)
 
 
 # explode() would let the optimizer push a test of the array below the projection that makes its words, and so split the text
@@ -55,7 +59,7 @@ def sketched(items: DataFrame, size: int = WORDS, threshold: float = THRESHOLD)
     """(hash, item, need): the sketch of each item; need is how many shingles a document must share."""
     rows = hashed(items, size).withColumn("hashes", F.array_sort(F.array_distinct("hashes")))
     m = F.size("hashes")
-    need = F.ceil(F.round(m * F.lit(threshold), 6)).cast("int")
+    need = F.coalesce(F.ceil(F.round(m * F.lit(threshold), 6)).cast("int"), F.lit(0))
     return rows.withColumn("need", need).select("item", "need", F.explode_outer(F.slice("hashes", F.lit(1), m - F.col("need") + 1)).alias("hash")).where("hash is not null")
 
 
@@ -77,14 +81,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WORDS, threshold: f
     probes = hashed(docs.select(row, "text"), size).select("row", F.coalesce(F.size("hashes"), F.lit(0)).alias("n"), F.explode_outer("hashes").alias("hash"))
     found = probes.join(maybe_broadcast(sketch), "hash").where("n >= need").select("row", "item").distinct()
     found = stored(found, "leaks-candidates")
-    whole = items.withColumn("__words", words_of(F.col("text"))).withColumn("shingles", shingles(F.col("__words"), size)).withColumn("need", F.ceil(F.round(F.size("shingles") * F.lit(threshold), 6)))
-    wanted = found.join(maybe_broadcast(whole.select("item", "item_id", "shingles", "need"), items.count()), "item")
-    wanted = stored(wanted.groupBy("row").agg(F.collect_list(F.struct("item_id", "shingles", "need")).alias("items")), "leaks-wanted")
-    held = docs.withColumn("row", row).join(maybe_broadcast(wanted), "row").distinct()
-    held = held.withColumn("__words", words_of(F.col("text"))).withColumn("own", shingles(F.col("__words"), size)).drop("__words")
-    judged = F.transform("items", lambda x: F.struct(x.item_id.alias("item_id"), F.size(F.array_intersect(x.shingles, F.col("own"))).alias("n_shared"), F.size(x.shingles).alias("n_item"), x.need.alias("need")))
-    rows = held.select("doc_id", "row", F.explode_outer(judged).alias("x")).where("x.n_shared >= x.need")
-    return rows.select("doc_id", "row", "x.item_id", F.col("x.n_shared").cast("long").alias("n_shared"), F.col("x.n_item").cast("long").alias("n_item"), (F.col("x.n_shared") / F.col("x.n_item")).alias("containment"))
+    wanted = stored(found.groupBy("row").agg(F.collect_set("item").alias("items")), "leaks-wanted")
+    # Broadcast or not goes by pairs of hashes, 16 bytes each, and for the items by the bytes of their texts.
+    held = docs.withColumn("row", row).join(maybe_broadcast(wanted, found.count()), "row").distinct()
+    held = held.withColumn("__words", words_of(F.col("text"))).withColumn("own", shingles(F.col("__words"), size))
+    whole = items.withColumn("__words", words_of(F.col("text"))).withColumn("shingles", shingles(F.col("__words"), size))
+    whole = whole.select("item", "item_id", "shingles", F.coalesce(F.ceil(F.round(F.size("shingles") * F.lit(threshold), 6)), F.lit(0)).alias("need"))
+    small = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= ITEM_BYTES
+    pairs = held.select("doc_id", "row", "own", F.explode_outer("items").alias("item")).join(F.broadcast(whole) if small else whole, "item")
+    shared, n = F.size(F.array_intersect("shingles", "own")), F.size("shingles")
+    rows = pairs.select("doc_id", "row", "item_id", shared.cast("long").alias("n_shared"), n.cast("long").alias("n_item"), "need").where("n_shared >= need")
+    return rows.select("doc_id", "row", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
