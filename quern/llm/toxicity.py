@@ -6,8 +6,8 @@ log loss and a ridge, a counterfactual term: in labelled texts each identity ter
 neutral mention is added to texts that have none; squared changes of the score (before the sigmoid) are penalised, so
 that a mention alone moves no score.
 
-``SAMPLE`` bounds the labelled documents that are fitted on (those of smallest hash), and the driver gets only their
-hashed features. Scoring reads every whole text, in one narrow pass.
+``SAMPLE`` bounds the labelled documents that are fitted on (those of smallest hash). Features are counted and chosen by Spark;
+the driver gets the chosen ones only. Scoring reads every whole text, in one narrow pass.
 
 Defined cases: null or empty text: the score of no features; null doc_id: scored, never fitted on, not held out; several labels for
 a doc_id: the highest; no labelled rows: every score 0.5; empty table: empty result; extra columns: ignored.
@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import stored
+
 SAMPLE = 8000
 FEATURES = 1024
 THRESHOLD = 0.7
@@ -84,8 +86,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.raw(text), -30, 30)))
 
 
-def sample_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[int, np.ndarray, list[str]]]:
-    """(label, hashes of all parts, identity terms in it) of the sampled labelled documents: doc_id, text; doc_id, toxic."""
+def identity_features() -> np.ndarray:
+    return np.array(sorted({hashed(p) for line in IDENTITY for t in line for p in parts_of(t)}), np.int64)
+
+
+def telling(rows: DataFrame, features: int) -> list[int]:
+    """Hashes of the parts that tell most (by log-likelihood ratio) among rows (toxic, parts); counted where the rows are."""
+    sizes = rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()
+    size = {r.toxic: float(r.n) for r in sizes}
+    if len(size) < 2:
+        return []
+    counts = rows.select("toxic", F.explode("parts").alias("part")).groupBy("part").agg(F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") == 0).alias("n0"))
+    share = (F.col("n1") + F.col("n0")) / (size[0] + size[1])
+    term = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
+    g = sum((term(F.col(f"n{y}").cast("double"), size[y] * share) + term(size[y] - F.col(f"n{y}"), size[y] * (1 - share)) for y in (0, 1)), F.lit(0.0))
+    best = counts.where("n1 + n0 >= 3").withColumn("g", F.round(g, 6)).where("g > 3").orderBy(F.col("g").desc(), "part").limit(features)
+    return [r.part for r in best.select("part").collect()]
+
+
+def sample_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> list[tuple[int, np.ndarray, list[str]]]:
+    """(label, hashes of its chosen parts, identity terms in it) of the sampled labelled documents: doc_id, text; doc_id, toxic.
+
+    The driver gets the chosen parts only: at most ``features`` and those of identity terms for each of ``sample`` rows.
+    """
     picked = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     terms = {t for line in IDENTITY for t in line}
@@ -93,31 +116,20 @@ def sample_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [words_of(t) for t in b.column(2).to_pylist()]
-            found = [np.unique(np.array([hashed(p) for w in ws for p in parts_of(w)], np.uint32)).tobytes() for ws in words]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary()), pa.array([sorted(w & terms) for w in words], pa.list_(pa.string()))], ["doc_id", "toxic", "parts", "terms"])
+            found = [np.unique(np.array([hashed(p) for w in ws for p in parts_of(w)], np.int64)) for ws in words]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64())), pa.array([sorted(w & terms) for w in words], pa.list_(pa.string()))], ["doc_id", "toxic", "parts", "terms"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")
-    got = rows.mapInArrow(run, "doc_id long, toxic int, parts binary, terms array<string>").collect()
-    return [(r.toxic, np.frombuffer(bytes(r.parts), np.uint32), r.terms) for r in sorted(got, key=lambda r: (r.doc_id, bytes(r.parts)))]
-
-
-def chosen(rows: list[tuple[int, np.ndarray, list[str]]], features: int) -> np.ndarray:
-    """Hashes of the features that tell most (by log-likelihood ratio), and of all identity terms."""
-    identity = np.array(sorted({hashed(p) for line in IDENTITY for t in line for p in parts_of(t)}), np.uint32)
-    sides = [[p for y, p, _ in rows if y == v] for v in (0, 1)]
-    if not all(sides):
-        return identity
-    (u0, c0), (u1, c1) = (np.unique(np.concatenate(s), return_counts=True) for s in sides)
-    every = np.union1d(u0, u1)
-    n = np.zeros((2, len(every)))
-    n[0, np.searchsorted(every, u0)], n[1, np.searchsorted(every, u1)] = c0, c1
-    size = np.array([[len(sides[0])], [len(sides[1])]], float)
-    share = n.sum(0) / size.sum()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = np.nansum(n * np.log(n / (size * share)), 0) + np.nansum((size - n) * np.log((size - n) / (size * (1 - share))), 0)
-    g[n.sum(0) < 3] = 0
-    best = np.lexsort((every, -g))[:features]
-    return np.union1d(every[best[g[best] > 3]], identity)
+    rows = stored(rows.mapInArrow(run, "doc_id long, toxic int, parts array<long>, terms array<string>"), "toxicity-sample")
+    chosen = np.union1d(np.array(telling(rows, features), np.int64), identity_features())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [np.intersect1d(np.array(p, np.int64), chosen, assume_unique=True).tobytes() for p in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.binary()), b.column(3)], ["doc_id", "toxic", "parts", "terms"])
+
+    got = rows.mapInArrow(keep, "doc_id long, toxic int, parts binary, terms array<string>").collect()
+    return [(r.toxic, np.frombuffer(bytes(r.parts), np.int64), r.terms) for r in sorted(got, key=lambda r: (r.doc_id, bytes(r.parts)))]
 
 
 def swaps(rows: list[tuple[int, np.ndarray, list[str]]], columns: np.ndarray, most: int = 4000) -> np.ndarray:
@@ -146,11 +158,11 @@ def swaps(rows: list[tuple[int, np.ndarray, list[str]]], columns: np.ndarray, mo
     return np.array(out)
 
 
-def fitted(rows: list[tuple[int, np.ndarray, list[str]]], features: int = FEATURES, ridge: float = 0.02, fairness: float = 5.0, steps: int = 300) -> Model:
+def fitted(rows: list[tuple[int, np.ndarray, list[str]]], ridge: float = 0.02, fairness: float = 5.0, steps: int = 300) -> Model:
     """Full-batch Adam on log loss + ridge + counterfactual term."""
     if not rows or len({y for y, _, _ in rows}) < 2:
         return Model()
-    columns = chosen(rows, features)
+    columns = np.union1d(np.concatenate([p for _, p, _ in rows]), identity_features())
     x = np.zeros((len(rows), len(columns)), np.float32)
     for i, (_, parts, _) in enumerate(rows):
         x[i, np.isin(columns, parts, assume_unique=True)] = 1
