@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..functions import scores as S
 from ..functions import text as X
+from .search import in_blocks
 
 EDGE = ("source", "relation", "target")
 
@@ -27,7 +28,7 @@ def upserted(edges: DataFrame, triples: DataFrame) -> DataFrame:
 
 def matched(edges: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, edge, score of edges of allowed relations with a term in an end. queries: query_id, terms."""
-    rows = edges.where(F.col("relation").isin(*V.RELATION_PRIORITY)).crossJoin(F.broadcast(queries.select("query_id", "terms")))
+    rows = in_blocks(edges.where(F.col("relation").isin(*V.RELATION_PRIORITY)), queries, "terms")
     s, t = F.lower("source"), F.lower("target")
     point = lambda end, term: 10 * (end == F.lower(term)).cast("int") + 2 * F.contains(end, F.lower(term)).cast("int")
     score = F.aggregate("terms", F.lit(0), lambda a, x: a + point(s, x) + point(t, x))
@@ -59,7 +60,7 @@ def bm25(names: DataFrame, queries: DataFrame, n: int = 20, k1: float = 1.2, b:
     stats = tokens.agg(F.count("*").alias("docs"), F.avg(F.size("words")).alias("avg_len"))
     seen = posts.groupBy("word").agg(F.count("*").alias("df"))
     asked = queries.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform("terms", words)))).alias("word")).where("word <> ''")
-    rows = posts.join(F.broadcast(asked), "word").join(seen, "word").crossJoin(F.broadcast(stats))
+    rows = posts.join(asked, "word").join(seen, "word").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     rows = rows.groupBy("query_id", "name").agg(F.round(F.sum(part), 6).alias("score"))

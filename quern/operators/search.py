@@ -1,12 +1,14 @@
 """Chunk search: exact vector top-k, lexical search, their union, reranking. All take batches of queries.
 
 chunks: chunk_id, content, source, tags, metadata (its text form), embedding; queries: query_id, query, embedding.
-Queries are a stated set and are broadcast: every chunk is compared with each of them in one scan, and ranks are cut
-before the shuffle by the window's group limit.
+Queries are a stated set and are broadcast in blocks: every chunk is compared with each of them in one scan a block, and ranks are
+cut before the shuffle by the window's group limit.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +16,16 @@ from .. import vocabulary as V
 from ..functions import scores as S
 from ..functions import text as X
 
-#: Queries a search call takes at once: the broadcast's bound.
+#: Queries that are broadcast at once.
 QUERY_BLOCK = 10_000
 
 
-def _paired(chunks: DataFrame, queries: DataFrame, *columns: str) -> DataFrame:
-    return chunks.crossJoin(F.broadcast(queries.select("query_id", *columns).limit(QUERY_BLOCK)))
+def in_blocks(rows: DataFrame, queries: DataFrame, *columns: str) -> DataFrame:
+    """rows with query_id and columns of every query: one pass over rows for each block of queries, of which any number may come."""
+    asked = queries.select("query_id", *columns)
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    block = lambda i: asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+    return reduce(DataFrame.unionByName, [rows.crossJoin(F.broadcast(block(i))) for i in range(blocks)])
 
 
 def top(rows: DataFrame, n: int, *order: Column, by: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -31,7 +37,7 @@ def vector_top(chunks: DataFrame, queries: DataFrame, n: int = 25, tags: list[st
     """query_id, chunk_id, distance, rank: exact L2."""
     if tags:
         chunks = chunks.where(F.arrays_overlap("tags", X.literals(tags)))
-    rows = _paired(chunks.select("chunk_id", "embedding"), queries.withColumnRenamed("embedding", "wanted"), "wanted")
+    rows = in_blocks(chunks.select("chunk_id", "embedding"), queries.withColumnRenamed("embedding", "wanted"), "wanted")
     rows = rows.select("query_id", "chunk_id", S.l2(F.col("embedding"), F.col("wanted")).alias("distance"))
     return top(rows, n, F.col("distance"), F.col("chunk_id"))
 
@@ -39,7 +45,7 @@ def vector_top(chunks: DataFrame, queries: DataFrame, n: int = 25, tags: list[st
 def lexical_scores(chunks: DataFrame, queries: DataFrame, terms: int = 10) -> DataFrame:
     """query_id, chunk_id, lexical_score > 0: 2 for a term in the content, 4 in the source, 1 in the metadata; terms are LIKE patterns."""
     wanted = queries.select("query_id", F.slice(X.search_terms(F.col("query")), 1, terms).alias("terms"))
-    rows = _paired(chunks.select("chunk_id", "content", "source", "metadata"), wanted, "terms")
+    rows = in_blocks(chunks.select("chunk_id", "content", "source", "metadata"), wanted, "terms")
 
     def points(total: Column, term: Column) -> Column:
         like = F.concat(F.lit("%"), term, F.lit("%"))
@@ -55,7 +61,7 @@ def hybrid(chunks: DataFrame, queries: DataFrame, n: int = 25, tags: list[str] |
         chunks = chunks.where(F.arrays_overlap("tags", X.literals(tags)))
     near = vector_top(chunks, queries, n)
     wanted = queries.withColumnRenamed("embedding", "wanted")
-    said = lexical_scores(chunks, queries).join(chunks.select("chunk_id", "embedding"), "chunk_id").join(F.broadcast(wanted.select("query_id", "wanted")), "query_id")
+    said = lexical_scores(chunks, queries).join(chunks.select("chunk_id", "embedding"), "chunk_id").join(wanted.select("query_id", "wanted"), "query_id")
     said = said.select("query_id", "chunk_id", "lexical_score", S.l2(F.col("embedding"), F.col("wanted")).alias("distance"))
     said = top(said, max(10 * n, 200), F.col("lexical_score").desc(), F.col("distance"), F.col("chunk_id"))
     both = near.select("query_id", "chunk_id", "distance", F.lit(0).alias("lexical_score"), F.lit("vector").alias("path"), F.lit(0).alias("p"), "rank").unionByName(
@@ -108,7 +114,7 @@ def rerank_score(query: Column, content: Column, source: Column, tags: Column, d
 
 def reranked(hits: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """hits with the chunk's columns, score and rank (from 1): best score first, ties as they came."""
-    rows = hits.join(chunks.drop("embedding"), "chunk_id").join(F.broadcast(queries.select("query_id", "query")), "query_id")
+    rows = hits.join(chunks.drop("embedding"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
     for name, kind in (("collection", "string"), ("flags", "array<string>")):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
