@@ -373,3 +373,17 @@ def _streamed(conversations: DataFrame, template: str, made: Callable, schema: s
             yield flushed()
 
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, schema)
+
+
+#: digests() of the conversations and the extra one, conversation -7, in DuckDB.
+SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+n AS (SELECT *, len(text) + len(role) + len('### :') + 1 + len('</turn>') + 1
+    + len(regexp_extract_all(text, '\\|###|</turn>')) + len(regexp_extract_all(role, '[\\:\n]|###|</turn>')) AS size FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM n GROUP BY conv_id
+"""

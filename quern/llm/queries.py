@@ -87,4 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op2_decontamination": decontamination.SQL}
+ORACLES: dict[str, str] = {
+    "op2_decontamination": decontamination.SQL,
+    "op4_chat": chat.SQL,
+    "op5_substring": substring.SQL,
+    "op6_warc": warc.SQL,
+}

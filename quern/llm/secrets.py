@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stored
+from .common import stored
 
 LEAST = 12
 FINDINGS = 8000
@@ -29,6 +29,8 @@ THRESHOLD = 0.5
 SPACE = r"[\x20\x09-\x0D]+"
 RUN = r"[A-Za-z0-9+/_\-]{%d,}"
 MARK = "[SECRET]"
+#: Bytes of secrets up to which they are broadcast for redaction.
+BROADCAST_BYTES = 16 << 20
 
 # Words that tell what stands beside them, common pieces of identifiers, and frequent letter pairs.
 NAMES_SECRET = "password|passwd|pwd|secret|token|api_?key|apikey|auth|bearer|credential|private|access_?key|akia|ghp_|sk_live|xox"
@@ -158,8 +160,10 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
 def redacted(docs: DataFrame, findings: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs, all rows and columns, with every secret in text replaced by MARK."""
     bad = scan(docs, findings, threshold).where("is_secret").select("row", "candidate").distinct()
-    bad = stored(bad.groupBy("row").agg(F.sort_array(F.collect_list("candidate"), asc=False).alias("__secrets")), "secrets-found")
-    bad = maybe_broadcast(bad.withColumnRenamed("row", "__row"))
+    bad = stored(bad, "secrets-found")
+    small = (bad.agg(F.sum(F.octet_length("candidate") + 16)).first()[0] or 0) <= BROADCAST_BYTES
+    bad = bad.groupBy(F.col("row").alias("__row")).agg(F.collect_list("candidate").alias("__secrets"))
+    bad = F.broadcast(bad) if small else bad
     rows = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(bad, "__row", "left")
     # Longer ones first, as one may be part of another.
     longest = F.array_sort("__secrets", lambda a, b: F.length(b) - F.length(a))

@@ -307,3 +307,15 @@ def repeat_levels(docs: DataFrame, window: int = 13) -> DataFrame:
         own = notes.where(F.col("bucket") == ASKED).select("block", "bucket", F.lit(0).alias("level"), "n", F.lit(None).cast("binary").alias("bits"), F.col("low").alias("asked"))
         told = answers.unionByName(own)
         length *= 2
+
+
+#: repeats() with a window of 13, in DuckDB.
+SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT s, min(doc_id) AS first_id FROM g GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM g JOIN f USING (s), range(0, 13) AS r(k) WHERE first_id < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""

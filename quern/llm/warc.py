@@ -181,3 +181,14 @@ def round_trip(pages: DataFrame, least: int = 0, path: str | None = None) -> Dat
     path = path or fresh_path(spark, "warc")
     write(pages, path, least)
     return page_records(read(spark, path))
+
+
+#: round_trip(), in DuckDB.
+SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, html, sha1(html) AS x, min(page_id) OVER (PARTITION BY html) AS original FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(x, CAST(1 + 10 * (i // 8) AS INT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INT)) & 31) + 1 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id > original THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > original THEN original END AS refers_to
+FROM h
+"""

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import maybe_broadcast, stored
+
 K, W = 4, 16
 POSITION_BITS = 27
 HASH_BITS = 36
@@ -111,7 +113,7 @@ def with_next(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     lowest = tops.agg(F.min("bucket").alias("lowest"))
     takes = tops.withColumn("taker", F.lag("bucket").over(below)).crossJoin(F.broadcast(lowest))
     takes = takes.select("key", F.coalesce("taker", "lowest").alias("taker"))
-    heads = rows.join(F.broadcast(takes), "key").groupBy("taker", "key").agg(F.max("text").alias("text"))
+    heads = rows.join(maybe_broadcast(stored(takes, "winnowing-takes")), "key").groupBy("taker", "key").agg(F.max("text").alias("text"))
     copies = heads.select(F.lit(None).cast("long").alias("doc_id"), "text", "key", F.col("taker").alias("bucket"), F.lit(1).alias("copied"))
     order = Window.partitionBy("bucket").orderBy("copied", F.col("key").desc(), F.col("text").desc())
     n = F.char_length("text")
