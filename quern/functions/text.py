@@ -86,14 +86,18 @@ def any_in(text: Column, words) -> Column:
     return out
 
 
-def search_terms(query: Column) -> Column:
-    """Words of a query for chunk search: at least 3 characters, no stop words, aliases expanded."""
-    stop, alias = literals(V.SEARCH_STOP), lookup(V.QUERY_ALIASES)
+def search_terms(query: Column, aliases: dict[str, tuple[str, ...]] | None = None, phrases: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """Words of a query for chunk search: at least 3 characters, no stop words, aliases expanded.
+
+    ``aliases``: more words with what they stand for; ``phrases``: terms to add where a phrase is in the query.
+    """
+    stop, alias = literals(V.SEARCH_STOP), lookup({**V.QUERY_ALIASES, **(aliases or {})})
     words = F.transform(F.split(F.coalesce(query, F.lit("")), r"(?U)\s+"), lambda w: F.lower(F.btrim(w, F.lit(PUNCTUATION))))
     words = F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w))
     terms = F.filter(F.flatten(F.transform(words, lambda w: F.coalesce(alias[w], F.array(w)))), lambda w: ~F.array_contains(stop, w))
-    phrase = any_in(F.lower(query), ("rag hybrid", "hybrid rag"))
-    return F.array_distinct(F.when(phrase, F.concat(terms, literals(("rag", "hybrid", "raghybrid")))).otherwise(terms))
+    for phrase, more in (phrases or {}).items():
+        terms = F.when(F.contains(F.lower(F.coalesce(query, F.lit(""))), F.lit(phrase)), F.concat(terms, literals(more))).otherwise(terms)
+    return F.array_distinct(terms)
 
 
 def evidence_terms(text: Column, most: int = 30) -> Column:
@@ -135,7 +139,7 @@ def is_temporal(query: Column) -> Column:
 
 def is_conceptual(query: Column, terms: Column) -> Column:
     lower = F.lower(F.coalesce(query, F.lit("")))
-    return any_in(lower, V.CONCEPT_PHRASES) & F.arrays_overlap(terms, literals(("rag", "hybrid", "raghybrid"))) & ~any_in(lower, V.CODE_WORDS)
+    return any_in(lower, V.CONCEPT_PHRASES) & F.arrays_overlap(terms, literals(("rag", "hybrid"))) & ~any_in(lower, V.CODE_WORDS)
 
 
 def is_playbook(query: Column, terms: Column) -> Column:

@@ -92,7 +92,7 @@ def rerank_score(query: Column, content: Column, source: Column, tags: Column, d
     parts = [
         words,
         when(hits >= 2, 12),
-        when(schema & F.arrays_overlap(terms, X.literals(("rag", "hybrid", "raghybrid", "openwebui", "mcp"))), 35),
+        when(schema & F.arrays_overlap(terms, X.literals(("rag", "hybrid", "openwebui", "mcp"))), 35),
         when(concept & schema, 30),
         when(concept & repo, -25),
         when((source == "chatgpt") & X.is_current(query), -35),

@@ -37,10 +37,8 @@ SEARCH_STOP = ("and", "are", "czy", "dla", "for", "jak", "jest", "kto", "mowi",
 GATE_STOP = ("and", "are", "czy", "dla", "for", "jak", "jest", "jaki", "jaka", "jakie", "kto", "mowi", "mówi", "oraz", "się", "sie", "the", "with", "wczoraj")
 GRAPH_STOP = ("about", "auto", "backend", "czy", "dla", "from", "jak", "jest", "oraz", "pod", "the", "with", "what", "when", "where", "który")
 
-# What a query word is expanded to.
+# What a query word is expanded to. Words for a deployment's own project are passed in by the caller.
 QUERY_ALIASES = {
-    "raghybrid": ("rag", "hybrid", "raghybrid"),
-    "hybridrag": ("rag", "hybrid", "hybridrag"),
     "konstytucja": ("konstytucja", "konstytucji", "constitution"),
     "openwebui": ("openwebui", "open", "webui"),
     "sejmie": ("sejm", "sejmie", "sejmu"),

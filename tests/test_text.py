@@ -34,7 +34,9 @@ def test_page(spark):
 
 
 def test_search_terms(spark):
-    assert one(spark, X.search_terms(F.col("t")), t="What is the RAG hybrid, konstytucja?") == ["what", "rag", "hybrid", "konstytucja", "konstytucji", "constitution", "raghybrid"]
+    query = "What is the RAG hybrid, konstytucja?"
+    assert one(spark, X.search_terms(F.col("t")), t=query) == ["what", "rag", "hybrid", "konstytucja", "konstytucji", "constitution"]
+    assert one(spark, X.search_terms(F.col("t"), {"what": ("why",)}, {"rag hybrid": ("both",)}), t=query)[::6] == ["why", "both"]
 
 
 def test_variants(spark):
