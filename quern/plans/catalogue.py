@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as X
-from ..operators import chunking, context, conversations, fusion, gate, graph, ingest, search, telemetry, web
+from ..operators import anchors, chunking, context, conversations, fusion, gate, graph, ingest, search, telemetry, web
 from ..session import share_code
 from . import pipelines
 
@@ -433,3 +433,8 @@ def q_golden(t):
 @query("SELECT source, array_to_string(list_sort(list(DISTINCT lang)), ',') AS langs, count(*) FILTER (WHERE len(text) >= 250) AS n_long FROM documents GROUP BY source")
 def q_source_rollup(t):
     return t("documents").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"), F.count_if(F.length("text") >= 250).alias("n_long"))
+
+
+@query()
+def q_document_relations(t):
+    return anchors.relations(t("documents").select("source", "text")).groupBy("source", "relation", "target").agg(F.count("*").alias("n"))
