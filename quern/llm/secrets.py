@@ -1,8 +1,9 @@
 """Secret scan: candidate words, and a random forest that removes false positives.
 
-A candidate is a run of at least ``LEAST`` characters [A-Za-z0-9+/_-] with a letter and a digit, inside a word. Its features are
-its length, character transitions, dictionary coverage, character classes, the path of its document and the neighbouring
-words. The forest is trained by Spark on labelled findings and then compiled into one column expression, so
+A candidate is a run of at least ``LEAST`` characters [A-Za-z0-9+/_-] with a letter and a digit, inside a word; a word may hold any
+number of them (minified JSON, URLs, CSV, JWTs). Its features are its length, character transitions, dictionary coverage, character
+classes, the path of its document and the text beside it: what stands in its word between it and the candidates around, and the
+neighbouring words. The forest is trained by Spark on labelled findings and then compiled into one column expression, so
 scanning is a narrow projection over all texts: no shuffle, no Python.
 
 ``labelled_findings`` makes the built-in findings (``FINDINGS`` of them, a documented bound) from rules: keys, tokens and
@@ -28,6 +29,10 @@ TREES, DEPTH = 20, 7
 THRESHOLD = 0.5
 SPACE = r"[\x20\x09-\x0D]+"
 RUN = r"[A-Za-z0-9+/_\-]{%d,}"
+#: A whole run that is a candidate. It is looked for at a run's start only, so a text is read in linear time.
+CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])(?=[0-9+/_\-]*+[A-Za-z])[A-Za-z0-9+/_\-]{%d,}+" % LEAST
+#: Characters of earlier text that stand for the neighbours of a later candidate with no name of its own (the parts of a JWT).
+BESIDE = 64
 MARK = "[SECRET]"
 #: Bytes of secrets up to which they are broadcast for redaction.
 BROADCAST_BYTES = 16 << 20
@@ -43,14 +48,31 @@ FEATURES = ("length", "changes", "pairs", "coverage", "variety", "digits", "uppe
 
 
 def core(word: Column) -> Column:
-    """The last long run in a word: what follows ``password=`` or an opening quote."""
+    """The last long run in a word: what follows ``password=`` or an opening quote. For findings, whose words have one run."""
     return F.element_at(F.regexp_extract_all(word, F.lit("(" + RUN % LEAST + ")"), 1), -1)
 
 
 def is_candidate(word: Column) -> Column:
-    long_enough = (F.length(word) >= LEAST) & F.rlike(word, F.lit(RUN % LEAST))
-    run = core(word)
-    return long_enough & F.rlike(run, F.lit("[0-9]")) & F.rlike(run, F.lit("[A-Za-z]"))
+    return (F.length(word) >= LEAST) & F.rlike(word, F.lit(CANDIDATE))
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """rows (word, before, after) with a row for each candidate of the word; word, before and after are then the text around it.
+
+    Words have no blanks, so candidates can be set off by them. Between two candidates, text belongs to the later one, as names come first.
+    """
+    rows = rows.withColumn("parts", F.split(F.regexp_replace("word", CANDIDATE, " $0 "), " "))  # gap, candidate, gap, candidate, .., gap
+    n = F.floor(F.size("parts") / 2).cast("int")
+    gap = lambda k: F.get("parts", 2 * k)
+    earlier = lambda k: F.concat_ws(" ", F.when(k <= 3, F.col("before")), gap(k - 3), gap(k - 2))
+    one = lambda k: F.struct(
+        F.get("parts", 2 * k - 1).alias("candidate"),
+        F.concat(gap(k - 1), F.get("parts", 2 * k - 1), F.when(k == n, gap(k)).otherwise(F.regexp_extract(gap(k), "^={0,2}['\"]?", 0))).alias("word"),
+        F.when(k == 1, F.col("before")).when(F.rlike(gap(k - 1), F.lit("[A-Za-z]")), "").otherwise(F.substring(earlier(k), -BESIDE, BESIDE)).alias("before"),
+        F.when(k == n, F.col("after")).alias("after"),
+    )
+    rest = [c for c in rows.columns if c not in ("word", "before", "after", "parts")]
+    return rows.select(*rest, F.explode(F.transform(F.sequence(F.lit(1), n), one)).alias("x")).select(*rest, "x.*")
 
 
 def features(df: DataFrame) -> DataFrame:
@@ -58,8 +80,8 @@ def features(df: DataFrame) -> DataFrame:
     c, n = F.col("candidate"), F.length("candidate").cast("double")
     count = lambda pattern, of=c: F.regexp_count(of, F.lit(pattern)).cast("double")
     lower = F.lower(c)
-    near = F.lower(F.concat_ws(" ", F.coalesce("before", F.lit("")), F.regexp_replace("word", r"[A-Za-z0-9+/_\-]{%d,}" % LEAST, " "), F.substring(c, 1, 8)))
-    around = F.lower(F.concat_ws(" ", F.coalesce("before", F.lit("")), F.regexp_replace("word", r"[A-Za-z0-9+/_\-]{%d,}" % LEAST, " "), F.coalesce("after", F.lit("")), c))
+    near = F.lower(F.concat_ws(" ", F.coalesce("before", F.lit("")), F.replace(F.col("word"), c, F.lit(" ")), F.substring(c, 1, 8)))
+    around = F.lower(F.concat_ws(" ", F.coalesce("before", F.lit("")), F.replace(F.col("word"), c, F.lit(" ")), F.coalesce("after", F.lit("")), c))
     flag = lambda x: F.when(x, 1.0).otherwise(0.0)
     return df.withColumns(
         {
@@ -141,6 +163,8 @@ def trained(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Colu
 def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, at (word number from 0), word, candidate, before, after, path, score, is_secret of every candidate.
 
+    A word with several candidates gives a row for each, with the part of the word around it as word.
+
     ``docs``: (doc_id, text) and, if there, path or source.
     """
     spark = docs.sparkSession
@@ -153,7 +177,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
     at = lambda i: F.get("words", i)
     picked = F.transform("ats", lambda i: F.struct(i.alias("at"), at(i).alias("word"), F.concat_ws(" ", at(i - 2), at(i - 1)).alias("before"), at(i + 1).alias("after")))
     rows = found.select("doc_id", "path", "row", F.explode_outer(picked).alias("x")).where("x is not null").select("doc_id", "path", "row", "x.*")
-    rows = features(rows.withColumn("candidate", core(F.col("word")))).withColumn("score", vote)
+    rows = features(candidates(rows)).withColumn("score", vote)
     return rows.select("doc_id", "row", "at", "word", "candidate", "before", "after", "path", F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("is_secret"))
 
 

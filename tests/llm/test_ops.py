@@ -65,6 +65,29 @@ def test_secrets_scan_and_redact(spark):
     assert secrets.scan(docs.where("false")).count() == 0 and secrets.redacted(docs.where("false")).count() == 0
 
 
+def test_secrets_all_runs_of_a_word(spark):
+    """Every long run with a letter and a digit is a candidate, with the text around it, however many a word holds."""
+    a, b = "ghp_" + hashlib.sha1(b"a").hexdigest()[:34] + "Q4", hashlib.sha1(b"b").hexdigest()[:18] + "x7"
+    jwt = [f"eyJhbGciOiJIUzI1NiJ{i}" for i in range(3)]
+    words = [
+        f'{{"token":"{a}","repository":"some-long-name"}}',
+        f"https://x.io/?password={b}&token={a}&page=some-long-name-here",
+        f"token={'.'.join(jwt)}",
+        f"first-long-name,password={b},another-long-name",
+    ]
+    docs = table(spark, [(i, f"the {w} stands", "src0") for i, w in enumerate(words)])
+    rows = secrets.scan(docs).collect()
+    assert sorted((r.doc_id, r.candidate) for r in rows) == sorted([(0, a), (1, b), (1, a), *((2, x) for x in jwt), (3, b)])
+    assert all(r.at == 1 and r.candidate in r.word for r in rows)
+    beside = {(r.doc_id, r.candidate): (r.word, r.before, r.after) for r in rows}
+    assert beside[1, b] == (f"https://x.io/?password={b}", "the", None) and beside[1, a] == (f"&token={a}&page=some-long-name-here", "", "stands")
+    assert "token=" in beside[2, jwt[2]][1] and beside[2, jwt[2]][2] == "stands"
+    assert {(r.doc_id, r.candidate) for r in rows if r.is_secret} >= {(0, a), (1, a), (1, b), (3, b)}
+    clean = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    assert clean[1] == f"the https://x.io/?password={secrets.MARK}&token={secrets.MARK}&page=some-long-name-here stands"
+    assert a not in clean[0] and "some-long-name" in clean[0] and b not in clean[3]
+
+
 # 2 decontamination
 
 
