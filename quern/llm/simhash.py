@@ -134,7 +134,11 @@ def edges_of(rows: DataFrame, limit: int, last: bool) -> DataFrame:
 
         def close(cols) -> Iterator[pa.RecordBatch]:
             """Whole groups only, sorted by key."""
-            nonlocal over
+            if over is not None:  # whatever is left of that key, be it one row
+                late = cols[0] == over
+                if late.any():
+                    yield put_off(*[x[late] for x in cols])
+                    cols = [x[~late] for x in cols]
             key, fp, low, width = cols
             if not len(key):
                 return
@@ -146,7 +150,7 @@ def edges_of(rows: DataFrame, limit: int, last: bool) -> DataFrame:
             a, b = fp[two][near], fp[two + 1][near]
             for s, n in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist()):
                 part = slice(s, s + n)
-                if (n > limit and not last) or key[s] == over:
+                if n > limit and not last:
                     yield put_off(key[part], fp[part], low[part], width[part])
                 else:
                     found += forest(np.unique(fp[part]))

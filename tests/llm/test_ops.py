@@ -195,6 +195,23 @@ def test_simhash_links_dense_groups(spark, limit):
     assert all((find(a) == find(b)) == (by[a] == by[b]) for a, b in itertools.combinations(fps, 2))
 
 
+@pytest.mark.parametrize("left", [1, 2])
+def test_simhash_puts_off_the_rest_of_a_key(spark, left):
+    """Rows that come after their key was put off are put off too: here the only key that joins two of them."""
+    low, bit = 0x2B3C4D5E, 1 << 7
+    fill = [(x << 32) | low for x in (0x01234567, 0x0FEDCBA9, 0x1A2B3C4D, 0x25A5A5A5)]
+    a, b = (0x40000000 << 32) | low, (0x70000000 << 32) | (low ^ bit)
+    fps = [*fill, a, *[(0x6EDC1234 << 32) | low] * (left - 1), b]
+    assert [x for x in fps if x != b and (x ^ b).bit_count() <= 3] == [a]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        edges = {frozenset((r.a, r.b)) for r in simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), 4).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert edges == {frozenset((a, b))}
+
+
 def test_simhash_keeps_one_of_each(spark, odd_rows):
     docs = table(spark, odd_rows)
     kept = simhash.one_of_each(docs)
