@@ -17,8 +17,10 @@ from tokenizers import Tokenizer
 #: Letters and numbers among the lower-cased characters below U+0250, and the vocabulary's split rule in those terms.
 LETTER, NUMBER = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+"
+#: Capitals below U+0250 whose lower case is beyond it.
+CAPITALS = "".join(chr(i) for i in range(0x250) if max(chr(i).lower()) >= "\u0250")
 #: What the rule above doesn't cover: other characters, white space only to Python, and special tokens.
-BEYOND = r"[\x1c-\x1f\u0250-\U0010ffff]|<\|"
+BEYOND = rf"[\x1c-\x1f{CAPITALS}\u0250-\U0010ffff]|<\|"
 KEEP = 400_000
 
 
@@ -50,13 +52,13 @@ class WordEncoder:
         return b"".join(map(self.parts.__getitem__, self.split(text.lower())))
 
     def word(self, word: str) -> bytes:
-        return self.all(word).tobytes() if self.beyond(word) or "İ" in word else self.plain(word)
+        return self.all(word).tobytes() if self.beyond(word) else self.plain(word)
 
     def all(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.beyond(text) and "İ" not in text:
+        if not self.beyond(text):
             raw = self.plain(text)
         elif self.odd(text):
             return self.all(text)

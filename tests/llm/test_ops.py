@@ -357,6 +357,17 @@ def test_encoder_is_exact():
     assert all(e.encode(t).tolist() == e.all(t).tolist() for t in texts)
 
 
+def test_encoder_is_exact_below_u0250():
+    """Every character, alone, inside a word and in a text with others, as the tokenizer has it."""
+    from quern.llm.tokens import WordEncoder
+
+    fast = WordEncoder(BPE)
+    for i in range(0x250):
+        c = chr(i)
+        for text in (c, f"{c}liyev", f"ab{c}cd", f"x {c}liyev 日本"):
+            assert fast.encode(text).tolist() == fast.whole.encode(text, add_special_tokens=False).ids, (hex(i), text)
+
+
 @pytest.mark.parametrize("lane", [packing.LANE, 3000])
 def test_packing_is_whole(spark, odd_rows, lane):
     from tokenizers import Tokenizer
