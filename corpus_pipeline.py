@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, packing, secrets, simhash, toxicity
+from quern.llm import decontamination, near_copies, packing, secrets, simhash, toxicity
 from quern.llm.common import arrow_batches, stored
 
 
@@ -23,9 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked, the one of smallest id stays."""
+    """Of documents whose fingerprints are linked, or that share 0.8 of their five-word shingles, the one of smallest id stays."""
     arrow_batches(spark)
-    return simhash.one_of_each(docs)
+    return near_copies.one_of_each(stored(simhash.one_of_each(docs), "pipeline-linked"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quern.llm import near_copies
 from quern.llm import queries as Q
 from quern.llm.common import stored
 
@@ -43,6 +44,38 @@ def test_stages(spark, folder):
     assert ids(packed) == ids(redacted) and packed.where("start = 0").count() == redacted.count()
 
 
+@pytest.mark.parametrize("limit", [None, 3])
+def test_near_copies_of_five_words(spark, limit):
+    """Texts with words changed: no two that stay share 0.8 of their shingles, and what goes is linked to one that stays."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts = {}
+    for _ in range(12):
+        base = [word() for _ in range(r.choice((30, 100, 400)))]
+        for _ in range(9):
+            copy = list(base)
+            for _ in range(r.randrange(0, 1 + len(base) // 40)):
+                copy[r.randrange(len(base))] = word()
+            texts[len(texts)] = " ".join(copy)
+    texts |= {len(texts): "a b", len(texts) + 1: "a b", len(texts) + 2: None, len(texts) + 3: ""}
+    grams = {i: {tuple((t or "").split()[j : j + 5]) for j in range(max(1, len((t or "").split()) - 4))} - {()} for i, t in texts.items()}
+    near = {(a, b) for a in texts for b in texts if a < b and grams[a] and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])}
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()] + [(None, texts[0], "en", "s", 1)], DOCS)
+    got = near_copies.one_of_each(docs, **({"limit": limit} if limit else {}))
+    kept = {x.doc_id for x in got.collect()}
+    assert got.columns == docs.columns and None in kept and not [p for p in near if kept >= set(p)]
+    root = {i: i for i in texts}
+    for _ in texts:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    if limit is None:
+        assert kept - {None} == set(root.values())
+    else:
+        assert {root[i] for i in kept - {None}} == set(root.values())
+    whole = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert not [p for p in near if {x.doc_id for x in whole.collect()} >= set(p)]
+
+
 def test_empty(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")
     for name, stage in corpus_pipeline.STAGES:
