@@ -56,14 +56,17 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame, terms: int = 10) -> Da
 
 
 def hybrid(chunks: DataFrame, queries: DataFrame, n: int = 25, tags: list[str] | None = None) -> DataFrame:
-    """query_id, chunk_id, distance, lexical_score, path, ordinal: vector hits, then lexical hits of other contents."""
+    """query_id, chunk_id, distance, lexical_score, path, ordinal: vector hits, then lexical hits of other contents.
+
+    Chunks without an embedding are found by their words; their distance is null and comes last.
+    """
     if tags:
         chunks = chunks.where(F.arrays_overlap("tags", X.literals(tags)))
-    near = vector_top(chunks, queries, n)
+    near = vector_top(chunks.where("embedding is not null"), queries, n)
     wanted = queries.withColumnRenamed("embedding", "wanted")
     said = lexical_scores(chunks, queries).join(chunks.select("chunk_id", "embedding"), "chunk_id").join(wanted.select("query_id", "wanted"), "query_id")
     said = said.select("query_id", "chunk_id", "lexical_score", S.l2(F.col("embedding"), F.col("wanted")).alias("distance"))
-    said = top(said, max(10 * n, 200), F.col("lexical_score").desc(), F.col("distance"), F.col("chunk_id"))
+    said = top(said, max(10 * n, 200), F.col("lexical_score").desc(), F.col("distance").asc_nulls_last(), F.col("chunk_id"))
     both = near.select("query_id", "chunk_id", "distance", F.lit(0).alias("lexical_score"), F.lit("vector").alias("path"), F.lit(0).alias("p"), "rank").unionByName(
         said.select("query_id", "chunk_id", "distance", "lexical_score", F.lit("lexical").alias("path"), F.lit(1).alias("p"), "rank")
     )

@@ -36,9 +36,10 @@ def query(sql: str | None = None):
 # How the driver's tables stand for the engine's: documents are chunks, benchmark items with an id divisible by 50 are queries.
 
 
-def chunk_table(t) -> DataFrame:
+def chunk_table(t, how: str = "inner") -> DataFrame:
+    """Documents with a vector, as the SQL has them; with ``how`` left all documents, embedding null where there is none."""
     vectors = t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    rows = t("documents").join(vectors, "doc_id")
+    rows = t("documents").join(vectors, "doc_id", how)
     return rows.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source", F.array("lang").alias("tags"), F.concat(F.lit('{"source": "'), F.col("source"), F.lit('", "lang": "'), F.col("lang"), F.lit('"}')).alias("metadata"), "embedding")
 
 
@@ -172,11 +173,23 @@ def q_lexical_score(t):
     return search.lexical_scores(chunk_table(t), query_table(t))
 
 
+@query()
+def q_lexical_score_all(t):
+    """q_lexical_score over all documents, with or without a vector."""
+    return search.lexical_scores(chunk_table(t, "left"), query_table(t))
+
+
 @query(f"WITH {HYBRID_SQL} SELECT query_id, chunk_id, round(distance, 4) AS distance, CAST(lexical_score AS INT) AS lexical_score, path, CAST(ordinal AS INT) AS ordinal FROM hybrid")
 def q_hybrid_union(t):
     return search.hybrid(chunk_table(t), query_table(t)).select("query_id", "chunk_id", F.round("distance", 4).alias("distance"), "lexical_score", "path", "ordinal")
 
 
+@query()
+def q_hybrid_union_all(t):
+    """q_hybrid_union over all documents, with or without a vector."""
+    return search.hybrid(chunk_table(t, "left"), query_table(t)).select("query_id", "chunk_id", F.round("distance", 4).alias("distance"), "lexical_score", "path", "ordinal")
+
+
 @query(f"WITH {RERANK_SQL} SELECT query_id, chunk_id, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM ranked")
 def q_rerank(t):
     chunks, queries = chunk_table(t), query_table(t)

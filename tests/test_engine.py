@@ -129,3 +129,11 @@ def test_golden(spark):
     judged = telemetry.golden(tests, results)
     assert {r.query_id: (r.passed, r.missing) for r in judged.collect()} == {1: (True, []), 2: (False, ["graph"])}
     assert telemetry.pass_counts(judged).first() == (2, 1, 1)
+
+
+def test_chunks_without_a_vector_are_found(spark):
+    rows = [(1, "alpha beta", [0.0, 1.0]), (2, "alpha gamma", [5.0, 5.0]), (3, "alpha delta", None), (4, "nothing", [9.0, 9.0])]
+    chunks = spark.createDataFrame([(i, c, "s", ["en"], "{}", e) for i, c, e in rows], "chunk_id long, content string, source string, tags array<string>, metadata string, embedding array<double>")
+    queries = spark.createDataFrame([(7, "alpha", [0.0, 0.0])], "query_id long, query string, embedding array<double>")
+    got = [(r.chunk_id, r.path, r.distance is None) for r in search.hybrid(chunks, queries, 1).orderBy("ordinal").collect()]
+    assert got == [(1, "vector", False), (2, "lexical", False), (3, "lexical", True)]
