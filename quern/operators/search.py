@@ -142,16 +142,17 @@ def cosine_reranked(hits: DataFrame, n: int = 6, spread: float = 0.02) -> DataFr
     return top(rows, n, F.col("key"), F.col("ordinal")).drop("key")
 
 
-def evidence(chunks: DataFrame, wanted: DataFrame, used: DataFrame | None = None, n: int = 6, most: int = 500) -> DataFrame:
+def evidence(chunks: DataFrame, wanted: DataFrame, used: DataFrame | None = None, n: int = 6, most: int | None = 500) -> DataFrame:
     """query_id, chunk_id, content, source, hits, rank: of the chunks of wanted sources the best by terms, one for each source.
 
-    wanted: query_id, source, terms. Of each query's chunks the first ``most`` by chunk_id are looked at. ``used``: (query_id, content) to leave out.
+    wanted: query_id, source, terms. Of each query's chunks the first ``most`` by chunk_id are looked at, or all if None. ``used``: (query_id, content) to leave out.
     """
     rows = chunks.select("chunk_id", "content", "source").join(wanted.distinct(), "source")
-    rows = top(rows, most, F.col("chunk_id"))
+    if most is not None:
+        rows = top(rows, most, F.col("chunk_id")).drop("rank")
     if used is not None:
         rows = rows.withColumn("h", F.md5("content")).join(used.select("query_id", F.md5("content").alias("h")).distinct(), ["query_id", "h"], "left_anti").drop("h")
-    rows = rows.withColumn("hits", S.evidence_hits(F.col("content"), F.col("terms"))).where("hits > 0").drop("terms", "rank")
+    rows = rows.withColumn("hits", S.evidence_hits(F.col("content"), F.col("terms"))).where("hits > 0").drop("terms")
     best = Window.partitionBy("query_id", "source").orderBy(F.col("hits").desc(), "chunk_id")
     rows = rows.withColumn("b", F.row_number().over(best)).where("b = 1").drop("b")
     return top(rows, n, F.col("hits").desc(), F.col("chunk_id"))

@@ -318,6 +318,15 @@ def q_evidence(t):
     return search.evidence(chunks, wanted).select("query_id", "chunk_id", "source", "hits", "rank")
 
 
+@query()
+def q_evidence_all(t):
+    """q_evidence over all chunks of all documents: no vector is needed, and no 500 chunks are the first."""
+    chunks = chunk_table(t, "left")
+    asked = query_table(t).select("query_id", X.evidence_terms(F.col("query")).alias("terms"))
+    wanted = chunks.select("source").distinct().crossJoin(F.broadcast(asked))
+    return search.evidence(chunks, wanted, most=None).select("query_id", "chunk_id", "source", "hits", "rank")
+
+
 def candidate_table(t) -> DataFrame:
     """The vector and the lexical path (as evidence) of each query."""
     rows = search.hybrid(chunk_table(t), query_table(t)).join(t("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source"), "chunk_id")

@@ -137,3 +137,10 @@ def test_chunks_without_a_vector_are_found(spark):
     queries = spark.createDataFrame([(7, "alpha", [0.0, 0.0])], "query_id long, query string, embedding array<double>")
     got = [(r.chunk_id, r.path, r.distance is None) for r in search.hybrid(chunks, queries, 1).orderBy("ordinal").collect()]
     assert got == [(1, "vector", False), (2, "lexical", False), (3, "lexical", True)]
+
+
+def test_evidence_beyond_the_first_chunks(spark):
+    chunks = spark.createDataFrame([(i, "the needle" if i == 600 else "hay", f"s{i % 2}") for i in range(700)], "chunk_id long, content string, source string")
+    wanted = spark.createDataFrame([(1, "s0", ["needle"]), (1, "s1", ["needle"])], "query_id long, source string, terms array<string>")
+    assert search.evidence(chunks, wanted).count() == 0
+    assert [(r.chunk_id, r.hits, r.rank) for r in search.evidence(chunks, wanted, most=None).collect()] == [(600, 1, 1)]
