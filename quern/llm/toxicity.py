@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -132,30 +133,28 @@ def sample_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fe
     return [(r.toxic, np.frombuffer(bytes(r.parts), np.int64), r.terms) for r in sorted(got, key=lambda r: (r.doc_id, bytes(r.parts)))]
 
 
-def swaps(rows: list[tuple[int, np.ndarray, list[str]]], columns: np.ndarray, most: int = 4000) -> np.ndarray:
-    """Changes of the feature vector: terms swapped in labelled texts, and a neutral mention in texts without one."""
+def swaps(rows: list[tuple[int, np.ndarray, list[str]]], columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different changes of the feature vector, and how often each occurs: terms swapped in labelled texts, and a neutral mention in texts without one."""
     place = {int(h): i for i, h in enumerate(columns)}
     vector = {t: [place[h] for h in map(hashed, parts_of(t)) if h in place] for line in IDENTITY for t in line}
-    out = []
+    times = Counter(term for _, _, terms in rows for term in terms)
+    out, often = [], []
 
-    def change(gone: str | None, come: str) -> None:
+    def change(gone: str | None, come: str, n: int) -> None:
         d = np.zeros(len(columns), np.float32)
         d[vector[come]] += 1
         if gone:
             d[vector[gone]] -= 1
         out.append(d)
+        often.append(n)
 
-    for _, _, terms in rows:
-        for term in terms:
-            for line in IDENTITY:
-                if term in line and len(out) < most:
-                    for other in line:
-                        if other != term:
-                            change(term, other)
     for line in IDENTITY:
         for term in line:
-            change(None, term)
-    return np.array(out)
+            for other in line if times[term] else ():
+                if other != term:
+                    change(term, other, times[term])
+            change(None, term, 1)
+    return np.array(out), np.array(often, np.float32)
 
 
 def fitted(rows: list[tuple[int, np.ndarray, list[str]]], ridge: float = 0.02, fairness: float = 5.0, steps: int = 300) -> Model:
@@ -167,13 +166,14 @@ def fitted(rows: list[tuple[int, np.ndarray, list[str]]], ridge: float = 0.02, f
     for i, (_, parts, _) in enumerate(rows):
         x[i, np.isin(columns, parts, assume_unique=True)] = 1
     y = np.array([r[0] for r in rows], np.float32)
-    d = swaps(rows, columns)
+    d, often = swaps(rows, columns)
+    often /= often.sum()
     w, b = np.zeros(len(columns), np.float32), float(np.log(y.mean() / (1 - y.mean())))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
         e = (p - y) / len(y)
-        gw = x.T @ e + ridge * w / len(columns) + 2 * fairness * (d.T @ (d @ w)) / len(d)
+        gw = x.T @ e + ridge * w / len(columns) + 2 * fairness * (d.T @ (often * (d @ w)))
         gb = float(e.sum())
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb

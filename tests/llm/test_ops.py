@@ -544,3 +544,14 @@ def test_token_counts_fields(spark):
     with pytest.raises(ValueError):
         token_counts.attributed(docs, TIK, "none")
     assert token_counts.attributed(docs.where("false"), TIK).count() == 0
+
+
+def test_toxicity_counts_every_swap():
+    """Mentions in the last of many rows count, and equal changes are one row with their number."""
+    first, last = (next(t for t in line if len(line) > 1) for line in (toxicity.IDENTITY[0], toxicity.IDENTITY[-1]))
+    line = lambda t: next(x for x in toxicity.IDENTITY if t in x)
+    rows = [(0, np.zeros(0, np.int64), [first])] * 6000 + [(1, np.zeros(0, np.int64), [last])] * 3
+    changes, often = toxicity.swaps(rows, toxicity.identity_features())
+    swapped = 6000 * (len(line(first)) - 1) + 3 * (len(line(last)) - 1)
+    assert first != last and len(changes) == len(often) and often.sum() == swapped + sum(map(len, toxicity.IDENTITY))
+    assert sorted(often)[-(len(line(first)) - 1) :] == [6000] * (len(line(first)) - 1) and (often == 3).sum() == len(line(last)) - 1
