@@ -48,7 +48,8 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def arrow_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Small Arrow batches, as a row may hold a long text; and workers that find this package."""
+def arrow_batches(spark: SparkSession, rows: int = 500, size: int = 16 << 20) -> None:
+    """Arrow batches of at most ``rows`` rows and about ``size`` bytes, as a row may hold a long text; and workers that find this package."""
     share_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

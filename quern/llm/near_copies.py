@@ -1,13 +1,16 @@
 """Near copies by word shingles: MinHash bands find pairs, their exact Jaccard similarity decides.
 
-A text's signature has ``HASHES`` minima of its five-word shingles. Two texts meet under a key if all minima of one of the bands agree: at
-similarity 0.8 that is missed by (1 - 0.8^4)^20, 3 pairs in 100,000. Pairs that meet are verified on the shingles themselves.
+A text's signature has ``HASHES`` minima of its five-word shingles. Texts meet under a key if all minima of one of the bands agree: at
+similarity 0.8 a pair is missed by (1 - 0.8^4)^20, 3 in 100,000. Under each key all are compared with the text of smallest id only, so
+there are fewer pairs than keys. What is like it goes; the others meet anew without it, round by round. From round ``PLAIN`` on their
+keys are refined by the minima in another order, which soon parts those that aren't alike (and misses another 3 in 100 of similar pairs
+that no round before has compared). Pairs whose signatures agree in under ``HOPE`` of the minima aren't looked at: at similarity
+0.8 that is 4.5 standard deviations off. Only the texts of pairs are shuffled, as hashes of their shingles, once.
 
-A key under which more than ``LIMIT`` texts meet isn't compared all with all: its texts are first compared with the one of smallest
-id, which removes a large group of copies at once; what is left gets finer keys, by the same rule in another order of the minima.
+So every document that goes is similar to one of smaller id, and no two that stay are similar, but for those misses.
 
 Defined cases: null, empty or blank text: no shingles, always kept; fewer words than a shingle: one shingle of all words; rows without an
-id: kept; extra columns: kept; empty table: empty result. Ids that aren't null have to be different.
+id: kept; extra columns: kept; empty table: empty result; different texts under one id: their rows stay, as an id has to name one text.
 """
 
 from __future__ import annotations
@@ -20,15 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .simhash import CHUNK, SEED, components
+from .common import maybe_broadcast, stored
+from .simhash import CHUNK, SEED
 
 WORDS = 5
 SIMILAR = 0.8
 BAND, BANDS = 4, 20
 HASHES = BAND * BANDS
-LIMIT = 64
-STEPS = 3
+HOPE = 0.6
+PLAIN = 3
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, HASHES), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -55,7 +58,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t, words) for t in b.column(1).to_pylist()]
+            sets = [shingles(t.as_py(), words) for t in b.column(1)]
             keep = [i for i, s in enumerate(sets) if len(s)]
             sigs = pa.array([signature(sets[i]) for i in keep], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), sigs], ["doc_id", "sig"])
@@ -63,52 +66,72 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sig array<int>")
 
 
-def keyed(rows: DataFrame, step: int) -> DataFrame:
-    """(key, doc_id) for each band; later steps take the minima in another order and refine the key that rows have."""
-    order = np.random.default_rng(step).permutation(HASHES) if step else np.arange(HASHES)
-    before = [F.col("key")] if step else []
+def hashed(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, set): the hashes of a text's shingles, sorted, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), words).tobytes() for t in b.column(1)], pa.binary())], ["doc_id", "set"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, set binary")
+
+
+def keyed(rows: DataFrame, order: np.ndarray, finer: bool) -> DataFrame:
+    """(key, doc_id) for each band of the minima in that order; if ``finer``, within the key that rows have."""
+    before = [F.col("key")] if finer else []
     bands = [F.xxhash64(*before, F.lit(j), *[F.get("sig", int(i)) for i in order[j * BAND : (j + 1) * BAND]]) for j in range(BANDS)]
-    return rows.select(F.explode(F.array(*bands)).alias("key"), "doc_id")
+    return rows.select(F.explode(F.array(*bands)).alias("key"), "doc_id").distinct() if finer else rows.select(F.explode(F.array(*bands)).alias("key"), "doc_id")
 
 
-def similar(pairs: DataFrame, docs: DataFrame, words: int = WORDS, least: float = SIMILAR) -> DataFrame:
-    """The pairs (a, b) whose texts have a Jaccard similarity of at least ``least``."""
+def similar(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """The pairs (a, b) whose shingles (doc_id, set) have a Jaccard similarity of at least ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good, one, of = [], None, None
-            for i, (a, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                one, of = (one, of) if a == of else (shingles(x, words), a)
-                other = shingles(y, words)
-                both = len(np.intersect1d(one, other, assume_unique=True))
-                if both >= least * (len(one) + len(other) - both) - 1e-9:
+            good = []
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= least * (len(x) + len(y) - both) - 1e-9:
                     good.append(i)
             yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
 
-    text = lambda i, t: docs.select(F.col("doc_id").cast("long").alias(i), F.col("text").alias(t))
-    return pairs.join(text("a", "x"), "a").join(text("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    of = lambda i, s: sets.select(F.col("doc_id").alias(i), F.col("set").alias(s))
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS, least: float = SIMILAR, limit: int = LIMIT) -> DataFrame:
-    """docs, all columns, without those that are near copies of one of smaller id, directly or by way of others."""
+def one_of_each(docs: DataFrame, words: int = WORDS, least: float = SIMILAR) -> DataFrame:
+    """docs, all columns, without the near copies of documents of smaller id."""
     sigs = stored(signatures(docs, words), "near-signatures")
-    rows, gone = sigs, None
-    for step in range(STEPS):
-        keys = stored(keyed(rows, step), "near-keys")
-        groups = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("a")).where("n > 1")
-        met = stored(keys.join(groups, "key"), "near-met")
-        large = F.col("n") > limit
-        # At the last step all are compared with all, however many still share a key.
-        few = met if step == STEPS - 1 else met.where(~large)
-        ids = few.groupBy("key").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-        firsts = ids.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b"))
-        star = met.where(large & (F.col("a") != F.col("doc_id"))).select("a", F.col("doc_id").alias("b"))
-        edges = stored(similar(firsts.unionByName(star).distinct(), docs, words, least), "near-edges")
-        nodes = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct().withColumn("root", F.col("fp"))
-        out = components(nodes, edges).where("fp <> label").select(F.col("fp").alias("doc_id"))
-        gone = stored(out if gone is None else gone.unionByName(out), "near-gone")
-        late = met.where(large).join(gone, "doc_id", "left_anti")
-        if step == STEPS - 1 or late.isEmpty():
+    # An id that several rows have names no single text.
+    sigs = sigs.join(sigs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 1").select("doc_id"), "doc_id", "left_semi") if not sigs.groupBy("doc_id").count().where("count > 1").isEmpty() else sigs
+    agree = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, z: n + z)
+    rows = keyed(sigs, np.arange(HASHES), False)
+    many = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("a")).where("n > 1").drop("n")
+    rows = stored(rows.join(many, "key").select("key", "doc_id"), "near-keys")
+    sets, gone, compared, step = None, None, None, 0
+    while True:
+        heads = rows.groupBy("key").agg(F.min("doc_id").alias("a"))
+        met = stored(rows.join(heads, "key").where("a <> doc_id").select("key", "a", F.col("doc_id").alias("b")), "near-met")
+        if met.isEmpty():
             break
-        rows = late.select("key", "doc_id").join(sigs, "doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti")
+        pairs = met.select("a", "b").distinct()
+        pairs = pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti")
+        one = lambda i, s: sigs.select(F.col("doc_id").alias(i), F.col("sig").alias(s))
+        pairs = stored(pairs.join(one("a", "x"), "a").join(one("b", "y"), "b").select("a", "b", (agree("x", "y") >= HOPE * HASHES).alias("hope")), "near-pairs")
+        hope = pairs.where("hope").select("a", "b")
+        wanted = hope.select(F.col("a").alias("doc_id")).union(hope.select("b")).distinct()
+        wanted = wanted if sets is None else wanted.join(sets, "doc_id", "left_anti")
+        wanted = stored(wanted, "near-wanted")
+        few = hashed(docs.join(maybe_broadcast(wanted.withColumnRenamed("doc_id", "__id")), F.col("doc_id").cast("long") == F.col("__id"), "left_semi"), words)
+        few = stored(few, "near-sets")
+        sets = few if sets is None else sets.unionByName(few)
+        found = stored(similar(hope, sets, least).select(F.col("b").alias("doc_id")).distinct(), "near-gone")
+        gone = found if gone is None else gone.unionByName(found)
+        compared = pairs.select("a", "b") if compared is None else compared.unionByName(pairs.select("a", "b"))
+        step += 1
+        rest = met.select("key", F.col("b").alias("doc_id")).join(gone.distinct(), "doc_id", "left_anti")
+        if step >= PLAIN:
+            rest = keyed(rest.join(sigs, "doc_id"), np.random.default_rng(step).permutation(HASHES), True)
+        rows = stored(rest, "near-keys")
+    return docs if gone is None else docs.join(maybe_broadcast(stored(gone.distinct(), "near-all").withColumnRenamed("doc_id", "__gone")), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")

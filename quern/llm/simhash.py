@@ -11,7 +11,7 @@ share a key, so every comparison is bounded and no link is lost.
 
 Defined cases: null or empty text: fingerprint zero, which links like any other; null doc_id: it takes
 part, but is never a component_id while a row with an id is reachable; repeated rows: kept, each
-with the same result; extra columns: ignored; empty table: empty result.
+with the same result (one_of_each keeps one); extra columns: ignored; empty table: empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from .common import maybe_broadcast, stored
 BITS = 3
 SEED = 42
 LIMIT = 2048
+#: A fingerprint of more rows than this, and than this part of all rows, is joined by broadcast: LARGE of them at most.
+LARGE = 1000
 CHUNK = 1 << 15
 
 
@@ -52,14 +54,19 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp): fp is the fingerprint as a signed long; text_hash tells texts under one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+
+
+def text_hash():
+    return F.xxhash64("text").alias("text_hash")
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -222,23 +229,44 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         label = new.select("fp", "root", "label")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of each row of docs (doc_id, text)."""
-    all_fps = stored(fingerprints(docs, words), "simhash-fps")
-    nodes = stored(all_fps.groupBy("fp").agg(F.min("doc_id").alias("root")), "simhash-nodes")
+def labelled(nodes: DataFrame, limit: int) -> DataFrame:
+    """(fp, component_id): the smallest root reachable, of every node (fp, root)."""
     label = components(nodes, links(nodes.select("fp"), limit))
-    root = nodes.join(label, "fp", "left").select("fp", F.least("root", "label").alias("component_id"))
-    return all_fps.join(root, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    return nodes.join(label, "fp", "left").select("fp", F.least("root", "label").alias("component_id"))
+
 
+def near_duplicates(docs: DataFrame, words: int = 3, limit: int = LIMIT) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of each row of docs (doc_id, text).
 
-def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs, all columns, with only the document of smallest id of each component. Rows without an id are kept."""
-    got = stored(near_duplicates(docs, words).select("doc_id", "component_id"), "simhash-result")
-    first = got.where("doc_id = component_id").select(F.col("doc_id").alias("__first"))
-    n, different = first.agg(F.count("__first"), F.count_distinct("__first")).first()
-    kept = docs.join(maybe_broadcast(first.distinct(), different), F.col("doc_id") == F.col("__first"), "left_semi")
-    # A repeated id is repeated rows or different texts under one id: one row stays.
-    kept = kept if n == different else kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    Fingerprints that a large group of copies shares are few, and are joined by broadcast, so no task gets all rows of one.
+    """
+    all_fps = stored(fingerprints(docs, words).drop("text_hash"), "simhash-fps")
+    sized = stored(all_fps.groupBy("fp").agg(F.min("doc_id").alias("root"), F.count("*").alias("n")), "simhash-nodes")
+    root = stored(labelled(sized.select("fp", "root"), limit).join(sized.select("fp", "n"), "fp"), "simhash-roots")
+    large = F.broadcast(root.where(F.col("n") > max(LARGE, (sized.agg(F.sum("n")).first()[0] or 0) // LARGE)).drop("n"))
+    rows = all_fps.join(large, "fp").unionByName(all_fps.join(large, "fp", "left_anti").join(root.drop("n"), "fp"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 3, limit: int = LIMIT) -> DataFrame:
+    """docs, all columns, with one row of each component: that of smallest doc_id (null last), then smallest hash of its text.
+
+    Rows equal in id and text are one row. Different texts under one id are different documents. The choice is made among fingerprints:
+    copies are aggregated before and after the shuffle, and no rows meet by component.
+    """
+    all_fps = stored(fingerprints(docs, words), "simhash-fps")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "text_hash")
+    first = stored(all_fps.groupBy("fp").agg(F.min(row).alias("first")), "simhash-nodes")
+    # A node's root is a fingerprint here: ids may be missing or repeated.
+    of = labelled(first.select("fp", F.col("fp").alias("root")), limit)
+    chosen = first.join(of, "fp").groupBy("component_id").agg(F.min("first").alias("first"))
+    chosen = stored(chosen.select(F.col("first.id").alias("__own_id"), F.col("first.text_hash").alias("__own_hash")), "simhash-chosen")
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": text_hash()})
+    same = F.col("__id").eqNullSafe(F.col("__own_id")) & (F.col("__hash") == F.col("__own_hash"))
+    kept = rows.join(maybe_broadcast(chosen), same, "left_semi")
+    # Rows equal in id and text: none in a table with a key, else one of them stays.
+    twice = stored(all_fps.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__own_id"), F.col("text_hash").alias("__own_hash")), "simhash-twice")
+    if not twice.isEmpty():
+        again = kept.join(maybe_broadcast(twice), same, "left_semi").dropDuplicates(["__id", "__hash"])
+        kept = kept.join(maybe_broadcast(twice), same, "left_anti").unionByName(again)
+    return kept.select(*docs.columns)

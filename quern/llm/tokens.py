@@ -21,7 +21,9 @@ PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]
 CAPITALS = "".join(chr(i) for i in range(0x250) if max(chr(i).lower()) >= "\u0250")
 #: What the rule above doesn't cover: other characters, white space only to Python, and special tokens.
 BEYOND = rf"[\x1c-\x1f{CAPITALS}\u0250-\U0010ffff]|<\|"
-KEEP = 400_000
+#: Bytes of words and ids that a memo holds at most, with what Python adds to each.
+KEEP_BYTES = 32 << 20
+OVERHEAD = 200
 
 
 def byte_letters() -> dict[int, str]:
@@ -64,20 +66,26 @@ class WordEncoder:
             return self.all(text)
         else:
             raw = b"".join(map(self.words.__getitem__, text.split()))
-        got = np.frombuffer(raw, "<u4")
-        for memo in (self.words, self.parts):
-            if len(memo) > KEEP:
-                memo.clear()
-        return got
+        return np.frombuffer(raw, "<u4")
 
 
 class _Memo(dict):
+    """Starts anew when it holds too many bytes. A word that is long itself isn't kept."""
+
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.size = make, 0
 
     def __missing__(self, key: str) -> bytes:
-        self[key] = value = self.make(key)
+        value = self.make(key)
+        size = 4 * len(key) + len(value) + OVERHEAD
+        if size > KEEP_BYTES >> 6:
+            return value
+        if self.size + size > KEEP_BYTES:
+            self.clear()
+            self.size = 0
+        self[key] = value
+        self.size += size
         return value
 
 

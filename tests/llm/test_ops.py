@@ -213,14 +213,29 @@ def test_simhash_puts_off_the_rest_of_a_key(spark, left):
 
 
 def test_simhash_keeps_one_of_each(spark, odd_rows):
-    docs = table(spark, odd_rows)
+    """One row of each component; of rows of one id with unlike texts all stay, of rows equal in id and text one."""
+    rows = [*odd_rows, (7, "another text under the same id as two others", "a"), (None, "no id here", "z"), (90, "no id here", "z")]
+    docs = table(spark, rows)
     kept = simhash.one_of_each(docs)
-    ids = [r.doc_id for r in kept.collect()]
-    assert kept.columns == docs.columns and ids.count(None) == 2 and len(set(ids)) == len(ids) - 1
-    assert 10 in ids and 30 not in ids and 1 in ids and 2 not in ids and ids.count(7) == 1
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    by, best = groups({slow_fingerprint(t) for _, t, _ in rows}), {}
+    for i, t, _ in rows:
+        key = (i is None, i or 0)
+        root = by[slow_fingerprint(t)]
+        best[root] = min(best.get(root, (key, t or "")), (key, t or ""), key=lambda x: x[0])
+    assert kept.columns == docs.columns and sorted((i is None, i or 0) for i, _ in got) == sorted(k for k, _ in best.values())
+    assert {t for i, t in got if i == 7} == {"same", "another text under the same id as two others"} and (90, "no id here") in got
     assert simhash.one_of_each(docs.where("false")).count() == 0
 
 
+def test_simhash_hot_copies(spark, monkeypatch):
+    """A text that most rows share is joined by broadcast."""
+    monkeypatch.setattr(simhash, "LARGE", 3)
+    rows = [(i, "the same words in all of these rows" if i % 3 else f"{lines(i, 1)[0]} x", "s") for i in range(60)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, rows)).collect()}
+    assert len(got) == 60 and {got[i] for i in range(60) if i % 3} == {1}
+
+
 # 4 chat
 
 
@@ -403,6 +418,28 @@ def test_mixture_follows_shares():
     assert np.abs(so_far - ideal).max() <= 2 * packing.GRAIN
 
 
+@pytest.mark.parametrize("lane", [4096, 20_000, packing.LANE])
+def test_packing_follows_target_shares(spark, lane):
+    """Two sources of equal size at 0.9 and 0.1: every window has that mixture within a grain or two until the first source ends."""
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(150)), f"src{i % 2}") for i in range(240)] + [(1000, "tiny", "rare"), (1001, None, None)]
+    got = packing.pack(table(spark, rows), BPE, shares={"src0": 0.9, "src1": 0.1, "absent": 0.5}, lane=lane).toPandas()
+    size = got.groupby("source").length.sum()
+    whole = got.groupby("sequence_id").length.sum()
+    mine = got[got.source == "src0"].groupby("sequence_id").length.sum().reindex(whole.index, fill_value=0)
+    ends = int(size["src0"] / 0.9 / lane) if lane < packing.LANE else 0  # the lane in which it ends
+    early = [s for s in whole.index if whole[s] == 2048 and (s >> 24 < ends if ends else s < int(size["src0"] / 0.9) // 2048)]
+    assert len(early) > 5 and all(abs(mine[s] - 0.9 * 2048) <= 2 * packing.GRAIN for s in early)
+    late = [s for s in whole.index if s >> 24 > ends + 1]
+    assert sum(mine[s] for s in late) == 0
+    assert got.length.sum() == got[got.start == 0].doc_tokens.sum() and len(got[got.start == 0]) == len(rows)
+
+
+def test_packing_phases():
+    line = packing.phases({"a": 900, "b": 900, "c": 100}, {"a": 0.9, "b": 0.1})
+    assert [round(n) for n, _ in line] == [1000, 800, 100] and line[0][1] == {"a": 0.9, "b": 0.1, "c": 0.0} and line[1][1]["b"] == 1.0 and line[2][1] == {"c": 1.0}
+    assert packing.phases({}, {}) == []
+
+
 # 8 winnowing
 
 
@@ -463,12 +500,12 @@ def test_winnowing_guarantee():
 # 9 toxicity
 
 
-def labelled(n=400):
+def labelled(n=400, explicit=1.0):
     r, rows = random.Random(9), []
     for i in range(n):
         bad = i % 4 == 0
         words = [f"w{r.randrange(200)}"[:1] + "abcdefgh"[r.randrange(8)] * 2 + "xyz"[r.randrange(3)] for _ in range(30)]
-        if bad:
+        if bad and r.random() < explicit:
             words.insert(5, r.choice(["idiotic", "scumbag"]))
         if r.random() < (0.9 if bad else 0.1):  # biased labels: the group is mostly named in toxic texts
             words.insert(9, "muslims")
@@ -477,16 +514,54 @@ def labelled(n=400):
 
 
 def test_toxicity_learns_and_is_fair(spark):
-    rows = labelled()
+    """On rows that weren't fitted on: toxic ones are found, and neutral mentions aren't flagged, which they are without the penalty."""
+    rows = labelled(900)
     docs, labels = table(spark, [(i, t, "s") for i, t, _ in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
-    sample = toxicity.sample_features(docs, labels)
+    sample = toxicity.sample_features(docs, labels.where(~toxicity.held_out()))
     fair, plain = toxicity.fitted(sample), toxicity.fitted(sample, fairness=0.0)
     change = lambda m: m.raw("we met muslims there") - m.raw("we met people there")
     assert change(plain) > 1 and abs(change(fair)) < 0.25 * change(plain)
     assert fair.score("we met muslims there") < 0.5 and fair.score("you idiotic fool") > 0.7
-    got = toxicity.scores(docs, fair).collect()
-    held = [r for r, (i, _, y) in zip(sorted(got, key=lambda r: r.doc_id), rows)]
-    assert sum(r.predicted == y for r, (_, _, y) in zip(held, rows)) / len(rows) > 0.98
+    held = docs.join(labels, "doc_id").where(toxicity.held_out())
+    got = toxicity.scores(held, fair).select("predicted", "toxic").collect()
+    assert len(got) > 250 and sum(r.predicted == r.toxic for r in got) / len(got) > 0.97
+    assert toxicity.mention_report(held, fair).count() == sum(map(len, toxicity.IDENTITY))
+
+
+def test_toxicity_leaves_neutral_mentions_alone(spark):
+    """Where labels are mostly told by a group's name, held-out neutral mentions are flagged without the penalty, and aren't with it."""
+    rows = labelled(900, 0.3)
+    docs, labels = table(spark, [(i, t, "s") for i, t, _ in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    sample, held = toxicity.sample_features(docs, labels.where(~toxicity.held_out())), docs.join(labels, "doc_id").where(toxicity.held_out())
+    flagged = lambda m: next(r.flagged_with / r.n for r in toxicity.mention_report(held, m, 0.5).collect() if r.term == "muslims")
+    fair, plain = flagged(toxicity.fitted(sample)), flagged(toxicity.fitted(sample, fairness=0.0))
+    assert plain > 0.5 and fair < 0.1
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Scores by the formula, from the model's weights; features and swaps taken from the whole text by hand."""
+    rows = [*labelled(60), (900, "", 0), (901, None, 0), (902, "Muslims AND men, MUSLIMS again", 0)]
+    docs, labels = table(spark, [(i, t, "s") for i, t, _ in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.trained(docs, labels)
+    for r in toxicity.scores(docs, model).collect():
+        words = {w for w in "".join(c if c.isalpha() else " " for c in (r.text or "").lower()).split()}
+        feats = {zlib.crc32(p.encode()) for w in words for p in [w, *(w[:n] + "*" for n in (3, 4, 5) if len(w) > n)]}
+        raw = model.bias + sum(a for h, a in model.weights.items() if h in feats)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-9) and r.predicted == int(r.score >= 0.7)
+
+
+def test_toxicity_swaps_take_features_anew():
+    """What another word of the text still gives isn't lost; every swap counts, however many rows have it."""
+    crc = lambda *xs: sorted(zlib.crc32(x.encode()) for x in xs)
+    got = list(toxicity.changes({"women", "womenfolk"}))
+    assert got[0] == (crc("women"), crc("men")) and len(got) == 3
+    assert len(list(toxicity.changes({"nobody"}))) == sum(map(len, toxicity.IDENTITY))
+
+
+def test_toxicity_counts_every_swap(spark):
+    rows = [(i, "men at work" if i < 5000 else "elderly at work", "s") for i in range(5010)]
+    sample = toxicity.sample_features(table(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(5010)], "doc_id long, toxic int"))
+    assert sum(n for _, _, n in sample.swaps) == 5010 * 3 and sorted(n for _, _, n in sample.swaps) == [10] * 3 + [5000] * 3
 
 
 def test_toxicity_splits_and_edges(spark, odd_rows):
@@ -544,14 +619,3 @@ def test_token_counts_fields(spark):
     with pytest.raises(ValueError):
         token_counts.attributed(docs, TIK, "none")
     assert token_counts.attributed(docs.where("false"), TIK).count() == 0
-
-
-def test_toxicity_counts_every_swap():
-    """Mentions in the last of many rows count, and equal changes are one row with their number."""
-    first, last = (next(t for t in line if len(line) > 1) for line in (toxicity.IDENTITY[0], toxicity.IDENTITY[-1]))
-    line = lambda t: next(x for x in toxicity.IDENTITY if t in x)
-    rows = [(0, np.zeros(0, np.int64), [first])] * 6000 + [(1, np.zeros(0, np.int64), [last])] * 3
-    changes, often = toxicity.swaps(rows, toxicity.identity_features())
-    swapped = 6000 * (len(line(first)) - 1) + 3 * (len(line(last)) - 1)
-    assert first != last and len(changes) == len(often) and often.sum() == swapped + sum(map(len, toxicity.IDENTITY))
-    assert sorted(often)[-(len(line(first)) - 1) :] == [6000] * (len(line(first)) - 1) and (often == 3).sum() == len(line(last)) - 1
