@@ -1,68 +1,5 @@
-"""The corpus pipeline: toxicity, near-dedup, decontamination, secret scan, packing.
+"""The corpus pipeline: toxicity, near-dedup, decontamination, secret scan, packing. Its stages are in quern.llm.pipeline."""
 
-Every stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a DataFrame; all but the last return
-the columns of documents. run() writes each result as Parquet to the shared folder and reads it again for the next.
-"""
+from quern.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quern.llm import decontamination, near_copies, packing, secrets, simhash, toxicity
-from quern.llm.common import arrow_batches, stored
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.7 or more go. The model is fitted on the labelled documents that aren't held out."""
-    arrow_batches(spark)
-    model = toxicity.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.scores(docs, model, names=("__score", "__predicted"))
-    return scored.where("__predicted = 0").select(*docs.columns)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked, or that share 0.8 of their five-word shingles, the one of smallest id stays."""
-    arrow_batches(spark)
-    return near_copies.one_of_each(stored(simhash.one_of_each(docs), "pipeline-linked"))
-
-
-def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays. n_chars follows the text."""
-    from pyspark.sql import functions as F
-
-    clean = secrets.redacted(docs)
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return clean
-
-
-def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each piece of a document in a training sequence."""
-    arrow_batches(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("simhash", drop_near_copies),
-    ("decontamination", drop_leaks),
-    ("secrets", redact_secrets),
-    ("packing", pack_tokens),
-]
-
-#: The classifier, the forest and the tokenizer can't be expressed in SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
