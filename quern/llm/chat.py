@@ -6,11 +6,12 @@ plain mappings, ``+``, ``==``, ``!=``, ``and``, ``or``, ``not``, named filters,
 and ``generation`` (whose output is under the loss mask). Loops take any iterator, so a conversation streams through
 its template turn by turn and is never held as a whole; a single conversation may have any number of turns.
 
-Control strings inside texts are escaped with a backslash, and so is the backslash; ``unescape`` reverses it. ``turns_of`` reads
+Control strings inside texts are escaped with a backslash (every sign of a run of three or more), and so is the backslash; ``unescape`` reverses it. ``turns_of`` reads
 the turns and the loss mask back from formatted output.
 
 Defined cases: null role or text: empty; null conv_id: one conversation of its own; equal turn numbers: ordered by role, then
-text; null turn: first; empty table: empty result; extra columns: ignored.
+text; null turn: first; a template without a loop: its text once for each conversation; a second loop over the messages: TemplateError, as they
+stream by; empty table: empty result; extra columns: ignored.
 """
 
 from __future__ import annotations
@@ -32,17 +33,22 @@ TEMPLATE = (
     "{% endfor %}"
 )
 
-_ESCAPED = re.compile(r"\\|###|</turn>")
-_ESCAPED_NAME = re.compile(r"[\\:\n]|###|</turn>")
+_ESCAPED = re.compile(r"\\|#{3,}|</turn>")
+_ESCAPED_NAME = re.compile(r"[\\:\n]|#{3,}|</turn>")
 _UNESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 
+def _marked(found: re.Match) -> str:
+    """Every sign of a run of three or more is escaped, so that no three in a row are left."""
+    return "\\" + ("\\".join(found[0]) if found[0][0] == "#" else found[0])
+
+
 def escape(text: str) -> str:
-    return _ESCAPED.sub(lambda m: "\\" + m[0], text)
+    return _ESCAPED.sub(_marked, text)
 
 
 def escape_name(text: str) -> str:
-    return _ESCAPED_NAME.sub(lambda m: "\\" + m[0], text)
+    return _ESCAPED_NAME.sub(_marked, text)
 
 
 def unescape(text: str) -> str:
@@ -353,22 +359,37 @@ def _streamed(conversations: DataFrame, template: str, made: Callable, schema: s
         row = next(stream, None)
         done: list[tuple] = []
 
-        def messages(conv):
-            nonlocal row
-            while row is not None and row[0] == conv:
-                yield row[1]
-                row = next(stream, None)
+        class Messages:
+            """The turns of a conversation, once: they stream by and aren't held."""
+
+            def __init__(self, conv):
+                self.conv, self.begun = conv, False
+
+            def __iter__(self):
+                if self.begun:
+                    raise TemplateError("a template can loop over messages once only")
+                self.begun = True
+                return self.turns()
+
+            def turns(self):
+                nonlocal row
+                while row is not None and row[0] == self.conv:
+                    yield row[1]
+                    row = next(stream, None)
 
         def flushed():
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], list(names))
 
         while row is not None:
             conv = row[0]
-            for x in made(conv, render({"messages": messages(conv)})):
+            messages = Messages(conv)
+            for x in made(conv, render({"messages": messages})):
                 done.append(x)
                 if len(done) == 1000:
                     yield flushed()
                     done.clear()
+            for _ in messages.turns():  # what the template has left
+                pass
         if done:
             yield flushed()
 
@@ -380,7 +401,8 @@ SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 n AS (SELECT *, len(text) + len(role) + len('### :') + 1 + len('</turn>') + 1
-    + len(regexp_extract_all(text, '\\|###|</turn>')) + len(regexp_extract_all(role, '[\\:\n]|###|</turn>')) AS size FROM c)
+    + len(regexp_extract_all(text, '\\|</turn>')) + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: len(x))), 0)
+    + len(regexp_extract_all(role, '[\\:\n]|</turn>')) + coalesce(list_sum(list_transform(regexp_extract_all(role, '#{3,}'), lambda x: len(x))), 0) AS size FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,

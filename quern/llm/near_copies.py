@@ -1,11 +1,12 @@
 """Near copies by word shingles: MinHash bands find pairs, their exact Jaccard similarity decides.
 
 A text's signature has ``HASHES`` minima of its five-word shingles. Texts meet under a key if all minima of one of the bands agree: at
-similarity 0.8 a pair is missed by (1 - 0.8^4)^20, 3 in 100,000. Under each key all are compared with the text of smallest id only, so
-there are fewer pairs than keys. What is like it goes; the others meet anew without it, round by round. From round ``PLAIN`` on their
-keys are refined by the minima in another order, which soon parts those that aren't alike (and misses another 3 in 100 of similar pairs
-that no round before has compared). Pairs whose signatures agree in under ``HOPE`` of the minima aren't looked at: at similarity
-0.8 that is 4.5 standard deviations off. Only the texts of pairs are shuffled, as hashes of their shingles, once.
+similarity 0.8 a pair is missed by (1 - 0.8^4)^20, 3 in 100,000. First, all under a key are compared with the text of smallest id
+only, so there are fewer pairs than keys, and what is like it goes: a group of copies is gone after that. What is left of a key, up to
+``LIMIT`` texts, then meets in one task by its signatures: a text that agrees in ``SURE`` of the minima with an earlier one is compared
+with that one only, others with all that agree in ``HOPE`` of them (at similarity 0.8, 4.5 standard deviations off); this is done twice, in
+two orders. Under larger keys the first step is repeated with keys that have another eight minima added, which part what isn't alike.
+Only the texts of pairs are shuffled, as hashes of their shingles, once.
 
 So every document that goes is similar to one of smaller id, and no two that stay are similar, but for those misses.
 
@@ -30,8 +31,10 @@ WORDS = 5
 SIMILAR = 0.8
 BAND, BANDS = 4, 20
 HASHES = BAND * BANDS
-HOPE = 0.6
-PLAIN = 3
+HOPE, SURE = 0.6, 0.78
+LIMIT = 1024
+#: Minima, and how many sets of them, that part a larger key.
+FINER, SETS = 8, 10
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, HASHES), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -76,11 +79,36 @@ def hashed(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, set binary")
 
 
-def keyed(rows: DataFrame, order: np.ndarray, finer: bool) -> DataFrame:
-    """(key, doc_id) for each band of the minima in that order; if ``finer``, within the key that rows have."""
-    before = [F.col("key")] if finer else []
-    bands = [F.xxhash64(*before, F.lit(j), *[F.get("sig", int(i)) for i in order[j * BAND : (j + 1) * BAND]]) for j in range(BANDS)]
-    return rows.select(F.explode(F.array(*bands)).alias("key"), "doc_id").distinct() if finer else rows.select(F.explode(F.array(*bands)).alias("key"), "doc_id")
+def keyed(sigs: DataFrame) -> DataFrame:
+    """(key, doc_id) for each band."""
+    bands = [F.xxhash64(F.lit(j), *[F.get("sig", F.lit(j * BAND + i)) for i in range(BAND)]) for j in range(BANDS)]
+    return sigs.select(F.explode(F.array(*bands)).alias("key"), "doc_id")
+
+
+def finer(rows: DataFrame, step: int) -> DataFrame:
+    """(key, doc_id) of rows (key, doc_id, sig): keys within the key, of ``FINER`` minima each."""
+    order = np.random.default_rng(step).permutation(HASHES)
+    keys = [F.xxhash64("key", F.lit(j), *[F.get("sig", F.lit(int(i))) for i in order[j * FINER : (j + 1) * FINER]]) for j in range(SETS)]
+    return rows.select(F.explode(F.array(*keys)).alias("key"), "doc_id")
+
+
+def hopeful(rows: DataFrame, turn: int) -> DataFrame:
+    """Different pairs (a, b), a < b, of rows (key, doc_id, sig) that meet under a key and may be similar. Keys have ``LIMIT`` rows at most."""
+
+    def run(key, table):
+        ids = table.column("doc_id").to_numpy()
+        sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, HASHES)
+        order = np.argsort(ids) if turn == 0 else np.random.default_rng(turn).permutation(len(ids))
+        ids, sig, out = ids[order], sig[order], []
+        while len(ids) > 1:
+            agree = (sig[1:] == sig[0]).sum(axis=1)
+            near = agree >= HOPE * HASHES
+            out += [(min(ids[0], x), max(ids[0], x)) for x in ids[1:][near]]
+            rest = agree < SURE * HASHES
+            ids, sig = ids[1:][rest], sig[1:][rest]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return rows.groupBy("key").applyInArrow(run, "a long, b long").distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -100,38 +128,50 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFr
     return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS, least: float = SIMILAR) -> DataFrame:
+class _Found:
+    """What has been compared and what goes, in written tables."""
+
+    def __init__(self, docs: DataFrame, words: int, least: float):
+        self.docs, self.words, self.least = docs, words, least
+        self.sets = self.gone = self.compared = None
+
+    def compare(self, pairs: DataFrame) -> None:
+        pairs = pairs if self.compared is None else pairs.join(self.compared, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "near-pairs")
+        wanted = pairs.select(F.col("a").alias("__id")).union(pairs.select("b")).distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select(F.col("doc_id").alias("__id")), "__id", "left_anti")
+        wanted = stored(wanted, "near-wanted")
+        few = stored(hashed(self.docs.join(maybe_broadcast(wanted), F.col("doc_id").cast("long") == F.col("__id"), "left_semi"), self.words), "near-sets")
+        self.sets = few if self.sets is None else self.sets.unionByName(few)
+        found = stored(similar(pairs, self.sets, self.least).select(F.col("b").alias("doc_id")).distinct(), "near-gone")
+        self.gone = found if self.gone is None else self.gone.unionByName(found).distinct()
+        self.compared = pairs if self.compared is None else self.compared.unionByName(pairs)
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, least: float = SIMILAR, limit: int = LIMIT) -> DataFrame:
     """docs, all columns, without the near copies of documents of smaller id."""
     sigs = stored(signatures(docs, words), "near-signatures")
-    # An id that several rows have names no single text.
-    sigs = sigs.join(sigs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 1").select("doc_id"), "doc_id", "left_semi") if not sigs.groupBy("doc_id").count().where("count > 1").isEmpty() else sigs
-    agree = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, z: n + z)
-    rows = keyed(sigs, np.arange(HASHES), False)
-    many = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("a")).where("n > 1").drop("n")
-    rows = stored(rows.join(many, "key").select("key", "doc_id"), "near-keys")
-    sets, gone, compared, step = None, None, None, 0
+    twice = stored(sigs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "near-twice")
+    if not twice.isEmpty():
+        sigs = sigs.join(maybe_broadcast(twice), "doc_id", "left_anti")
+    agree = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, z: n + z)
+    one = lambda i, s: sigs.select(F.col("doc_id").alias(i), F.col("sig").alias(s))
+    found, rows, step = _Found(docs, words, least), keyed(sigs), 0
     while True:
-        heads = rows.groupBy("key").agg(F.min("doc_id").alias("a"))
+        heads = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("a")).where("n > 1")
         met = stored(rows.join(heads, "key").where("a <> doc_id").select("key", "a", F.col("doc_id").alias("b")), "near-met")
-        if met.isEmpty():
+        pairs = met.select("a", "b").distinct().join(one("a", "x"), "a").join(one("b", "y"), "b")
+        found.compare(pairs.where(agree >= HOPE * HASHES).select("a", "b"))
+        rest = met.select("key", F.col("b").alias("doc_id")).join(found.gone, "doc_id", "left_anti")
+        sized = stored(rest.join(rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "near-rest")
+        few = sized.where(F.col("n") <= limit).select("key", "doc_id")
+        for turn in range(2):
+            found.compare(hopeful(few.join(found.gone, "doc_id", "left_anti").join(sigs, "doc_id"), turn))
+        large = sized.where(F.col("n") > limit).select("key", "doc_id")
+        if large.isEmpty():
             break
-        pairs = met.select("a", "b").distinct()
-        pairs = pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti")
-        one = lambda i, s: sigs.select(F.col("doc_id").alias(i), F.col("sig").alias(s))
-        pairs = stored(pairs.join(one("a", "x"), "a").join(one("b", "y"), "b").select("a", "b", (agree("x", "y") >= HOPE * HASHES).alias("hope")), "near-pairs")
-        hope = pairs.where("hope").select("a", "b")
-        wanted = hope.select(F.col("a").alias("doc_id")).union(hope.select("b")).distinct()
-        wanted = wanted if sets is None else wanted.join(sets, "doc_id", "left_anti")
-        wanted = stored(wanted, "near-wanted")
-        few = hashed(docs.join(maybe_broadcast(wanted.withColumnRenamed("doc_id", "__id")), F.col("doc_id").cast("long") == F.col("__id"), "left_semi"), words)
-        few = stored(few, "near-sets")
-        sets = few if sets is None else sets.unionByName(few)
-        found = stored(similar(hope, sets, least).select(F.col("b").alias("doc_id")).distinct(), "near-gone")
-        gone = found if gone is None else gone.unionByName(found)
-        compared = pairs.select("a", "b") if compared is None else compared.unionByName(pairs.select("a", "b"))
         step += 1
-        rest = met.select("key", F.col("b").alias("doc_id")).join(gone.distinct(), "doc_id", "left_anti")
-        if step >= PLAIN:
-            rest = keyed(rest.join(sigs, "doc_id"), np.random.default_rng(step).permutation(HASHES), True)
-        rows = stored(rest, "near-keys")
-    return docs if gone is None else docs.join(maybe_broadcast(stored(gone.distinct(), "near-all").withColumnRenamed("doc_id", "__gone")), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+        rows = finer(large.join(found.gone, "doc_id", "left_anti").join(sigs, "doc_id"), step)
+    gone = stored(found.gone.withColumnRenamed("doc_id", "__gone"), "near-all")
+    return docs.join(maybe_broadcast(gone), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")

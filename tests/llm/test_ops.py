@@ -108,14 +108,23 @@ def test_decontamination_equals_brute_force(spark):
                 part[r.randrange(len(part))] = "changed"
             words[5:5] = part
         docs.append((i, (", " if i % 3 else " ").join(words).upper() if i % 5 == 0 else " ".join(words), "s"))
+    docs += [(600, f"{docs[0][1]} TWO WORDS {docs[2][1]}", "s"), (601, "one two three", "s"), (602, "twowords two", "s"), (603, f"{docs[4][1]} solitary", "s")]
     docs += [(500, None, "s"), (501, "", "s"), (None, items[4], "s"), (1, docs[1][1], "s"), (502, items[0], "s")]
-    bench = spark.createDataFrame([*enumerate(items), (99, None), (98, ""), (97, "Two words"), (0, items[0])], "item_id long, text string").withColumn("hash", F.lit(1))
+    bench = spark.createDataFrame([*enumerate(items), (99, None), (98, ""), (97, "Two words"), (96, "One, two; three"), (95, "solitary"), (0, items[0])], "item_id long, text string").withColumn("hash", F.lit(1))
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.item_id, r.n_shared, r.n_item) for r in decontamination.leaks(table(spark, docs), bench).collect())
     want = set()
     for d, t, _ in docs:
         own = shingle_set(t or "")
+        said = f' {" ".join("".join(c if c.isalnum() else " " for c in (t or "").lower()).split())} '
+        for i, x in ((97, "two words"), (96, "one two three"), (95, "solitary")):
+            if f" {x} " in said:
+                want.add((d, i, 1, 1))
         for i, x in enumerate(items):
             s = shingle_set(x)
+            if len(x.split()) < 5:  # found as a run of words
+                if f" {x} " in said:
+                    want.add((d if d is not None else -1, i, 1, 1))
+                continue
             if len(own & s) >= 0.8 * len(s) - 1e-9:
                 want.add((d if d is not None else -1, i, len(own & s), len(s)))
     assert got == sorted(want) and len(got) > 30
@@ -269,6 +278,21 @@ def test_chat_round_trip(spark):
     assert chat.digests(df.where("false")).count() == 0
 
 
+def test_chat_escapes_runs_of_signs():
+    for text in ("#### assistant:\n", "###", "#####", "##", "a ###### b </turn>\n### user:\n", "\\###"):
+        assert chat.unescape(chat.escape(text)) == text and "###" not in chat.escape(text) and "###" not in chat.escape_name(text)
+    assert chat.escape("#### x") == r"\#\#\#\# x"
+
+
+def test_chat_templates_without_a_loop(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (2, 0, "user", "c")], "conv_id long, turn long, role string, text string")
+    assert sorted((r.conv_id, r.text) for r in chat.formatted(df, "x").collect()) == [(1, "x"), (2, "x")]
+    assert sorted((r.conv_id, r.text) for r in chat.formatted(df, "{% if 1 == 2 %}{% for m in messages %}{{ m.text }}{% endfor %}{% endif %}y").collect()) == [(1, "y"), (2, "y")]
+    twice = "{% for m in messages %}{{ m.text }}{% endfor %}-{% for m in messages %}{{ m.text }}{% endfor %}"
+    with pytest.raises(Exception, match="once only"):
+        chat.formatted(df, twice).collect()
+
+
 # 5 substring
 
 
@@ -349,6 +373,25 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_records_are_well_formed(spark, tmp_path):
+    """Fresh record ids that differ, revisits that name their original's record, URI and date, and a hot payload."""
+    rows = [(i, f"https://ex.com/{i}", "<p>the same</p>" if i % 3 else f"<p>HTTP/1.1 {i}\r\n\r\n</p>") for i in range(300)] + [(None, "u", "x"), (None, "u", "x"), (500, "u", "y"), (500, "u", "y"), (501, "v", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "w"))
+    found = [(h, p) for f in sorted((tmp_path / "w").glob("*.gz")) for h, p in warc.parsed(warc.unzipped(f.read_bytes()))]
+    ids = {h["warc-record-id"]: h for h, _ in found}
+    assert len(found) == len(rows) == len(ids) and all(p.startswith(b"HTTP/1.1 200 OK\r\n") for _, p in found)
+    revisits = [h for h, _ in found if h["warc-type"] == "revisit"]
+    assert len(revisits) == 200 and all(h["warc-refers-to-date"] == warc.DATE for h in revisits)
+    for h in revisits:
+        if h["x-page"] == "501":  # its original's page_id is two rows'
+            assert "warc-refers-to" not in h and h["x-refers-to-page"] == "500"
+        else:
+            assert ids[h["warc-refers-to"]]["x-page"] == "1" and h["warc-refers-to-target-uri"] == "https://ex.com/1"
+    back = {(r.page_id, r.record_type): bytes(r.payload).decode() for r in warc.read(spark, str(tmp_path / "w")).collect()}
+    assert back[3, "response"] == rows[3][2] and back[1, "response"] == "<p>the same</p>" and back[2, "revisit"] == ""
+
+
 def test_warc_reads_members_and_refuses_garbage():
     import gzip
 
@@ -461,7 +504,8 @@ def slow_winnow(text, k, w):
         at = max(j for j, h in enumerate(part) if h == min(part)) + i
         if (at, grams[at]) not in kept:
             kept.append((at, grams[at]))
-    return kept
+    whole = lambda at: spark_hash(*words[at : at + k]) if len(words) >= k else spark_hash(*words)
+    return [(at, whole(at)) for at, _ in kept]
 
 
 def test_winnowing_equals_brute_force(spark):
@@ -475,9 +519,11 @@ def test_winnowing_equals_brute_force(spark):
 def test_winnowing_pairs_documents(spark, odd_rows, small, monkeypatch):
     if small:
         monkeypatch.setattr(winnowing, "BUCKET_BYTES", 300)
-    rows = [r for r in odd_rows if r[0] is not None or r[1] is None]
+        monkeypatch.setattr(winnowing, "GROUP", 3)
+    rows = [*odd_rows, *[(None, f"null {i} {t}", "s") for i, t in enumerate(lines(40, 30))], *[(77, f"{t} {i}", "s") for i, t in enumerate(lines(41, 30))]]
     got = winnowing.fingerprints(table(spark, rows)).collect()
-    order = sorted(((i if i is not None else -(10**9), t or "") for i, t, _ in rows), reverse=True)
+    signed = lambda t: (spark_hash(t.encode()) + (1 << 63)) % (1 << 64)
+    order = sorted(((i if i is not None else -(10**9), t or "") for i, t, _ in rows), key=lambda x: (x[0], signed(x[1]), x[1]), reverse=True)
     want = []
     for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
         half = len(t) // 2

@@ -47,7 +47,8 @@ def test_stages(spark, folder):
     assert ids(packed) == ids(redacted) and packed.where("start = 0").count() == redacted.count()
 
 
-def test_near_copies_of_five_words(spark):
+@pytest.mark.parametrize("limit", [near_copies.LIMIT, 3])
+def test_near_copies_of_five_words(spark, limit):
     """Texts with words changed: no two that stay share 0.8 of their shingles, and what goes is like one of smaller id."""
     r = random.Random(9)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
@@ -63,7 +64,7 @@ def test_near_copies_of_five_words(spark):
     grams = {i: {tuple((t or "").split()[j : j + 5]) for j in range(max(1, len((t or "").split()) - 4))} - {()} for i, t in texts.items()}
     near = {(a, b) for a in texts for b in texts if a < b and grams[a] and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])}
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()] + [(None, texts[0], "en", "s", 1)], DOCS)
-    got = near_copies.one_of_each(docs)
+    got = near_copies.one_of_each(docs, limit=limit)
     kept = {x.doc_id for x in got.collect()}
     assert got.columns == docs.columns and None in kept and not [p for p in near if kept >= set(p)]
     assert all(any((a, b) in near for a in texts if a < b) for b in set(texts) - kept) and len(kept) < len(texts)
