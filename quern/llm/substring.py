@@ -1,20 +1,20 @@
 """Substring dedup by level-wise doubling.
 
-A window of ``window`` words can only repeat if the half-length windows inside it repeat. Level one therefore asks
-about half-length windows only, and of those only about the smallest hash within each full window (the
-same in every copy of that window). Level two asks about full windows, but only where level one
-found a repetition; most of the text has dropped out by then. A cut at ``window`` words needs no longer windows;
-``repeat_levels`` goes on doubling from there, until no candidates survive.
+A window of ``window`` words can only repeat if the shorter windows inside it repeat. Level by level (4, 8, then 13 words for a cut at 13,
+which is two overlapping windows of 8), only windows that the level before leaves are asked about; most of the text drops out at
+once. Below the last level, of a window's inner windows only the one of smallest hash is asked about, the same in every copy of that window.
+``repeat_levels`` asks about all windows and goes on doubling until no candidates survive.
 
-Texts are dealt once into blocks of bounded size. A block asks every bucket of the hash space about its different
-hashes, each once however often it occurs, so a passage in a third of all documents costs one
-entry a block; the bucket answers with one bit for each. Nothing is gathered by passage.
+Texts are split into words once, into blocks of about ``BLOCK_BYTES`` of neighbouring rows, as numbers into the block's own list of words. A
+block asks about each different hash once, however often it has it, and the questions are shuffled by hash as plain rows; a hash is
+repeated if smallest and largest doc_id of all who ask differ. Only repeated hashes are sent back. So a passage in a third of
+all documents is one row a block, and rows grow with the text: a block asks about a quarter of its words or fewer.
 
-Hashes are 64 bits at level one (a collision only adds candidates) and 96 bits at level two.
+Hashes are 64 bits below the last level (a collision only adds candidates) and 96 bits there.
 
 Defined cases: null text: no words; a null doc_id counts as larger than all others and not as smaller
 than another null; rows that share a doc_id don't remove each other's words; shorter texts than a
-window stay whole; empty table: empty result; extra columns: ignored.
+window stay whole; a text longer than a block: a block of its own; empty table: empty result; extra columns: ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +24,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
 BLOCK_BYTES = 8 << 20
+FIRST = 4
 LAST = np.iinfo(np.int64).max
+LEAST = np.iinfo(np.int64).min
 RATES = np.random.default_rng(20).integers(1, 2**62, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -47,21 +50,52 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+#: A block: doc_ids (8 bytes each, LAST for null), which are null (bits), words of each document, all words as numbers, the list of words.
+BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("missing", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("words", pa.binary())])
+BLOCK_SQL = "block long, ids binary, missing binary, sizes binary, codes binary, words binary"
+
+
+def blocks(docs: DataFrame, size: int) -> DataFrame:
+    """Blocks of neighbouring rows (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, n = TaskContext.get().partitionId() << 32, 0
+        places, ids, missing, codes, held = Places(), [], [], [], 0
+
+        def closed() -> pa.RecordBatch:
+            sizes = np.array([len(c) for c in codes], np.int64)
+            row = (first + n, np.array(ids, np.int64).tobytes(), np.packbits(np.array(missing, bool)).tobytes(), sizes.tobytes(), np.concatenate(codes).astype("<i4").tobytes(), b" ".join(places))
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, BLOCK)], schema=BLOCK)
+
+        for b in batches:
+            for i, text in zip(b.column(0), b.column(1)):
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                if ids and held + len(raw) > size:
+                    yield closed()
+                    places, ids, missing, codes, held, n = Places(), [], [], [], 0, n + 1
+                words = raw.split()
+                ids.append(i.as_py() if i.is_valid else LAST)
+                missing.append(not i.is_valid)
+                codes.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
+                held += len(raw)
+        if ids:
+            yield closed()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCK_SQL)
+
+
 class Block:
     """The words of some documents, and hashes of their windows. Windows that cross a document's end aren't ok."""
 
-    def __init__(self, table: pa.Table):
-        ids = table.column("doc_id")
-        self.missing = np.array(ids.is_null())
-        self.ids = ids.fill_null(LAST).to_numpy().astype(np.int64)
-        self.words = [(t or "").encode("utf-8", "surrogatepass").split() for t in table.column("text").to_pylist()]
-        places = Places()
-        at = [np.fromiter(map(places.__getitem__, w), np.int32, len(w)) for w in self.words]
-        self.size = np.array([len(w) for w in self.words], np.int64)
-        self.at = np.concatenate(at) if at else np.zeros(0, np.int32)
-        self.doc = np.repeat(np.arange(len(at)), self.size)
-        raw = b"".join(map(xxhash.xxh3_128_digest, places))
-        self.lanes = np.frombuffer(raw, "<u8").reshape(-1, 2)
+    def __init__(self, row: dict):
+        self.block = row["block"]
+        self.ids = np.frombuffer(row["ids"], np.int64)
+        self.missing = np.unpackbits(np.frombuffer(row["missing"], np.uint8), count=len(self.ids)).astype(bool)
+        self.size = np.frombuffer(row["sizes"], np.int64)
+        self.at = np.frombuffer(row["codes"], "<i4")
+        self.words = row["words"].split(b" ") if row["words"] else []
+        self.doc = np.repeat(np.arange(len(self.ids)), self.size)
+        self.lanes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.words)), "<u8").reshape(-1, 2)
 
     def ok(self, length: int) -> np.ndarray:
         m = max(0, len(self.at) - length + 1)
@@ -74,19 +108,14 @@ class Block:
             out += word[j : j + m] * RATES[j % len(RATES)]
         return mixed(out)
 
-    def anchors(self, window: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of all windows, and for each the smallest hash of the base windows in it."""
-        h = self.rolled(base, 0)
+    def least(self, window: int, inner: int, start: np.ndarray) -> np.ndarray:
+        """For each window at start the smallest hash of its inner windows."""
+        h = self.rolled(inner, 0)
         m = max(0, len(self.at) - window + 1)
-        least = h[:m].copy()
-        for j in range(1, window - base + 1):
-            np.minimum(least, h[j : j + m], out=least)
-        start = np.flatnonzero(self.ok(window))
-        return start, least[start]
-
-    def full(self, window: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Different (low, high) hashes of the windows at start, in order, and each window's place there."""
-        return distinct(self.rolled(window, 0)[start], (self.rolled(window, 1)[start] >> np.uint64(32)).astype(np.uint32))
+        out = h[:m].copy()
+        for j in range(1, window - inner + 1):
+            np.minimum(out, h[j : j + m], out=out)
+        return out[start]
 
 
 def distinct(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,133 +128,108 @@ def distinct(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return a[new], b[new], place
 
 
-def cuts(low: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    """Buckets of the sorted hashes, and where their shares lie."""
-    bucket = ((low >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(low) else np.zeros(1, int)
-    for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
-        yield int(bucket[s]), slice(s, e)
-
-
-ASK = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("ids", pa.binary()), ("base", pa.int64())])
-ASK_SQL = "block long, bucket long, low binary, high binary, ids binary, base long"
-TELL = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("level", pa.int32()), ("n", pa.int64()), ("bits", pa.binary())])
-TELL_SQL = "block long, bucket long, level int, n long, bits binary"
+def levels(window: int, first: int = FIRST) -> list[int]:
+    """first, twice that and so on while it is shorter than window, then window."""
+    out = []
+    while first < window:
+        out.append(first)
+        first *= 2
+    return [*out, window]
 
 
-def bits_of(told: pa.Table, level: int) -> np.ndarray:
-    rows = sorted((r["bucket"], r["n"], r["bits"]) for r in told.select(["bucket", "level", "n", "bits"]).to_pylist() if r["level"] == level)
-    got = [np.unpackbits(np.frombuffer(bits, np.uint8), count=n) for _, n, bits in rows]
-    return np.concatenate(got).astype(bool) if got else np.zeros(0, bool)
+ASK = pa.schema([("hash", pa.int64()), ("more", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+ASK_SQL = "hash long, more int, block long, first long, last long"
 
 
-def level_one(block: Block, window: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """starts, different anchors, each start's anchor's place, and which anchors two documents here share."""
-    start, anchor = block.anchors(window, base)
-    found, place = np.unique(anchor, return_inverse=True)
+def asked(block: Block, hashes: tuple[np.ndarray, np.ndarray], start: np.ndarray) -> tuple[list, np.ndarray]:
+    """Columns of ASK for the windows at start, which have these hashes, and each window's place there."""
+    low, high, place = distinct(*hashes)
     ids = block.ids[block.doc[start]]
-    low, high = np.full(len(found), LAST), np.full(len(found), np.iinfo(np.int64).min)
-    np.minimum.at(low, place, ids)
-    np.maximum.at(high, place, ids)
-    return start, found, place, low != high
-
+    first, last = np.full(len(low), LAST), np.full(len(low), LEAST)
+    np.minimum.at(first, place, ids)
+    np.maximum.at(last, place, ids)
+    return [low.view(np.int64), high.view(np.int32), np.full(len(low), block.block), first, last], place
 
-def candidates(block: Block, told: pa.Table, window: int, base: int) -> np.ndarray:
-    start, _, place, shared = level_one(block, window, base)
-    return start[(shared | bits_of(told, 1))[place]] if len(start) else start
 
+def told(asks: DataFrame) -> DataFrame:
+    """Of asks those that several doc_ids share, with the smallest of all: hash, more, block, first."""
+    of = Window.partitionBy("hash", "more")
+    rows = asks.withColumns({"least": F.min("first").over(of), "most": F.max("last").over(of)})
+    return rows.where("least < most").select("hash", "more", "block", F.col("least").alias("first"))
 
-def level_two(block: Block, start: np.ndarray, window: int):
-    """Different hashes of the windows at start, each start's place among them, and the smallest id here of each."""
-    low, high, place = block.full(window, start)
-    first = np.full(len(low), LAST)
-    np.minimum.at(first, place, block.ids[block.doc[start]])
-    return low, high, place, first
 
-
-def repeats(docs: DataFrame, window: int = 13, base: int | None = None) -> DataFrame:
+def matched(hashes: tuple[np.ndarray, np.ndarray], answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """For each (low, high) whether it is among the answers, and their smallest doc_id (LAST if not)."""
+    low, high = answers.column("hash").to_numpy().view(np.uint64), answers.column("more").to_numpy().view(np.uint32)
+    order = np.lexsort((high, low))
+    low, high, first = low[order], high[order], answers.column("first").to_numpy()[order]
+    hit, least = np.zeros(len(hashes[0]), bool), np.full(len(hashes[0]), LAST)
+    at = np.searchsorted(low, hashes[0])
+    # Answers of equal low are next to each other, as many as there are different high.
+    while len(low):
+        inside = at < len(low)
+        at = np.minimum(at, len(low) - 1)
+        open_ = inside & (low[at] == hashes[0]) & ~hit
+        good = open_ & (high[at] == hashes[1])
+        hit |= good
+        least[good] = first[at[good]]
+        if not (open_ & ~good).any():
+            break
+        at = np.where(open_ & ~good, at + 1, len(low))
+    return hit, least
+
+
+def repeats(docs: DataFrame, window: int = 13, first: int = FIRST) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept has the words not covered by a window that also starts in a document of smaller id.
 
-    ``docs``: (doc_id, text). ``base``: words of a level-one window, half of ``window`` by default.
+    ``docs``: (doc_id, text). ``first``: words of a window of the first level.
     """
-    base = base or (window + 1) // 2
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")
-    dealt = docs.select(key, F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def ask_one(keys, table):
-        block = Block(table)
-        _, found, _, _ = level_one(block, window, base)
-        rows = [(keys[0].as_py(), b, found[at].tobytes(), None, None, None) for b, at in cuts(found, blocks)]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, ASK)], schema=ASK)
-
-    def tell_one(keys, table):
-        parts = [np.frombuffer(x, np.uint64) for x in table.column("low").to_pylist()]
-        _, place, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        yes = np.split(count[place] > 1, np.cumsum([len(p) for p in parts])[:-1])
-        return told(table, yes, 1)
-
-    def told(table: pa.Table, yes: list[np.ndarray], level: int) -> pa.Table:
-        n = len(yes)
-        cols = [table.column("block").combine_chunks(), table.column("bucket").combine_chunks(), pa.array([level] * n, pa.int32()), pa.array([len(y) for y in yes], pa.int64()), pa.array([np.packbits(y).tobytes() for y in yes], pa.binary())]
-        return pa.Table.from_arrays(cols, schema=TELL)
-
-    def ask_two(keys, table, answers):
-        rows = []
-        if table.num_rows:
-            block = Block(table)
-            low, high, _, first = level_two(block, candidates(block, answers, window, base), window)
-            for b, at in cuts(low, blocks):
-                least = int(first[at].min())
-                over = first[at].view(np.uint64) - np.uint64(least % (1 << 64))
-                ids = over.astype(np.uint32 if int(over.max()) < 1 << 32 else np.uint64).tobytes()
-                rows.append((keys[0].as_py(), b, low[at].tobytes(), high[at].tobytes(), ids, least))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, ASK)], schema=ASK)
-
-    def tell_two(keys, table):
-        low = [np.frombuffer(x, np.uint64) for x in table.column("low").to_pylist()]
-        high = [np.frombuffer(x, np.uint32) for x in table.column("high").to_pylist()]
-        ids = []
-        for raw, least, part in zip(table.column("ids").to_pylist(), table.column("base").to_pylist(), low):
-            wide = np.frombuffer(raw, np.uint64 if len(raw) == 8 * len(part) else np.uint32).astype(np.uint64)
-            ids.append((wide + np.uint64(least % (1 << 64))).view(np.int64))
-        a, b, i = np.concatenate(low), np.concatenate(high), np.concatenate(ids)
-        order = np.lexsort((i, b, a))
-        new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
-        first = i[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        yes = np.empty(len(a), bool)
-        yes[order] = first < i[order]
-        return told(table, np.split(yes, np.cumsum([len(p) for p in low])[:-1]), 2)
+    held, steps = blocks(docs, BLOCK_BYTES).groupBy("block"), levels(window, first)
+
+    def hashes(block: Block, length: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What a level asks about for the windows at start."""
+        if length < window:
+            return block.least(window, length, start), np.zeros(len(start), np.uint32)
+        return block.rolled(window, 0)[start], (block.rolled(window, 1)[start] >> np.uint64(32)).astype(np.uint32)
+
+    def left(block: Block, answers: pa.Table | None, level: int) -> np.ndarray:
+        """Windows that may repeat, by the answers of the level before."""
+        start = np.flatnonzero(block.ok(window))
+        return start if answers is None else start[matched(hashes(block, steps[level - 1], start), answers)[0]]
+
+    def ask(level: int):
+        def run(keys, table, answers=None):
+            out = []
+            for row in table.to_pylist():
+                block = Block(row)
+                start = left(block, answers, level)
+                out.append(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(asked(block, hashes(block, steps[level], start), start)[0], ASK)], schema=ASK))
+            return pa.concat_tables(out) if out else ASK.empty_table()
+
+        return (lambda keys, table: run(keys, table)) if level == 0 else (lambda keys, table, answers: run(keys, table, answers))
 
     def remove(keys, table, answers):
-        block = Block(table)
-        start = candidates(block, answers, window, base)
-        _, _, place, first = level_two(block, start, window)
-        gone = start[bits_of(answers, 2)[place] | (block.ids[block.doc[start]] > first[place])] if len(start) else start
-        step = np.zeros(len(block.at) + 1, np.int64)
-        np.add.at(step, gone, 1)
-        np.add.at(step, gone + window, -1)
-        out = np.cumsum(step)[:-1] > 0
-        end = np.cumsum(block.size)
-        removed = [int(out[e - n : e].sum()) for e, n in zip(end, block.size)]
-        kept = [
-            b" ".join(w if not r else [x for x, o in zip(w, out[e - n : e].tolist()) if not o]).decode("utf-8", "surrogatepass")
-            for w, r, e, n in zip(block.words, removed, end, block.size)
-        ]
-        return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(block.size), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
-
-    by = dealt.groupBy("block")
-    one = by.applyInArrow(ask_one, ASK_SQL).groupBy("bucket").applyInArrow(tell_one, TELL_SQL)
-    two = by.cogroup(one.groupBy("block")).applyInArrow(ask_two, ASK_SQL).groupBy("bucket").applyInArrow(tell_two, TELL_SQL)
-    answers = one.unionByName(two)
-    return by.cogroup(answers.groupBy("block")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
-
-
-NOTE = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("ids", pa.binary()), ("several", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64())])
-NOTE_SQL = "block long, bucket long, low binary, high binary, ids binary, several binary, doc_id long, n long"
-#: Buckets of notes that aren't asked: which windows a block asked about, and how many of a document's windows repeat.
-ASKED, FOUND = -1, -2
+        out = []
+        for row in table.to_pylist():
+            block = Block(row)
+            start = np.flatnonzero(block.ok(window))
+            hit, least = matched(hashes(block, window, start), answers)
+            gone = start[hit & (block.ids[block.doc[start]] > least)]
+            step = np.zeros(len(block.at) + 1, np.int64)
+            np.add.at(step, gone, 1)
+            np.add.at(step, gone + window, -1)
+            keep = np.cumsum(step)[:-1] <= 0
+            end = np.cumsum(block.size)
+            kept = [b" ".join([block.words[i] for i in block.at[e - n : e][keep[e - n : e]].tolist()]).decode("utf-8", "surrogatepass") for e, n in zip(end, block.size)]
+            removed = [int(n - keep[e - n : e].sum()) for e, n in zip(end, block.size)]
+            ids = pa.array(block.ids, mask=block.missing)
+            out.append(pa.table({"doc_id": ids, "n_words": pa.array(block.size), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())}))
+        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
+
+    answers = told(held.applyInArrow(ask(0), ASK_SQL))
+    for level in range(1, len(steps)):
+        answers = told(held.cogroup(answers.groupBy("block")).applyInArrow(ask(level), ASK_SQL))
+    return held.cogroup(answers.groupBy("block")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def doubled(block: Block, window: int, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,72 +244,51 @@ def doubled(block: Block, window: int, length: int) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
+NOTE = pa.schema([*ASK, ("doc_id", pa.int64()), ("n", pa.int64())])
+NOTE_SQL = f"{ASK_SQL}, doc_id long, n long"
+
+
 def repeat_levels(docs: DataFrame, window: int = 13) -> DataFrame:
     """(doc_id, length, n_windows): how many windows of window, 2 window, 4 window, ... words of a document also come in another one.
 
     Only where both halves of a window repeat is it asked about, and the loop ends when nothing repeats. Rows without a doc_id are one document.
     """
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")
-    dealt = stored(docs.select(key, F.col("doc_id").cast("long").alias("doc_id"), "text"), "substring-dealt")
-    told = dealt.sparkSession.createDataFrame([], "block long, bucket long, level int, n long, bits binary, asked binary")
-    found, length = None, window
+    spark = docs.sparkSession
+    held = stored(blocks(docs, BLOCK_BYTES), "substring-blocks")
+    answers, found, length = spark.createDataFrame([], "hash long, more int, block long, first long"), None, window
     while True:
 
-        def ask(keys, table, told):
-            block = Block(table.sort_by([("doc_id", "ascending"), ("text", "ascending")]))
-            at, rows = keys[0].as_py(), []
-            ok = block.ok(length)
-            start = np.flatnonzero(ok)
-            if length > window:
-                half = length // 2
-                asked = next((r["asked"] for r in told.to_pylist() if r["bucket"] == ASKED), b"")
-                before = np.flatnonzero(np.unpackbits(np.frombuffer(asked, np.uint8), count=max(0, len(block.at) - half + 1))) if asked else np.zeros(0, int)
-                low, high = (h[before] for h in doubled(block, window, half))
-                _, _, place = distinct(low, high >> np.uint64(32))
-                again = before[bits_of(told, 1)[place]] if len(before) else before
-                names, counts = np.unique(block.doc[again], return_counts=True)
-                rows += [(at, FOUND, None, None, None, None, None if block.missing[d] else int(block.ids[d]), int(c)) for d, c in zip(names, counts)]
-                mark = np.zeros(len(block.at) + length, bool)
-                mark[again] = True
-                start = start[mark[start] & mark[start + half]]
-            low, high = (h[start] for h in doubled(block, window, length))
-            low, high, place = distinct(low, high >> np.uint64(32))
-            ids = block.ids[block.doc[start]]
-            first, last = np.full(len(low), LAST), np.full(len(low), np.iinfo(np.int64).min)
-            np.minimum.at(first, place, ids)
-            np.maximum.at(last, place, ids)
-            mark = np.zeros(max(0, len(block.at) - length + 1), bool)
-            mark[start] = True
-            rows.append((at, ASKED, np.packbits(mark).tobytes(), None, None, None, None, len(start)))
-            rows += [(at, b, low[x].tobytes(), high[x].astype(np.uint32).tobytes(), first[x].tobytes(), np.packbits(last[x] > first[x]).tobytes(), None, x.stop - x.start) for b, x in cuts(low, blocks)]
-            return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), NOTE)], schema=NOTE)
-
-        def tell(keys, table):
-            low = [np.frombuffer(x, np.uint64) for x in table.column("low").to_pylist()]
-            high = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("high").to_pylist()])
-            ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
-            several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(a)) for x, a in zip(table.column("several").to_pylist(), low)]).astype(bool)
-            _, _, place = distinct(np.concatenate(low), high)
-            n = place.max() + 1
-            first, last, many = np.full(n, LAST), np.full(n, np.iinfo(np.int64).min), np.zeros(n, bool)
-            np.minimum.at(first, place, ids)
-            np.maximum.at(last, place, ids)
-            np.logical_or.at(many, place, several)
-            yes = np.split((many | (first < last))[place], np.cumsum([len(x) for x in low])[:-1])
-            cols = [table.column("block").combine_chunks(), table.column("bucket").combine_chunks(), pa.array([1] * len(yes), pa.int32()), pa.array([len(y) for y in yes], pa.int64()), pa.array([np.packbits(y).tobytes() for y in yes], pa.binary())]
-            return pa.Table.from_arrays(cols, schema=TELL)
-
-        notes = stored(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask, NOTE_SQL), "substring-notes")
+        def ask(keys, table, answers):
+            out = []
+            for row in table.to_pylist():
+                block = Block(row)
+                start = np.flatnonzero(block.ok(length))
+                names, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                if length > window:
+                    half = length // 2
+                    before = np.flatnonzero(block.ok(half))
+                    low, high = (h[before] for h in doubled(block, window, half))
+                    again = before[matched((low, (high >> np.uint64(32)).astype(np.uint32)), answers)[0]]
+                    names, counts = np.unique(block.doc[again], return_counts=True)
+                    mark = np.zeros(len(block.at) + length, bool)
+                    mark[again] = True
+                    start = start[mark[start] & mark[start + half]]
+                low, high = (h[start] for h in doubled(block, window, length))
+                asks, _ = asked(block, (low, (high >> np.uint64(32)).astype(np.uint32)), start)
+                n, m = len(asks[0]), len(names)
+                ids = pa.array(block.ids[names], mask=block.missing[names])
+                columns = [*[pa.concat_arrays([pa.array(c, f.type), pa.nulls(m, f.type)]) for c, f in zip(asks, ASK)], pa.concat_arrays([pa.nulls(n, pa.int64()), ids]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(counts, pa.int64())])]
+                out.append(pa.Table.from_arrays(columns, schema=NOTE))
+            return pa.concat_tables(out) if out else NOTE.empty_table()
+
+        notes = stored(held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask, NOTE_SQL), "substring-notes")
         if length > window:
-            level = notes.where(F.col("bucket") == FOUND).groupBy("doc_id").agg(F.sum("n").alias("n_windows")).select("doc_id", F.lit(length // 2).cast("long").alias("length"), "n_windows")
+            level = notes.where("n is not null").groupBy("doc_id").agg(F.sum("n").alias("n_windows")).select("doc_id", F.lit(length // 2).cast("long").alias("length"), "n_windows")
             found = level if found is None else found.unionByName(level)
-        if not (notes.where(F.col("bucket") == ASKED).agg(F.sum("n")).first()[0] or 0):
-            return found if found is not None else dealt.sparkSession.createDataFrame([], "doc_id long, length long, n_windows long")
-        answers = notes.where(F.col("bucket") >= 0).groupBy("bucket").applyInArrow(tell, TELL_SQL).withColumn("asked", F.lit(None).cast("binary"))
-        own = notes.where(F.col("bucket") == ASKED).select("block", "bucket", F.lit(0).alias("level"), "n", F.lit(None).cast("binary").alias("bits"), F.col("low").alias("asked"))
-        told = answers.unionByName(own)
+        asks = notes.where("hash is not null").drop("doc_id", "n")
+        if asks.isEmpty():
+            return found if found is not None else spark.createDataFrame([], "doc_id long, length long, n_windows long")
+        answers = stored(told(asks), "substring-answers")
         length *= 2
 
 
