@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 FIRST = 4
 LAST = np.iinfo(np.int64).max
 LEAST = np.iinfo(np.int64).min
@@ -50,9 +50,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-#: A block: doc_ids (8 bytes each, LAST for null), which are null (bits), words of each document, all words as numbers, the list of words.
-BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("missing", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("words", pa.binary())])
-BLOCK_SQL = "block long, ids binary, missing binary, sizes binary, codes binary, words binary"
+#: A block: doc_ids (8 bytes each, LAST for null), which are null (bits), words of each document, all words as numbers, the list of words and
+#: how many bytes that has. Numbers and list are compressed.
+BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("missing", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("words", pa.binary()), ("bytes", pa.int64())])
+BLOCK_SQL = "block long, ids binary, missing binary, sizes binary, codes binary, words binary, bytes long"
+
+
+def zipped(data: bytes) -> bytes:
+    return pa.Codec("zstd").compress(data, asbytes=True)
 
 
 def blocks(docs: DataFrame, size: int) -> DataFrame:
@@ -64,7 +69,7 @@ def blocks(docs: DataFrame, size: int) -> DataFrame:
 
         def closed() -> pa.RecordBatch:
             sizes = np.array([len(c) for c in codes], np.int64)
-            row = (first + n, np.array(ids, np.int64).tobytes(), np.packbits(np.array(missing, bool)).tobytes(), sizes.tobytes(), np.concatenate(codes).astype("<i4").tobytes(), b" ".join(places))
+            row = (first + n, np.array(ids, np.int64).tobytes(), np.packbits(np.array(missing, bool)).tobytes(), sizes.tobytes(), zipped(np.concatenate(codes).astype("<i4").tobytes()), zipped(listed := b" ".join(places)), len(listed))
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, BLOCK)], schema=BLOCK)
 
         for b in batches:
@@ -92,8 +97,9 @@ class Block:
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.missing = np.unpackbits(np.frombuffer(row["missing"], np.uint8), count=len(self.ids)).astype(bool)
         self.size = np.frombuffer(row["sizes"], np.int64)
-        self.at = np.frombuffer(row["codes"], "<i4")
-        self.words = row["words"].split(b" ") if row["words"] else []
+        unzipped = lambda name, n: pa.Codec("zstd").decompress(row[name], n, asbytes=True)
+        self.at = np.frombuffer(unzipped("codes", 4 * int(self.size.sum())), "<i4")
+        self.words = unzipped("words", row["bytes"]).split(b" ") if row["bytes"] else []
         self.doc = np.repeat(np.arange(len(self.ids)), self.size)
         self.lanes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.words)), "<u8").reshape(-1, 2)
 
@@ -151,11 +157,11 @@ def asked(block: Block, hashes: tuple[np.ndarray, np.ndarray], start: np.ndarray
     return [low.view(np.int64), high.view(np.int32), np.full(len(low), block.block), first, last], place
 
 
-def told(asks: DataFrame) -> DataFrame:
-    """Of asks those that several doc_ids share, with the smallest of all: hash, more, block, first."""
+def told(asks: DataFrame, ids: bool = True) -> DataFrame:
+    """Of asks those that several doc_ids share, with the smallest of all if ``ids``: hash, more, block, first."""
     of = Window.partitionBy("hash", "more")
     rows = asks.withColumns({"least": F.min("first").over(of), "most": F.max("last").over(of)})
-    return rows.where("least < most").select("hash", "more", "block", F.col("least").alias("first"))
+    return rows.where("least < most").select("hash", "more", "block", (F.col("least") if ids else F.lit(0).cast("long")).alias("first"))
 
 
 def matched(hashes: tuple[np.ndarray, np.ndarray], answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -226,9 +232,9 @@ def repeats(docs: DataFrame, window: int = 13, first: int = FIRST) -> DataFrame:
             out.append(pa.table({"doc_id": ids, "n_words": pa.array(block.size), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())}))
         return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
 
-    answers = told(held.applyInArrow(ask(0), ASK_SQL))
+    answers = told(held.applyInArrow(ask(0), ASK_SQL), len(steps) == 1)
     for level in range(1, len(steps)):
-        answers = told(held.cogroup(answers.groupBy("block")).applyInArrow(ask(level), ASK_SQL))
+        answers = told(held.cogroup(answers.groupBy("block")).applyInArrow(ask(level), ASK_SQL), level == len(steps) - 1)
     return held.cogroup(answers.groupBy("block")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
 
 
