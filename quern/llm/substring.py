@@ -6,9 +6,10 @@ once. Below the last level, of a window's inner windows only the one of smallest
 ``repeat_levels`` asks about all windows and goes on doubling until no candidates survive.
 
 Texts are split into words once, into blocks of about ``BLOCK_BYTES`` of neighbouring rows, as numbers into the block's own list of words. A
-block asks about each different hash once, however often it has it, and the questions are shuffled by hash as plain rows; a hash is
-repeated if smallest and largest doc_id of all who ask differ. Only repeated hashes are sent back. So a passage in a third of
-all documents is one row a block, and rows grow with the text: a block asks about a quarter of its words or fewer.
+block asks about each different hash once, however often it has it; questions are shuffled by the upper bits of the hash (``fan`` of them, a
+fixed number for each block, so rows grow with the text), as arrays, and laid out as rows behind the shuffle; a hash is repeated if smallest
+and largest doc_id of all who ask differ. Only the places of repeated hashes are sent back. So a passage in a third of all documents is
+one question a block.
 
 Hashes are 64 bits below the last level (a collision only adds candidates) and 96 bits there.
 
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -143,46 +145,60 @@ def levels(window: int, first: int = FIRST) -> list[int]:
     return [*out, window]
 
 
-ASK = pa.schema([("hash", pa.int64()), ("more", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
-ASK_SQL = "hash long, more int, block long, first long, last long"
+ASK_TYPES = {"block": pa.int64(), "bucket": pa.int32(), "low": pa.list_(pa.int64()), "high": pa.list_(pa.int32()), "first": pa.list_(pa.int64()), "last": pa.list_(pa.int64())}
+ASK_SQL = "block long, bucket int, low array<long>, high array<int>, first array<long>, last array<long>"
+FEWEST, MOST, BUCKET_BYTES = 512, 1 << 16, 16 << 20
 
 
-def asked(block: Block, hashes: tuple[np.ndarray, np.ndarray], start: np.ndarray) -> tuple[list, np.ndarray]:
-    """Columns of ASK for the windows at start, which have these hashes, and each window's place there."""
-    low, high, place = distinct(*hashes)
-    ids = block.ids[block.doc[start]]
-    first, last = np.full(len(low), LAST), np.full(len(low), LEAST)
-    np.minimum.at(first, place, ids)
-    np.maximum.at(last, place, ids)
-    return [low.view(np.int64), high.view(np.int32), np.full(len(low), block.block), first, last], place
+def fan(docs: DataFrame) -> int:
+    """Into how many parts the hashes of a block are dealt: by the size of all texts, within bounds."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST, max(FEWEST, -(-total // BUCKET_BYTES)))
+
+
+class Asked:
+    """The different hashes of the windows at start, dealt into buckets."""
+
+    def __init__(self, block: Block, hashes: tuple[np.ndarray, np.ndarray], start: np.ndarray, fan: int):
+        self.block = block
+        self.low, self.high, self.place = distinct(*hashes)
+        ids = block.ids[block.doc[start]]
+        self.first, self.last = np.full(len(self.low), LAST), np.full(len(self.low), LEAST)
+        np.minimum.at(self.first, self.place, ids)
+        np.maximum.at(self.last, self.place, ids)
+        bucket = ((self.low >> np.uint64(32)) * np.uint64(fan)) >> np.uint64(32)
+        self.edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, np.int64)
+        self.bucket = bucket[self.edge[:-1]].astype(np.int32)
+
+    def table(self) -> pa.Table:
+        lists = [pa.ListArray.from_arrays(self.edge.astype(np.int32), pa.array(x)) for x in (self.low.view(np.int64), self.high.view(np.int32), self.first, self.last)]
+        return pa.table([pa.array(np.full(len(self.bucket), self.block.block)), pa.array(self.bucket), *lists], names=list(ASK_TYPES))
+
+    def answered(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """For each window whether it is repeated, and the smallest doc_id that has it."""
+        hit, least = np.zeros(len(self.low), bool), np.full(len(self.low), LAST)
+        begin = dict(zip(self.bucket.tolist(), self.edge[:-1].tolist()))
+        answers = answers.combine_chunks()
+        size = np.diff(answers.column("at").combine_chunks().offsets.to_numpy()) if answers.num_rows else np.zeros(0, np.int64)
+        if size.sum():
+            base = np.repeat([begin[b] for b in answers.column("bucket").to_pylist()], size)
+            at = base + answers.column("at").combine_chunks().flatten().to_numpy()
+            hit[at], least[at] = True, answers.column("first").combine_chunks().flatten().to_numpy()
+        return hit[self.place], least[self.place]
 
 
 def told(asks: DataFrame, ids: bool = True) -> DataFrame:
-    """Of asks those that several doc_ids share, with the smallest of all if ``ids``: hash, more, block, first."""
-    of = Window.partitionBy("hash", "more")
-    rows = asks.withColumns({"least": F.min("first").over(of), "most": F.max("last").over(of)})
-    return rows.where("least < most").select("hash", "more", "block", (F.col("least") if ids else F.lit(0).cast("long")).alias("first"))
+    """block, bucket, at, first: of the questions those that several doc_ids share, and the smallest of all doc_ids if ``ids``."""
+    rows = asks.repartition("bucket").select("block", "bucket", F.posexplode(F.arrays_zip("low", "high", "first", "last")).alias("at", "x"))
+    of = Window.partitionBy("bucket", "x.low", "x.high")
+    rows = rows.withColumns({"least": F.min("x.first").over(of), "most": F.max("x.last").over(of)}).where("least < most")
+    first = F.col("least") if ids else F.lit(0).cast("long")
+    rows = rows.groupBy("bucket", "block").agg(F.collect_list(F.struct("at", first.alias("first"))).alias("y"))
+    return rows.select("block", "bucket", F.col("y.at").alias("at"), F.col("y.first").alias("first"))
 
 
-def matched(hashes: tuple[np.ndarray, np.ndarray], answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """For each (low, high) whether it is among the answers, and their smallest doc_id (LAST if not)."""
-    low, high = answers.column("hash").to_numpy().view(np.uint64), answers.column("more").to_numpy().view(np.uint32)
-    order = np.lexsort((high, low))
-    low, high, first = low[order], high[order], answers.column("first").to_numpy()[order]
-    hit, least = np.zeros(len(hashes[0]), bool), np.full(len(hashes[0]), LAST)
-    at = np.searchsorted(low, hashes[0])
-    # Answers of equal low are next to each other, as many as there are different high.
-    while len(low):
-        inside = at < len(low)
-        at = np.minimum(at, len(low) - 1)
-        open_ = inside & (low[at] == hashes[0]) & ~hit
-        good = open_ & (high[at] == hashes[1])
-        hit |= good
-        least[good] = first[at[good]]
-        if not (open_ & ~good).any():
-            break
-        at = np.where(open_ & ~good, at + 1, len(low))
-    return hit, least
+def joined(parts: list[pa.Table], types: dict[str, pa.DataType]) -> pa.Table:
+    return pa.concat_tables(parts) if parts else pa.schema(list(types.items())).empty_table()
 
 
 def repeats(docs: DataFrame, window: int = 13, first: int = FIRST) -> DataFrame:
@@ -190,27 +206,32 @@ def repeats(docs: DataFrame, window: int = 13, first: int = FIRST) -> DataFrame:
 
     ``docs``: (doc_id, text). ``first``: words of a window of the first level.
     """
-    held, steps = blocks(docs, BLOCK_BYTES).groupBy("block"), levels(window, first)
+    held, steps, parts = blocks(docs, BLOCK_BYTES).groupBy("block"), levels(window, first), fan(docs)
 
-    def hashes(block: Block, length: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def questions(block: Block, level: int, start: np.ndarray) -> Asked:
         """What a level asks about for the windows at start."""
+        length = steps[level]
         if length < window:
-            return block.least(window, length, start), np.zeros(len(start), np.uint32)
-        return block.rolled(window, 0)[start], (block.rolled(window, 1)[start] >> np.uint64(32)).astype(np.uint32)
+            return Asked(block, (block.least(window, length, start), np.zeros(len(start), np.uint32)), start, parts)
+        return Asked(block, (block.rolled(window, 0)[start], (block.rolled(window, 1)[start] >> np.uint64(32)).astype(np.uint32)), start, parts)
 
-    def left(block: Block, answers: pa.Table | None, level: int) -> np.ndarray:
-        """Windows that may repeat, by the answers of the level before."""
+    def left(block: Block, answers: list[pa.Table]) -> np.ndarray:
+        """Windows that may repeat, by the answers of all levels before."""
         start = np.flatnonzero(block.ok(window))
-        return start if answers is None else start[matched(hashes(block, steps[level - 1], start), answers)[0]]
+        for level, table in enumerate(answers):
+            start = start[questions(block, level, start).answered(table)[0]]
+        return start
+
+    def split(answers: pa.Table, levels: int) -> list[pa.Table]:
+        return [answers.filter(pa.compute.equal(answers.column("level"), i)) for i in range(levels)]
 
     def ask(level: int):
         def run(keys, table, answers=None):
             out = []
             for row in table.to_pylist():
                 block = Block(row)
-                start = left(block, answers, level)
-                out.append(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(asked(block, hashes(block, steps[level], start), start)[0], ASK)], schema=ASK))
-            return pa.concat_tables(out) if out else ASK.empty_table()
+                out.append(questions(block, level, left(block, split(answers, level) if level else [])).table())
+            return joined(out, ASK_TYPES)
 
         return (lambda keys, table: run(keys, table)) if level == 0 else (lambda keys, table, answers: run(keys, table, answers))
 
@@ -218,8 +239,9 @@ def repeats(docs: DataFrame, window: int = 13, first: int = FIRST) -> DataFrame:
         out = []
         for row in table.to_pylist():
             block = Block(row)
-            start = np.flatnonzero(block.ok(window))
-            hit, least = matched(hashes(block, window, start), answers)
+            told = split(answers, len(steps))
+            start = left(block, told[:-1])
+            hit, least = questions(block, len(steps) - 1, start).answered(told[-1])
             gone = start[hit & (block.ids[block.doc[start]] > least)]
             step = np.zeros(len(block.at) + 1, np.int64)
             np.add.at(step, gone, 1)
@@ -232,9 +254,11 @@ def repeats(docs: DataFrame, window: int = 13, first: int = FIRST) -> DataFrame:
             out.append(pa.table({"doc_id": ids, "n_words": pa.array(block.size), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())}))
         return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
 
-    answers = told(held.applyInArrow(ask(0), ASK_SQL), len(steps) == 1)
+    # What a level's places count is what the levels before have left, so their answers come along.
+    answers = told(held.applyInArrow(ask(0), ASK_SQL), len(steps) == 1).withColumn("level", F.lit(0))
     for level in range(1, len(steps)):
-        answers = told(held.cogroup(answers.groupBy("block")).applyInArrow(ask(level), ASK_SQL), level == len(steps) - 1)
+        new = told(held.cogroup(answers.groupBy("block")).applyInArrow(ask(level), ASK_SQL), level == len(steps) - 1)
+        answers = answers.unionByName(new.withColumn("level", F.lit(level)))
     return held.cogroup(answers.groupBy("block")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
 
 
@@ -250,8 +274,8 @@ def doubled(block: Block, window: int, length: int) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
-NOTE = pa.schema([*ASK, ("doc_id", pa.int64()), ("n", pa.int64())])
-NOTE_SQL = f"{ASK_SQL}, doc_id long, n long"
+NOTE_TYPES = {**ASK_TYPES, "starts": pa.binary(), "doc_id": pa.int64(), "n": pa.int64()}
+NOTE_SQL = f"{ASK_SQL}, starts binary, doc_id long, n long"
 
 
 def repeat_levels(docs: DataFrame, window: int = 13) -> DataFrame:
@@ -260,41 +284,51 @@ def repeat_levels(docs: DataFrame, window: int = 13) -> DataFrame:
     Only where both halves of a window repeat is it asked about, and the loop ends when nothing repeats. Rows without a doc_id are one document.
     """
     spark = docs.sparkSession
-    held = stored(blocks(docs, BLOCK_BYTES), "substring-blocks")
-    answers, found, length = spark.createDataFrame([], "hash long, more int, block long, first long"), None, window
+    held, parts = stored(blocks(docs, BLOCK_BYTES), "substring-blocks"), fan(docs)
+    answers, found, length = spark.createDataFrame([], "block long, bucket int, at array<int>, first array<long>, starts binary"), None, window
     while True:
 
         def ask(keys, table, answers):
             out = []
             for row in table.to_pylist():
                 block = Block(row)
+
+                def questions(length: int, start: np.ndarray) -> Asked:
+                    low, high = (h[start] for h in doubled(block, window, length))
+                    return Asked(block, (low, (high >> np.uint64(32)).astype(np.uint32)), start, parts)
+
                 start = np.flatnonzero(block.ok(length))
                 names, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 if length > window:
                     half = length // 2
-                    before = np.flatnonzero(block.ok(half))
-                    low, high = (h[before] for h in doubled(block, window, half))
-                    again = before[matched((low, (high >> np.uint64(32)).astype(np.uint32)), answers)[0]]
+                    marks = next(x for x in answers.column("starts").to_pylist() if x is not None)
+                    before = np.flatnonzero(np.unpackbits(np.frombuffer(marks, np.uint8), count=max(0, len(block.at) - half + 1)))
+                    rest = answers.filter(pa.compute.is_valid(answers.column("bucket")))
+                    again = before[questions(half, before).answered(rest)[0]]
                     names, counts = np.unique(block.doc[again], return_counts=True)
                     mark = np.zeros(len(block.at) + length, bool)
                     mark[again] = True
                     start = start[mark[start] & mark[start + half]]
-                low, high = (h[start] for h in doubled(block, window, length))
-                asks, _ = asked(block, (low, (high >> np.uint64(32)).astype(np.uint32)), start)
-                n, m = len(asks[0]), len(names)
-                ids = pa.array(block.ids[names], mask=block.missing[names])
-                columns = [*[pa.concat_arrays([pa.array(c, f.type), pa.nulls(m, f.type)]) for c, f in zip(asks, ASK)], pa.concat_arrays([pa.nulls(n, pa.int64()), ids]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(counts, pa.int64())])]
-                out.append(pa.Table.from_arrays(columns, schema=NOTE))
-            return pa.concat_tables(out) if out else NOTE.empty_table()
+                asks = questions(length, start).table()
+                mark = np.zeros(max(0, len(block.at) - length + 1), bool)
+                mark[start] = True
+                told = {"block": [block.block], "starts": [np.packbits(mark).tobytes()], "n": [None], "doc_id": [None]}
+                told = {k: v + ([block.block] * len(names) if k == "block" else [None] * len(names)) for k, v in told.items()}
+                told["n"] = [None, *counts.tolist()]
+                told["doc_id"] = [None, *[None if block.missing[d] else int(block.ids[d]) for d in names]]
+                for columns, n in (({c: asks.column(c) for c in ASK_TYPES}, asks.num_rows), (told, 1 + len(names))):
+                    out.append(pa.table({c: columns.get(c, pa.nulls(n, t)) if not isinstance(columns.get(c), list) else pa.array(columns[c], t) for c, t in NOTE_TYPES.items()}))
+            return joined(out, NOTE_TYPES)
 
         notes = stored(held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask, NOTE_SQL), "substring-notes")
         if length > window:
             level = notes.where("n is not null").groupBy("doc_id").agg(F.sum("n").alias("n_windows")).select("doc_id", F.lit(length // 2).cast("long").alias("length"), "n_windows")
             found = level if found is None else found.unionByName(level)
-        asks = notes.where("hash is not null").drop("doc_id", "n")
+        asks = notes.where("bucket is not null").select("block", "bucket", "low", "high", "first", "last")
         if asks.isEmpty():
             return found if found is not None else spark.createDataFrame([], "doc_id long, length long, n_windows long")
-        answers = stored(told(asks), "substring-answers")
+        starts = notes.where("starts is not null").select("block", "starts")
+        answers = stored(told(asks).unionByName(starts, allowMissingColumns=True), "substring-answers")
         length *= 2
 
 
