@@ -205,6 +205,15 @@ def scope_prefix(url: Column) -> Column:
     )
 
 
+def source_scope(source: Column) -> Column:
+    """What a source's evidence may come from: host and first two parts of an address, the folder of a path, else the source itself."""
+    name = F.trim(F.coalesce(source, F.lit("")))
+    host = F.lower(F.regexp_extract(name, "^https?://([^/]+)", 1))
+    parts = F.filter(F.split(F.regexp_extract(name, "^https?://[^/]+(/[^?#]*)", 1), "/"), lambda p: p != "")
+    site = F.concat_ws("/", host, F.nullif(F.array_join(F.slice(parts, 1, 2), "/"), F.lit("")))
+    return F.when(F.rlike(name, F.lit("^https?://")), F.when(host == "", name).otherwise(site)).when(F.contains(name, F.lit("/")), F.regexp_replace(name, "/[^/]*$", "")).otherwise(name)
+
+
 def is_crawlable(url: Column, host: Column, prefix: Column) -> Column:
     own = F.lower(F.regexp_extract(url, r"^[^:/?#]+://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)

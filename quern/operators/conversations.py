@@ -44,6 +44,29 @@ def classified(qa: DataFrame) -> DataFrame:
     return rows.withColumns({"decision": decision, "tags": tags}).drop("found", "code", "other")
 
 
+def cleaned(qa: DataFrame, least: int = 30) -> DataFrame:
+    """qa with question and answer normalised; pairs of which either has under ``least`` characters are dropped."""
+    rows = qa.withColumns({c: X.normalized(F.col(c)) for c in ("question", "answer")})
+    return rows.where((F.length("question") >= least) & (F.length("answer") >= least))
+
+
+def imported(qa: DataFrame, smart: bool = False, decisions: DataFrame | None = None) -> DataFrame:
+    """(conv_id, turn, source, text, tags): the documents to ingest of question-answer pairs.
+
+    ``smart``: keywords decide, and pairs they leave open go by ``decisions`` (conv_id, turn, keep, tags), a model's; without one such a pair is left out.
+    """
+    rows = cleaned(qa)
+    if not smart:
+        rows = rows.withColumn("tags", F.array(F.lit("chatgpt")))
+    else:
+        rows = classified(rows)
+        said = decisions if decisions is not None else rows.select("conv_id", "turn", F.lit(False).alias("keep"), F.array().cast("array<string>").alias("told")).where("false")
+        said = said if "told" in said.columns else said.withColumnRenamed("tags", "told")
+        rows = rows.join(said, ["conv_id", "turn"], "left").where((F.col("decision") == "keep") | ((F.col("decision") == "llm") & F.coalesce("keep", F.lit(False))))
+        rows = rows.withColumn("tags", F.concat("tags", F.coalesce(F.when(F.col("decision") == "llm", F.col("told")), F.array().cast("array<string>"))))
+    return rendered(rows).select("conv_id", "turn", F.lit("chatgpt").alias("source"), "text", "tags")
+
+
 def rendered(qa: DataFrame) -> DataFrame:
     """qa with text: the document that a kept pair is ingested as."""
     tags = F.array_distinct(F.concat(F.array(F.lit("chatgpt")), F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: t != "")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..functions import scores as S
 from ..functions import text as X
+from ..session import stored
 
 ITEM = {
     "query_id": "long", "ordinal": "int", "type": "string", "content": "string", "source": "string", "tags": "array<string>", "score": "double",
@@ -45,7 +46,7 @@ def decided(queries: DataFrame, items: DataFrame, threshold: float = 0.45, least
     rows = rows.withColumn("graph_ok", (F.col("type") == "graph") & F.col("fused_score").isNotNull() & (F.col("s") >= threshold))
     current = F.exists(F.concat(F.array(F.lower("source_type"), F.lower("collection")), F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.lower(t))), lambda x: F.coalesce(x.isin(*V.CURRENT_SOURCES), F.lit(False)))
     # A few dozen rows of each query, which the decision, the items and their counts all read.
-    rows = rows.withColumn("is_current", current).persist()
+    rows = stored(rows.withColumn("is_current", current), "gate")
     pool = is_text | F.col("graph_ok")
     strong = max(0.75, least_overlap)
     sums = rows.groupBy("query_id").agg(

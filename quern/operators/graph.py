@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..functions import scores as S
 from ..functions import text as X
-from .search import in_blocks
+from .search import in_blocks, in_place
 
 EDGE = ("source", "relation", "target")
 
@@ -27,12 +27,18 @@ def upserted(edges: DataFrame, triples: DataFrame) -> DataFrame:
 
 
 def matched(edges: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, edge, score of edges of allowed relations with a term in an end. queries: query_id, terms."""
-    rows = in_blocks(edges.where(F.col("relation").isin(*V.RELATION_PRIORITY)), queries, "terms")
-    s, t = F.lower("source"), F.lower("target")
-    point = lambda end, term: 10 * (end == F.lower(term)).cast("int") + 2 * F.contains(end, F.lower(term)).cast("int")
-    score = F.aggregate("terms", F.lit(0), lambda a, x: a + point(s, x) + point(t, x))
-    return rows.select("query_id", *EDGE, F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), score.alias("score")).where("score > 0")
+    """query_id, edge, score of edges of allowed relations with a term in an end. queries: query_id, terms.
+
+    Names are far fewer than edges: each different name is compared with the queries once, and what was found is joined to the edges by name.
+    """
+    allowed = edges.where(F.col("relation").isin(*V.RELATION_PRIORITY)).select(*EDGE, F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
+    names = allowed.select(F.col("source").alias("name")).union(allowed.select("target")).distinct()
+    asked = queries.select("query_id", F.transform("terms", lambda t: F.lower(t)).alias("terms"))
+    rows = in_blocks(names.select("name", F.lower("name").alias("lower")), asked, "terms")
+    points = F.aggregate("terms", F.lit(0), lambda a, t: a + 10 * (F.col("lower") == t).cast("int") + 2 * F.contains("lower", t).cast("int"))
+    hits = rows.select("query_id", "name", points.alias("points")).where("points > 0")
+    ends = [allowed.join(hits, F.col(end) == F.col("name")).select("query_id", *EDGE, "sources", "points") for end in ("source", "target")]
+    return ends[0].unionByName(ends[1]).groupBy("query_id", *EDGE).agg(F.first("sources").alias("sources"), F.sum("points").cast("int").alias("score"))
 
 
 def best_of_pairs(rows: DataFrame, n: int, cap: int | None = None) -> DataFrame:
@@ -58,8 +64,10 @@ def bm25(names: DataFrame, queries: DataFrame, n: int = 20, k1: float = 1.2, b:
     tokens = names.select("name").distinct().select("name", F.filter(words(F.col("name")), lambda w: w != "").alias("words"))
     posts = tokens.select("name", F.size("words").alias("len"), F.explode("words").alias("word")).groupBy("name", "len", "word").agg(F.count("*").alias("tf"))
     stats = tokens.agg(F.count("*").alias("docs"), F.avg(F.size("words")).alias("avg_len"))
-    seen = posts.groupBy("word").agg(F.count("*").alias("df"))
     asked = queries.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform("terms", words)))).alias("word")).where("word <> ''")
+    # Only words that are asked for are counted and joined.
+    posts = posts.join(in_place(asked.select("word").distinct()), "word", "left_semi")
+    seen = posts.groupBy("word").agg(F.count("*").alias("df"))
     rows = posts.join(asked, "word").join(seen, "word").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
@@ -144,3 +152,30 @@ def supported(triples: DataFrame, text: str, most: int = 8000) -> DataFrame:
         spellings.setdefault(name.lower(), []).append(alias.replace("_", " "))
     named = lambda e: F.contains(lower, F.lower(e)) | F.coalesce(F.exists(X.lookup(spellings)[F.lower(e)], lambda a: F.contains(lower, a)), F.lit(False))
     return triples.where(named(F.col("source")) & named(F.col("target")))
+
+
+def cleanup_report(edges: DataFrame, strict: bool = True, samples: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(action, n of every action; the first ``samples`` edges of each that isn't kept): what cleaned() would do, without doing it."""
+    rows = classified(edges, strict)
+    counts = rows.groupBy("action").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("action").orderBy(*EDGE)
+    some = rows.where("action <> 'keep'").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= samples)
+    return counts, some.select("action", "nth", *EDGE, *[f"clean_{c}" for c in EDGE])
+
+
+def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, relation types, nodes without an edge."""
+    one = edges.agg(F.count("*").alias("edges"), F.count_distinct("relation").alias("types"))
+    return nodes.agg(F.count("*").alias("nodes")).crossJoin(one).crossJoin(isolated(nodes, edges).agg(F.count("*").alias("isolated")))
+
+
+def extracted(docs: DataFrame, triples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(relations to merge: source, relation, target, document; counters by document: valid, rejected) of documents (source, text) and a
+    model's triples (document, source, relation, target): clean parts, of which the text tells."""
+    named = docs.select(F.col("source").alias("document"), "text")
+    clean = clean_triples(triples)
+    good = supported(clean.join(named, "document"), "text").drop("text")
+    n = triples.groupBy("document").agg(F.count("*").alias("given"))
+    valid = good.groupBy("document").agg(F.count("*").alias("valid"))
+    counters = n.join(valid, "document", "left").select("document", F.coalesce("valid", F.lit(0)).alias("valid"), (F.col("given") - F.coalesce("valid", F.lit(0))).alias("rejected"))
+    return good.select(*EDGE, "document").distinct(), counters

@@ -28,6 +28,11 @@ def in_blocks(rows: DataFrame, queries: DataFrame, *columns: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [rows.crossJoin(F.broadcast(block(i))) for i in range(blocks)])
 
 
+def in_place(queries: DataFrame) -> DataFrame:
+    """queries, broadcast if they are one block."""
+    return F.broadcast(queries) if queries.count() <= QUERY_BLOCK else queries
+
+
 def top(rows: DataFrame, n: int, *order: Column, by: str = "query_id", rank: str = "rank") -> DataFrame:
     """The first n rows of each query, with rank from 1."""
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(rank) <= n)
@@ -42,20 +47,26 @@ def vector_top(chunks: DataFrame, queries: DataFrame, n: int = 25, tags: list[st
     return top(rows, n, F.col("distance"), F.col("chunk_id"))
 
 
-def lexical_scores(chunks: DataFrame, queries: DataFrame, terms: int = 10) -> DataFrame:
-    """query_id, chunk_id, lexical_score > 0: 2 for a term in the content, 4 in the source, 1 in the metadata; terms are LIKE patterns."""
-    wanted = queries.select("query_id", F.slice(X.search_terms(F.col("query")), 1, terms).alias("terms"))
-    rows = in_blocks(chunks.select("chunk_id", "content", "source", "metadata"), wanted, "terms")
-
-    def points(total: Column, term: Column) -> Column:
-        like = F.concat(F.lit("%"), term, F.lit("%"))
-        hit = lambda c, n: F.when(F.call_function("ilike", F.coalesce(F.col(c), F.lit("")), like), n).otherwise(0)
-        return total + hit("content", 2) + hit("source", 4) + hit("metadata", 1)
+def lexical_scores(chunks: DataFrame, queries: DataFrame, terms: int = 10, aliases: dict | None = None, phrases: dict | None = None) -> DataFrame:
+    """query_id, chunk_id, lexical_score > 0: 2 for a term in the content, 4 in the source, 1 in the metadata; terms are LIKE patterns.
 
-    return rows.select("query_id", "chunk_id", F.aggregate("terms", F.lit(0), points).alias("lexical_score")).where("lexical_score > 0")
-
-
-def hybrid(chunks: DataFrame, queries: DataFrame, n: int = 25, tags: list[str] | None = None) -> DataFrame:
+    Texts are put in lower case once, before they meet the queries. A term without a wildcard is looked for as it is; only others are patterns.
+    """
+    wanted = queries.select("query_id", F.slice(X.search_terms(F.col("query"), aliases, phrases), 1, terms).alias("all"))
+    wild = lambda t: F.rlike(t, F.lit(r"[%_\\\\]"))
+    wanted = wanted.select("query_id", F.filter("all", lambda t: ~wild(t)).alias("plain"), F.transform(F.filter("all", wild), lambda t: F.concat(F.lit("%"), t, F.lit("%"))).alias("patterns")).where("size(plain) + size(patterns) > 0")
+    points = {"content": 2, "source": 4, "metadata": 1}
+    texts = chunks.select("chunk_id", *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in points])
+    rows = in_blocks(texts, wanted, "plain", "patterns")
+    score = F.lit(0)
+    holds = lambda c: lambda t: F.contains(F.col(c), t)
+    fits = lambda c: lambda t: F.call_function("like", F.col(c), t)
+    for c, n in points.items():
+        score = score + n * F.size(F.filter("plain", holds(c))) + n * F.size(F.filter("patterns", fits(c)))
+    return rows.select("query_id", "chunk_id", score.alias("lexical_score")).where("lexical_score > 0")
+
+
+def hybrid(chunks: DataFrame, queries: DataFrame, n: int = 25, tags: list[str] | None = None, aliases: dict | None = None, phrases: dict | None = None) -> DataFrame:
     """query_id, chunk_id, distance, lexical_score, path, ordinal: vector hits, then lexical hits of other contents.
 
     Chunks without an embedding are found by their words; their distance is null and comes last.
@@ -64,7 +75,7 @@ def hybrid(chunks: DataFrame, queries: DataFrame, n: int = 25, tags: list[str] |
         chunks = chunks.where(F.arrays_overlap("tags", X.literals(tags)))
     near = vector_top(chunks.where("embedding is not null"), queries, n)
     wanted = queries.withColumnRenamed("embedding", "wanted")
-    said = lexical_scores(chunks, queries).join(chunks.select("chunk_id", "embedding"), "chunk_id").join(wanted.select("query_id", "wanted"), "query_id")
+    said = lexical_scores(chunks, queries, aliases=aliases, phrases=phrases).join(chunks.select("chunk_id", "embedding"), "chunk_id").join(wanted.select("query_id", "wanted"), "query_id")
     said = said.select("query_id", "chunk_id", "lexical_score", S.l2(F.col("embedding"), F.col("wanted")).alias("distance"))
     said = top(said, max(10 * n, 200), F.col("lexical_score").desc(), F.col("distance").asc_nulls_last(), F.col("chunk_id"))
     both = near.select("query_id", "chunk_id", "distance", F.lit(0).alias("lexical_score"), F.lit("vector").alias("path"), F.lit(0).alias("p"), "rank").unionByName(
@@ -77,9 +88,8 @@ def hybrid(chunks: DataFrame, queries: DataFrame, n: int = 25, tags: list[str] |
     return both.withColumn("ordinal", F.row_number().over(Window.partitionBy("query_id").orderBy("p", "rank"))).drop("same", "seen", "p", "rank")
 
 
-def rerank_score(query: Column, content: Column, source: Column, tags: Column, distance: Column, collection: Column, flags: Column) -> Column:
-    """The heuristic score of a hit."""
-    terms = X.search_terms(query)
+def rerank_score(query: Column, terms: Column, content: Column, source: Column, tags: Column, distance: Column, collection: Column, flags: Column) -> Column:
+    """The heuristic score of a hit; terms: search_terms() of the query."""
     source = F.lower(F.coalesce(source, F.lit("")))
     tagged = F.lower(F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " "))
     lower = F.lower(content)
@@ -115,14 +125,16 @@ def rerank_score(query: Column, content: Column, source: Column, tags: Column, d
     return score - X.low_quality(content) - X.flag_penalty(flags, 12, 18, 3) - F.least(F.length(content), F.lit(3000)) / 6000
 
 
-def reranked(hits: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def reranked(hits: DataFrame, chunks: DataFrame, queries: DataFrame, aliases: dict | None = None, phrases: dict | None = None) -> DataFrame:
     """hits with the chunk's columns, score and rank (from 1): best score first, ties as they came."""
-    rows = hits.join(chunks.drop("embedding"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
+    # The terms are worked out once a query, not once a hit.
+    asked = in_place(queries.select("query_id", "query", X.search_terms(F.col("query"), aliases, phrases).alias("__terms")))
+    rows = hits.join(chunks.drop("embedding"), "chunk_id").join(asked, "query_id")
     for name, kind in (("collection", "string"), ("flags", "array<string>")):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
-    rows = rows.withColumn("score", rerank_score(*[F.col(c) for c in ("query", "content", "source", "tags", "distance", "collection", "flags")]))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "ordinal")))
+    rows = rows.withColumn("score", rerank_score(*[F.col(c) for c in ("query", "__terms", "content", "source", "tags", "distance", "collection", "flags")]))
+    return rows.drop("__terms").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "ordinal")))
 
 
 def cleaned(ranked: DataFrame, n: int = 3, least: int = 30) -> DataFrame:

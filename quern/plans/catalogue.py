@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as X
 from ..operators import anchors, chunking, context, conversations, fusion, gate, graph, ingest, search, telemetry, web
-from ..session import share_code
+from ..session import share_code, stored
 from . import pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,10 +36,10 @@ def query(sql: str | None = None):
 # How the driver's tables stand for the engine's: documents are chunks, benchmark items with an id divisible by 50 are queries.
 
 
-def chunk_table(t, how: str = "inner") -> DataFrame:
-    """Documents with a vector, as the SQL has them; with ``how`` left all documents, embedding null where there is none."""
+def chunk_table(t) -> DataFrame:
+    """All documents; embedding is null where there is no vector."""
     vectors = t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    rows = t("documents").join(vectors, "doc_id", how)
+    rows = t("documents").join(vectors, "doc_id", "left")
     return rows.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source", F.array("lang").alias("tags"), F.concat(F.lit('{"source": "'), F.col("source"), F.lit('", "lang": "'), F.col("lang"), F.lit('"}')).alias("metadata"), "embedding")
 
 
@@ -73,7 +73,7 @@ def triple_table(t) -> DataFrame:
 
 
 def full_graph(t) -> DataFrame:
-    return graph.upserted(edge_table(t), triple_table(t)).select(*graph.EDGE, "sources")
+    return stored(graph.upserted(edge_table(t), triple_table(t)).select(*graph.EDGE, "sources"), "graph")
 
 
 EDGES_SQL = """
@@ -98,7 +98,7 @@ terms AS (
     FROM benchmark WHERE item_id % 50 = 0)
   WHERE len(term) >= 3 AND term NOT IN ('and', 'are', 'czy', 'dla', 'for', 'jak', 'jest', 'kto', 'mowi', 'mówi', 'oraz', 'the', 'with', 'wczoraj') GROUP BY query_id, term),
 q AS (SELECT b.item_id AS query_id, b.text AS query, e.embedding AS wanted FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id WHERE b.item_id % 50 = 0),
-chunks AS (SELECT doc_id AS chunk_id, text AS content, source, lang, '{"source": "' || source || '", "lang": "' || lang || '"}' AS metadata, embedding FROM documents JOIN embeddings ON vec_id = doc_id)
+chunks AS (SELECT doc_id AS chunk_id, text AS content, source, lang, '{"source": "' || source || '", "lang": "' || lang || '"}' AS metadata, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id)
 """
 FIRST_TERMS_SQL = "firsts AS (SELECT query_id, term FROM terms QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o) <= 10)"
 LEXICAL_SQL = f"""{TERMS_SQL}, {FIRST_TERMS_SQL},
@@ -106,8 +106,8 @@ lexical AS (
   SELECT q.query_id, chunk_id, sum((content ILIKE '%' || term || '%')::INT * 2 + (source ILIKE '%' || term || '%')::INT * 4 + (metadata ILIKE '%' || term || '%')::INT) AS lexical_score
   FROM chunks, firsts JOIN q USING (query_id) GROUP BY q.query_id, chunk_id HAVING lexical_score > 0)"""
 HYBRID_SQL = f"""{LEXICAL_SQL},
-near AS (SELECT query_id, chunk_id, md5(content) AS same, {L2_SQL.format(a="embedding", b="wanted")} AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS r FROM chunks, q QUALIFY r <= 25),
-said AS (SELECT l.query_id, l.chunk_id, md5(content) AS same, l.lexical_score, {L2_SQL.format(a="embedding", b="wanted")} AS distance, row_number() OVER (PARTITION BY l.query_id ORDER BY l.lexical_score DESC, distance, l.chunk_id) AS r
+near AS (SELECT query_id, chunk_id, md5(content) AS same, {L2_SQL.format(a="embedding", b="wanted")} AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS r FROM chunks, q WHERE embedding IS NOT NULL QUALIFY r <= 25),
+said AS (SELECT l.query_id, l.chunk_id, md5(content) AS same, l.lexical_score, {L2_SQL.format(a="embedding", b="wanted")} AS distance, row_number() OVER (PARTITION BY l.query_id ORDER BY l.lexical_score DESC, distance ASC NULLS LAST, l.chunk_id) AS r
   FROM lexical l JOIN chunks USING (chunk_id) JOIN q ON q.query_id = l.query_id QUALIFY r <= 250),
 both_paths AS (SELECT query_id, chunk_id, distance, 0 AS lexical_score, 'vector' AS path, 0 AS p, r, same FROM near UNION ALL SELECT query_id, chunk_id, distance, lexical_score, 'lexical', 1, r, same FROM said),
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, same ORDER BY p, r) AS seen FROM both_paths) WHERE p = 0 OR seen = 1),
@@ -118,7 +118,7 @@ RERANK_SQL = f"""{HYBRID_SQL},
 counted AS (SELECT h.query_id, h.chunk_id, any_value(h.distance) AS distance, any_value(h.ordinal) AS ordinal, any_value(content) AS content, any_value(c.source) AS source,
     coalesce(sum(8 * contains(c.source, term)::INT + 6 * contains(lang, term)::INT + 4 * contains(lower(content), term)::INT), 0) AS words, coalesce(sum(contains(lower(content), term)::INT), 0) AS hits
   FROM hybrid h JOIN chunks c USING (chunk_id) LEFT JOIN terms t ON t.query_id = h.query_id GROUP BY h.query_id, h.chunk_id),
-scored AS (SELECT *, words - least(distance, 50) * 0.25 + CASE WHEN hits >= 2 THEN 12 ELSE 0 END - ({LOW_SQL.format(c="content")}) - least(len(content), 3000) / 6000 AS score FROM counted),
+scored AS (SELECT *, words - least(coalesce(distance, 0), 50) * 0.25 + CASE WHEN hits >= 2 THEN 12 ELSE 0 END - ({LOW_SQL.format(c="content")}) - least(len(content), 3000) / 6000 AS score FROM counted),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ordinal) AS rank FROM scored)"""
 
 
@@ -173,10 +173,10 @@ def q_lexical_score(t):
     return search.lexical_scores(chunk_table(t), query_table(t))
 
 
-@query()
+@query(f"WITH {LEXICAL_SQL} SELECT query_id, chunk_id, CAST(lexical_score AS INT) AS lexical_score FROM lexical")
 def q_lexical_score_all(t):
-    """q_lexical_score over all documents, with or without a vector."""
-    return search.lexical_scores(chunk_table(t, "left"), query_table(t))
+    """The same as q_lexical_score, which takes all documents too."""
+    return search.lexical_scores(chunk_table(t), query_table(t))
 
 
 @query(f"WITH {HYBRID_SQL} SELECT query_id, chunk_id, round(distance, 4) AS distance, CAST(lexical_score AS INT) AS lexical_score, path, CAST(ordinal AS INT) AS ordinal FROM hybrid")
@@ -184,10 +184,10 @@ def q_hybrid_union(t):
     return search.hybrid(chunk_table(t), query_table(t)).select("query_id", "chunk_id", F.round("distance", 4).alias("distance"), "lexical_score", "path", "ordinal")
 
 
-@query()
+@query(f"WITH {HYBRID_SQL} SELECT query_id, chunk_id, round(distance, 4) AS distance, CAST(lexical_score AS INT) AS lexical_score, path, CAST(ordinal AS INT) AS ordinal FROM hybrid")
 def q_hybrid_union_all(t):
-    """q_hybrid_union over all documents, with or without a vector."""
-    return search.hybrid(chunk_table(t, "left"), query_table(t)).select("query_id", "chunk_id", F.round("distance", 4).alias("distance"), "lexical_score", "path", "ordinal")
+    """The same as q_hybrid_union, which takes all documents too."""
+    return search.hybrid(chunk_table(t), query_table(t)).select("query_id", "chunk_id", F.round("distance", 4).alias("distance"), "lexical_score", "path", "ordinal")
 
 
 @query(f"WITH {RERANK_SQL} SELECT query_id, chunk_id, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM ranked")
@@ -303,14 +303,17 @@ def q_graph_scored(t):
     return graph.scored_search(full_graph(t), name_queries(t)).select("query_id", *graph.EDGE, "graph_score", "rank")
 
 
-@query(f"""WITH {TERMS_SQL},
+EVIDENCE_SQL = f"""WITH {TERMS_SQL},
 ev AS (SELECT query_id, term FROM (SELECT query_id, term, min(o) AS o FROM (
     SELECT item_id AS query_id, unnest(list_transform(regexp_split_to_array(trim(replace(lower(text), '_', ' ')), '\\s+'), lambda w: trim(w, '.,:;!?()[]{{}}''"`-/'))) AS term, generate_subscripts(regexp_split_to_array(trim(replace(lower(text), '_', ' ')), '\\s+'), 1) AS o FROM benchmark WHERE item_id % 50 = 0)
   WHERE len(term) >= 3 AND term NOT IN ('and', 'are', 'czy', 'dla', 'for', 'jak', 'jest', 'kto', 'mowi', 'mówi', 'oraz', 'the', 'with', 'wczoraj') GROUP BY query_id, term) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o) <= 30),
 looked AS (SELECT query_id, chunk_id, content, source FROM chunks, q QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) <= 500),
 h AS (SELECT l.query_id, chunk_id, source, count(*) AS hits FROM looked l JOIN ev ON ev.query_id = l.query_id AND contains(lower(content), term) GROUP BY ALL),
 b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY hits DESC, chunk_id) = 1)
-SELECT query_id, chunk_id, source, CAST(hits AS INT) AS hits, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) AS INT) AS rank FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) <= 6""")
+SELECT query_id, chunk_id, source, CAST(hits AS INT) AS hits, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) AS INT) AS rank FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) <= 6"""
+
+
+@query(EVIDENCE_SQL)
 def q_evidence(t):
     chunks = chunk_table(t)
     asked = query_table(t).select("query_id", X.evidence_terms(F.col("query")).alias("terms"))
@@ -318,10 +321,10 @@ def q_evidence(t):
     return search.evidence(chunks, wanted).select("query_id", "chunk_id", "source", "hits", "rank")
 
 
-@query()
+@query(EVIDENCE_SQL.replace(" QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) <= 500", ""))
 def q_evidence_all(t):
     """q_evidence over all chunks of all documents: no vector is needed, and no 500 chunks are the first."""
-    chunks = chunk_table(t, "left")
+    chunks = chunk_table(t)
     asked = query_table(t).select("query_id", X.evidence_terms(F.col("query")).alias("terms"))
     wanted = chunks.select("source").distinct().crossJoin(F.broadcast(asked))
     return search.evidence(chunks, wanted, most=None).select("query_id", "chunk_id", "source", "hits", "rank")
@@ -352,6 +355,15 @@ def q_rrf_fusion(t):
     return fusion.fused(candidate_table(t)).select("query_id", "key", "fused_score", "reason", "fused_rank")
 
 
+@query(rf"""WITH {RERANK_SQL}, s AS (SELECT *, row_number() OVER (PARTITION BY query_id, lower(trim(content)) ORDER BY rank) AS seen FROM ranked WHERE len(trim(content)) >= 30),
+f AS (SELECT query_id, chunk_id, content, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM s WHERE seen = 1 QUALIFY place <= 20)
+SELECT query_id, chunk_id, md5(lower(trim(content))) AS same, CAST(place AS INT) AS ordinal FROM f""")
+def q_first_hits(t):
+    """The hits that contexts are made from: hybrid search of all documents, reranked and cleaned."""
+    rows = pipelines.first_hits(chunk_table(t), query_table(t), 20)
+    return rows.select("query_id", "chunk_id", F.md5(F.lower(X.stripped(F.col("content")))).alias("same"), F.col("rank").alias("ordinal"))
+
+
 @query()
 def q_relevance_gate(t):
     hits = pipelines.first_hits(chunk_table(t), query_table(t), 5)
@@ -367,7 +379,7 @@ def q_pack_prefix(t):
 
 @query()
 def q_pack_truncate(t):
-    hits = search.reranked(search.hybrid(chunk_table(t), query_table(t)), chunk_table(t), query_table(t)).where("rank <= 20").persist()
+    hits = search.reranked(search.hybrid(chunk_table(t), query_table(t)), chunk_table(t), query_table(t)).where("rank <= 20")
     items = hits.select("query_id", F.col("rank").alias("ordinal"), F.lit("vector").alias("type"), "content", "chunk_id")
     return context.packed(items).select("query_id", "ordinal", "chunk_id", "truncated", F.length("content").alias("n_chars"))
 
@@ -445,9 +457,18 @@ def q_feedback_recent(t):
 
 @query("SELECT item_id, count(doc_id) AS n_documents, count(doc_id) > 0 AS passed FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def q_golden(t):
-    """Benchmark items are a stated query set, broadcast; every document's text is searched for each of them."""
+    """Benchmark items are a stated query set; a document's text is searched for those of which it has a word."""
     items = t("benchmark").select("item_id", F.col("text").alias("wanted"))
-    found = t("documents").join(F.broadcast(items), F.contains("text", F.col("wanted"))).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+    # A text that contains an item contains its longest word that no border of the item cuts; items without one are compared with all.
+    inner = F.filter(F.slice(F.split("wanted", "[^A-Za-z0-9]+"), 2, 100_000), lambda w: w != "")
+    inner = F.slice(inner, 1, F.greatest(F.size(inner) - 1, F.lit(0)))
+    word = F.get(F.sort_array(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False), F.lit(0)).w
+    items = items.withColumn("word", word)
+    words = t("documents").select("text", F.explode(F.array_distinct(F.split("text", "[^A-Za-z0-9]+"))).alias("word"))
+    texts = words.join(search.in_place(items.where("word is not null").withColumnRenamed("item_id", "query_id")), "word").withColumnRenamed("query_id", "item_id").where(F.contains("text", F.col("wanted")))
+    rest = items.where("word is null").select(F.col("item_id").alias("query_id"), "wanted")
+    others = search.in_blocks(t("documents").select("text"), rest, "wanted").where(F.contains("text", F.col("wanted"))).select(F.col("query_id").alias("item_id"))
+    found = texts.select("item_id").unionByName(others).groupBy("item_id").agg(F.count("*").alias("n_documents"))
     rows = items.select("item_id").join(found, "item_id", "left").withColumn("n_documents", F.coalesce("n_documents", F.lit(0)).cast("long"))
     return rows.select("item_id", "n_documents", (F.col("n_documents") > 0).alias("passed"))
 
@@ -457,6 +478,54 @@ def q_source_rollup(t):
     return t("documents").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"), F.count_if(F.length("text") >= 250).alias("n_long"))
 
 
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, list_filter(string_split(regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages)
+SELECT page_id, lower(host) || CASE WHEN len(parts) > 0 THEN '/' || array_to_string(parts[1:2], '/') ELSE '' END AS scope FROM p""")
+def q_source_scope(t):
+    return t("pages").select("page_id", X.source_scope(F.col("url")).alias("scope"))
+
+
+@query(f"""WITH q AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+n AS (SELECT conv_id, turn, {NORM_SQL} AS q, {NORM_SQL.replace("(text,", "(answer,")} AS a FROM q WHERE role = 'user' AND next_role = 'assistant')
+SELECT conv_id, turn, 'chatgpt' AS source, md5('# ChatGPT Q/A' || chr(10) || chr(10) || '#chatgpt' || chr(10) || chr(10) || '## Pytanie' || chr(10) || q || chr(10) || chr(10) || '## Odpowiedź' || chr(10) || a || chr(10)) AS text_md5
+FROM n WHERE len(q) >= 30 AND len(a) >= 30""")
+def q_qa_import(t):
+    rows = conversations.imported(conversations.pairs(t("conversations")))
+    return rows.select("conv_id", "turn", "source", F.md5("text").alias("text_md5"))
+
+
+@query("""WITH p AS (SELECT *, list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]) AS ws FROM part),
+r AS (SELECT array_to_string(ws, ' ') = p_name AND 'Brand' || p_brand[6:] = lower(p_brand) AND p_partkey % 4 = 9 AS same, p_partkey % 4 = 3 AS gone FROM p)
+SELECT CASE WHEN gone THEN 'delete' WHEN same THEN 'keep' ELSE 'rewrite' END AS action, count(*) AS n FROM r GROUP BY 1""")
+def q_cleanup_report(t):
+    return graph.cleanup_report(raw_edges(t))[0]
+
+
+@query("""WITH e AS (SELECT n_name AS s, 'is_a' AS r, r_name AS t FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT s_name, 'runs_on', n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+n AS (SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION SELECT s_name FROM supplier UNION SELECT c_name FROM customer)
+SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(DISTINCT r) FROM e) AS types,
+  (SELECT count(*) FROM n WHERE name NOT IN (SELECT s FROM e) AND name NOT IN (SELECT t FROM e)) AS isolated""")
+def q_graph_counts(t):
+    nodes = t("nation").select(F.col("n_name").alias("name")).union(t("region").select("r_name")).union(t("supplier").select("s_name")).union(t("customer").select("c_name")).distinct()
+    return graph.counts(nodes, edge_table(t))
+
+
+@query()
+def q_variant_search(t):
+    """Other wordings: the query's first half."""
+    half = F.array(F.substring("query", F.lit(1), F.floor(F.length("query") / 2).cast("int")))
+    return pipelines.variant_search(chunk_table(t), query_table(t), tags=["en"], hints=half).select("query_id", "chunk_id", "ordinal", "priority")
+
+
+@query(r"""WITH c AS (SELECT url, page_id % 3 = 0 AS known FROM (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url))
+SELECT count(*) AS pages_found, count(*) FILTER (WHERE NOT known) AS pages_imported, count(*) FILTER (WHERE known) AS duplicate_pages, CAST(0 AS BIGINT) AS deleted_chunks FROM c""")
+def q_website_import(t):
+    """All pages as if crawled; every third address is a source already."""
+    first = t("pages").groupBy("url").agg(F.min("page_id").alias("page_id"), F.min_by("html", "page_id").alias("html"))
+    found = web.read(first).select("url", "title", "text")
+    known = first.where("page_id % 3 = 0").select(F.col("url").alias("source"))
+    return web.imported(found, known)[2]
+
+
 @query()
 def q_document_relations(t):
     return anchors.relations(t("documents").select("source", "text")).groupBy("source", "relation", "target").agg(F.count("*").alias("n"))

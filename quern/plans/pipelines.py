@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as X
-from ..operators import context, fusion, gate, graph, search
+from ..operators import answers, context, fusion, gate, graph, search
+from ..session import stored
 
 
 def first_hits(chunks: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
     """Hybrid search, reranked and cleaned: query_id, chunk_id, content, source, tags, distance, rank.
 
-    Persisted, as all later steps read these few rows of each query; the plan would else be repeated in each.
+    Written to the shared folder, as all later steps read these few rows of each query; the plan would else be repeated in each.
     """
-    return search.cleaned(search.reranked(search.hybrid(chunks, queries), chunks, queries), n).persist()
+    return stored(search.cleaned(search.reranked(search.hybrid(chunks, queries), chunks, queries), n), "hits")
 
 
 def graph_queries(queries: DataFrame, hits: DataFrame) -> DataFrame:
@@ -32,7 +33,14 @@ def evidence_hits(chunks: DataFrame, queries: DataFrame, hits: DataFrame, relati
     said = said.groupBy("query_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", "said"))), lambda x: x.said), 1, 12).alias("said"))
     terms = queries.join(said, "query_id", "left").select("query_id", X.evidence_terms(F.concat_ws(" ", F.array("query"), F.coalesce("said", F.array().cast("array<string>")))).alias("terms"))
     wanted = relations.select("query_id", F.explode("sources").alias("source")).distinct().join(hits.select("query_id", "source").distinct(), ["query_id", "source"], "left_anti")
-    return search.evidence(chunks, wanted.join(terms, "query_id"), hits.select("query_id", "content"), n)
+    return search.evidence(chunks, in_scope(wanted, hits).join(terms, "query_id"), hits.select("query_id", "content"), n)
+
+
+def in_scope(wanted: DataFrame, hits: DataFrame) -> DataFrame:
+    """wanted (query_id, source) of the scopes that the query's hits come from; all where no hit has a source."""
+    scopes = hits.where("source <> ''").groupBy("query_id").agg(F.collect_set(X.source_scope(F.col("source"))).alias("scopes"))
+    rows = wanted.join(scopes, "query_id", "left").where(F.col("scopes").isNull() | F.array_contains("scopes", X.source_scope(F.col("source"))))
+    return rows.drop("scopes")
 
 
 def _items(hits: DataFrame, relations: DataFrame, proofs: DataFrame) -> DataFrame:
@@ -51,9 +59,9 @@ def _items(hits: DataFrame, relations: DataFrame, proofs: DataFrame) -> DataFram
 def hybrid_context(chunks: DataFrame, queries: DataFrame, edges: DataFrame, n_vector: int = 5, n_graph: int = 10, n_evidence: int = 5, budget: int = 12000) -> tuple[DataFrame, DataFrame]:
     """(items, decisions): the context of each query, hits first, then relations, then evidence, and the gate's verdict."""
     hits = first_hits(chunks, queries, max(1, min(n_vector, 10)))
-    relations = graph.search(edges, graph_queries(queries, hits), max(0, min(n_graph, 30))).persist()
-    proofs = evidence_hits(chunks, queries, hits, relations, max(0, min(n_evidence, 12))).persist()
-    packed = context.packed(_items(hits, relations, proofs).persist(), max(2000, min(budget, 50000)))
+    relations = stored(graph.search(edges, graph_queries(queries, hits), max(0, min(n_graph, 30))), "relations")
+    proofs = stored(evidence_hits(chunks, queries, hits, relations, max(0, min(n_evidence, 12))), "evidence")
+    packed = context.packed(stored(_items(hits, relations, proofs), "items"), max(2000, min(budget, 50000)))
     decisions, judged = gate.decided(queries, packed)
     return judged, decisions
 
@@ -61,8 +69,8 @@ def hybrid_context(chunks: DataFrame, queries: DataFrame, edges: DataFrame, n_ve
 def hybrid_context_fused(chunks: DataFrame, queries: DataFrame, edges: DataFrame, n_vector: int = 5, n_graph: int = 10, n_evidence: int = 5, budget: int = 12000) -> tuple[DataFrame, DataFrame]:
     """The same with scored graph search and rank fusion of the three paths."""
     hits = first_hits(chunks, queries, n_vector)
-    relations = graph.scored_search(edges, graph_queries(queries, hits), n_graph).persist()
-    proofs = evidence_hits(chunks, queries, hits, relations, n_evidence).persist()
+    relations = stored(graph.scored_search(edges, graph_queries(queries, hits), n_graph), "relations")
+    proofs = stored(evidence_hits(chunks, queries, hits, relations, n_evidence), "evidence")
     n_terms = F.greatest(F.size(X.evidence_terms(F.col("query"))), F.lit(1))
     items = _items(hits, relations.drop("fulltext"), proofs)
     scored = items.join(relations.select("query_id", F.concat(F.col("source"), F.lit(" --"), F.col("relation"), F.lit("--> "), F.col("target")).alias("content"), F.col("graph_score").alias("g")), ["query_id", "content"], "left")
@@ -71,7 +79,7 @@ def hybrid_context_fused(chunks: DataFrame, queries: DataFrame, edges: DataFrame
     score = F.when(F.col("type") == "vector", S.calibrated_score(F.col("distance"))).when(F.col("type") == "graph", F.col("g")).otherwise(F.col("e"))
     by_path = Window.partitionBy("query_id", "type").orderBy("ordinal")
     candidates = scored.select("query_id", path.alias("path"), (F.row_number().over(by_path) - 1).alias("rank"), "content", "source", "type", score.alias("score"), F.when(F.col("type") == "graph", F.col("content")).alias("traversal"))
-    fused = fusion.fused(candidates).withColumnRenamed("fused_rank", "ordinal").persist()
+    fused = stored(fusion.fused(candidates).withColumnRenamed("fused_rank", "ordinal"), "fused")
     packed = context.packed(fused, budget)
     decisions, judged = gate.decided(queries, packed)
     return judged, decisions
@@ -87,3 +95,26 @@ def variants_of(queries: DataFrame, hints: Column | None = None) -> DataFrame:
     """queries with other wordings as rows of their own, unique without case."""
     lists = F.concat(F.array("query"), hints) if hints is not None else F.array("query")
     return queries.select("query_id", F.posexplode(X.unique_without_case(F.filter(lists, lambda q: q.isNotNull() & (q != "")))).alias("variant", "query"), *[c for c in queries.columns if c not in ("query_id", "query")])
+
+
+def variant_search(chunks: DataFrame, queries: DataFrame, n: int = 20, tags: list[str] | None = None, hints: Column | None = None) -> DataFrame:
+    """query_id, chunk_id, content, ordinal, priority: hybrid search of every wording of a query, with the tags and, if there are any, without.
+
+    Hits of equal content (without case and outer space) count once, at the first wording that finds them; the best for operations come
+    first, else in the order found. ``queries``: query_id, query, embedding (the other wordings take the query's vector).
+    """
+    asked = variants_of(queries, hints)
+    # A wording is a query of its own; its number is made from the query's, so nothing is numbered over all.
+    asked = asked.withColumn("own", F.xxhash64("query_id", "variant"))
+    one = asked.select(F.col("own").alias("query_id"), "query", "embedding")
+    found = search.hybrid(chunks, one, tags=tags).withColumn("turn", F.lit(0))
+    if tags:
+        found = found.unionByName(search.hybrid(chunks, one).withColumn("turn", F.lit(1)))
+    rows = found.withColumnRenamed("query_id", "own").join(asked.select("own", "query_id", "variant"), "own").join(chunks.select("chunk_id", "content"), "chunk_id")
+    rows = rows.withColumn("same", F.md5(F.lower(X.stripped(F.col("content")))))
+    first = Window.partitionBy("query_id", "same").orderBy("variant", "turn", "ordinal")
+    rows = rows.withColumn("seen", F.row_number().over(first)).where("seen = 1")
+    rows = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("query_id").orderBy("variant", "turn", "ordinal")))
+    whole = asked.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("variant", "query"))), lambda x: x.query), "\n").alias("query"))
+    ranked = answers.prioritized(rows.select("query_id", "chunk_id", "content", "ordinal").join(whole, "query_id"))
+    return ranked.where(F.col("priority") <= n).select("query_id", "chunk_id", "content", "ordinal", "priority")

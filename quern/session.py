@@ -1,10 +1,12 @@
-"""Session set-up."""
+"""Session set-up, the shared folder and tables written there."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -35,3 +37,31 @@ def local_session(app: str = "quern", cores: int = 8, partitions: int = 8, memor
     spark.sparkContext.setLogLevel("ERROR")
     share_code(spark)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where unset (tests), a temporary one is set.
+
+    The temporary folder is only right in local mode, where driver and executors are one machine.
+    """
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not at:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="quern-")
+        sc.setCheckpointDir(at)
+    elif not sc.getCheckpointDir():
+        sc.setCheckpointDir(at)
+    return at
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/quern/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder as Parquet and read again: its lineage is cut, and it outlives executors."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

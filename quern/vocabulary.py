@@ -2,7 +2,7 @@
 
 # Relation types and how much each weighs when relations compete.
 RELATION_PRIORITY = {
-    "depends_on": 80, "requires": 78, "builds_on": 76, "runs_on": 74, "uses": 70, "is_a": 68, "provides": 66, "stores": 64,
+    "is_a": 68, "depends_on": 80, "requires": 78, "builds_on": 76, "runs_on": 74, "uses": 70, "provides": 66, "stores": 64,
     "hosts": 62, "manages": 60, "supports": 58, "exposes": 56, "contains": 54, "includes": 52, "creates": 50, "accesses": 48,
     "allows": 46, "extends": 42, "has": 30, "is_managed_by": 28,
 }

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import context, conversations, fusion, gate, graph, ingest, search, telemetry, web
+from quern.operators import chunking, context, conversations, fusion, gate, graph, ingest, search, telemetry, web
 from quern.sources import files
 from quern.sources.tables import VersionedTable
 from quern.streaming.ingest import document_stream, ingest_stream
@@ -92,7 +92,68 @@ def test_web(spark):
     assert web.page(f"<nav><br>menu</nav><p>{body}</p>", "https://ex.com/")[1] == ""  # a void tag in a skipped part counts as nested
     rows = [(1, "https://ex.com/a/", f"<article>{body}<a href='b'>bbb</a><a href='/other'>c</a></article>"), (2, "https://ex.com/a/b", f"<article>{body}</article>"), (3, "https://ex.com/other", body)]
     pages = web.read(spark.createDataFrame(rows, "page_id long, url string, html string"))
-    assert [(r.url, r.depth) for r in web.crawled(pages, "https://ex.com/a/").collect()] == [("https://ex.com/a/b", 1)] or web.crawled(pages, "https://ex.com/a/").count() == 2
+    seen = web.crawled(pages, "https://ex.com/a/").orderBy("visit").collect()
+    assert [(r.at, r.depth, r.visit, r.found) for r in seen] == [("https://ex.com/a", 0, 0, True), ("https://ex.com/a/b", 1, 1, True)]
+
+
+def test_crawl_goes_to_the_end_in_order(spark):
+    """A chain of 30 pages, which link back and out of scope; short pages and missing ones are visits too."""
+    page = lambda i: f"<article>{'word ' * (80 if i != 3 else 2)}<a href='p{i + 1}'>a</a><a href='p{i - 1}'>b</a><a href='/other'>c</a></article>"
+    rows = [(i, f"https://ex.com/a/p{i}/", page(i).replace("href='p", "href='/a/p")) for i in range(30)]
+    pages = web.read(spark.createDataFrame([*rows, (99, "https://ex.com/a/", "<a href='/a/p0'>x</a>")], "page_id long, url string, html string")).cache()
+    got, totals = web.crawled_pages(pages, "https://ex.com/a/", 100)
+    assert [r.url for r in got.collect()] == [f"https://ex.com/a/p{i}/" for i in range(30) if i != 3]
+    assert totals.first().asDict() == {"visited": 33, "kept": 29, "skipped": 2, "errors": 2}
+    few, totals = web.crawled_pages(pages, "https://ex.com/a/", 6)
+    assert totals.first().visited == 6 and few.count() == 3
+
+
+def test_website_import(spark):
+    found = spark.createDataFrame([("https://a/1", "One", "x"), ("https://a/2", "Two", "y")], "url string, title string, text string")
+    chunks = spark.createDataFrame([("https://a/1", "old"), ("https://a/1", "older"), ("b", "c")], "source string, content string")
+    docs, kept, totals = web.imported(found, chunks)
+    assert [tuple(r) for r in docs.collect()] == [("https://a/2", "# Two\n\nSource: https://a/2\n\ny")] and kept.count() == 3
+    assert tuple(totals.first()) == (2, 1, 1, 0)
+    docs, kept, totals = web.imported(found, chunks, True)
+    assert docs.count() == 2 and [r.source for r in kept.collect()] == ["b"] and tuple(totals.first()) == (2, 2, 0, 2)
+
+
+def test_code_blocks():
+    py = "import os\n\nclass A:\n    def f(self): pass\n\ndef g():\n    return 1\n"
+    assert list(chunking.blocks(py, "python")) == [("class A:", "import os\n\nclass A:\n    def f(self): pass"), ("def g():", "def g():\n    return 1")]
+    assert list(chunking.blocks("x = 1", "python")) == [(None, "x = 1")]
+    assert list(chunking.blocks("kind: Pod\nmetadata:\n  name: a-b\n---\n---\nx: 1", "yaml")) == [("Pod a-b", "kind: Pod\nmetadata:\n  name: a-b"), ("YAML document 3", "x: 1")]
+    assert list(chunking.blocks("SELECT 1;\n\nSELECT\n 2", "sql")) == [("SQL statement 1: SELECT 1;", "SELECT 1;"), ("SQL statement 2: SELECT", "SELECT\n 2")]
+
+
+def test_repository_rules(spark):
+    rels = ["Dockerfile", "README", "README.md", "src/a.py", "docs/x.json", "x.json", "design.txt", "deploy/.env", "charts/v.yaml", "a.rsc"]
+    rows = spark.createDataFrame([(r,) for r in rels], "rel string").select("rel", files.for_graph(F.col("rel")).alias("g"), files.graph_text(F.lit("c"), F.col("rel"), F.lit("T")).alias("t")).collect()
+    assert {r.rel for r in rows if r.g} == set(rels) - {"src/a.py", "x.json", "deploy/.env"}
+    text = {r.rel: r.t for r in rows}
+    assert text["README.md"].startswith("# c README\n\nRepository: c\nPath: README.md\n\nT") and text["docs/x.json"].startswith("# x\n") and text["src/a.py"].startswith("# a\n")
+
+
+def test_aliases_reach_the_search(spark):
+    chunks = spark.createDataFrame([(1, "the engine room", "s", ["t"], "{}", None)], "chunk_id long, content string, source string, tags array<string>, metadata string, embedding array<double>")
+    queries = spark.createDataFrame([(1, "motor 100%")], "query_id long, query string")
+    assert search.lexical_scores(chunks, queries).count() == 0
+    assert search.lexical_scores(chunks, queries, aliases={"motor": ("motor", "engine")}).first().lexical_score == 2
+
+
+def test_relations_extracted(spark):
+    docs = spark.createDataFrame([("d1", "Kubernetes uses Neo4j here."), ("d2", "nothing")], "source string, text string")
+    triples = spark.createDataFrame([("d1", "k8s", "used by", "neo4j"), ("d1", "k8s", "uses", "Ceph"), ("d2", "a", "zz", "b"), ("d1", "Kubernetes", "uses", "Neo4j")], "document string, source string, relation string, target string")
+    found, counters = graph.extracted(docs, triples)
+    assert [tuple(r) for r in found.collect()] == [("Kubernetes", "uses", "Neo4j", "d1")]
+    assert {r.document: (r.valid, r.rejected) for r in counters.collect()} == {"d1": (2, 1), "d2": (0, 1)}
+
+
+def test_qa_import(spark):
+    q, a = "how do I list the pods in kubernetes today", "use kubectl get pods -n namespace to list them all; then filter by name"
+    qa = spark.createDataFrame([(1, 0, q, a), (1, 1, "short", a), (1, 2, "what is the best thing to see in town", "it depends on what you like, but do walk along the river side")], "conv_id long, turn long, question string, answer string")
+    assert sorted(r.turn for r in conversations.imported(qa).collect()) == [0, 2]
+    assert [r.turn for r in conversations.imported(qa, True).collect()] == [0]
 
 
 def test_ingest_and_stream(spark, tmp_path):
