@@ -1,47 +1,18 @@
-"""What the operators share: the shared folder, written tables, bounded broadcasts."""
+"""What the operators share: bounded broadcasts and batches; the shared folder and written tables are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import share_code
+from ..session import fresh_path, share_code, shared_dir, stored
+
+__all__ = ["BROADCAST_ROWS", "arrow_batches", "fresh_path", "maybe_broadcast", "shared_dir", "stored"]
 
 #: Rows up to which a table of a few longs a row (some 16 MB) may be broadcast.
 BROADCAST_ROWS = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where unset (tests), a temporary one is set.
-
-    The temporary folder is only right in local mode, where driver and executors are one machine.
-    """
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not at:
-        if sc.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = tempfile.mkdtemp(prefix="quern-")
-        sc.setCheckpointDir(at)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/quern/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: its lineage is cut, and it outlives executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df (already stored, so counting is cheap) with a broadcast hint if it has few enough rows."""
     n = df.count() if rows is None else rows
