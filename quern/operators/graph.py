@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..functions import scores as S
 from ..functions import text as X
+from ..session import stored
 from .search import in_blocks, in_place
 
 EDGE = ("source", "relation", "target")
@@ -26,24 +27,34 @@ def upserted(edges: DataFrame, triples: DataFrame) -> DataFrame:
     return rows.withColumn("source_count", F.size("sources"))
 
 
+def n_sources() -> Column:
+    return F.coalesce(F.size("sources"), F.lit(0))
+
+
+def with_sources(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows (few, of every query) with their edges' sources, which are joined last, as they are long."""
+    rows = stored(rows, "relations")
+    return edges.select(*EDGE, F.coalesce("sources", F.array().cast("array<string>")).alias("sources")).join(in_place(rows), list(EDGE))
+
+
 def matched(edges: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, edge, score of edges of allowed relations with a term in an end. queries: query_id, terms.
+    """query_id, edge, n (of its sources), score of edges of allowed relations with a term in an end. queries: query_id, terms.
 
     Names are far fewer than edges: each different name is compared with the queries once, and what was found is joined to the edges by name.
     """
-    allowed = edges.where(F.col("relation").isin(*V.RELATION_PRIORITY)).select(*EDGE, F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
+    allowed = edges.where(F.col("relation").isin(*V.RELATION_PRIORITY)).select(*EDGE, n_sources().alias("n"))
     names = allowed.select(F.col("source").alias("name")).union(allowed.select("target")).distinct()
     asked = queries.select("query_id", F.transform("terms", lambda t: F.lower(t)).alias("terms"))
     rows = in_blocks(names.select("name", F.lower("name").alias("lower")), asked, "terms")
     points = F.aggregate("terms", F.lit(0), lambda a, t: a + 10 * (F.col("lower") == t).cast("int") + 2 * F.contains("lower", t).cast("int"))
     hits = rows.select("query_id", "name", points.alias("points")).where("points > 0")
-    ends = [allowed.join(hits, F.col(end) == F.col("name")).select("query_id", *EDGE, "sources", "points") for end in ("source", "target")]
-    return ends[0].unionByName(ends[1]).groupBy("query_id", *EDGE).agg(F.first("sources").alias("sources"), F.sum("points").cast("int").alias("score"))
+    ends = [allowed.join(hits, F.col(end) == F.col("name")).select("query_id", *EDGE, "n", "points") for end in ("source", "target")]
+    return ends[0].unionByName(ends[1]).groupBy("query_id", *EDGE).agg(F.max("n").alias("n"), F.sum("points").cast("int").alias("score"))
 
 
-def best_of_pairs(rows: DataFrame, n: int, cap: int | None = None) -> DataFrame:
-    """Of each query the best edge of each pair of ends (without case), then the n best: by score, relation priority, number of sources."""
-    size = F.size("sources")
+def best_of_pairs(rows: DataFrame, most: int, cap: int | None = None) -> DataFrame:
+    """Of each query the best edge of each pair of ends (without case), then the ``most`` best: by score, relation priority, number of sources."""
+    size = F.col("n")
     tie = [F.col(c) for c in EDGE]
     if cap:
         rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), size.desc(), *tie))).where(F.col("r") <= cap).drop("r")
@@ -51,11 +62,11 @@ def best_of_pairs(rows: DataFrame, n: int, cap: int | None = None) -> DataFrame:
     rows = rows.where((size > 0) & (F.col("source") != "") & (F.col("target") != ""))
     pair = Window.partitionBy("query_id", F.lower("source"), F.lower("target")).orderBy(*rank)
     rows = rows.withColumn("r", F.row_number().over(pair)).where("r = 1").drop("r")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*rank))).where(F.col("rank") <= n)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*rank))).where(F.col("rank") <= most)
 
 
 def search(edges: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
-    return best_of_pairs(matched(edges, queries), n, max(20 * n, 100))
+    return with_sources(best_of_pairs(matched(edges, queries), n, max(20 * n, 100)).drop("n"), edges)
 
 
 def bm25(names: DataFrame, queries: DataFrame, n: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -78,18 +89,20 @@ def bm25(names: DataFrame, queries: DataFrame, n: int = 20, k1: float = 1.2, b:
 def scored_search(edges: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
     """Edges one hop from the entities that BM25 finds, by graph score; the best of each pair of ends."""
     names = edges.select(F.col("source").alias("name")).unionByName(edges.select(F.col("target").alias("name")))
-    found = bm25(names, queries).select("query_id", "name", F.col("score").alias("fulltext"))
-    allowed = edges.where(F.col("relation").isin(*V.RELATION_PRIORITY))
-    # One equi-join for each end instead of an OR in one join.
-    rows = allowed.join(found, allowed.source == found.name).drop("name").unionByName(allowed.join(found, allowed.target == found.name).drop("name"))
-    rows = rows.groupBy("query_id", *EDGE).agg(F.max("fulltext").alias("fulltext"), F.first("sources").alias("sources"))
+    found = stored(bm25(names, queries).select("query_id", "name", F.col("score").alias("fulltext")), "entities")
+    allowed = edges.where(F.col("relation").isin(*V.RELATION_PRIORITY)).select(*EDGE, n_sources().alias("n"))
+    ends = allowed.withColumn("name", F.col("source")).unionByName(allowed.where("source <> target").withColumn("name", F.col("target")))
+    # An edge is among a query's first 6 n only if it is among the first 6 n of the name that gives it its score.
+    near = ends.join(in_place(found.select("name").distinct()), "name", "left_semi")
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy(*EDGE))).where(F.col("r") <= 6 * n).drop("r")
+    rows = near.join(in_place(found), "name").groupBy("query_id", *EDGE).agg(F.max("fulltext").alias("fulltext"), F.max("n").alias("n"))
     cap = Window.partitionBy("query_id").orderBy(F.col("fulltext").desc(), *EDGE)
     rows = rows.withColumn("r", F.row_number().over(cap)).where(F.col("r") <= 6 * n).drop("r")
-    rows = rows.withColumn("graph_score", S.graph_score(F.col("fulltext"), F.col("relation"), F.size("sources")))
+    rows = rows.withColumn("graph_score", S.graph_score(F.col("fulltext"), F.col("relation"), F.col("n")))
     order = [F.col("graph_score").desc(), *[F.col(c) for c in EDGE]]
     pair = Window.partitionBy("query_id", F.lower("source"), F.lower("target")).orderBy(*order)
     rows = rows.withColumn("r", F.row_number().over(pair)).where("r = 1").drop("r")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= n)
+    return with_sources(rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= n).drop("n"), edges)
 
 
 def neighbourhood(edges: DataFrame, term: str, n: int = 100) -> tuple[DataFrame, DataFrame]:

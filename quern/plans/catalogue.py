@@ -17,13 +17,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores (one small file) is dealt out; any larger one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) == 1 and df.rdd.getNumPartitions() < cores else df
+
+
 def query(sql: str | None = None):
     """Registers a function under its name, with SQL for the same rows."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             share_code(spark)
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return f(lambda name: spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")))
 
         QUERIES[f.__name__] = run
         if sql:
