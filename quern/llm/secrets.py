@@ -102,7 +102,7 @@ def features(df: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
-    """(word, candidate, before, after, path, label): made by rule from row numbers, so always the same."""
+    """(form, word, candidate, before, after, path, label): made by rule from row numbers, so always the same."""
     hexed = lambda salt, n: F.substring(F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256), 1, n)
     odd = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
     pick = lambda salt, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), odd(salt, len(xs)) + 1)
@@ -137,7 +137,9 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     ]
     of = F.pmod(F.col("id"), F.lit(len(kinds)))
     case = lambda i: reduce(lambda e, k: e.when(of == k[0], k[1][i] if isinstance(k[1][i], Column) else F.lit(k[1][i])), enumerate(kinds), F.when(F.lit(False), None))
-    made = spark.range(0, rows, 1, 1).select(case(0).alias("word"), case(1).alias("before"), plain.alias("after"), pick("path", "src0", "src1", "web/page", "docs/readme", "app/main", "tests/fixtures").alias("path"), case(2).cast("double").alias("label"))
+    # Tests and documentation hold what isn't secret more often, but not only.
+    path = F.when(case(2) == 1, pick("path1", "src0", "src1", "web/page", "app/main", "app/settings", "tests/fixtures")).otherwise(pick("path0", "src0", "src1", "web/page", "docs/readme", "app/main", "tests/fixtures"))
+    made = spark.range(0, rows, 1, 1).select(of.cast("int").alias("form"), case(0).alias("word"), case(1).alias("before"), plain.alias("after"), path.alias("path"), case(2).cast("double").alias("label"))
     return made.withColumn("candidate", core(F.col("word"))).where("candidate is not null")
 
 
@@ -160,6 +162,20 @@ def trained(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Colu
     return reduce(lambda a, b: a + b, votes) / len(votes)
 
 
+def by_form(findings: DataFrame, folds: int = 4, threshold: float = THRESHOLD) -> DataFrame:
+    """(form, label, n, secrets): of each form's findings, how many a forest calls secrets that saw no finding of that form.
+
+    Findings in random rows share their forms with the training rows, which flatters; whole forms held out show what a new form meets.
+    """
+    fold = F.pmod(F.col("form") * 7, F.lit(folds))
+    parts = []
+    for i in range(folds):
+        vote = trained(findings.where(fold != i))
+        parts.append(features(findings.where(fold == i)).select("form", "label", (vote >= threshold).cast("long").alias("hit")))
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.groupBy("form", "label").agg(F.count("*").alias("n"), F.sum("hit").alias("secrets"))
+
+
 def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, at (word number from 0), word, candidate, before, after, path, score, is_secret of every candidate.
 
