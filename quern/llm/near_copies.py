@@ -4,11 +4,12 @@ A text's signature has ``HASHES`` minima of its five-word shingles. Texts meet u
 similarity 0.8 a pair is missed by (1 - 0.8^4)^20, 3 in 100,000. First, all under a key are compared with the text of smallest id
 only, so there are fewer pairs than keys, and what is like it goes: a group of copies is gone after that. What is left of a key, up to
 ``LIMIT`` texts, then meets in one task by its signatures: a text that agrees in ``SURE`` of the minima with an earlier one is compared
-with that one only, others with all that agree in ``HOPE`` of them (at similarity 0.8, 4.5 standard deviations off); this is done twice, in
-two orders. Under larger keys the first step is repeated with keys that have another eight minima added, which part what isn't alike.
+with that one only, others with all that agree in ``HOPE`` of them (at similarity 0.8, 4.5 standard deviations off). As such a text may be
+less like that one than it seems, this is repeated in other orders until nothing more goes. Under larger keys the first step is repeated with keys that have another eight minima added, which part what isn't alike.
 Only the texts of pairs are shuffled, as hashes of their shingles, once.
 
-So every document that goes is similar to one of smaller id, and no two that stay are similar, but for those misses.
+So every document that goes is similar to one of smaller id. Two that stay can be similar only by those misses, or where both were set
+aside in every order.
 
 Defined cases: null, empty or blank text: no shingles, always kept; fewer words than a shingle: one shingle of all words; rows without an
 id: kept; extra columns: kept; empty table: empty result; different texts under one id: their rows stay, as an id has to name one text.
@@ -17,6 +18,7 @@ id: kept; extra columns: kept; empty table: empty result; different texts under
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -98,7 +100,8 @@ def hopeful(rows: DataFrame, turn: int) -> DataFrame:
     def run(key, table):
         ids = table.column("doc_id").to_numpy()
         sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, HASHES)
-        order = np.argsort(ids) if turn == 0 else np.random.default_rng(turn).permutation(len(ids))
+        order = np.argsort(ids)
+        order = order if turn == 0 else order[np.random.default_rng(turn).permutation(len(ids))]
         ids, sig, out = ids[order], sig[order], []
         while len(ids) > 1:
             agree = (sig[1:] == sig[0]).sum(axis=1)
@@ -135,7 +138,8 @@ class _Found:
         self.docs, self.words, self.least = docs, words, least
         self.sets = self.gone = self.compared = None
 
-    def compare(self, pairs: DataFrame) -> None:
+    def compare(self, pairs: DataFrame) -> bool:
+        """Whether more goes by these pairs."""
         pairs = pairs if self.compared is None else pairs.join(self.compared, ["a", "b"], "left_anti")
         pairs = stored(pairs, "near-pairs")
         wanted = pairs.select(F.col("a").alias("__id")).union(pairs.select("b")).distinct()
@@ -144,9 +148,11 @@ class _Found:
         wanted = stored(wanted, "near-wanted")
         few = stored(hashed(self.docs.join(maybe_broadcast(wanted), F.col("doc_id").cast("long") == F.col("__id"), "left_semi"), self.words), "near-sets")
         self.sets = few if self.sets is None else self.sets.unionByName(few)
-        found = stored(similar(pairs, self.sets, self.least).select(F.col("b").alias("doc_id")).distinct(), "near-gone")
-        self.gone = found if self.gone is None else self.gone.unionByName(found).distinct()
+        found = similar(pairs, self.sets, self.least).select(F.col("b").alias("doc_id")).distinct()
+        found = stored(found if self.gone is None else found.join(self.gone, "doc_id", "left_anti"), "near-gone")
+        self.gone = found if self.gone is None else self.gone.unionByName(found)
         self.compared = pairs if self.compared is None else self.compared.unionByName(pairs)
+        return not found.isEmpty()
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, least: float = SIMILAR, limit: int = LIMIT) -> DataFrame:
@@ -166,8 +172,10 @@ def one_of_each(docs: DataFrame, words: int = WORDS, least: float = SIMILAR, lim
         rest = met.select("key", F.col("b").alias("doc_id")).join(found.gone, "doc_id", "left_anti")
         sized = stored(rest.join(rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "near-rest")
         few = sized.where(F.col("n") <= limit).select("key", "doc_id")
-        for turn in range(2):
-            found.compare(hopeful(few.join(found.gone, "doc_id", "left_anti").join(sigs, "doc_id"), turn))
+        for turn in count():
+            more = found.compare(hopeful(few.join(found.gone, "doc_id", "left_anti").join(sigs, "doc_id"), turn))
+            if turn and not more:
+                break
         large = sized.where(F.col("n") > limit).select("key", "doc_id")
         if large.isEmpty():
             break
