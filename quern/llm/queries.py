@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, packing, secrets, simhash, substring, token_counts, toxicity, warc, winnowing
+from . import chat, decontamination, lexical, merkle, packing, secrets, simhash, substring, superminhash, token_counts, toxicity, warc, winnowing
 from . import pipeline as stages
 from .common import arrow_batches
 
@@ -68,6 +68,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.attributed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), rule="first")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranking(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_batches(spark)
     return stages.run(spark, sf_dir)
@@ -84,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_winnowing": op8_winnowing,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_merkle": op11_merkle,
+    "op12_lexical": op12_lexical,
+    "op13_superminhash": op13_superminhash,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
@@ -91,4 +106,7 @@ ORACLES: dict[str, str] = {
     "op4_chat": chat.SQL,
     "op5_substring": substring.SQL,
     "op6_warc": warc.SQL,
+    "op11_merkle": merkle.SQL,
+    "op12_lexical": lexical.SQL,
+    "op13_superminhash": superminhash.SQL,
 }

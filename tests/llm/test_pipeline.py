@@ -86,4 +86,4 @@ def test_empty(spark, folder):
 
 def test_queries_registered():
     names = list(Q.QUERIES)
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13 and "pipeline" in names
