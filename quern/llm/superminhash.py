@@ -9,7 +9,7 @@ Texts with equal sets are one node. Nodes meet under a key if all four minima of
 missed by (1 - 0.8^4)^32, 5 in 10^8. First, every node of a key is compared with the key's smallest, which joins groups of copies
 with as many pairs as nodes. Keys whose nodes are still in different components are then looked at whole, by signature: nodes that agree in
 ``HOPE`` of the minima (4.5 standard deviations below 0.8) with one of another component go, with their sets, to one task, which links them exactly
-by set intersections; no pairs are emitted but the links of a spanning forest. Keys with more than ``LIMIT`` nodes or ``SIZE`` shingles get finer
+by set intersections. So no pairs are emitted but those with a key's smallest and the links of a spanning forest. Keys with more than ``LIMIT`` nodes or ``SIZE`` shingles get finer
 keys instead, of two bands, then of three and so on, which part what isn't alike: a pair is lost only if it agrees in no more bands than that.
 
 Defined cases: null, empty or blank text: no shingles, a component of its own; one word: a set of that word; null doc_id: it
@@ -36,7 +36,7 @@ PERCENT = 80
 BAND, BANDS = 4, 32
 HASHES = BAND * BANDS
 HOPE = 0.64
-LIMIT, SIZE = 1024, 4 << 20
+LIMIT, SIZE = 8192, 4 << 20
 #: Shingles of one draw, and rows of copies from which a node's rows are joined by broadcast.
 DRAWN, LARGE = 1 << 15, 1000
 _CACHED = 1 << 19
@@ -175,26 +175,10 @@ def finer(rows: DataFrame, bands: DataFrame) -> DataFrame:
     return both.select(F.xxhash64("key", "__key").alias("key"), "node", F.col("__last").alias("last"), "n")
 
 
-def _agree(x: bytes, y: bytes) -> bool:
-    return int((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).sum()) >= HOPE * HASHES
-
-
 def _linked(n: np.ndarray, m: np.ndarray | int, both: np.ndarray | int) -> np.ndarray | bool:
     return 100 * both >= PERCENT * (n + m - both)
 
 
-def hopeful(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in ``HOPE`` of the minima."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = [i for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())) if _agree(x, y)]
-            yield b.select([0, 1]).take(pa.array(good, pa.int64()))
-
-    sig = lambda i, s: nodes.select(F.col("node").alias(i), F.col("sig").alias(s))
-    return pairs.join(sig("a", "x"), "a").join(sig("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links, by their whole sets."""
 
@@ -235,23 +219,22 @@ def by_key(rows: DataFrame, key: str, columns: list[str], work, schema: str) ->
 
 
 def alike(rows: list) -> list[tuple[int, int]]:
-    """(group, node) from one key's rows (node, label, sig): nodes connected by hope, in groups of more than one label."""
+    """(group, node) from one key's rows (node, label, sig): the nodes that agree in ``HOPE`` of the minima with one of another label.
+
+    Nodes of the most frequent label are compared with the others only, so a group of copies costs as many rows as it has outliers.
+    """
     node, label = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint32).reshape(-1, HASHES)
-    rest, out = np.arange(len(node)), []
-    while len(rest) > 1:
-        queue, group, rest = [rest[0]], [rest[0]], rest[1:]
-        while queue and len(rest):
-            seed = queue.pop()
-            near = (sig[rest] == sig[seed]).sum(axis=1) >= HOPE * HASHES
-            queue += list(rest[near])
-            group += list(rest[near])
-            rest = rest[~near]
-        if len(set(label[group].tolist())) > 1:
-            members = np.sort(node[group])
-            name = xxhash.xxh64_intdigest(members.tobytes()) - (1 << 63)
-            out += [(name, int(x)) for x in members]
-    return out
+    names, own, many = np.unique(label, return_inverse=True, return_counts=True)
+    marked = np.zeros(len(node), bool)
+    for i in np.flatnonzero(own != np.argmax(many)):
+        others = np.flatnonzero(own != own[i])
+        near = others[(sig[others] == sig[i]).sum(axis=1) >= HOPE * HASHES]
+        marked[near] = True
+        marked[i] |= len(near) > 0
+    members = np.sort(node[marked])
+    name = xxhash.xxh64_intdigest(members.tobytes()) - (1 << 63)
+    return [(name, int(x)) for x in members]
 
 
 def links_within(rows: list) -> list[tuple[int, int]]:
@@ -289,17 +272,18 @@ def links(docs: DataFrame, nodes: DataFrame, limit: int = LIMIT, size: int = SIZ
     bands = stored(keyed(nodes), "super-keys")
     rows, sets, found = bands, None, None
     while True:
-        heads = rows.groupBy("key").agg(F.count("*").alias("__n"), F.min("node").alias("a")).where("__n > 1")
+        heads = rows.groupBy("key").agg(F.count("*").alias("__n"), F.min("node").alias("a"), F.min_by("n", "node").alias("a_n")).where("__n > 1")
         met = stored(rows.join(heads.drop("__n"), "key"), "super-met")
         if sets is None:
             wanted = stored(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash"), "super-wanted")
             sets = stored(sets_of(docs, wanted).dropDuplicates(["node"]), "super-sets")
-        pairs = stored(hopeful(met.where("a <> node").select("a", F.col("node").alias("b")).distinct(), nodes), "super-pairs")
-        new = stored(verified(pairs, sets), "super-links")
+        # Sets whose sizes alone rule a link out aren't compared.
+        pairs = met.where((F.col("a") != F.col("node")) & (100 * F.least("n", "a_n") >= PERCENT * F.greatest("n", "a_n")))
+        new = stored(verified(pairs.select("a", F.col("node").alias("b")).distinct(), sets), "super-links")
         found = new if found is None else found.unionByName(new)
         label = labels(nodes, found)
         # Keys whose nodes aren't all in one component yet.
-        open_rows = met.drop("a").join(label, "node")
+        open_rows = met.drop("a", "a_n").join(label, "node")
         sums = open_rows.groupBy("key").agg(F.min("label").alias("__a"), F.max("label").alias("__z"), F.count("*").alias("__n"), F.sum("n").alias("__size")).where("__a <> __z")
         still = stored(open_rows.join(sums.drop("__a", "__z"), "key"), "super-open")
         large = (F.col("__n") > limit) | (F.col("__size") > size)
