@@ -73,12 +73,13 @@ def with_entities(docs: DataFrame, most: int = 20) -> DataFrame:
     return rows.withColumn("entities", F.transform(best, lambda s: s.x)).drop("__c")
 
 
-def relations(docs: DataFrame, most: int = 20) -> DataFrame:
-    """(source, relation, target, document): the anchor is a document and contains its entities; the legal document has its own."""
+def relations(docs: DataFrame, most: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(source, relation, target, document, and docs' columns ``keep``): the anchor is a document and contains its entities; the legal document has its own."""
     rows = with_entities(with_anchor(docs), most).withColumn("legal", is_legal(F.col("text"), F.col("source")))
     pair = lambda r, t: F.struct(F.lit(r).alias("relation"), t.alias("target"))
     own = F.filter(X.literals(LEGAL_ENTITIES), lambda e: F.contains(F.lower("text"), F.lower(e)))
     legal = F.concat(F.array(pair("is_a", F.lit("akt normatywny"))), F.transform(own, lambda e: pair("contains", e)))
     made = F.concat(F.array(pair("is_a", F.lit("dokument"))), F.transform("entities", lambda e: pair("contains", e)))
     made = F.when(F.col("legal"), F.concat(made, legal)).otherwise(made)
-    return rows.select(F.col("anchor").alias("source"), F.explode_outer(made).alias("x"), F.col("source").alias("document")).select("source", "x.relation", "x.target", "document")
+    rows = rows.select(*keep, F.col("anchor").alias("source"), F.explode_outer(made).alias("x"), F.col("source").alias("document"))
+    return rows.select("source", "x.relation", "x.target", "document", *keep)

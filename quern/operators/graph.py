@@ -9,9 +9,11 @@ from .. import vocabulary as V
 from ..functions import scores as S
 from ..functions import text as X
 from ..session import stored
+from . import anchors
 from .search import in_blocks, in_place
 
 EDGE = ("source", "relation", "target")
+COUNTERS = ("n_valid", "n_unique", "n_created", "n_existing", "n_skipped")
 
 
 def set_union(arrays: str) -> Column:
@@ -157,13 +159,17 @@ def clean_triples(triples: DataFrame) -> DataFrame:
     return rows.dropna(subset=list(EDGE)).where("source <> target")
 
 
+def _spellings() -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for alias, name in V.ENTITY_ALIASES.items():
+        out.setdefault(name.lower(), []).append(alias.replace("_", " "))
+    return out
+
+
 def supported(triples: DataFrame, text: str, most: int = 8000) -> DataFrame:
     """Triples of which both ends, or other spellings of them, are in the first ``most`` characters of the text column."""
     lower = F.lower(F.left(text, F.lit(most)))
-    spellings = {}
-    for alias, name in V.ENTITY_ALIASES.items():
-        spellings.setdefault(name.lower(), []).append(alias.replace("_", " "))
-    named = lambda e: F.contains(lower, F.lower(e)) | F.coalesce(F.exists(X.lookup(spellings)[F.lower(e)], lambda a: F.contains(lower, a)), F.lit(False))
+    named = lambda e: F.contains(lower, F.lower(e)) | F.coalesce(F.exists(X.lookup(_spellings())[F.lower(e)], lambda a: F.contains(lower, a)), F.lit(False))
     return triples.where(named(F.col("source")) & named(F.col("target")))
 
 
@@ -192,3 +198,66 @@ def extracted(docs: DataFrame, triples: DataFrame) -> tuple[DataFrame, DataFrame
     valid = good.groupBy("document").agg(F.count("*").alias("valid"))
     counters = n.join(valid, "document", "left").select("document", F.coalesce("valid", F.lit(0)).alias("valid"), (F.col("given") - F.coalesce("valid", F.lit(0))).alias("rejected"))
     return good.select(*EDGE, "document").distinct(), counters
+
+
+def change_set(docs: DataFrame, edges: DataFrame, most: int = 8000) -> tuple[DataFrame, DataFrame]:
+    """(changes, counters) of documents (doc_id, source, text, triples: what a model read in them, null for nothing) against the stored edges.
+
+    changes: (doc_id, document, source, relation, target, state), a row for each different valid relation of a document, from its anchor or
+    its triples; ``created`` at the first document (by doc_id) that states what isn't stored yet, else ``existing``. Clean triples whose
+    ends the first ``most`` characters don't hold, and triples that can't be cleaned, are skipped. counters: doc_id, n_valid (repeats
+    counted), n_unique, n_created, n_existing, n_skipped of every document.
+    """
+    texts = docs.select(F.col("doc_id"), "source", "text", F.col("text").alias("__text"), "triples")
+    said = lambda e, text: F.contains(F.lower(text), F.lower(e)) | F.coalesce(F.exists(X.lookup(_spellings())[F.lower(e)], lambda a: F.contains(F.lower(text), a)), F.lit(False))
+    sure = ((F.col("relation") == "is_a") & (F.col("target") == "dokument")) | ((F.col("source") == anchors.LEGAL_ANCHOR) & (F.col("target") == "akt normatywny"))
+    own = anchors.relations(texts, keep=("doc_id", "__text")).where("relation is not null")
+    own = own.select("doc_id", "document", *EDGE, (sure | said(F.col("target"), F.coalesce("__text", F.lit("")))).alias("ok"))
+    told = texts.select("doc_id", F.col("source").alias("document"), F.left(F.coalesce("text", F.lit("")), F.lit(most)).alias("__text"), F.explode("triples").alias("t"))
+    told = told.select("doc_id", "document", "__text", X.entity_name(F.col("t.source")).alias("source"), X.relation_name(F.col("t.relation")).alias("relation"), X.entity_name(F.col("t.target")).alias("target"))
+    clean = F.col("source").isNotNull() & F.col("relation").isNotNull() & F.col("target").isNotNull() & (F.col("source") != F.col("target"))
+    told = told.select("doc_id", "document", *EDGE, F.coalesce(clean & said(F.col("source"), F.col("__text")) & said(F.col("target"), F.col("__text")), F.lit(False)).alias("ok"))
+    given = stored(own.unionByName(told), "given")
+    valid = given.where("ok").groupBy("doc_id", "document", *EDGE).agg(F.count("*").alias("times"))
+    first = valid.groupBy(*EDGE).agg(F.min("doc_id").alias("first"))
+    first = first.join(edges.select(*EDGE, F.lit(True).alias("there")).distinct(), list(EDGE), "left")
+    new = F.col("there").isNull() & (F.col("doc_id") == F.col("first"))
+    changes = stored(valid.join(first, list(EDGE)).select("doc_id", "document", *EDGE, F.when(new, "created").otherwise("existing").alias("state"), "times"), "changes")
+    one, no = F.lit(1).cast("long"), F.lit(0).cast("long")
+    created = (F.col("state") == "created").cast("long")
+    parts = [
+        changes.select("doc_id", F.col("times").alias("n_valid"), one.alias("n_unique"), created.alias("n_created"), (1 - created).alias("n_existing"), no.alias("n_skipped")),
+        given.where("not ok").select("doc_id", no.alias("n_valid"), no.alias("n_unique"), no.alias("n_created"), no.alias("n_existing"), one.alias("n_skipped")),
+        docs.select("doc_id", *[no.alias(c) for c in COUNTERS]),
+    ]
+    counters = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in COUNTERS])
+    return changes.drop("times"), counters
+
+
+# Provenance as rows: (source, relation, target, document), document null where an edge has none. No array grows with an edge.
+
+
+def provenance(edges: DataFrame) -> DataFrame:
+    return edges.select(*EDGE, F.explode_outer("sources").alias("document"))
+
+
+def merged(known: DataFrame, triples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(provenance, edges with source_count and created) after merging triples into what is known, both (source, relation, target, document).
+
+    Rows are made different by edge and document together, so an edge of very many documents is spread; what is left to count for an edge
+    is added up before the shuffle.
+    """
+    rows = known.select(*EDGE, "document", F.lit(1).alias("old")).unionByName(triples.select(*EDGE, F.nullif(F.trim("document"), F.lit("")).alias("document"), F.lit(0).alias("old")))
+    rows = rows.groupBy(*EDGE, "document").agg(F.max("old").alias("old"))
+    edges = rows.groupBy(*EDGE).agg(F.count("document").cast("int").alias("source_count"), (F.max("old") == 0).alias("created"))
+    return rows.drop("old"), edges
+
+
+def resolved_pairs(known: DataFrame) -> DataFrame:
+    """One row for each pair of ends: the relation that wins, merged_types, merged_count, source_count; as resolved(), from provenance rows."""
+    sized = known.groupBy(*EDGE, "document").agg(F.lit(1).alias("one")).groupBy(*EDGE).agg(F.count("document").alias("n"))
+    best = F.max_by("relation", F.struct(S.relation_priority(F.col("relation"), 0), F.least("n", F.lit(25)), -F.length("relation"), "relation"))
+    # There are a few relation types at most.
+    types = sized.groupBy("source", "target").agg(best.alias("relation"), F.array_sort(F.collect_set("relation")).alias("merged_types"))
+    documents = known.groupBy("source", "target", "document").agg(F.lit(1).alias("one")).groupBy("source", "target").agg(F.count("document").cast("int").alias("source_count"))
+    return types.join(documents, ["source", "target"]).withColumn("merged_count", F.size("merged_types"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import vocabulary as V
 from ..functions import scores as S
 from ..functions import text as X
-from ..operators import anchors, chunking, context, conversations, fusion, gate, graph, ingest, search, telemetry, web
+from ..operators import anchors, chunking, context, conversations, fusion, gate, graph, ingest, models, search, telemetry, web
 from ..session import share_code, stored
 from . import pipelines
 
@@ -220,7 +223,7 @@ def q_ingest(t):
 
 @query(f"WITH {EDGES_SQL} SELECT source, relation, target, CAST(len(coalesce(sources, [])) AS INT) AS source_count, created FROM graph")
 def q_graph_upsert(t):
-    return graph.upserted(edge_table(t), triple_table(t)).select(*graph.EDGE, "source_count", "created")
+    return graph.merged(graph.provenance(edge_table(t)), triple_table(t))[1]
 
 
 @query(f"WITH {EDGES_SQL} SELECT relation, count(*) AS n FROM graph GROUP BY relation")
@@ -254,7 +257,8 @@ def q_conflict_winner(t):
 
 @query(f"""WITH {EDGES_SQL} SELECT source, target, first(relation ORDER BY {PRIORITY_SQL} DESC, least(len(sources), 25) DESC, len(relation), relation DESC) AS relation, array_to_string(list_sort(list(DISTINCT relation)), ',') AS merged, CAST(len(list_distinct(flatten(list(coalesce(sources, []))))) AS INT) AS source_count FROM graph GROUP BY source, target""")
 def q_conflict_resolved(t):
-    return graph.resolved(full_graph(t)).select("source", "target", "relation", F.array_join("merged_types", ",").alias("merged"), F.size("sources").alias("source_count"))
+    known = stored(graph.merged(graph.provenance(edge_table(t)), triple_table(t))[0], "provenance")
+    return graph.resolved_pairs(known).select("source", "target", "relation", F.array_join("merged_types", ",").alias("merged"), "source_count")
 
 
 @query("""WITH e AS (SELECT s_name AS source, n_name AS target FROM supplier JOIN nation ON s_nationkey = n_nationkey)
@@ -412,7 +416,17 @@ def q_qa_pairs(t):
     return conversations.pairs(t("conversations")).select("conv_id", "turn", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
 
 
-@query()
+def _any_sql(words) -> str:
+    return "(" + " OR ".join(f"contains(text, '{w}')" for w in words) + ")"
+
+
+@query(rf"""WITH p AS (SELECT conv_id, turn, text AS q, lead(role) OVER w AS next_role, lead(text) OVER w AS a, role FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+x AS (SELECT conv_id, turn, q, a, lower(q || chr(10) || a) AS text FROM p WHERE role = 'user' AND next_role = 'assistant'),
+y AS (SELECT *, list_filter([{", ".join(f"CASE WHEN {_any_sql(ws)} THEN '{tag}' END" for tag, ws in V.TECH_TAGS.items())}], lambda z: z IS NOT NULL) AS found, regexp_matches(text, '{V.CODE_SIGNAL}') AS code, {_any_sql(V.OTHER_SUBJECTS)} AS other FROM x),
+r AS (SELECT *, CASE WHEN len(q) < 30 OR len(a) < 60 THEN 'too_short' WHEN len(found) > 0 AND (code OR len(found) >= 2) THEN 'quick_technical_match' WHEN other AND len(found) = 0 AND NOT code THEN 'quick_non_technical_match'
+  WHEN len(found) = 0 AND NOT code THEN 'no_technical_signal' ELSE 'needs_llm' END AS reason FROM y)
+SELECT conv_id, turn, CASE reason WHEN 'quick_technical_match' THEN 'keep' WHEN 'needs_llm' THEN 'llm' ELSE 'reject' END AS decision, reason,
+  CASE WHEN reason IN ('quick_technical_match', 'needs_llm') THEN array_to_string(found[1:10], ',') ELSE '' END AS tags FROM r""")
 def q_qa_classify(t):
     return conversations.classified(conversations.pairs(t("conversations"), True)).select("conv_id", "turn", "decision", "reason", F.array_join("tags", ",").alias("tags"))
 
@@ -535,3 +549,87 @@ def q_website_import(t):
 @query()
 def q_document_relations(t):
     return anchors.relations(t("documents").select("source", "text")).groupBy("source", "relation", "target").agg(F.count("*").alias("n"))
+
+
+# Steps that ask a model: a deterministic stand-in answers from the prompt alone, with replies that leave items out or can't be read.
+
+
+def pairs_model(prompt: str) -> str:
+    """Keeps questions of even length, tags them by length, and says nothing of every seventh length."""
+    items = json.loads(prompt[len(models.PAIRS_PROMPT) :])
+    said = [{"id": x["id"], "keep": len(x["question"]) % 2 == 0, "tags": [f"#Tag{len(x['answer']) % 5}", " "], "reason": f"n{len(x['question'])}"} for x in items if len(x["question"]) % 7]
+    return f"Here you are: {json.dumps(said)} Bye."
+
+
+def rerank_model(prompt: str) -> str:
+    """Names passages by the length of the question, some of which there aren't; every fifth reply names none."""
+    n = len(prompt.split("\nQuestion:\n", 1)[1].split("\nPassages:\n", 1)[0])
+    return "I can't say." if n % 5 == 0 else f"Best: {[(n * k) % 23 for k in range(1, 9)]}"
+
+
+def triples_model(prompt: str) -> str:
+    """What the two headings of a part's page have to do with each other, twice, and two things that can't stay."""
+    name, kind = re.findall(r"(?m)^#+ (.*)$", prompt[len(models.TRIPLES_PROMPT) :])
+    said = [("uses", kind), ("used by", kind.lower()), ("unknown link", kind), ("provides", "Somewhere Else")]
+    return json.dumps([{"source": name, "relation": r, "target": t} for r, t in said] + ["no object"])
+
+
+@query("""WITH p AS (SELECT conv_id, turn, text AS q, lead(role) OVER w AS next_role, lead(text) OVER w AS a, role FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+x AS (SELECT conv_id, turn, least(len(q), 1200) AS n, least(len(a), 2400) AS m FROM p WHERE role = 'user' AND next_role = 'assistant')
+SELECT conv_id, turn, n % 7 > 0 AND n % 2 = 0 AS keep, CASE WHEN n % 7 > 0 THEN 'tag' || (m % 5) ELSE '' END AS tags, CASE WHEN n % 7 > 0 THEN 'n' || n ELSE 'missing_llm_batch_decision' END AS why FROM x""")
+def q_qa_decisions(t):
+    """All question-answer pairs, decided by a model in batches of twelve; equal pairs are asked about once."""
+    qa = conversations.pairs(t("conversations"), True).select("conv_id", "turn", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"))
+    return models.pairs_decided(qa, pairs_model).select("conv_id", "turn", "keep", F.array_join("told", ",").alias("tags"), "why")
+
+
+@query(f"""WITH near AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {L2_SQL.format(a="a.embedding", b="b.embedding")}, b.vec_id) AS ordinal FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY ordinal <= 20),
+q AS (SELECT query_id, any_value(len(left(text, 200))) AS n, count(*) AS hits FROM near JOIN documents ON doc_id = query_id GROUP BY query_id),
+named AS (SELECT query_id, k, (n * k) % 23 AS place, row_number() OVER (PARTITION BY query_id ORDER BY k) AS rank FROM q, (SELECT unnest(range(1, 9)) AS k) WHERE n % 5 > 0 AND (n * k) % 23 < hits),
+picked AS (SELECT query_id, place, rank FROM named WHERE rank <= 6 UNION ALL SELECT query_id, ordinal - 1, ordinal FROM near WHERE ordinal <= 6 AND query_id NOT IN (SELECT query_id FROM named))
+SELECT p.query_id, chunk_id, CAST(rank AS INT) AS rank FROM picked p JOIN near ON near.query_id = p.query_id AND ordinal = place + 1""")
+def q_rerank_model(t):
+    """The nearest 20 documents of each query, put in order by a model."""
+    texts = t("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    hits = search.vector_top(vector_chunks(t), vector_queries(t), 20).withColumnRenamed("rank", "ordinal").join(texts, "chunk_id")
+    asked = vector_queries(t).join(texts.withColumnRenamed("chunk_id", "query_id"), "query_id").select("query_id", F.left("content", F.lit(200)).alias("query"))
+    return models.model_reranked(hits, asked, rerank_model).select("query_id", "chunk_id", "rank")
+
+
+def part_pages(t) -> DataFrame:
+    """A page for every part, whose headings are its name and its type."""
+    kind = F.concat(F.initcap(F.lower("p_type")), F.lit(" Class"))
+    text = F.concat(F.lit("# "), F.initcap("p_name"), F.lit("\n\n## "), kind, F.lit("\n\nthe "), "p_name", F.lit(" is sold as "), F.lower("p_brand"), F.lit("."))
+    return t("part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("part-"), "p_partkey", F.lit(".md")).alias("source"), text.alias("text"), "p_name", "p_size", kind.alias("kind"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS doc_id, p_size, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name, upper(p_type[1]) || lower(p_type[2:]) || ' Class' AS kind FROM part),
+edges AS (SELECT DISTINCT name AS source, 'uses' AS relation, kind AS target FROM p WHERE p_size > 45),
+u AS (SELECT doc_id, name AS source, unnest(['is_a', 'contains', 'uses']) AS relation, unnest(['dokument', kind, kind]) AS target FROM p),
+c AS (SELECT u.*, min(doc_id) OVER (PARTITION BY u.source, u.relation, u.target) = doc_id AND e.source IS NULL AS created FROM u LEFT JOIN edges e USING (source, relation, target))
+SELECT doc_id, CAST(4 AS BIGINT) AS n_valid, count(*) AS n_unique, count(*) FILTER (WHERE created) AS n_created, count(*) FILTER (WHERE NOT created) AS n_existing, CAST(3 AS BIGINT) AS n_skipped FROM c GROUP BY doc_id""")
+def q_relations_extracted(t):
+    """Counters of what the pages of all parts say, by anchor and by a model, against a graph that has some of it."""
+    pages = part_pages(t)
+    edges = pages.where("p_size > 45").select(F.initcap("p_name").alias("source"), F.lit("uses").alias("relation"), F.col("kind").alias("target")).distinct()
+    return graph.change_set(models.with_triples(pages.select("doc_id", "source", "text"), triples_model), edges)[1]
+
+
+DATA_PAGE = """{"page": "/p", "props": {"pageProps": {"metadata": {"title": "Page %s", "description": "About  page %s"}, "pageHeading": {"title": "Heading %s", "url": "/h"},
+ "pageContent": {"z": {"body": ["first   text %s", {"deep": [["second text"], {"id": "no text", "note": "third \\u00e9 text"}]}], "url": "/in/%s"}, "a": "fourth text", "b": "/no text", "c": "ab", "d": "#no text", "href": "%s"},
+ "other": [{"fullPath": "/other/%s?x=1"}, {"href": ""}]}}}"""
+_DATA_SQL = " || CAST(page_id AS VARCHAR) || ".join("'" + x.replace("'", "''") + "'" for x in DATA_PAGE.split("%s"))
+
+
+@query(rf"""WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url, {_DATA_SQL} AS data FROM pages),
+x AS (SELECT page_id, j.id AS n, regexp_replace(j.value ->> '$', '\s+', ' ', 'g') AS v FROM p, json_tree(p.data, '$.props.pageProps.pageContent') j
+  WHERE j.type = 'VARCHAR' AND NOT regexp_matches(j.fullkey, '\.(url|href|fullPath|path|id|theme|iconName|leadingIconName)(\.|\[|$)')),
+b AS (SELECT page_id, string_agg(v, chr(10) ORDER BY n) AS body FROM x WHERE len(v) > 2 AND v[1] NOT IN ('/', '#') GROUP BY page_id),
+k AS (SELECT page_id, count(*) FILTER (WHERE len(j.value ->> '$') > 0) AS n_links FROM p, json_tree(p.data) j WHERE j.type = 'VARCHAR' AND j.key IN ('url', 'href', 'fullPath') GROUP BY page_id)
+SELECT page_id, 'Page ' || page_id AS title, md5('# Page ' || page_id || chr(10) || 'About page ' || page_id || chr(10) || '# Heading ' || page_id || chr(10) || body) AS text_md5, CAST(n_links AS INT) AS n_links FROM b JOIN k USING (page_id)""")
+def q_page_data(t):
+    """Data planted in every page, as a script would leave it: objects and lists to any depth, in document order."""
+    data = F.concat(*[x for part in DATA_PAGE.split("%s") for x in (F.lit(part), F.col("page_id").cast("string"))][:-1])
+    html = F.concat(F.col("html"), F.lit('<script type="application/json" id="__NEXT_DATA__">'), F.replace(data, F.lit('"'), F.lit("&quot;")), F.lit("</script>"))
+    rows = web.read_data(t("pages").select("page_id", "url", html.alias("html")))
+    return rows.select("page_id", "title", F.md5("text").alias("text_md5"), F.size("links").alias("n_links"))
