@@ -1,23 +1,34 @@
 """Chunk search: exact vector top-k, lexical search, their union, reranking. All take batches of queries.
 
 chunks: chunk_id, content, source, tags, metadata (its text form), embedding; queries: query_id, query, embedding.
-Queries are a stated set and are broadcast in blocks: every chunk is compared with each of them in one scan a block, and ranks are
-cut before the shuffle by the window's group limit.
+Queries are a stated set and are broadcast in blocks, of a bounded number of bytes for the two searches: every chunk is read in one scan a
+block, and ranks are cut before the shuffle by the window's group limit.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import vocabulary as V
 from ..functions import scores as S
 from ..functions import text as X
+from ..session import share_code
 
 #: Queries that are broadcast at once.
 QUERY_BLOCK = 10_000
+#: Bytes of queries' vectors or terms that are broadcast at once.
+HELD = 16 << 20
+ROWS_AT_ONCE = 20_000
 
 
 def in_blocks(rows: DataFrame, queries: DataFrame, *columns: str) -> DataFrame:
@@ -38,32 +49,212 @@ def top(rows: DataFrame, n: int, *order: Column, by: str = "query_id", rank: str
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(rank) <= n)
 
 
+def _held(queries: DataFrame, columns: list[str], size) -> Iterator[list]:
+    """Blocks of queries on the driver: each of at most ``HELD`` bytes by size(row), or one query."""
+    block, n = [], 0
+    for row in queries.select(*columns).toLocalIterator():
+        if block and n + size(row) > HELD:
+            yield block
+            block, n = [], 0
+        block.append(row)
+        n += size(row)
+    if block:
+        yield block
+
+
+def _fields(*named: tuple[str, DataFrame, str]) -> T.StructType:
+    return T.StructType([T.StructField(name, df.schema[c].dataType) for name, df, c in named])
+
+
 def vector_top(chunks: DataFrame, queries: DataFrame, n: int = 25, tags: list[str] | None = None) -> DataFrame:
-    """query_id, chunk_id, distance, rank: exact L2."""
+    """query_id, chunk_id, distance, rank: exact L2. Chunks without a vector, or with one of another length than a query's, aren't its hits.
+
+    A block of queries is a matrix that every batch of chunks is multiplied by. The products only choose: what may be among a task's
+    best n of a query gets its exact distance, and n rows of each query leave the task.
+    """
     if tags:
         chunks = chunks.where(F.arrays_overlap("tags", X.literals(tags)))
-    rows = in_blocks(chunks.select("chunk_id", "embedding"), queries.withColumnRenamed("embedding", "wanted"), "wanted")
-    rows = rows.select("query_id", "chunk_id", S.l2(F.col("embedding"), F.col("wanted")).alias("distance"))
-    return top(rows, n, F.col("distance"), F.col("chunk_id"))
+    schema = _fields(("query_id", queries, "query_id"), ("chunk_id", chunks, "chunk_id")).add("distance", "double")
+    types = [to_arrow_type(f.dataType) for f in schema]
+    rows = chunks.where("embedding is not null").select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    share_code(chunks.sparkSession)
+    parts = []
+    for block in _held(queries.where("embedding is not null"), ["query_id", "embedding"], lambda r: 8 * len(r.embedding) + 100):
+        asked: dict[int, tuple[list, np.ndarray]] = {}
+        for width in {len(r.embedding) for r in block}:
+            own = [r for r in block if len(r.embedding) == width]
+            asked[width] = [r.query_id for r in own], np.array([r.embedding for r in own], float).reshape(len(own), width)
+        held = chunks.sparkSession.sparkContext.broadcast(asked)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            best = {width: Nearest(ids, wanted, n) for width, (ids, wanted) in held.value.items()}
+            for b in batches:
+                vectors = b.column(1)
+                lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+                for width, near in best.items():
+                    at = np.flatnonzero(lengths == width)
+                    if len(at):
+                        own = vectors.take(pa.array(at))
+                        near.update(b.column(0).take(pa.array(at)).to_pylist(), own.flatten().to_numpy(zero_copy_only=False).reshape(len(at), width))
+            found = [row for near in best.values() for row in near.rows()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[], [], []], types)], schema.names)
+
+        parts.append(rows.mapInArrow(run, schema))
+    found = reduce(DataFrame.unionByName, parts) if parts else chunks.sparkSession.createDataFrame([], schema)
+    return top(found, n, F.col("distance"), F.col("chunk_id"))
+
+
+class Nearest:
+    """The n nearest of the vectors seen so far to each of some queries; equal distances by id."""
+
+    def __init__(self, ids: list, wanted: np.ndarray, n: int):
+        self.ids, self.wanted, self.n = ids, wanted, n
+        self.size = (wanted**2).sum(axis=1)
+        self.found: list[list[tuple]] = [[] for _ in ids]
+        self.most = np.full(len(ids), np.inf)
+
+    def update(self, ids: list, vectors: np.ndarray) -> None:
+        if not vectors.shape[1]:
+            vectors = np.zeros((len(ids), 1))
+        size = (vectors**2).sum(axis=1)
+        product = vectors[:, : self.wanted.shape[1]] @ self.wanted.T if self.wanted.shape[1] else 0.0
+        near = size[:, None] + self.size - 2 * product
+        # What the products are off by at most, with room to spare.
+        slack = 1e-9 * (size[:, None] + self.size) + 1e-12
+        if len(ids) > self.n:
+            kth = np.partition(near, self.n - 1, axis=0)[self.n - 1] + 2 * slack.max(axis=0)
+            limit = np.minimum(self.most**2, kth)
+        else:
+            limit = self.most**2
+        for row, q in zip(*np.nonzero(~(near - slack > limit))):
+            exact = float(np.sqrt(((vectors[row] - self.wanted[q]) ** 2).sum())) if self.wanted.shape[1] else 0.0
+            self.found[q].append((exact, ids[row]))
+        for q in np.flatnonzero([len(f) > self.n for f in self.found]):
+            self.found[q] = sorted(self.found[q])[: self.n]
+            self.most[q] = self.found[q][-1][0]
+
+    def rows(self) -> list[tuple]:
+        return [(query, chunk, distance) for query, found in zip(self.ids, self.found) for distance, chunk in sorted(found)[: self.n]]
+
+
+#: What a term counts for by where it stands.
+POINTS = {"content": 2, "source": 4, "metadata": 1}
+
+
+class Terms:
+    """The terms of a block of queries as one automaton, so that a text is read once for any number of them."""
+
+    def __init__(self, asked: list[tuple[int, list[str]]]):
+        self.of: dict[str, list[int]] = {}
+        for i, terms in asked:
+            for t in terms:
+                self.of.setdefault(t, []).append(i)
+        self.automaton, self.patterns = None, []
+        plain = {}
+        for t in self.of:
+            pieces, literal = self._pieces(t)
+            if literal is not None:
+                plain.setdefault(literal, []).append((t, None))
+                continue
+            # A pattern is tried where its longest literal piece stands, or everywhere if it has none.
+            pattern = re.compile("".join(re.escape(x) if kind == "is" else "." if kind == "_" else ".*" for kind, x in pieces), re.S)
+            piece = max((x for kind, x in pieces if kind == "is"), key=len, default="")
+            plain.setdefault(piece, []).append((t, pattern)) if piece else self.patterns.append((t, pattern))
+        # An empty term is in every text.
+        self.always = [t for t, _ in plain.pop("", [])]
+        if plain:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for word, terms in plain.items():
+                self.automaton.add_word(word, terms)
+            self.automaton.make_automaton()
+
+    @staticmethod
+    def _pieces(term: str) -> tuple[list[tuple[str, str]], str | None]:
+        """The pieces of a LIKE pattern, and the text that it stands for if it has no wildcard."""
+        pieces: list[tuple[str, str]] = []
+        at = 0
+        while at < len(term):
+            c = term[at]
+            if c in "%_":
+                pieces.append((c, ""))
+            else:
+                at += c == "\\" and at + 1 < len(term)
+                if pieces and pieces[-1][0] == "is":
+                    pieces[-1] = ("is", pieces[-1][1] + term[at])
+                else:
+                    pieces.append(("is", term[at]))
+            at += 1
+        whole = all(kind == "is" for kind, _ in pieces)
+        return pieces, ("".join(x for _, x in pieces) if whole else None)
+
+    def found(self, text: str) -> set[str]:
+        out, tried = set(self.always), set()
+        for _, terms in self.automaton.iter(text) if self.automaton else ():
+            for t, pattern in terms:
+                if t not in tried:
+                    tried.add(t)
+                    if pattern is None or pattern.search(text):
+                        out.add(t)
+        out.update(t for t, pattern in self.patterns if pattern.search(text))
+        return out
 
 
 def lexical_scores(chunks: DataFrame, queries: DataFrame, terms: int = 10, aliases: dict | None = None, phrases: dict | None = None) -> DataFrame:
-    """query_id, chunk_id, lexical_score > 0: 2 for a term in the content, 4 in the source, 1 in the metadata; terms are LIKE patterns.
+    """query_id, chunk_id, lexical_score > 0: 2 for a term in the content, 4 in the source, 1 in the metadata; terms are LIKE patterns."""
+    return _said(chunks, queries, terms, aliases, phrases, False)
+
 
-    Texts are put in lower case once, before they meet the queries. A term without a wildcard is looked for as it is; only others are patterns.
+def _said(chunks: DataFrame, queries: DataFrame, terms: int, aliases: dict | None, phrases: dict | None, distances: bool) -> DataFrame:
+    """lexical_scores(), and with ``distances`` the L2 distance of those found (null where either has no vector).
+
+    The terms of a block of queries are one automaton, and their queries a list by term: a chunk's texts are each read once, and only queries
+    that have a score leave the task, without a shuffle.
     """
-    wanted = queries.select("query_id", F.slice(X.search_terms(F.col("query"), aliases, phrases), 1, terms).alias("all"))
-    wild = lambda t: F.rlike(t, F.lit(r"[%_\\\\]"))
-    wanted = wanted.select("query_id", F.filter("all", lambda t: ~wild(t)).alias("plain"), F.transform(F.filter("all", wild), lambda t: F.concat(F.lit("%"), t, F.lit("%"))).alias("patterns")).where("size(plain) + size(patterns) > 0")
-    points = {"content": 2, "source": 4, "metadata": 1}
-    texts = chunks.select("chunk_id", *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in points])
-    rows = in_blocks(texts, wanted, "plain", "patterns")
-    score = F.lit(0)
-    holds = lambda c: lambda t: F.contains(F.col(c), t)
-    fits = lambda c: lambda t: F.call_function("like", F.col(c), t)
-    for c, n in points.items():
-        score = score + n * F.size(F.filter("plain", holds(c))) + n * F.size(F.filter("patterns", fits(c)))
-    return rows.select("query_id", "chunk_id", score.alias("lexical_score")).where("lexical_score > 0")
+    share_code(chunks.sparkSession)
+    schema = _fields(("query_id", queries, "query_id"), ("chunk_id", chunks, "chunk_id")).add("lexical_score", T.IntegerType())
+    schema = schema.add("distance", "double") if distances else schema
+    types = [to_arrow_type(f.dataType) for f in schema]
+    lower = [F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in POINTS]
+    texts = chunks.select("chunk_id", *lower, *([F.col("embedding").cast("array<double>").alias("embedding")] if distances else []))
+    asked = queries.select("query_id", F.slice(X.search_terms(F.col("query"), aliases, phrases), 1, terms).alias("terms"), *(["embedding"] if distances else []))
+    size = lambda r: 200 + sum(4 * len(t) + 100 for t in r.terms) + (8 * len(r.embedding or ()) if distances else 0)
+    parts = []
+    for block in _held(asked.where("size(terms) > 0"), asked.columns, size):
+        ids = [r.query_id for r in block]
+        wanted = [None if r.embedding is None else np.array(r.embedding, float) for r in block] if distances else []
+        held = chunks.sparkSession.sparkContext.broadcast((ids, [(i, r.terms) for i, r in enumerate(block)], wanted))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, asked, wanted = held.value
+            index = Terms(asked)
+            of = {t: np.array(queries) for t, queries in index.of.items()}
+            for b in batches:
+                out: list[tuple] = []
+                chunk_ids, columns = b.column(0).to_pylist(), [b.column(1 + i).to_pylist() for i in range(len(POINTS))]
+                for k, chunk in enumerate(chunk_ids):
+                    score = np.zeros(len(ids), np.int32)
+                    for column, points in zip(columns, POINTS.values()):
+                        for t in index.found(column[k]):
+                            score[of[t]] += points
+                    hits = np.flatnonzero(score)
+                    vector = b.column(4)[k].values if distances and len(hits) else None
+                    vector = None if vector is None else vector.to_numpy(zero_copy_only=False)
+                    for q in hits.tolist():
+                        row = (ids[q], chunk, int(score[q]))
+                        if distances:
+                            fits = vector is not None and wanted[q] is not None and len(vector) == len(wanted[q])
+                            row += (float(np.sqrt(((vector - wanted[q]) ** 2).sum())) if fits else None,)
+                        out.append(row)
+                    if len(out) >= ROWS_AT_ONCE:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], schema.names)
+                        out = []
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], schema.names)
+
+        parts.append(texts.mapInArrow(run, schema))
+    return reduce(DataFrame.unionByName, parts) if parts else chunks.sparkSession.createDataFrame([], schema)
 
 
 def hybrid(chunks: DataFrame, queries: DataFrame, n: int = 25, tags: list[str] | None = None, aliases: dict | None = None, phrases: dict | None = None) -> DataFrame:
@@ -73,10 +264,8 @@ def hybrid(chunks: DataFrame, queries: DataFrame, n: int = 25, tags: list[str] |
     """
     if tags:
         chunks = chunks.where(F.arrays_overlap("tags", X.literals(tags)))
-    near = vector_top(chunks.where("embedding is not null"), queries, n)
-    wanted = queries.withColumnRenamed("embedding", "wanted")
-    said = lexical_scores(chunks, queries, aliases=aliases, phrases=phrases).join(chunks.select("chunk_id", "embedding"), "chunk_id").join(wanted.select("query_id", "wanted"), "query_id")
-    said = said.select("query_id", "chunk_id", "lexical_score", S.l2(F.col("embedding"), F.col("wanted")).alias("distance"))
+    near = vector_top(chunks, queries, n)
+    said = _said(chunks, queries, 10, aliases, phrases, True)
     said = top(said, max(10 * n, 200), F.col("lexical_score").desc(), F.col("distance").asc_nulls_last(), F.col("chunk_id"))
     both = near.select("query_id", "chunk_id", "distance", F.lit(0).alias("lexical_score"), F.lit("vector").alias("path"), F.lit(0).alias("p"), "rank").unionByName(
         said.select("query_id", "chunk_id", "distance", "lexical_score", F.lit("lexical").alias("path"), F.lit(1).alias("p"), "rank")
