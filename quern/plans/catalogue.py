@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..functions import scores as S
 from ..functions import text as X
-from ..operators import anchors, chunking, context, conversations, fusion, gate, graph, ingest, models, search, telemetry, web
+from ..operators import anchors, answers, chunking, context, conversations, fusion, gate, graph, ingest, models, search, telemetry, web
 from ..session import share_code, stored
 from . import pipelines
 
@@ -52,8 +52,8 @@ def chunk_table(t) -> DataFrame:
     return rows.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source", F.array("lang").alias("tags"), F.concat(F.lit('{"source": "'), F.col("source"), F.lit('", "lang": "'), F.col("lang"), F.lit('"}')).alias("metadata"), "embedding")
 
 
-def query_table(t) -> DataFrame:
-    items = t("benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+def query_table(t, every: bool = False) -> DataFrame:
+    items = t("benchmark").where("true" if every else "item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return items.join(t("embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
 
 
@@ -131,6 +131,11 @@ scored AS (SELECT *, words - least(coalesce(distance, 0), 50) * 0.25 + CASE WHEN
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ordinal) AS rank FROM scored)"""
 
 
+def every_item(sql: str) -> str:
+    """The SQL for all benchmark items as queries."""
+    return sql.replace(" WHERE item_id % 50 = 0)", ")").replace(" WHERE b.item_id % 50 = 0)", ")")
+
+
 @query(f"""SELECT query_id, chunk_id, round(distance, 4) AS distance, rank FROM (
   SELECT query_id, chunk_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM (
     SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {L2_SQL.format(a="a.embedding", b="b.embedding")} AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)) WHERE rank <= 25""")
@@ -182,10 +187,10 @@ def q_lexical_score(t):
     return search.lexical_scores(chunk_table(t), query_table(t))
 
 
-@query(f"WITH {LEXICAL_SQL} SELECT query_id, chunk_id, CAST(lexical_score AS INT) AS lexical_score FROM lexical")
+@query(f"WITH {every_item(LEXICAL_SQL)} SELECT query_id, chunk_id, CAST(lexical_score AS INT) AS lexical_score FROM lexical")
 def q_lexical_score_all(t):
-    """The same as q_lexical_score, which takes all documents too."""
-    return search.lexical_scores(chunk_table(t), query_table(t))
+    """Every benchmark item as a query, in one pass over the documents."""
+    return search.lexical_scores(chunk_table(t), query_table(t, every=True))
 
 
 @query(f"WITH {HYBRID_SQL} SELECT query_id, chunk_id, round(distance, 4) AS distance, CAST(lexical_score AS INT) AS lexical_score, path, CAST(ordinal AS INT) AS ordinal FROM hybrid")
@@ -193,10 +198,10 @@ def q_hybrid_union(t):
     return search.hybrid(chunk_table(t), query_table(t)).select("query_id", "chunk_id", F.round("distance", 4).alias("distance"), "lexical_score", "path", "ordinal")
 
 
-@query(f"WITH {HYBRID_SQL} SELECT query_id, chunk_id, round(distance, 4) AS distance, CAST(lexical_score AS INT) AS lexical_score, path, CAST(ordinal AS INT) AS ordinal FROM hybrid")
+@query(f"WITH {every_item(HYBRID_SQL)} SELECT query_id, chunk_id, round(distance, 4) AS distance, CAST(lexical_score AS INT) AS lexical_score, path, CAST(ordinal AS INT) AS ordinal FROM hybrid")
 def q_hybrid_union_all(t):
-    """The same as q_hybrid_union, which takes all documents too."""
-    return search.hybrid(chunk_table(t), query_table(t)).select("query_id", "chunk_id", F.round("distance", 4).alias("distance"), "lexical_score", "path", "ordinal")
+    """Every benchmark item as a query."""
+    return search.hybrid(chunk_table(t), query_table(t, every=True)).select("query_id", "chunk_id", F.round("distance", 4).alias("distance"), "lexical_score", "path", "ordinal")
 
 
 @query(f"WITH {RERANK_SQL} SELECT query_id, chunk_id, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM ranked")
@@ -211,12 +216,38 @@ def q_dedupe_clean(t):
     return pipelines.first_hits(chunk_table(t), query_table(t), 5).select("query_id", "chunk_id", "rank")
 
 
-@query()
+#: Windows of 1,200 characters with 200 in common, cut behind the last space or newline past 0.55 of one; sections begin at level-two headings.
+CHUNKS_SQL = r"""
+doc AS (SELECT doc_id, source, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents),
+w(doc_id, source, t, n, b, e) AS (
+  SELECT doc_id, source, t, 0, 0, CASE WHEN len(t) <= 1200 THEN len(t) ELSE {end0} END FROM doc WHERE len(t) > 0
+  UNION ALL SELECT doc_id, source, t, n + 1, greatest(e - 200, b + 1), {end} FROM w WHERE e < len(t)),
+chunk AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS chunk_no, c FROM (SELECT doc_id, source, n, regexp_replace(substr(t, b + 1, e - b), '^\s+|\s+$', '', 'g') AS c FROM w) WHERE len(c) > 0)"""
+
+
+def _end_sql(at: str) -> str:
+    """Where the window from ``at`` ends."""
+    piece = f"substr(t, {at} + 1, 1200)"
+    # Characters up to the last space or newline, itself included.
+    gap = f"(1200 + 1 - least(CASE WHEN contains({piece}, ' ') THEN position(' ' IN reverse({piece})) ELSE 1300 END, CASE WHEN contains({piece}, chr(10)) THEN position(chr(10) IN reverse({piece})) ELSE 1300 END))"
+    return f"CASE WHEN {at} + 1200 >= len(t) THEN len(t) WHEN {gap} - 1 > 660 THEN {at} + {gap} ELSE {at} + 1200 END"
+
+
+CHUNKS_SQL = CHUNKS_SQL.replace("{end0}", _end_sql("0")).replace("{end}", _end_sql("greatest(e - 200, b + 1)"))
+
+
+@query(f"WITH RECURSIVE {CHUNKS_SQL} SELECT doc_id, CAST(chunk_no AS INT) AS chunk_no, CAST(len(c) AS INT) AS n_chars, md5(c) AS chunk_md5 FROM chunk")
 def q_chunks(t):
     return chunking.chunks(t("documents").select("doc_id", "text")).select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {CHUNKS_SQL},
+n AS (SELECT source, chunk_no, {NORM_SQL.replace("(text,", "(c,")} AS c FROM chunk),
+v AS (SELECT source, chunk_no, md5(lower(c)) AS hash, len(c) >= 20 AND len(regexp_replace(c, '[\p{{L}}\p{{N}}\s]', '', 'g')) / greatest(len(c), 1) <= 0.4 AS valid FROM n),
+f AS (SELECT hash, arg_min(source, (source, chunk_no)) AS source FROM v WHERE valid GROUP BY hash),
+a AS (SELECT source, count(*) AS inserted FROM f GROUP BY source)
+SELECT source, count(*) AS chunks, count(*) FILTER (WHERE valid) AS valid, count(*) FILTER (WHERE NOT valid) AS invalid, coalesce(any_value(inserted), 0) AS inserted, count(*) FILTER (WHERE valid) - coalesce(any_value(inserted), 0) AS duplicates
+FROM v LEFT JOIN a USING (source) GROUP BY source""")
 def q_ingest(t):
     return ingest.ingested(t("documents"))[1]
 
@@ -400,6 +431,34 @@ def q_hybrid_context(t):
     return items.select("query_id", "ordinal", "type", "source", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"), F.round("s", 6).alias("score"), "accepted")
 
 
+# A second query set, in the words of the tables: what runs on a nation, with words that documents hold. Sources lie in one folder, as evidence
+# comes from the folders that hits come from.
+
+
+def wiki_chunks(t) -> DataFrame:
+    """Documents in chunks; a document's first one has its vector."""
+    pieces = chunking.chunks(t("documents").select("doc_id", "source", "lang", "text"))
+    vectors = t("embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_no"), "embedding")
+    rows = stored(pieces.join(vectors, ["doc_id", "chunk_no"], "left"), "wiki")
+    return rows.select((F.col("doc_id") * 100_000 + F.col("chunk_no")).alias("chunk_id"), F.col("chunk").alias("content"), F.concat(F.lit("wiki/"), "source").alias("source"), F.array("lang").alias("tags"), F.lit("{}").alias("metadata"), "embedding")
+
+
+def wiki_edges(t) -> DataFrame:
+    return edge_table(t).withColumn("sources", F.transform("sources", lambda s: F.concat(F.lit("wiki/"), s)))
+
+
+def nation_queries(t) -> DataFrame:
+    names = t("nation").where("n_nationkey % 5 = 0").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("tell what runs on "), "n_name", F.lit(" with thention and ering tions")).alias("query"))
+    return names.join(t("embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+
+
+@query()
+def q_hybrid_context_names(t):
+    """Contexts with hits, relations and evidence."""
+    items, _ = pipelines.hybrid_context(wiki_chunks(t), nation_queries(t), wiki_edges(t))
+    return items.select("query_id", "ordinal", "type", "source", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"), F.round("s", 6).alias("score"), "accepted")
+
+
 @query()
 def q_hybrid_context_fused(t):
     items, _ = pipelines.hybrid_context_fused(chunk_table(t), query_table(t), edge_table(t))
@@ -529,11 +588,42 @@ def q_graph_counts(t):
     return graph.counts(nodes, edge_table(t))
 
 
-@query()
+def _count_sql(words, text: str = "text") -> str:
+    return "(" + " + ".join(f"contains({text}, '{w}')::INT" for w in words) + ")"
+
+
+def _has_sql(words, text: str = "lq") -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+#: RERANK_SQL over the rows of ``asked`` (item_id, text, wanted, tag), of which a tag is the only language to search.
+ASKED_SQL = (
+    RERANK_SQL.replace("FROM benchmark WHERE item_id % 50 = 0)\n", "FROM asked)\n")
+    .replace("q AS (SELECT b.item_id AS query_id, b.text AS query, e.embedding AS wanted FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id WHERE b.item_id % 50 = 0)", "q AS (SELECT item_id AS query_id, text AS query, wanted, tag FROM asked)")
+    .replace("JOIN q USING (query_id) GROUP BY q.query_id", "JOIN q USING (query_id) WHERE tag IS NULL OR tag = lang GROUP BY q.query_id")
+    .replace("FROM chunks, q WHERE embedding IS NOT NULL", "FROM chunks, q WHERE embedding IS NOT NULL AND (tag IS NULL OR tag = lang)")
+)
+
+
+@query(rf"""WITH w AS (SELECT item_id AS id, unnest([0, 1]) AS variant, unnest([trim(text, ' ' || chr(9) || chr(10) || chr(13)), trim(substr(text, 1, len(text) // 2), ' ' || chr(9) || chr(10) || chr(13))]) AS text, unnest([vec_id, vec_id + 1]) AS v
+  FROM benchmark JOIN embeddings ON vec_id = item_id WHERE item_id % 50 = 0),
+asked AS (SELECT id * 4 + variant * 2 + turn AS item_id, id, variant, turn, text, embedding AS wanted, CASE turn WHEN 0 THEN 'en' END AS tag FROM w JOIN embeddings ON vec_id = v, (SELECT unnest([0, 1]) AS turn)),
+{ASKED_SQL},
+found AS (SELECT id, variant, turn, chunk_id, rank, content, md5(lower(trim(content, ' ' || chr(9) || chr(10) || chr(13)))) AS same FROM ranked JOIN asked ON item_id = ranked.query_id),
+one AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY variant, turn, rank) AS ordinal FROM (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY id, same ORDER BY variant, turn, rank) = 1)),
+whole AS (SELECT id, lower(string_agg(text, chr(10) ORDER BY variant)) AS lq FROM w GROUP BY id),
+points AS (SELECT id AS query_id, chunk_id, ordinal,
+    CASE WHEN {_has_sql(answers.CLUSTER)} THEN 8 * {_count_sql(answers.CLUSTER_PHRASES)} - CASE WHEN contains(text, 'oauth') AND NOT {_has_sql(answers.LOGIN)} THEN 12 ELSE 0 END ELSE 0 END
+    + CASE WHEN {_has_sql(answers.POD)} THEN 8 * {_count_sql(answers.POD_PHRASES)} ELSE 0 END
+    + len(list_filter(list_transform(regexp_split_to_array(lq, '\s+'), lambda x: trim(x, '.,:;!?()[]{{}}''"`')), lambda x: len(x) >= 4 AND contains(text, x))) AS points
+  FROM (SELECT *, lower(content) AS text FROM one JOIN whole USING (id)))
+SELECT query_id, chunk_id, CAST(ordinal AS INT) AS ordinal, CAST(row_number() OVER (PARTITION BY query_id ORDER BY points DESC, ordinal) AS INT) AS priority FROM points QUALIFY priority <= 20""")
 def q_variant_search(t):
-    """Other wordings: the query's first half."""
+    """Another wording, the query's first half, with a vector of its own."""
     half = F.array(F.substring("query", F.lit(1), F.floor(F.length("query") / 2).cast("int")))
-    return pipelines.variant_search(chunk_table(t), query_table(t), tags=["en"], hints=half).select("query_id", "chunk_id", "ordinal", "priority")
+    other = t("embeddings").select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("other"))
+    queries = query_table(t).join(other, "query_id")
+    return pipelines.variant_search(chunk_table(t), queries, tags=["en"], hints=half, embed=lambda _: F.col("other")).select("query_id", "chunk_id", "ordinal", "priority")
 
 
 @query(r"""WITH c AS (SELECT url, page_id % 3 = 0 AS known FROM (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as X
-from ..operators import answers, context, fusion, gate, graph, search
+from ..operators import answers, context, fusion, gate, graph, models, search
 from ..session import stored
 
 
@@ -91,30 +94,47 @@ def answer_context(chunks: DataFrame, queries: DataFrame, n: int = 6, budget: in
     return context.prefix(hits, budget)
 
 
-def variants_of(queries: DataFrame, hints: Column | None = None) -> DataFrame:
-    """queries with other wordings as rows of their own, unique without case."""
+def variants_of(queries: DataFrame, hints: Column | None = None, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """queries with other wordings as rows of their own, unique without case. ``embed`` makes a wording's vector; without it the other
+    wordings take the query's."""
     lists = F.concat(F.array("query"), hints) if hints is not None else F.array("query")
-    return queries.select("query_id", F.posexplode(X.unique_without_case(F.filter(lists, lambda q: q.isNotNull() & (q != "")))).alias("variant", "query"), *[c for c in queries.columns if c not in ("query_id", "query")])
+    wordings = X.unique_without_case(F.filter(F.transform(lists, X.stripped), lambda q: q.isNotNull() & (q != "")))
+    rows = queries.select("query_id", F.posexplode(wordings).alias("variant", "query"), *[c for c in queries.columns if c not in ("query_id", "query")])
+    return rows if embed is None else rows.withColumn("embedding", F.when(F.col("variant") == 0, F.col("embedding")).otherwise(embed(F.col("query"))))
 
 
-def variant_search(chunks: DataFrame, queries: DataFrame, n: int = 20, tags: list[str] | None = None, hints: Column | None = None) -> DataFrame:
-    """query_id, chunk_id, content, ordinal, priority: hybrid search of every wording of a query, with the tags and, if there are any, without.
+def variant_search(chunks: DataFrame, queries: DataFrame, n: int = 20, tags: list[str] | None = None, hints: Column | None = None, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """query_id, query (all wordings), chunk_id, content, ordinal, priority: search of every wording of a query, with the tags and, if there are any, without.
 
-    Hits of equal content (without case and outer space) count once, at the first wording that finds them; the best for operations come
-    first, else in the order found. ``queries``: query_id, query, embedding (the other wordings take the query's vector).
+    Each wording's hits are reranked for that wording, with its own vector. Hits of equal content (without case and outer space) count once, at
+    the first wording that finds them; the best for operations come first, else in the order found, and the first n stay.
     """
-    asked = variants_of(queries, hints)
+    asked = stored(variants_of(queries, hints, embed).withColumn("own", F.xxhash64("query_id", "variant")), "wordings")
     # A wording is a query of its own; its number is made from the query's, so nothing is numbered over all.
-    asked = asked.withColumn("own", F.xxhash64("query_id", "variant"))
     one = asked.select(F.col("own").alias("query_id"), "query", "embedding")
-    found = search.hybrid(chunks, one, tags=tags).withColumn("turn", F.lit(0))
-    if tags:
-        found = found.unionByName(search.hybrid(chunks, one).withColumn("turn", F.lit(1)))
-    rows = found.withColumnRenamed("query_id", "own").join(asked.select("own", "query_id", "variant"), "own").join(chunks.select("chunk_id", "content"), "chunk_id")
+    found = []
+    for turn, tagged in enumerate((tags, None) if tags else (None,)):
+        hits = stored(search.hybrid(chunks, one, tags=tagged), "variant-hits")
+        found.append(search.reranked(hits, chunks, one).select(F.col("query_id").alias("own"), "chunk_id", "content", "rank", F.lit(turn).alias("turn")))
+    rows = reduce(DataFrame.unionByName, found).join(asked.select("own", "query_id", "variant"), "own")
     rows = rows.withColumn("same", F.md5(F.lower(X.stripped(F.col("content")))))
-    first = Window.partitionBy("query_id", "same").orderBy("variant", "turn", "ordinal")
+    first = Window.partitionBy("query_id", "same").orderBy("variant", "turn", "rank")
     rows = rows.withColumn("seen", F.row_number().over(first)).where("seen = 1")
-    rows = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("query_id").orderBy("variant", "turn", "ordinal")))
+    rows = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("query_id").orderBy("variant", "turn", "rank")))
     whole = asked.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("variant", "query"))), lambda x: x.query), "\n").alias("query"))
     ranked = answers.prioritized(rows.select("query_id", "chunk_id", "content", "ordinal").join(whole, "query_id"))
-    return ranked.where(F.col("priority") <= n).select("query_id", "chunk_id", "content", "ordinal", "priority")
+    return ranked.where(F.col("priority") <= n).select("query_id", "query", "chunk_id", "content", "ordinal", "priority")
+
+
+def answer_search(chunks: DataFrame, queries: DataFrame, generate: models.Generate, tags: list[str] | None = None, mode: str = "auto", embed: Callable[[Column], Column] | None = None, memo: models.Memo | None = None) -> DataFrame:
+    """query_id, chunk_id, content, mode, rank: variant search of a query, of a model's wording of it and of hints for it; in smart mode the model
+    puts the first 20 in order, in fast mode they stay as they are."""
+    asked = models.rewritten(queries, generate, memo)
+    asked = asked.withColumn("mode", answers.mode(F.col("query"), F.lit(mode)))
+    hints = F.concat(F.array("wording"), answers.hints(F.col("query")))
+    found = stored(variant_search(chunks, asked.select("query_id", "query", "embedding", "wording"), 20, tags, hints, embed).join(asked.select("query_id", "mode"), "query_id"), "answers")
+    smart = found.where("mode = 'smart'").withColumnRenamed("ordinal", "found_at").withColumnRenamed("priority", "ordinal")
+    said = models.model_reranked(smart.drop("query"), smart.select("query_id", "query").distinct(), generate, memo=memo)
+    fast = found.where("mode = 'fast'").withColumnRenamed("priority", "rank")
+    columns = ["query_id", "chunk_id", "content", "mode", "rank"]
+    return said.select(*columns).unionByName(fast.select(*columns))
