@@ -673,7 +673,8 @@ def q_qa_decisions(t):
     return models.pairs_decided(qa, pairs_model).select("conv_id", "turn", "keep", F.array_join("told", ",").alias("tags"), "why")
 
 
-@query(f"""WITH near AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {L2_SQL.format(a="a.embedding", b="b.embedding")}, b.vec_id) AS ordinal FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY ordinal <= 20),
+@query(f"""WITH near AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {L2_SQL.format(a="a.embedding", b="b.embedding")}, b.vec_id) AS ordinal FROM embeddings a, embeddings b
+  WHERE a.vec_id % 50 = 0 AND a.vec_id IN (SELECT doc_id FROM documents) AND b.vec_id IN (SELECT doc_id FROM documents) QUALIFY ordinal <= 20),
 q AS (SELECT query_id, any_value(len(left(text, 200))) AS n, count(*) AS hits FROM near JOIN documents ON doc_id = query_id GROUP BY query_id),
 named AS (SELECT query_id, k, (n * k) % 23 AS place, row_number() OVER (PARTITION BY query_id ORDER BY k) AS rank FROM q, (SELECT unnest(range(1, 9)) AS k) WHERE n % 5 > 0 AND (n * k) % 23 < hits),
 picked AS (SELECT query_id, place, rank FROM named WHERE rank <= 6 UNION ALL SELECT query_id, ordinal - 1, ordinal FROM near WHERE ordinal <= 6 AND query_id NOT IN (SELECT query_id FROM named))
@@ -681,8 +682,9 @@ SELECT p.query_id, chunk_id, CAST(rank AS INT) AS rank FROM picked p JOIN near O
 def q_rerank_model(t):
     """The nearest 20 documents of each query, put in order by a model."""
     texts = t("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    hits = search.vector_top(vector_chunks(t), vector_queries(t), 20).withColumnRenamed("rank", "ordinal").join(texts, "chunk_id")
-    asked = vector_queries(t).join(texts.withColumnRenamed("chunk_id", "query_id"), "query_id").select("query_id", F.left("content", F.lit(200)).alias("query"))
+    asked = vector_queries(t).join(texts.withColumnRenamed("chunk_id", "query_id"), "query_id").select("query_id", F.left("content", F.lit(200)).alias("query"), "embedding")
+    near = search.vector_top(vector_chunks(t).join(texts.select("chunk_id"), "chunk_id", "left_semi"), asked, 20)
+    hits = near.withColumnRenamed("rank", "ordinal").join(texts, "chunk_id")
     return models.model_reranked(hits, asked, rerank_model).select("query_id", "chunk_id", "rank")
 
 
