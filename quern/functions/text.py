@@ -232,10 +232,19 @@ def relation_name(relation: Column) -> Column:
     return F.when(name.isin(*V.RELATION_PRIORITY), name)
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with value worked out once however often f looks at it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def entity_name(entity: Column) -> Column:
     """The canonical form of an entity's name; null for what is no entity."""
     name = F.btrim(F.regexp_replace(stripped(F.coalesce(entity, F.lit(""))), r"(?U)\s+", " "), F.lit("`\"'.,:;()[]{}"))
-    key = F.trim(F.regexp_replace(F.translate(F.lower(name), "-_", "  "), r"(?U)\s+", " "))
+    plain = lambda n: F.trim(F.regexp_replace(F.translate(F.lower(n), "-_", "  "), r"(?U)\s+", " "))
+    return bound(name, lambda n: bound(plain(n), lambda key: _entity(n, key)))
+
+
+def _entity(name: Column, key: Column) -> Column:
     joined = F.replace(key, F.lit(" "), F.lit("_"))
     alias = lookup(V.ENTITY_ALIASES)
     noise = (

@@ -20,23 +20,25 @@ NO_TITLE = ("imported document", "page", "copyright", "kancelaria sejmu", "dzien
 PHRASE = r"(?U)\b(\p{Lu}[\p{L}0-9-]+(?:\s+\p{Lu}[\p{L}0-9-]+){1,6})\b"
 
 
-def is_legal(text: Column, source: Column) -> Column:
-    lower = F.lower(F.coalesce(text, F.lit("")))
+def is_legal(lower: Column, source: Column) -> Column:
+    """lower: the text in lower case, never null."""
     return F.contains(lower, F.lit(LEGAL_ANCHOR.lower())) | (F.contains(lower, F.lit("konstytucja")) & F.contains(lower, F.lit("rzeczpospolitej polskiej"))) | F.contains(F.lower(F.coalesce(source, F.lit(""))), F.lit("d19970483"))
 
 
 def title(value: Column) -> Column:
     """A cleaned title, or null for what is none."""
     clean = F.btrim(F.regexp_replace(F.regexp_replace(X.stripped(F.coalesce(value, F.lit(""))), r"^#+\s*", ""), r"(?U)\s+", " "), F.lit(" `\"'.,:;()[]{}"))
-    lower = F.lower(clean)
-    bad = (
+    return X.bound(clean, lambda c: F.when(~_no_title(c, F.lower(c)), c))
+
+
+def _no_title(clean: Column, lower: Column) -> Column:
+    return (
         F.rlike(lower, F.lit("#|https?://"))
         | lower.isin(*NO_TITLE)
         | F.rlike(lower, F.lit(r"^(page |strona |©)|^\d{4}[-./]\d{2}[-./]\d{2}$"))
         | ~F.length(clean).between(4, 140)
         | ~F.rlike(clean, F.lit(r"\p{L}"))
     )
-    return F.when(~bad, clean)
 
 
 def _upper(line: Column) -> Column:
@@ -45,20 +47,26 @@ def _upper(line: Column) -> Column:
 
 def with_anchor(docs: DataFrame) -> DataFrame:
     """docs (source, text) with anchor: from the first of 160 lines that looks like a title, else from the source's name."""
-    lines = F.slice(F.split(F.coalesce("text", F.lit("")), r"\r\n|\n|\r"), 1, 160)
-    found = F.transform(lines, lambda x: F.struct(x.alias("line"), title(x).alias("t")))
-    fit = F.filter(found, lambda x: x.t.isNotNull() & ~F.startswith(F.lower(x.t), F.lit("art.")) & (F.startswith(F.ltrim(x.line), F.lit("#")) | _upper(x.t) | (F.size(F.split(x.t, " ")) >= 2)))
-    rows = docs.withColumn("__t", F.get(fit, F.lit(0)).t)
+    rows = docs.withColumns({"__lines": F.slice(F.split(F.coalesce("text", F.lit("")), r"\r\n|\n|\r"), 1, 160), "__lower": F.lower(F.coalesce("text", F.lit("")))})
+
+    def first(start: int, n: int) -> Column:
+        found = F.transform(F.slice("__lines", start, n), lambda x: F.struct(x.alias("line"), title(x).alias("t")))
+        fit = F.filter(found, lambda x: x.t.isNotNull() & ~F.startswith(F.lower(x.t), F.lit("art.")) & (F.startswith(F.ltrim(x.line), F.lit("#")) | _upper(x.t) | (F.size(F.split(x.t, " ")) >= 2)))
+        return F.get(fit, F.lit(0)).t
+
+    # Nearly always one of the first lines is a title; the others are only looked at where none is.
+    rows = rows.withColumn("__t", F.coalesce(first(1, 4), first(5, 156)))
     stem = F.trim(F.regexp_replace(F.regexp_replace(F.element_at(F.split(F.coalesce("source", F.lit("document")), "/"), -1), r"(?<=.)\.[^.]*$", ""), r"[_\s-]+", " "))
     named = F.when(~F.rlike(stem, F.lit(r"^[A-Z]?\d+[A-Za-z]{0,4}$")), title(stem))
-    anchor = F.when(is_legal(F.col("text"), F.col("source")), F.lit(LEGAL_ANCHOR)).otherwise(F.coalesce(X.entity_name(F.col("__t")), "__t", named, "source", F.lit("document")))
-    return rows.withColumn("anchor", anchor).drop("__t")
+    anchor = F.when(is_legal(F.col("__lower"), F.col("source")), F.lit(LEGAL_ANCHOR)).otherwise(F.coalesce(X.entity_name(F.col("__t")), "__t", named, "source", F.lit("document")))
+    return rows.withColumn("anchor", anchor).drop("__t", "__lines", "__lower")
 
 
 def with_entities(docs: DataFrame, most: int = 20) -> DataFrame:
     """docs (text, anchor) with entities: aliases, headings, lines in capitals and capitalised phrases, the most frequent and longest first."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lower = F.lower(text)
+    # Columns of their own, as they are looked at once for each alias and line.
+    docs = docs.withColumns({"__whole": F.coalesce(F.col("text"), F.lit("")), "__lower": F.lower(F.coalesce(F.col("text"), F.lit("")))})
+    text, lower = F.col("__whole"), F.col("__lower")
     named = F.array_compact(F.array(*[F.when(F.contains(lower, F.lit(a.replace("_", " "))), F.lit(n)) for a, n in V.ENTITY_ALIASES.items()]))
     lines = F.transform(F.slice(F.split(text, r"\r\n|\n|\r"), 1, 220), lambda x: X.stripped(x))
     heads = F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit("#"))), lambda x: F.regexp_replace(x, r"^#+\s*", ""))
@@ -70,14 +78,14 @@ def with_entities(docs: DataFrame, most: int = 20) -> DataFrame:
     rows = rows.withColumn("__c", X.unique_without_case(F.array_distinct(fit)))
     counted = F.transform("__c", lambda x: F.struct((-F.regexp_count(text, F.concat(F.lit(r"(?iu)\Q"), x, F.lit(r"\E")))).alias("n"), (-F.length(x)).alias("l"), x.alias("x")))
     best = F.slice(F.array_sort(F.filter(counted, lambda s: s.n < 0)), 1, most)
-    return rows.withColumn("entities", F.transform(best, lambda s: s.x)).drop("__c")
+    return rows.withColumn("entities", F.transform(best, lambda s: s.x)).drop("__c", "__whole", "__lower")
 
 
 def relations(docs: DataFrame, most: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """(source, relation, target, document, and docs' columns ``keep``): the anchor is a document and contains its entities; the legal document has its own."""
-    rows = with_entities(with_anchor(docs), most).withColumn("legal", is_legal(F.col("text"), F.col("source")))
+    rows = with_entities(with_anchor(docs), most).withColumn("__lower", F.lower(F.coalesce("text", F.lit("")))).withColumn("legal", is_legal(F.col("__lower"), F.col("source")))
     pair = lambda r, t: F.struct(F.lit(r).alias("relation"), t.alias("target"))
-    own = F.filter(X.literals(LEGAL_ENTITIES), lambda e: F.contains(F.lower("text"), F.lower(e)))
+    own = F.filter(X.literals(LEGAL_ENTITIES), lambda e: F.contains("__lower", F.lower(e)))
     legal = F.concat(F.array(pair("is_a", F.lit("akt normatywny"))), F.transform(own, lambda e: pair("contains", e)))
     made = F.concat(F.array(pair("is_a", F.lit("dokument"))), F.transform("entities", lambda e: pair("contains", e)))
     made = F.when(F.col("legal"), F.concat(made, legal)).otherwise(made)

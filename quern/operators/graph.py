@@ -208,12 +208,13 @@ def change_set(docs: DataFrame, edges: DataFrame, most: int = 8000) -> tuple[Dat
     ends the first ``most`` characters don't hold, and triples that can't be cleaned, are skipped. counters: doc_id, n_valid (repeats
     counted), n_unique, n_created, n_existing, n_skipped of every document.
     """
-    texts = docs.select(F.col("doc_id"), "source", "text", F.col("text").alias("__text"), "triples")
-    said = lambda e, text: F.contains(F.lower(text), F.lower(e)) | F.coalesce(F.exists(X.lookup(_spellings())[F.lower(e)], lambda a: F.contains(F.lower(text), a)), F.lit(False))
+    # Texts are put in lower case once, before a row becomes many.
+    texts = docs.select("doc_id", "source", "text", F.lower(F.coalesce("text", F.lit(""))).alias("__text"), "triples")
+    said = lambda e, lower: F.contains(lower, F.lower(e)) | F.coalesce(F.exists(X.lookup(_spellings())[F.lower(e)], lambda a: F.contains(lower, a)), F.lit(False))
     sure = ((F.col("relation") == "is_a") & (F.col("target") == "dokument")) | ((F.col("source") == anchors.LEGAL_ANCHOR) & (F.col("target") == "akt normatywny"))
     own = anchors.relations(texts, keep=("doc_id", "__text")).where("relation is not null")
-    own = own.select("doc_id", "document", *EDGE, (sure | said(F.col("target"), F.coalesce("__text", F.lit("")))).alias("ok"))
-    told = texts.select("doc_id", F.col("source").alias("document"), F.left(F.coalesce("text", F.lit("")), F.lit(most)).alias("__text"), F.explode("triples").alias("t"))
+    own = own.select("doc_id", "document", *EDGE, (sure | said(F.col("target"), F.col("__text"))).alias("ok"))
+    told = texts.select("doc_id", F.col("source").alias("document"), F.lower(F.left(F.coalesce("text", F.lit("")), F.lit(most))).alias("__text"), F.explode("triples").alias("t"))
     told = told.select("doc_id", "document", "__text", X.entity_name(F.col("t.source")).alias("source"), X.relation_name(F.col("t.relation")).alias("relation"), X.entity_name(F.col("t.target")).alias("target"))
     clean = F.col("source").isNotNull() & F.col("relation").isNotNull() & F.col("target").isNotNull() & (F.col("source") != F.col("target"))
     told = told.select("doc_id", "document", *EDGE, F.coalesce(clean & said(F.col("source"), F.col("__text")) & said(F.col("target"), F.col("__text")), F.lit(False)).alias("ok"))
