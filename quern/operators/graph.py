@@ -107,6 +107,13 @@ def scored_search(edges: DataFrame, queries: DataFrame, n: int = 10) -> DataFram
     return with_sources(rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= n).drop("n"), edges)
 
 
+def fallback_search(edges: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
+    """Search by terms with a graph_score made from its points, for where names can't be ranked: ten points a term count as the best rank."""
+    rows = search(edges, queries, n).join(in_place(queries.select("query_id", F.greatest(F.size("terms"), F.lit(1)).alias("asked"))), "query_id")
+    fulltext = F.least(F.col("score") / (10.0 * F.col("asked")) * 4.0, F.lit(4.0))
+    return rows.withColumn("graph_score", S.graph_score(fulltext, F.col("relation"), F.size("sources"))).drop("asked")
+
+
 def neighbourhood(edges: DataFrame, term: str, n: int = 100) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the first n edges with term in an end."""
     part = edges.where(F.contains(F.lower("source"), F.lit(term.lower())) | F.contains(F.lower("target"), F.lit(term.lower()))).orderBy(*EDGE).limit(n)
@@ -182,6 +189,23 @@ def cleanup_report(edges: DataFrame, strict: bool = True, samples: int = 20) ->
     return counts, some.select("action", "nth", *EDGE, *[f"clean_{c}" for c in EDGE])
 
 
+def cleanup(nodes: DataFrame, edges: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, one row of totals) after cleanup: the clean edges, and no node (name) without one of them.
+
+    Ends of edges are nodes whether or not they are listed. totals: total, keep, delete, rewrite, isolated_nodes_deleted, and invalid_types,
+    how many different relation types aren't allowed as they are written.
+    """
+    ends = lambda rows: rows.select(F.col("source").alias("name")).unionByName(rows.select(F.col("target").alias("name"))).distinct()
+    after = stored(cleaned(edges, strict), "clean-edges")
+    left = stored(ends(after), "clean-nodes")
+    before = nodes.select("name").unionByName(ends(edges)).where("name is not null").distinct()
+    gone = before.join(left, "name", "left_anti").agg(F.count("*").alias("isolated_nodes_deleted"))
+    is_a = lambda action: F.count_if(F.col("action") == action).alias(action)
+    odd = F.count_distinct(F.when(~F.col("relation").isin(*V.RELATION_PRIORITY), F.col("relation")))
+    totals = classified(edges, strict).agg(F.count("*").alias("total"), is_a("keep"), is_a("delete"), is_a("rewrite"), odd.alias("invalid_types"))
+    return left, after, totals.crossJoin(gone)
+
+
 def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, relation types, nodes without an edge."""
     one = edges.agg(F.count("*").alias("edges"), F.count_distinct("relation").alias("types"))

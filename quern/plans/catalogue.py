@@ -280,6 +280,11 @@ def q_graph_search(t):
     return graph.search(full_graph(t), name_queries(t)).select("query_id", *graph.EDGE, "score", "rank")
 
 
+@query(f"""WITH {BEST_SQL} SELECT query_id, source, relation, target, round(0.5 * least(score / 10.0, 1) + 0.3 * pr / 80.0 + 0.2 * least(len(sources) / 5.0, 1), 4) AS graph_score, CAST(rank AS INT) AS rank FROM best WHERE rank <= 10""")
+def q_graph_fallback(t):
+    return graph.fallback_search(full_graph(t), name_queries(t)).select("query_id", *graph.EDGE, "graph_score", "rank")
+
+
 @query(f"""WITH {EDGES_SQL}, c AS (SELECT *, count(DISTINCT relation) OVER (PARTITION BY source, target) AS types FROM graph)
 SELECT source, target, relation, row_number() OVER (PARTITION BY source, target ORDER BY {PRIORITY_SQL} DESC, least(len(sources), 25) DESC, len(relation), relation DESC) = 1 AS winner FROM c WHERE types > 1""")
 def q_conflict_winner(t):
@@ -312,6 +317,32 @@ def q_graph_cleanup(t):
     return graph.cleaned(raw_edges(t)).select(*graph.EDGE, F.array_join("sources", ",").alias("sources"))
 
 
+def spelled_edges(t) -> DataFrame:
+    """raw_edges, and suppliers in nations: those are kept."""
+    runs = t("supplier").join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    kept = runs.select(F.concat(F.lit("Supplier"), F.col("s_suppkey") % 9).alias("source"), F.lit("runs_on").alias("relation"), F.concat(F.lit("Nation"), "n_nationkey").alias("target"), F.array().cast("array<string>").alias("sources"))
+    return raw_edges(t).unionByName(kept)
+
+
+CLEANUP_SQL = """p AS (SELECT *, list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]) AS ws FROM part),
+r AS (SELECT p_name AS s, lower(p_brand) AS o, array_to_string(ws, ' ') AS source, CASE p_partkey % 4 WHEN 0 THEN 'uses' WHEN 1 THEN 'depends_on' WHEN 2 THEN 'provides' END AS relation, 'Brand' || p_brand[6:] AS target FROM p),
+k AS (SELECT 'Supplier' || (s_suppkey % 9) AS source, 'Nation' || s_nationkey AS target FROM supplier),
+after AS (SELECT source, target FROM r WHERE relation IS NOT NULL UNION ALL SELECT * FROM k),
+names AS (SELECT source AS name FROM after UNION SELECT target FROM after)"""
+
+
+@query(f"WITH {CLEANUP_SQL} SELECT name FROM names")
+def q_cleanup_nodes(t):
+    return graph.cleanup(t("customer").select(F.col("c_name").alias("name")), spelled_edges(t))[0]
+
+
+@query(f"""WITH {CLEANUP_SQL}, b AS (SELECT s AS name FROM r UNION SELECT o FROM r UNION SELECT source FROM k UNION SELECT target FROM k UNION SELECT c_name FROM customer)
+SELECT (SELECT count(*) FROM r) + (SELECT count(*) FROM k) AS total, (SELECT count(*) FROM k) AS keep, (SELECT count(*) FROM r WHERE relation IS NULL) AS "delete", (SELECT count(*) FROM r WHERE relation IS NOT NULL) AS rewrite,
+  (SELECT count(*) FROM b WHERE name NOT IN (SELECT name FROM names)) AS isolated_nodes_deleted, (SELECT count(DISTINCT p_partkey % 4) FROM part) AS invalid_types""")
+def q_cleanup_totals(t):
+    return graph.cleanup(t("customer").select(F.col("c_name").alias("name")), spelled_edges(t))[2]
+
+
 @query(f"WITH {EDGES_SQL}, p AS (SELECT * FROM graph WHERE contains(lower(source), 'ring') OR contains(lower(target), 'ring') ORDER BY source, relation, target LIMIT 100) SELECT DISTINCT name FROM (SELECT source AS name FROM p UNION ALL SELECT target FROM p)")
 def q_graph_data(t):
     return graph.neighbourhood(full_graph(t), "ring")[0]
@@ -459,6 +490,13 @@ def q_hybrid_context_names(t):
     return items.select("query_id", "ordinal", "type", "source", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"), F.round("s", 6).alias("score"), "accepted")
 
 
+@query()
+def q_retrieved(t):
+    """What a caller is told of each query, with at most eight results."""
+    records = pipelines.retrieved(wiki_chunks(t), nation_queries(t), wiki_edges(t), top_k=8)[1]
+    return records.withColumns({"types": F.to_json("types"), "sources": F.array_join("sources", ","), "top_score": F.round("top_score", 6)})
+
+
 @query()
 def q_hybrid_context_fused(t):
     items, _ = pipelines.hybrid_context_fused(chunk_table(t), query_table(t), edge_table(t))
@@ -536,19 +574,8 @@ def q_feedback_recent(t):
 
 @query("SELECT item_id, count(doc_id) AS n_documents, count(doc_id) > 0 AS passed FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def q_golden(t):
-    """Benchmark items are a stated query set; a document's text is searched for those of which it has a word."""
-    items = t("benchmark").select("item_id", F.col("text").alias("wanted"))
-    # A text that contains an item contains its longest word that no border of the item cuts; items without one are compared with all.
-    inner = F.filter(F.slice(F.split("wanted", "[^A-Za-z0-9]+"), 2, 100_000), lambda w: w != "")
-    inner = F.slice(inner, 1, F.greatest(F.size(inner) - 1, F.lit(0)))
-    word = F.get(F.sort_array(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False), F.lit(0)).w
-    items = items.withColumn("word", word)
-    words = t("documents").select("text", F.explode(F.array_distinct(F.split("text", "[^A-Za-z0-9]+"))).alias("word"))
-    texts = words.join(search.in_place(items.where("word is not null").withColumnRenamed("item_id", "query_id")), "word").withColumnRenamed("query_id", "item_id").where(F.contains("text", F.col("wanted")))
-    rest = items.where("word is null").select(F.col("item_id").alias("query_id"), "wanted")
-    others = search.in_blocks(t("documents").select("text"), rest, "wanted").where(F.contains("text", F.col("wanted"))).select(F.col("query_id").alias("item_id"))
-    found = texts.select("item_id").unionByName(others).groupBy("item_id").agg(F.count("*").alias("n_documents"))
-    rows = items.select("item_id").join(found, "item_id", "left").withColumn("n_documents", F.coalesce("n_documents", F.lit(0)).cast("long"))
+    """Benchmark items as golden tests: is any document's text found that contains the item?"""
+    rows = telemetry.containing(t("benchmark").select("item_id", F.col("text").alias("wanted")), t("documents").select("doc_id", "text"))
     return rows.select("item_id", "n_documents", (F.col("n_documents") > 0).alias("passed"))
 
 
@@ -636,6 +663,23 @@ def q_website_import(t):
     return web.imported(found, known)[2]
 
 
+_SITE_SQL = CHUNKS_SQL.replace("FROM documents)", "FROM (SELECT doc_id, 'https://wiki/' || doc_id AS source, '# Doc ' || doc_id || chr(10) || chr(10) || 'Source: https://wiki/' || doc_id || chr(10) || chr(10) || text AS text FROM documents))")
+
+
+@query(rf"""WITH RECURSIVE {_SITE_SQL},
+n AS (SELECT source, chunk_no, {NORM_SQL.replace("(text,", "(c,")} AS c FROM chunk),
+v AS (SELECT md5(lower(c)) AS hash, len(c) >= 20 AND len(regexp_replace(c, '[\p{{L}}\p{{N}}\s]', '', 'g')) / greatest(len(c), 1) <= 0.4 AS valid FROM n)
+SELECT (SELECT count(*) FROM documents) AS pages_found, (SELECT count(*) FROM documents) AS pages_imported, CAST(0 AS BIGINT) AS duplicate_pages, (SELECT CAST(sum(1 + doc_id % 2) AS BIGINT) FROM documents WHERE doc_id % 3 = 0) AS deleted_chunks,
+  count(*) AS chunks, count(*) FILTER (WHERE valid) AS valid, count(DISTINCT hash) FILTER (WHERE valid) AS inserted, count(*) FILTER (WHERE valid) - count(DISTINCT hash) FILTER (WHERE valid) AS duplicates, count(*) FILTER (WHERE NOT valid) AS invalid,
+  CAST(0 AS BIGINT) AS graph_valid, CAST(0 AS BIGINT) AS graph_created, CAST(0 AS BIGINT) AS graph_existing FROM v""")
+def q_website_totals(t):
+    """Every document as a page; every third is a source of one or two chunks already and is read anew."""
+    url = F.concat(F.lit("https://wiki/"), "doc_id")
+    found = t("documents").select(url.alias("url"), F.concat(F.lit("Doc "), "doc_id").alias("title"), "text")
+    known = t("documents").where("doc_id % 3 = 0").select(url.alias("source"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 2)).alias("n"))
+    return pipelines.website_import(found, known.withColumn("hash", F.md5(F.concat_ws("-", "source", "n"))), reindex=True)[3]
+
+
 @query()
 def q_document_relations(t):
     return anchors.relations(t("documents").select("source", "text")).groupBy("source", "relation", "target").agg(F.count("*").alias("n"))
@@ -651,6 +695,13 @@ def pairs_model(prompt: str) -> str:
     return f"Here you are: {json.dumps(said)} Bye."
 
 
+def tag_model(prompt: str) -> str:
+    """Tags and wording by the length of what it is shown; every seventh reply can't be read."""
+    shown = next(prompt[len(p) :] for p in (models.DOCUMENT_PROMPT, models.QUERY_PROMPT, models.REWRITE_PROMPT) if prompt.startswith(p))
+    n = len(shown)
+    return "Sorry." if n % 7 == 0 else f"Sure: {json.dumps({'tags': [f'#Tag{n % 5}', ' ', f'Len{n % 3}'], 'query': f' question {n} ', 'reason': f'n{n}'})}"
+
+
 def rerank_model(prompt: str) -> str:
     """Names passages by the length of the question, some of which there aren't; every fifth reply names none."""
     n = len(prompt.split("\nQuestion:\n", 1)[1].split("\nPassages:\n", 1)[0])
@@ -688,6 +739,23 @@ def q_rerank_model(t):
     return models.model_reranked(hits, asked, rerank_model).select("query_id", "chunk_id", "rank")
 
 
+_TOLD_SQL = "CASE WHEN n % 7 > 0 THEN 'tag' || (n % 5) || ',len' || (n % 3) ELSE '' END AS tags, CASE WHEN n % 7 > 0 THEN 'n' || n ELSE 'failed_to_parse_llm_response' END AS why"
+
+
+@query(f"WITH x AS (SELECT doc_id, len(coalesce(source, '')) + 1 + least(len(coalesce(text, '')), 6000) AS n FROM documents) SELECT doc_id, {_TOLD_SQL} FROM x")
+def q_documents_tagged(t):
+    """All documents, tagged by a model."""
+    return models.documents_tagged(t("documents"), tag_model).select("doc_id", F.array_join("told", ",").alias("tags"), "why")
+
+
+@query(f"WITH x AS (SELECT conv_id, turn, coalesce(text, '') AS q, len(coalesce(text, '')) AS n FROM conversations WHERE role = 'user') SELECT conv_id, turn, {_TOLD_SQL}, md5(CASE WHEN n % 7 > 0 THEN 'question ' || n ELSE q END) AS wording_md5 FROM x")
+def q_questions_asked(t):
+    """All users' turns as questions: a model's tags to search with, and its wording."""
+    asked = t("conversations").where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("query"))
+    told = models.queries_tagged(asked, tag_model).withColumnRenamed("why", "tags_why")
+    return models.rewritten(told, tag_model).select("conv_id", "turn", F.array_join("told", ",").alias("tags"), F.col("tags_why").alias("why"), F.md5("wording").alias("wording_md5"))
+
+
 CLASSES = ("Alpha", "Beta", "Gamma", "Delta", "Epsilon", "Zeta", "Omega")
 
 

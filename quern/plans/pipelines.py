@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as X
-from ..operators import answers, context, fusion, gate, graph, models, search
+from ..operators import answers, context, fusion, gate, graph, ingest, models, search, telemetry, web
 from ..session import stored
+from ..settings import Settings
 
 
 def first_hits(chunks: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
@@ -59,13 +60,13 @@ def _items(hits: DataFrame, relations: DataFrame, proofs: DataFrame) -> DataFram
     return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("query_id").orderBy("p", "rank"))).drop("p")
 
 
-def hybrid_context(chunks: DataFrame, queries: DataFrame, edges: DataFrame, n_vector: int = 5, n_graph: int = 10, n_evidence: int = 5, budget: int = 12000) -> tuple[DataFrame, DataFrame]:
-    """(items, decisions): the context of each query, hits first, then relations, then evidence, and the gate's verdict."""
+def hybrid_context(chunks: DataFrame, queries: DataFrame, edges: DataFrame, n_vector: int = 5, n_graph: int = 10, n_evidence: int = 5, budget: int = 12000, rules: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(items, decisions): the context of each query, hits first, then relations, then evidence, and the gate's verdict by ``rules`` other than its defaults."""
     hits = first_hits(chunks, queries, max(1, min(n_vector, 10)))
     relations = stored(graph.search(edges, graph_queries(queries, hits), max(0, min(n_graph, 30))), "relations")
     proofs = stored(evidence_hits(chunks, queries, hits, relations, max(0, min(n_evidence, 12))), "evidence")
     packed = context.packed(stored(_items(hits, relations, proofs), "items"), max(2000, min(budget, 50000)))
-    decisions, judged = gate.decided(queries, packed)
+    decisions, judged = gate.decided(queries, packed, **(rules or {}))
     return judged, decisions
 
 
@@ -88,6 +89,70 @@ def hybrid_context_fused(chunks: DataFrame, queries: DataFrame, edges: DataFrame
     return judged, decisions
 
 
+def retrieved(chunks: DataFrame, queries: DataFrame, edges: DataFrame, settings: Settings | None = None, top_k: int | None = None, endpoint: str = "retrieve") -> tuple[DataFrame, DataFrame]:
+    """(results, records): what a caller gets for each query, and one record of each query for the telemetry log.
+
+    results: the items that the gate accepts (all of them with the gate switched off), at most ``top_k`` (1 to 20) of a query, with rank.
+    records: query_id, endpoint, query (500 characters), instruction, rag_used, the gate's figures, counts of results before and after, types
+    (a map of counts) and sources (the first 20 different ones that aren't the graph's).
+
+    Defined cases: a query without items has a record with empty types and sources; without ``settings`` the session's are taken.
+    """
+    settings = settings or Settings.of(queries.sparkSession)
+    most = None if top_k is None else max(1, min(top_k, 20))
+    n_vector = settings.n_vector if most is None else min(settings.n_vector, most)
+    items, decisions = hybrid_context(chunks, queries, edges, n_vector, settings.n_graph, settings.n_evidence, settings.budget, settings.rules())
+    items = stored(items, "judged")
+    kept = items.where("accepted") if settings.gate else items
+    kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("ordinal")))
+    results = kept if most is None else kept.where(F.col("rank") <= most)
+    counts = items.groupBy("query_id").agg(F.count_if("accepted").alias("accepted_results"), F.count_if(~F.col("accepted")).alias("rejected_results"))
+    types = results.groupBy("query_id", "type").agg(F.count("*").alias("n")).groupBy("query_id")
+    types = types.agg(F.sum("n").alias("results_after_gate"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("types"))
+    sources = telemetry.first_sources(results.where("source <> 'knowledge_graph'"))
+    rows = queries.select("query_id", F.left("query", F.lit(500)).alias("query")).join(decisions, "query_id")
+    for more in (counts, types, sources):
+        rows = rows.join(more, "query_id", "left")
+    used = F.col("used") if settings.gate else F.lit(True)
+    none = F.lit(0).cast("long")
+    records = rows.select(
+        "query_id",
+        F.lit(endpoint).alias("endpoint"),
+        "query",
+        F.when(used, settings.context).otherwise(settings.no_context).alias("instruction"),
+        used.alias("rag_used"),
+        F.col("score").alias("relevance_score"),
+        F.col("reason").alias("gate_reason"),
+        "top_score",
+        F.lit(settings.threshold).alias("threshold"),
+        F.col("overlap").alias("lexical_overlap"),
+        F.col("before").alias("results_before_gate"),
+        *[F.coalesce(c, none).alias(c) for c in ("accepted_results", "rejected_results", "results_after_gate")],
+        F.lit(most).cast("int").alias("top_k"),
+        F.lit(settings.gate).alias("gate_enabled"),
+        F.coalesce("types", F.create_map().cast("map<string,bigint>")).alias("types"),
+        F.coalesce("sources", F.array().cast("array<string>")).alias("sources"),
+    )
+    return results, records
+
+
+def website_import(found: DataFrame, chunks: DataFrame, edges: DataFrame | None = None, generate: models.Generate | None = None, reindex: bool = False, memo: models.Memo | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame]:
+    """(new chunks, chunks that stay, changes of the graph or None, one row of totals) of crawled pages (url, title, text) and stored chunks
+    (source, hash, ...). With ``edges`` and ``generate``, pages are also read for relations. An address is one page."""
+    docs, kept, totals = web.imported(found, chunks, reindex)
+    docs = stored(docs, "site")
+    fresh, counts = ingest.ingested(docs, kept)
+    none = F.lit(0).cast("long")
+    sums = lambda rows, **named: rows.agg(*[F.coalesce(F.sum(c), none).alias(n) for n, c in named.items()])
+    totals = totals.crossJoin(sums(counts, **{c: c for c in ("chunks", "valid", "inserted", "duplicates", "invalid")}))
+    changes, graphs = None, ("graph_valid", "graph_created", "graph_existing")
+    if edges is None or generate is None:
+        return fresh, kept, changes, totals.withColumns({c: none for c in graphs})
+    read = models.with_triples(docs.withColumn("doc_id", F.col("source")), generate, memo)
+    changes, counters = graph.change_set(read, edges)
+    return fresh, kept, changes, totals.crossJoin(sums(counters, graph_valid="n_valid", graph_created="n_created", graph_existing="n_existing"))
+
+
 def answer_context(chunks: DataFrame, queries: DataFrame, n: int = 6, budget: int = 4000) -> DataFrame:
     """The shorter context that an answer is made from: hits that fit, until the first that doesn't."""
     hits = first_hits(chunks, queries, n).withColumn("ordinal", F.col("rank"))
