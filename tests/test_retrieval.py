@@ -107,16 +107,16 @@ def test_fallback_score(spark):
 
 
 def test_website_import_with_relations(spark):
-    text = "Docker uses Linux on every host, and much more of podman images is told about containers here. " * 3
+    text = "Docker uses Linux on every host, and much more of image layers is told about containers here. " * 3
     found = spark.createDataFrame([("https://a/1", "One", text), ("https://a/2", "Two", text), ("https://a/3", "Three", "")], "url string, title string, text string")
     chunks = spark.createDataFrame([("https://a/1", "x"), ("https://a/1", "y"), ("b", "z")], "source string, hash string")
     edges = spark.createDataFrame([("Docker", "uses", "Linux")], "source string, relation string, target string")
-    model = lambda p: json.dumps([{"source": "docker", "relation": "uses", "target": "Linux"}, {"source": "Docker", "relation": "provides", "target": "Podman Images"}]) if "containers" in p else "none"
+    model = lambda p: json.dumps([{"source": "docker", "relation": "uses", "target": "Linux"}, {"source": "Docker", "relation": "provides", "target": "Image Layers"}]) if "containers" in p else "none"
     new, kept, changes, totals = pipelines.website_import(found, chunks, edges, model)
     t = totals.first()
     assert (t.pages_found, t.pages_imported, t.duplicate_pages, t.deleted_chunks) == (3, 2, 1, 0) and kept.count() == 3
     assert (t.chunks, t.valid + t.invalid, t.valid - t.duplicates) == (2, t.chunks, t.inserted) and new.count() == t.inserted
-    states = Counter((x.relation, x.state) for x in changes.collect() if x.target in ("Linux", "Podman Images"))
+    states = Counter((x.relation, x.state) for x in changes.collect() if x.target in ("Linux", "Image Layers"))
     assert states[("uses", "existing")] == 1 and states[("provides", "created")] == 1
     all_states = Counter(x.state for x in changes.collect())
     assert (t.graph_created, t.graph_existing) == (all_states["created"], all_states["existing"]) and t.graph_valid >= t.graph_created + t.graph_existing
