@@ -165,12 +165,15 @@ def one_of_each(docs: DataFrame, words: int = WORDS, least: float = SIMILAR, lim
     one = lambda i, s: sigs.select(F.col("doc_id").alias(i), F.col("sig").alias(s))
     found, rows, step = _Found(docs, words, least), keyed(sigs), 0
     while True:
-        heads = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("a")).where("n > 1")
-        met = stored(rows.join(heads, "key").where("a <> doc_id").select("key", "a", F.col("doc_id").alias("b")), "near-met")
+        # Written, so that the join doesn't deal a large key's rows out as the counting did.
+        heads = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("a")).where("n > 1"), "near-heads")
+        met = stored(rows.join(maybe_broadcast(heads), "key").where("a <> doc_id").select("key", "a", F.col("doc_id").alias("b")), "near-met")
         pairs = met.select("a", "b").distinct().join(one("a", "x"), "a").join(one("b", "y"), "b")
         found.compare(pairs.where(agree >= HOPE * HASHES).select("a", "b"))
         rest = met.select("key", F.col("b").alias("doc_id")).join(found.gone, "doc_id", "left_anti")
-        sized = stored(rest.join(rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "near-rest")
+        rest = stored(rest, "near-left")
+        sizes = stored(rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes")
+        sized = stored(rest.join(maybe_broadcast(sizes), "key"), "near-rest")
         few = sized.where(F.col("n") <= limit).select("key", "doc_id")
         for turn in count():
             more = found.compare(hopeful(few.join(found.gone, "doc_id", "left_anti").join(sigs, "doc_id"), turn))
