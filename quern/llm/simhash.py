@@ -24,12 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import grouping
 from .common import maybe_broadcast, stored
 
 BITS = 3
 SEED = 42
 LIMIT = 2048
-#: A fingerprint of more rows than this, and than this part of all rows, is joined by broadcast: LARGE of them at most.
+#: A fingerprint or component of more rows than this, and than this part of all rows, is joined by broadcast: LARGE of them at most.
 LARGE = 1000
 CHUNK = 1 << 15
 
@@ -209,30 +210,23 @@ def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
     return out.distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fp, label): the smallest root reachable. nodes: (fp, root); edges: (a, b).
+def labelled(nodes: DataFrame, limit: int) -> DataFrame:
+    """(fp, component_id): the smallest root reachable, of every node (fp, root); root may be null or repeated.
 
-    Every round takes the smallest label among a node's neighbours and then the label of that label, so
-    the rounds grow with the logarithm of a component's diameter.
+    Fingerprints are what is linked, so a component's label is its smallest fingerprint. Roots are aggregated by label before the
+    shuffle, and labels of large components are few and joined by broadcast: no task gets all nodes of one.
     """
-    both = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "simhash-edges")
-    label = stored(nodes.join(both.select(F.col("a").alias("fp")).distinct(), "fp", "left_semi").select("fp", "root", F.col("root").alias("label")), "simhash-labels")
-    while True:
-        seen = both.join(label.select(F.col("fp").alias("b"), "label"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("label").alias("seen"))
-        step = label.join(seen, "fp").select("fp", "root", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        step = stored(step, "simhash-labels")
-        jump = step.groupBy(F.col("root").alias("label")).agg(F.min("label").alias("jumped"))
-        new = step.join(jump, "label", "left").select("fp", "root", "old", F.least("label", "jumped").alias("label"))
-        new = stored(new, "simhash-labels")
-        if new.where("not (old <=> label)").isEmpty():
-            return new.select("fp", "label")
-        label = new.select("fp", "root", "label")
+    linked = grouping.components(nodes.select(F.col("fp").alias("node"), F.col("fp").alias("root")), links(nodes.select("fp"), limit))
+    linked = stored(nodes.join(linked.withColumnRenamed("node", "fp"), "fp"), "simhash-linked")
+    least = stored(linked.groupBy("label").agg(F.min("root").alias("component_id"), F.count("*").alias("n")), "simhash-components")
+    of = by_size(linked, least, "label").select("fp", "component_id")
+    return nodes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "root").alias("component_id"))
 
 
-def labelled(nodes: DataFrame, limit: int) -> DataFrame:
-    """(fp, component_id): the smallest root reachable, of every node (fp, root)."""
-    label = components(nodes, links(nodes.select("fp"), limit))
-    return nodes.join(label, "fp", "left").select("fp", F.least("root", "label").alias("component_id"))
+def by_size(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows joined with groups (key, n, ..) by key, where n says how many rows a group has: large groups by broadcast, others by a shuffle."""
+    large = F.broadcast(groups.where(F.col("n") > max(LARGE, (groups.agg(F.sum("n")).first()[0] or 0) // LARGE)).drop("n"))
+    return rows.join(large, key).unionByName(rows.join(large, key, "left_anti").join(groups.drop("n"), key))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, limit: int = LIMIT) -> DataFrame:
@@ -243,8 +237,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, limit: int = LIMIT) -> Data
     all_fps = stored(fingerprints(docs, words).drop("text_hash"), "simhash-fps")
     sized = stored(all_fps.groupBy("fp").agg(F.min("doc_id").alias("root"), F.count("*").alias("n")), "simhash-nodes")
     root = stored(labelled(sized.select("fp", "root"), limit).join(sized.select("fp", "n"), "fp"), "simhash-roots")
-    large = F.broadcast(root.where(F.col("n") > max(LARGE, (sized.agg(F.sum("n")).first()[0] or 0) // LARGE)).drop("n"))
-    rows = all_fps.join(large, "fp").unionByName(all_fps.join(large, "fp", "left_anti").join(root.drop("n"), "fp"))
+    rows = by_size(all_fps, root, "fp")
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
