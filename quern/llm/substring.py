@@ -6,8 +6,8 @@ once. Below the last level, of a window's inner windows only the one of smallest
 ``repeat_levels`` asks about all windows and goes on doubling until no candidates survive.
 
 Texts are split into words once, into blocks of about ``BLOCK_BYTES`` of neighbouring rows, as numbers into the block's own list of words. A
-block asks about each different hash once, however often it has it; questions are shuffled by the upper bits of the hash (``fan`` of them, a
-fixed number for each block, so rows grow with the text), as arrays, and laid out as rows behind the shuffle; a hash is repeated if smallest
+block asks about each different hash once, however often it has it; questions are shuffled by the upper bits of the hash, as an array for each of
+``fan`` parts, and laid out as rows behind the shuffle; a hash is repeated if smallest
 and largest doc_id of all who ask differ. Only the places of repeated hashes are sent back. So a passage in a third of all documents is
 one question a block.
 
@@ -147,15 +147,22 @@ def levels(window: int, first: int = FIRST) -> list[int]:
 
 ASK_TYPES = {"block": pa.int64(), "bucket": pa.int32(), "low": pa.list_(pa.int64()), "high": pa.list_(pa.int32()), "first": pa.list_(pa.int64()), "last": pa.list_(pa.int64())}
 ASK_SQL = "block long, bucket int, low array<long>, high array<int>, first array<long>, last array<long>"
-FEWEST, MOST, BUCKET_BYTES = 512, 1 << 16, 16 << 20
+FEWEST, MOST, BUCKET_BYTES = 512, 1 << 16, 64 << 20
 
 
-def fan(docs: DataFrame) -> int:
-    """Into how many parts the hashes of a block are dealt: by the size of all texts, within bounds."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def parts_of(total: int) -> int:
+    """Into how many parts the hashes of a block are dealt, by the bytes of all texts.
+
+    A part is one task's sort, which spills. A block writes a row a part: FEWEST up to 32 GB of texts, and at most MOST, when a row still
+    holds some 16 hashes.
+    """
     return min(MOST, max(FEWEST, -(-total // BUCKET_BYTES)))
 
 
+def fan(docs: DataFrame) -> int:
+    return parts_of(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
+
 class Asked:
     """The different hashes of the windows at start, dealt into buckets."""
 
