@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quern.llm import chat, decontamination, packing, secrets, simhash, substring, token_counts, toxicity, warc, winnowing
+from quern.llm import chat, decontamination, packing, queries, secrets, simhash, substring, token_counts, toxicity, warc, winnowing
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -97,6 +98,76 @@ def test_secrets_all_runs_of_a_word(spark):
     assert a not in clean[0] and "some-long-name" in clean[0] and b not in clean[3]
 
 
+def slow_candidates(doc_id, text, path):
+    """(doc_id, at, word, candidate, before, after, path) of every candidate, read from its definition."""
+    words, out = re.split(r"[\x20\x09-\x0D]+", text), []
+    for at, w in enumerate(words):
+        spans = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_\-]{12,}", w) if re.search("[A-Za-z]", m[0]) and re.search("[0-9]", m[0])]
+        ends = [0, *[x for s in spans for x in s], len(w)]
+        gaps = [w[ends[i] : ends[i + 1]] for i in range(0, len(ends), 2)]
+        beside = " ".join(words[max(0, at - 2) : at])
+        for k, (s, e) in enumerate(spans):
+            last = k + 1 == len(spans)
+            before = beside
+            if k:
+                earlier = ([beside] if k <= 2 else []) + gaps[max(0, k - 2) : k]
+                before = "" if re.search("[A-Za-z]", gaps[k]) else " ".join(earlier)[-64:]
+            after = words[at + 1] if last and at + 1 < len(words) else None
+            out.append((doc_id, at, gaps[k] + w[s:e] + (gaps[-1] if last else re.match("={0,2}['\"]?", gaps[k + 1])[0]), w[s:e], before, after, path))
+    return out
+
+
+def slow_features(word, c, before, after, path):
+    n, lower, rest = len(c), c.lower(), word.replace(c, " ")
+    near, around = " ".join([before, rest, c[:8]]).lower(), " ".join([before, rest, after or "", c]).lower()
+    kinds = ["d" if x.isdigit() else "u" if x.isupper() else "l" if x.islower() else "" for x in c]
+    changes = sum(a + b in ("du", "dl", "ud", "ld", "lu") for a, b in zip(kinds, kinds[1:]) if a and b)
+    named = lambda names, t: float(bool(re.search(names, t)))
+    return [
+        float(n), changes / n, len(re.findall(secrets.PAIRS, lower)) / n, 1 - len(re.sub(secrets.PIECES, "", lower)) / n, len(set(c)) / n, kinds.count("d") / n, kinds.count("u") / n,
+        float(set(lower) <= set("0123456789abcdef")), named(secrets.NAMES_SECRET, near), named(secrets.NAMES_OTHER, around), named(secrets.PATHS, path or ""), named("=['\"]?$", word),
+    ]
+
+
+def test_secrets_query_equals_brute_force(spark, tmp_path):
+    """The whole query: candidates found one by one, features worked out in Python, and the forest's own answer in place of the compiled one."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.linalg import Vectors
+
+    a, b = "ghp_" + hashlib.sha1(b"a").hexdigest()[:34] + "Q4", hashlib.sha1(b"b").hexdigest()[:18] + "x7"
+    odd = [
+        (-1, None, "src0"),
+        (-2, "", None),
+        (-3, f' \t{a}  token="{a}"\n', None),
+        (-4, f'{{"token":"{a}","other":"{b}"}} {a}.{b}.{a}.{b}.{a}= x', "tests/a"),
+        (None, f"password={b} password={b}", "src1"),
+        (None, f"password={b} password={b}", "src1"),
+        (-5, "long-name-here-2024 " * 3000 + f"sha256 {hashlib.sha256(b'x').hexdigest()} é{b}ß", "docs/x"),
+    ]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op1_secrets"](spark, str(tmp_path)).collect()
+    found = [x for r in docs.collect() if r.text is not None for x in slow_candidates(r.doc_id, r.text, r.source)]
+    assert len(found) > 3010
+    rows = VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="x").transform(secrets.features(secrets.labelled_findings(spark))).select("x", "label")
+    model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=secrets.TREES, maxDepth=secrets.DEPTH, seed=11, featureSubsetStrategy="onethird").fit(rows)
+    different = sorted({tuple(slow_features(w, c, before, after, path)) for _, _, w, c, before, after, path in found})
+    told = model.transform(spark.createDataFrame([(i, Vectors.dense(x)) for i, x in enumerate(different)], ["i", "x"])).select("i", "probability").collect()
+    score = {different[r.i]: float(r.probability[1]) for r in told}
+    want = {}
+    for i, at, w, c, before, after, path in found:
+        key = (str(i), at, w, hashlib.sha256(c.encode()).hexdigest(), before, str(after), str(path), len(c))
+        want.setdefault(key, []).append(score[tuple(slow_features(w, c, before, after, path))])
+    have = {}
+    for r in got:
+        have.setdefault((str(r.doc_id), r.at, r.word, r.candidate_sha256, r.before, str(r.after), str(r.path), r.length), []).append(r.score)
+        assert r.is_secret == (r.score >= 0.5)
+    assert have.keys() == want.keys()
+    assert all(have[k] == pytest.approx(want[k], abs=2e-6) for k in want)
+
+
 # 2 decontamination
 
 
@@ -213,6 +284,16 @@ def test_simhash_links_dense_groups(spark, limit):
     assert all((find(a) == find(b)) == (by[a] == by[b]) for a, b in itertools.combinations(fps, 2))
 
 
+def test_simhash_components_by_smallest_root(spark):
+    """A long chain whose smallest root is at its end, null and repeated roots, single fingerprints."""
+    chain = [(1 << i) - 1 for i in range(0, 60, 3)]
+    far = [0x5555555555555555 ^ x for x in (0, 1, 2)]
+    rows = [(x, 100 - i) for i, x in enumerate(chain)] + [(far[0], None), (far[1], None), (far[2], 81), (0x3333333333333333, 81), (0x0F0F0F0F0F0F0F0F, None)]
+    got = {r.fp: r.component_id for r in simhash.labelled(spark.createDataFrame(rows, "fp long, root long"), 2048).collect()}
+    least = 100 - len(chain) + 1
+    assert got == {**{x: least for x in chain}, **{x: 81 for x in far}, 0x3333333333333333: 81, 0x0F0F0F0F0F0F0F0F: None}
+
+
 @pytest.mark.parametrize("left", [1, 2])
 def test_simhash_puts_off_the_rest_of_a_key(spark, left):
     """Rows that come after their key was put off are put off too: here the only key that joins two of them."""
@@ -322,6 +403,13 @@ def slow_repeats(rows, n):
     return sorted(out)
 
 
+def test_substring_rows_of_a_block():
+    """Rows a block: the same up to 32 GB of texts, never over a fixed number, and one for each part that it has hashes in."""
+    sizes = [10**9, 10**10, 3 * 10**10, 10**12, 10**14]
+    assert [substring.parts_of(x) for x in sizes[:3]] == [substring.FEWEST] * 3
+    assert [substring.parts_of(x) for x in sizes[3:]] == [14902, substring.MOST]
+
+
 @pytest.mark.parametrize("window, small", [(13, False), (13, True), (4, True)])
 def test_substring_equals_brute_force(spark, odd_rows, window, small, monkeypatch):
     r = random.Random(6)
