@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,24 +36,52 @@ def n_sources() -> Column:
 
 
 def with_sources(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """rows (few, of every query) with their edges' sources, which are joined last, as they are long."""
+    """rows (few, of every query) with their edges' sources, which are joined last, as they are long, and of those edges only."""
     rows = stored(rows, "relations")
-    return edges.select(*EDGE, F.coalesce("sources", F.array().cast("array<string>")).alias("sources")).join(in_place(rows), list(EDGE))
+    named = edges.select(*EDGE, F.coalesce("sources", F.array().cast("array<string>")).alias("sources")).join(in_place(rows.select(*EDGE).distinct()), list(EDGE), "left_semi")
+    return named.join(in_place(rows), list(EDGE))
+
+
+def by_terms(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``search`` finds for queries (query_id, terms), which it is only asked once for each different list of terms (without case).
+
+    Searches by terms look at nothing else of a query, so equal lists have equal results: the work grows with the different lists, and
+    queries only with what is handed back to them.
+    """
+    lower = queries.select("query_id", F.transform("terms", lambda t: F.lower(t)).alias("terms")).where("terms is not null")
+    asked = stored(lower.select("query_id", F.sha2(F.to_json("terms"), 256).alias("__terms"), "terms"), "asked")
+    found = stored(search(asked.select(F.col("__terms").alias("query_id"), "terms").dropDuplicates(["query_id"])), "found").withColumnRenamed("query_id", "__terms")
+    return asked.select("query_id", "__terms").join(in_place(found), "__terms").drop("__terms")
 
 
-def matched(edges: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, edge, n (of its sources), score of edges of allowed relations with a term in an end. queries: query_id, terms.
+def matched(edges: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """query_id, edge, n (of its sources), score of edges of allowed relations with a term in an end: the ``most`` best of each query by score,
+    n and edge are among them. queries: query_id, terms.
 
     Names are far fewer than edges: each different name is compared with the queries once, and what was found is joined to the edges by name.
+    All edges that a query finds by one name alone count the same, so only the first ``most`` of a name can be among its best; those of
+    which it finds both ends are all looked at.
     """
     allowed = edges.where(F.col("relation").isin(*V.RELATION_PRIORITY)).select(*EDGE, n_sources().alias("n"))
     names = allowed.select(F.col("source").alias("name")).union(allowed.select("target")).distinct()
     asked = queries.select("query_id", F.transform("terms", lambda t: F.lower(t)).alias("terms"))
     rows = in_blocks(names.select("name", F.lower("name").alias("lower")), asked, "terms")
     points = F.aggregate("terms", F.lit(0), lambda a, t: a + 10 * (F.col("lower") == t).cast("int") + 2 * F.contains("lower", t).cast("int"))
-    hits = rows.select("query_id", "name", points.alias("points")).where("points > 0")
-    ends = [allowed.join(hits, F.col(end) == F.col("name")).select("query_id", *EDGE, "n", "points") for end in ("source", "target")]
-    return ends[0].unionByName(ends[1]).groupBy("query_id", *EDGE).agg(F.max("n").alias("n"), F.sum("points").cast("int").alias("score"))
+    hits = stored(rows.select("query_id", "name", points.alias("points")).where("points > 0"), "names")
+    said = in_place(hits.select("name").distinct())
+    # An edge that is listed several times counts as often.
+    near = {end: allowed.join(said, F.col(end) == F.col("name"), "left_semi").groupBy(*EDGE).agg(F.max("n").alias("n"), F.count("*").cast("int").alias("times")) for end in ("source", "target")}
+    found = []
+    for end, rows in near.items():
+        order = Window.partitionBy(end).orderBy(F.col("times").desc(), F.col("n").desc(), *EDGE)
+        first = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r")
+        found.append(first.join(in_place(hits), F.col(end) == F.col("name")).select("query_id", *EDGE, "n", (F.col("times") * F.col("points")).alias("score")))
+    both = near["source"].join(said, F.col("target") == F.col("name"), "left_semi").join(in_place(hits), F.col("source") == F.col("name")).drop("name")
+    other = in_place(hits.select("query_id", F.col("name").alias("target"), F.col("points").alias("more")))
+    found.append(both.join(other, ["query_id", "target"]).select("query_id", *EDGE, "n", (F.col("times") * (F.col("points") + F.col("more"))).alias("score")))
+    rows = found[0].unionByName(found[1]).unionByName(found[2])
+    # An edge found by both ends is there with the points of both.
+    return rows.groupBy("query_id", *EDGE).agg(F.max("n").alias("n"), F.max("score").cast("int").alias("score"))
 
 
 def best_of_pairs(rows: DataFrame, most: int, cap: int | None = None) -> DataFrame:
@@ -68,7 +98,8 @@ def best_of_pairs(rows: DataFrame, most: int, cap: int | None = None) -> DataFra
 
 
 def search(edges: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
-    return with_sources(best_of_pairs(matched(edges, queries), n, max(20 * n, 100)).drop("n"), edges)
+    cap = max(20 * n, 100)
+    return with_sources(by_terms(queries, lambda asked: best_of_pairs(matched(edges, asked, cap), n, cap).drop("n")), edges)
 
 
 def bm25(names: DataFrame, queries: DataFrame, n: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:

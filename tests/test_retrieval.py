@@ -132,3 +132,38 @@ def test_questions_keep_their_wording(spark):
     model = lambda p: '{"query": "Q", "tags": ["#X"], "reason": "r"}' if p.endswith("first") else "broken {"
     told = models.rewritten(models.queries_tagged(asked, model).withColumnRenamed("why", "w"), model)
     assert {x.query_id: (x.wording, x.told) for x in told.collect()} == {1: ("Q", ["x"]), 2: ("second", [])}
+
+
+def test_graph_search_like_plain_search(spark):
+    """Queries of equal terms, names with more edges than stay, edges by both ends, loops and edges listed twice."""
+    r = random.Random(5)
+    names = ["red bolt", "Red Bolt", "hot bolt", "ring", "bolt", "old Ring", "x"] + [f"S{i}" for i in range(12)]
+    rows = [(r.choice(names), r.choice(["uses", "provides", "likes", "is_a"]), r.choice(names), [f"d{k}" for k in range(r.randrange(0, 4))]) for _ in range(400)]
+    edges = list({x[:3]: x for x in rows}.values())
+    edges += edges[:5]
+    lists = [["bolt"], ["BOLT"], ["red bolt", "ring"], ["ring", "red bolt"], ["s1", None], [], None, ["nothing"], ["ring"], ["x", "s"]]
+    asked = [(i, lists[i % len(lists)]) for i in range(3 * len(lists))]
+    want = {}
+    for q, terms in asked:
+        score = Counter()
+        for s, rel, t, sources in edges if terms and None not in terms else ():
+            if rel in V.RELATION_PRIORITY:
+                score[s, rel, t, len(sources)] += sum(10 * (e.lower() == x.lower()) + 2 * (x.lower() in e.lower()) for e in (s, t) for x in terms)
+        best = sorted(((-n, -e[3], e[:3]) for e, n in score.items() if n))[:100]
+        order = lambda x: (x[0], -V.RELATION_PRIORITY[x[2][1]], max(x[1], -10), x[2])
+        pairs = {}
+        for x in sorted((x for x in best if x[1]), key=order):
+            pairs.setdefault((x[2][0].lower(), x[2][2].lower()), x)
+        want |= {(q, k + 1): (*x[2], -x[0]) for k, x in enumerate(sorted(pairs.values(), key=order)[:3])}
+    table, queries = spark.createDataFrame(edges, EDGES), spark.createDataFrame(asked, "query_id long, terms array<string>")
+    got = {(x.query_id, x["rank"]): (x.source, x.relation, x.target, x.score) for x in graph.search(table, queries, 3).collect()}
+    assert got == want and len({q for q, _ in want}) == 18
+
+
+def test_graph_search_grows_with_different_terms(spark, monkeypatch):
+    """Equal queries are searched for once, and a name hands on as many edges as may stay."""
+    asked = spark.createDataFrame([(i, ["Bolt"] if i % 2 else ["bolt"]) for i in range(50)], "query_id long, terms array<string>")
+    edges = spark.createDataFrame([(f"S{i}", "uses", "bolt", ["d"]) for i in range(300)], EDGES)
+    seen, best = [], graph.best_of_pairs
+    monkeypatch.setattr(graph, "best_of_pairs", lambda rows, *a: seen.append(rows.count()) or best(rows, *a))
+    assert graph.search(edges, asked, 2).count() == 100 and seen == [100]
