@@ -104,6 +104,10 @@ def search(edges: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
 
 def bm25(names: DataFrame, queries: DataFrame, n: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, name, score, rank: BM25 over the words of names (name). queries: query_id, terms."""
+    return by_terms(queries, lambda asked: _bm25(names, asked, n, k1, b))
+
+
+def _bm25(names: DataFrame, queries: DataFrame, n: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     words = lambda c: F.array_compact(F.split(F.lower(c), "[^a-z0-9]+"))
     tokens = names.select("name").distinct().select("name", F.filter(words(F.col("name")), lambda w: w != "").alias("words"))
     posts = tokens.select("name", F.size("words").alias("len"), F.explode("words").alias("word")).groupBy("name", "len", "word").agg(F.count("*").alias("tf"))
@@ -121,8 +125,12 @@ def bm25(names: DataFrame, queries: DataFrame, n: int = 20, k1: float = 1.2, b:
 
 def scored_search(edges: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
     """Edges one hop from the entities that BM25 finds, by graph score; the best of each pair of ends."""
+    return with_sources(by_terms(queries, lambda asked: _scored(edges, asked, n)), edges)
+
+
+def _scored(edges: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     names = edges.select(F.col("source").alias("name")).unionByName(edges.select(F.col("target").alias("name")))
-    found = stored(bm25(names, queries).select("query_id", "name", F.col("score").alias("fulltext")), "entities")
+    found = stored(_bm25(names, queries).select("query_id", "name", F.col("score").alias("fulltext")), "entities")
     allowed = edges.where(F.col("relation").isin(*V.RELATION_PRIORITY)).select(*EDGE, n_sources().alias("n"))
     ends = allowed.withColumn("name", F.col("source")).unionByName(allowed.where("source <> target").withColumn("name", F.col("target")))
     # An edge is among a query's first 6 n only if it is among the first 6 n of the name that gives it its score.
@@ -135,7 +143,7 @@ def scored_search(edges: DataFrame, queries: DataFrame, n: int = 10) -> DataFram
     order = [F.col("graph_score").desc(), *[F.col(c) for c in EDGE]]
     pair = Window.partitionBy("query_id", F.lower("source"), F.lower("target")).orderBy(*order)
     rows = rows.withColumn("r", F.row_number().over(pair)).where("r = 1").drop("r")
-    return with_sources(rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= n).drop("n"), edges)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= n).drop("n")
 
 
 def fallback_search(edges: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:

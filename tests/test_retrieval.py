@@ -167,3 +167,7 @@ def test_graph_search_grows_with_different_terms(spark, monkeypatch):
     seen, best = [], graph.best_of_pairs
     monkeypatch.setattr(graph, "best_of_pairs", lambda rows, *a: seen.append(rows.count()) or best(rows, *a))
     assert graph.search(edges, asked, 2).count() == 100 and seen == [100]
+    words, bm25 = [], graph._bm25
+    monkeypatch.setattr(graph, "_bm25", lambda names, queries, *a: words.append(queries.count()) or bm25(names, queries, *a))
+    assert graph.bm25(edges.select("source").withColumnRenamed("source", "name").union(edges.select("target")), asked).count() == 50
+    assert graph.scored_search(edges, asked, 2).count() == 100 and words == [1, 1]
