@@ -111,7 +111,8 @@ def called(rows: DataFrame, key: list[str], ask: Callable[[list[dict]], list[dic
             return pa.RecordBatch.from_arrays(cols, ["__content", *names, "__read"])
 
         for batch in batches:
-            for row in batch.to_pylist():
+            # As Python objects, only the items of one call are held.
+            for row in (row for at in range(0, batch.num_rows, size) for row in batch.slice(at, size).to_pylist()):
                 held.append(row)
                 if len(held) == size:
                     yield answer()

@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators import conversations, graph, models
 
@@ -132,3 +133,16 @@ def test_provenance_rows(spark, document):
     assert {r.relation: (r.source_count, r.created) for r in after.collect()} == {"uses": (2, False), "has": (1 if document == "d" else 0, False)}
     one = graph.resolved_pairs(rows).first()
     assert (one.merged_types, one.merged_count, one.source_count) == (["has", "uses"], 2, 2)
+
+
+def test_few_items_are_held_at_once(spark):
+    """Of a batch of many items, a task holds as Python objects those of one call."""
+
+    def ask(items):
+        import gc
+
+        return [{"n": sum(isinstance(x, dict) and "passages" in x and "query" in x for x in gc.get_objects())} for _ in items]
+
+    rows = spark.range(300).select(F.col("id").cast("string").alias("query"), F.array(F.col("id").cast("string")).alias("passages")).coalesce(1)
+    got = models.called(rows, ["query", "passages"], ask, "n int", {"n": -1}, "held", 4)
+    assert got.count() == 300 and 0 < got.agg(F.max("n")).first()[0] < 20
