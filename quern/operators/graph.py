@@ -263,21 +263,25 @@ def extracted(docs: DataFrame, triples: DataFrame) -> tuple[DataFrame, DataFrame
     return good.select(*EDGE, "document").distinct(), counters
 
 
-def change_set(docs: DataFrame, edges: DataFrame, most: int = 8000) -> tuple[DataFrame, DataFrame]:
+def change_set(docs: DataFrame, edges: DataFrame, most: int = 8000, whole: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(changes, counters) of documents (doc_id, source, text, triples: what a model read in them, null for nothing) against the stored edges.
 
+    ``whole``: the same documents (doc_id, source, text) as they were before triples were joined to them. Anchors are then read from these,
+    so that whole texts need no join, and docs may hold only the first ``most`` characters of a text.
+
     changes: (doc_id, document, source, relation, target, state), a row for each different valid relation of a document, from its anchor or
     its triples; ``created`` at the first document (by doc_id) that states what isn't stored yet, else ``existing``. Clean triples whose
     ends the first ``most`` characters don't hold, and triples that can't be cleaned, are skipped. counters: doc_id, n_valid (repeats
     counted), n_unique, n_created, n_existing, n_skipped of every document.
     """
+    whole = docs if whole is None else whole
     # Texts are put in lower case once, before a row becomes many.
-    texts = docs.select("doc_id", "source", "text", F.lower(F.coalesce("text", F.lit(""))).alias("__text"), "triples")
+    texts = whole.select("doc_id", "source", "text", F.lower(F.coalesce("text", F.lit(""))).alias("__lower"))
     said = lambda e, lower: F.contains(lower, F.lower(e)) | F.coalesce(F.exists(X.lookup(_spellings())[F.lower(e)], lambda a: F.contains(lower, a)), F.lit(False))
     sure = ((F.col("relation") == "is_a") & (F.col("target") == "dokument")) | ((F.col("source") == anchors.LEGAL_ANCHOR) & (F.col("target") == "akt normatywny"))
-    own = anchors.relations(texts, keep=("doc_id", "__text")).where("relation is not null")
-    own = own.select("doc_id", "document", *EDGE, (sure | said(F.col("target"), F.col("__text"))).alias("ok"))
-    told = texts.select("doc_id", F.col("source").alias("document"), F.lower(F.left(F.coalesce("text", F.lit("")), F.lit(most))).alias("__text"), F.explode("triples").alias("t"))
+    own = anchors.relations(texts, keep=("doc_id", "__lower")).where("relation is not null")
+    own = own.select("doc_id", "document", *EDGE, (sure | said(F.col("target"), F.col("__lower"))).alias("ok"))
+    told = docs.select("doc_id", F.col("source").alias("document"), F.lower(F.left(F.coalesce("text", F.lit("")), F.lit(most))).alias("__text"), F.explode("triples").alias("t"))
     told = told.select("doc_id", "document", "__text", X.entity_name(F.col("t.source")).alias("source"), X.relation_name(F.col("t.relation")).alias("relation"), X.entity_name(F.col("t.target")).alias("target"))
     clean = F.col("source").isNotNull() & F.col("relation").isNotNull() & F.col("target").isNotNull() & (F.col("source") != F.col("target"))
     told = told.select("doc_id", "document", *EDGE, F.coalesce(clean & said(F.col("source"), F.col("__text")) & said(F.col("target"), F.col("__text")), F.lit(False)).alias("ok"))
@@ -292,7 +296,7 @@ def change_set(docs: DataFrame, edges: DataFrame, most: int = 8000) -> tuple[Dat
     parts = [
         changes.select("doc_id", F.col("times").alias("n_valid"), one.alias("n_unique"), created.alias("n_created"), (1 - created).alias("n_existing"), no.alias("n_skipped")),
         given.where("not ok").select("doc_id", no.alias("n_valid"), no.alias("n_unique"), no.alias("n_created"), no.alias("n_existing"), one.alias("n_skipped")),
-        docs.select("doc_id", *[no.alias(c) for c in COUNTERS]),
+        whole.select("doc_id", *[no.alias(c) for c in COUNTERS]),
     ]
     counters = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in COUNTERS])
     return changes.drop("times"), counters

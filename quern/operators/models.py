@@ -25,6 +25,7 @@ Generate = Callable[[str], str | None]
 
 # How many items a call takes, how much of each it sees, and how many tags stay.
 BATCH = 12
+CALLS = 100  # calls whose answers go on to Spark together
 QUESTION, ANSWER, DOCUMENT, TRIPLES = 1200, 2400, 6000, 8000
 PAIR_TAGS, QUERY_TAGS = 10, 8
 
@@ -99,25 +100,34 @@ def called(rows: DataFrame, key: list[str], ask: Callable[[list[dict]], list[dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
+        given: list[tuple[list, list, list]] = []  # contents, answers in full, whether they were read
 
-        def answer() -> pa.RecordBatch:
+        def answer() -> None:
             try:
                 said = ask([{k: r[k] for k in key} for r in held])
             except Exception:  # whatever a model's client raises: these items get the default, the job goes on
                 said = [None] * len(held)
-            full = [x if x is not None else default for x in said]
-            cols = [pa.array([r["__content"] for r in held]), *[pa.array([x[n] for x in full], t) for n, t in zip(names, types)], pa.array([x is not None for x in said])]
+            given.append(([r["__content"] for r in held], [x if x is not None else default for x in said], [x is not None for x in said]))
             held.clear()
-            return pa.RecordBatch.from_arrays(cols, ["__content", *names, "__read"])
+
+        def batch_of() -> pa.RecordBatch:
+            contents, full, read = ([x for part in given for x in part[i]] for i in range(3))
+            given.clear()
+            return pa.RecordBatch.from_arrays([pa.array(contents, pa.string()), *[pa.array([x[n] for x in full], t) for n, t in zip(names, types)], pa.array(read, pa.bool_())], ["__content", *names, "__read"])
 
         for batch in batches:
             # As Python objects, only the items of one call are held.
             for row in (row for at in range(0, batch.num_rows, size) for row in batch.slice(at, size).to_pylist()):
                 held.append(row)
                 if len(held) == size:
-                    yield answer()
+                    answer()
+                # A batch for each answer would cost more than the answers.
+                if len(given) == CALLS:
+                    yield batch_of()
         if held:
-            yield answer()
+            answer()
+        if given:
+            yield batch_of()
 
     new = stored(items.repartition("__content").sortWithinPartitions("__content").mapInArrow(run, f"__content string, {schema}, __read boolean"), f"said-{step}")
     if memo:
@@ -189,6 +199,11 @@ def rewritten(queries: DataFrame, generate: Generate, memo: Memo | None = None)
     return got.withColumn("wording", F.when(F.col("wording") == "", F.col("query")).otherwise(F.col("wording")))
 
 
+def sampled(docs: DataFrame) -> DataFrame:
+    """docs (text) with only as much of a text as a model is shown of it for triples."""
+    return docs.withColumn("text", F.left("text", F.lit(TRIPLES)))
+
+
 def with_triples(docs: DataFrame, generate: Generate, memo: Memo | None = None) -> DataFrame:
     """docs (text) with triples: what the model reads from the first characters of a text; an element that is no object has null parts."""
 

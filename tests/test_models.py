@@ -146,3 +146,27 @@ def test_few_items_are_held_at_once(spark):
     rows = spark.range(300).select(F.col("id").cast("string").alias("query"), F.array(F.col("id").cast("string")).alias("passages")).coalesce(1)
     got = models.called(rows, ["query", "passages"], ask, "n int", {"n": -1}, "held", 4)
     assert got.count() == 300 and 0 < got.agg(F.max("n")).first()[0] < 20
+
+
+def test_whole_texts_need_no_join(spark):
+    """Anchors are read from whole texts, triples from what the model was shown; nothing after the model's step carries whole texts."""
+    shown = "# Red Rod\n\nkubernetes uses neo4j here " + "word " * 1700
+    texts = spark.createDataFrame([(1, "a.md", shown + "\n## Blue Box\n"), (2, "b.md", shown + "\n## Green Gate\n"), (3, "c.md", None)], "doc_id long, source string, text string")
+    edges = spark.createDataFrame([("Red Rod", "contains", "Blue Box")], "source string, relation string, target string")
+    model = lambda p: '[{"source": "k8s", "relation": "uses", "target": "neo4j"}, {"source": "k8s", "relation": "uses", "target": "green gate"}]' if "kubernetes" in p else "none"
+    read = models.with_triples(models.sampled(texts), model)
+    assert read.agg(F.max(F.length("text"))).first()[0] == models.TRIPLES
+    got = [graph.change_set(docs, edges, whole=whole) for docs, whole in ((read, texts), (models.with_triples(texts, model), None))]
+    (changes, counters), (old_changes, old_counters) = ([sorted(map(tuple, x.collect())) for x in y] for y in got)
+    assert (changes, counters) == (old_changes, old_counters) and len(counters) == 3
+    states = {(x[0], *x[2:5]): x[5] for x in changes}
+    assert states[1, "Red Rod", "contains", "Blue Box"] == "existing" and states[2, "Red Rod", "contains", "Green Gate"] == "created"
+    assert {x[0]: x[-1] for x in counters} == {1: 1, 2: 1, 3: 0}
+
+
+def test_answers_go_on_together(spark):
+    """The answers of many calls are one batch for Spark, and all of them arrive."""
+    n = 2 * models.CALLS + 5
+    rows = spark.range(n).select(F.col("id").cast("string").alias("query")).coalesce(1)
+    got = models.called(rows, ["query"], lambda items: [{"n": int(x["query"])} if int(x["query"]) % 3 else None for x in items], "n int", {"n": -1}, "many")
+    assert {int(r.query): r.n for r in got.collect()} == {i: i if i % 3 else -1 for i in range(n)}

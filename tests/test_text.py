@@ -1,10 +1,12 @@
 """Scalar functions against hand-made rows."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from quern.functions import scores as S
 from quern.functions import text as X
-from quern.operators import chunking
+from quern.operators import anchors, chunking
 
 
 def one(spark, column, **values):
@@ -99,3 +101,18 @@ def test_markdown_and_code():
     ]
     assert list(chunking.code("a: 1\n---\nkind: Pod\nmetadata:\n  name: web\n", "x.yml"))[1].startswith("## File: x.yml\n\n### Pod web\n\n```yaml\n")
     assert [p.splitlines()[2] for p in chunking.code("select 1;\nselect\n2;\nrest", "q.sql")] == ["### SQL statement 1: select 1;", "### SQL statement 2: select", "### SQL statement 3: rest"]
+
+
+def test_stripped_is_unicode_white_space(spark):
+    """As the regular expression does it that it stands for."""
+    chars = [(chr(c),) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame(chars, "c string").select("c", F.concat("c", F.lit(" a"), "c", F.lit("b\n"), "c").alias("t"))
+    assert rows.where(X.stripped(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).count() == 0
+    assert one(spark, X.stripped(F.col("t")), t=" 　\n") == "" and one(spark, X.stripped(F.lit(None).cast("string"))) is None
+
+
+def test_first_lines(spark):
+    """Only as many lines are split as are looked at."""
+    for text in ("", "a", "a\r\nb\rc\n\nd\n", "\n\n", "\r\n\r", "a\n\rb\r\r\nc"):
+        for n in (1, 2, 3, 160):
+            assert one(spark, anchors.first_lines(F.col("t"), n), t=text) == re.split(r"\r\n|\n|\r", text)[:n]
