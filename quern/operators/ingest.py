@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import stored as written
 from .chunking import chunks
 
 
@@ -27,15 +28,20 @@ def first_by_hash(rows: DataFrame, *order: str) -> DataFrame:
 
 
 def ingested(docs: DataFrame, stored: DataFrame | None = None, embed: Callable[[Column], Column] | None = None, **kw) -> tuple[DataFrame, DataFrame]:
-    """(new chunks, counts by source). ``stored``: chunks that exist, with their hash. ``embed``: makes a vector column from content."""
-    rows = prepared(docs, **kw)
-    fresh = first_by_hash(rows.where("valid"), "source", "chunk_no")
-    if stored is not None:
-        fresh = fresh.join(stored.select("hash").distinct(), "hash", "left_anti")
-    fresh = fresh.drop("valid")
+    """(new chunks, counts by source). ``stored``: chunks that exist, with their hash. ``embed``: makes a vector column from content.
+
+    Counts are made from what identifies a chunk, which is written, so no text, tag or page is made or shuffled for them.
+    """
+    made = prepared(docs, **kw)
+    known = None if stored is None else stored.select("hash").distinct()
+    new = lambda rows: rows if known is None else rows.join(known, "hash", "left_anti")
+    fresh = new(first_by_hash(made.where("valid"), "source", "chunk_no")).drop("valid")
     if embed is not None:
         fresh = fresh.withColumn("embedding", embed(F.col("content")))
-    added = fresh.groupBy("source").agg(F.count("*").alias("inserted"))
+    rows = written(made.select("source", "valid", "hash"), "chunk-hashes")
+    # The first chunk of a hash is of the smallest source, null being the smallest.
+    first = rows.where("valid").groupBy("hash").agg(F.min(F.struct("source")).alias("first"))
+    added = new(first).groupBy("first.source").agg(F.count("*").alias("inserted"))
     counts = rows.groupBy("source").agg(F.count("*").alias("chunks"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"))
     counts = counts.join(added, "source", "left").withColumn("inserted", F.coalesce("inserted", F.lit(0)))
     return fresh, counts.withColumn("duplicates", F.col("valid") - F.col("inserted"))

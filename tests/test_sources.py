@@ -1,5 +1,6 @@
 """Archives, written tables, page data and streams that fail half-way."""
 
+import hashlib
 import json
 import os
 import zipfile
@@ -8,7 +9,7 @@ from io import StringIO
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import telemetry, web
+from quern.operators import ingest, telemetry, web
 from quern.sources import archives
 from quern.sources.tables import AppendTable, VersionedTable
 from quern.streaming.ingest import document_stream, ingest_stream
@@ -150,3 +151,15 @@ def test_telemetry_streams(spark, tmp_path, files):
     log.add(records.limit(90), 0)
     log.add(records.limit(90), 0)
     assert log.table.read().count() == 10 and log.read(3).count() == 3
+
+
+def test_counts_of_an_ingest_need_no_texts(spark):
+    """Counts are made from written hashes: their plan chunks nothing anew. Equal chunks are inserted for the smallest source."""
+    a, b = "The first of two texts, long enough.", "The second text, which is long enough too."
+    docs = spark.createDataFrame([("b", a), ("a", a), ("a", a.upper()), ("b", b), ("a", b), ("c", "short"), ("d", None)], "source string, text string")
+    known = spark.createDataFrame([(hashlib.md5(b.lower().encode()).hexdigest(),)], "hash string")
+    for stored, new in ((None, 2), (known, 1)):
+        fresh, counts = ingest.ingested(docs, stored)
+        assert counts.inputFiles() and all("chunk-hashes" in f for f in counts.inputFiles())
+        got = {r.source: (r.chunks, r.valid, r.invalid, r.inserted, r.duplicates) for r in counts.collect()}
+        assert got == {"a": (3, 3, 0, new, 3 - new), "b": (2, 2, 0, 0, 2), "c": (1, 0, 1, 0, 0)} and fresh.count() == new

@@ -1,9 +1,11 @@
 """Scalar functions against hand-made rows."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
+from quern import vocabulary as V
 from quern.functions import scores as S
 from quern.functions import text as X
 from quern.operators import anchors, chunking
@@ -116,3 +118,22 @@ def test_first_lines(spark):
     for text in ("", "a", "a\r\nb\rc\n\nd\n", "\n\n", "\r\n\r", "a\n\rb\r\r\nc"):
         for n in (1, 2, 3, 160):
             assert one(spark, anchors.first_lines(F.col("t"), n), t=text) == re.split(r"\r\n|\n|\r", text)[:n]
+
+
+def test_patterns_as_they_read(spark):
+    """Normalising, validity, tags and sections are those of the plain patterns, on random texts."""
+    draw = random.Random(5)
+    parts = [" ", "  ", "\t", "\n", "\n\n", "\r\n", "#", "##", "## ", "a", "é", "ż", "ß", "7", "!", "_", "#Tag", "x#y", "é#no", "oc ", "doc ", "kubectl\t", "ansible-playbook", "ansible ", "rhocp", "Helm ", "-", "😀", "²", "\x85", "\xa0"]
+    texts = [(i, "".join(draw.choice(parts) for _ in range(draw.randint(0, 60)))) for i in range(600)] + [(600, None)]
+    t, lower = F.col("t"), F.lower("t")
+    norm = F.regexp_replace(F.regexp_replace(F.replace(X.stripped(t), F.lit("\r\n"), F.lit("\n")), "[ \t]+", " "), "\n+", "\n")
+    special = F.length(F.regexp_replace(t, r"(?U)[\p{L}\p{N}\s]", ""))
+    valid = (F.length(t) >= 20) & (special / F.greatest(F.length(t), F.lit(1)) <= 0.4)
+    tags = X.clean_tags(F.regexp_extract_all(t, F.lit(r"(?U)(?<!\w)#([A-Za-z][A-Za-z0-9_-]*)"), 1))
+    commands = F.array_distinct(F.flatten(F.array(*[F.when(F.rlike(lower, F.lit(p)), X.literals(w)).otherwise(F.array().cast("array<string>")) for p, w in V.COMMAND_TAGS])))
+    pairs = [(X.normalized(t), norm), (X.is_valid_chunk(t), valid), (X.hash_tags(t), tags), (X.command_tags(t), commands)]
+    rows = spark.createDataFrame(texts, "i int, t string")
+    assert [r.t for r in rows.where(~F.array(*[a.eqNullSafe(b) for a, b in pairs]).eqNullSafe(F.array(*[F.lit(True)] * 4))).collect()] == []
+    for _, text in texts[:600]:
+        sections = [s.strip() for s in re.split(r"(?m)(?=^##\s+)", text) if s.strip()]
+        assert [x.split("\n\n")[-1] for x in chunking.markdown(text)] == [x.split("\n\n")[-1] for x in sections]
