@@ -82,7 +82,7 @@ def with_entities(docs: DataFrame, most: int = 20) -> DataFrame:
     named = F.array_compact(F.array(*[F.when(F.contains(lower, F.lit(a.replace("_", " "))), F.lit(n)) for a, n in V.ENTITY_ALIASES.items()]))
     lines = F.transform(first_lines(text, 220), lambda x: X.stripped(x))
     heads = F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit("#"))), lambda x: F.regexp_replace(x, r"^#+\s*", ""))
-    capitals = F.filter(lines, lambda x: _upper(x) & F.length(x).between(4, 100) & ~F.startswith(x, F.lit("#")))
+    capitals = F.filter(lines, lambda x: F.length(x).between(4, 100) & ~F.startswith(x, F.lit("#")) & _upper(x))  # the dear test last
     found = F.concat(named, heads, capitals, F.regexp_extract_all(text, F.lit(PHRASE), 1))
     rows = docs.withColumn("__c", F.transform(found, lambda x: X.entity_name(title(x))))
     section = F.lit(r"^(art |art\.|rozdział|chapter|section)")
