@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from quern.operators import search
 from quern.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +46,15 @@ def test_first_hits_of_every_item(spark, tables):
     columns, want = by_sql(tables, "q_first_hits")
     assert by_spark(spark, tables, "q_first_hits", columns) == want
     assert {r[columns.index("query_id")] for r in want} == {1, 3, 50, 51, 52}
+
+
+def test_texts_are_read_once_for_reranking(spark, tmp_path):
+    """What only a text decides is worked out before the text meets its hits, and texts that aren't hit are left out."""
+    chunks = spark.createDataFrame([(i, f"# words of {i}\nand more of some words", "s", ["t"], "", [1.0]) for i in range(20)], "chunk_id long, content string, source string, tags array<string>, metadata string, embedding array<double>")
+    queries = spark.createDataFrame([(q, "some words", [1.0]) for q in range(6)], "query_id long, query string, embedding array<double>")
+    hits = spark.createDataFrame([(q, c, 0.5, 2, "vector", c + 1) for q in range(6) for c in range(3)], "query_id long, chunk_id long, distance double, lexical_score int, path string, ordinal int")
+    got = search.reranked(hits, chunks, queries)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(content" not in plan and "regexp" not in plan
+    # Both words in the text, one in the heading, two hits, less distance and length.
+    assert {(r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in got.collect()} == {(q, c + 1, c, round(10 + 8 + 12 - 0.125 - len(f"# words of {c}\nand more of some words") / 6000, 6)) for q in range(6) for c in range(3)}
