@@ -58,3 +58,16 @@ def test_texts_are_read_once_for_reranking(spark, tmp_path):
     assert "lower(content" not in plan and "regexp" not in plan
     # Both words in the text, one in the heading, two hits, less distance and length.
     assert {(r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in got.collect()} == {(q, c + 1, c, round(10 + 8 + 12 - 0.125 - len(f"# words of {c}\nand more of some words") / 6000, 6)) for q in range(6) for c in range(3)}
+
+
+def test_all_terms_of_an_item(spark, tmp_path):
+    """An item's eleventh and later terms count, too."""
+    words = " ".join(f"filler{i}" for i in range(30)) + " needle"
+    put = lambda name, names, rows: pq.write_table(pa.table([pa.array(c) for c in zip(*rows)], names), tmp_path / f"{name}.parquet")
+    put("documents", ["doc_id", "text", "lang", "source"], [(1, "a needle in hay", "en", "s"), (2, "filler29 alone", "en", "s"), (3, "hay", "en", "s"), (4, "needle and filler1", "en", "filler7")])
+    put("benchmark", ["item_id", "text"], [(7, words), (50, "hay")])
+    put("embeddings", ["vec_id", "embedding"], [(7, [1.0]), (50, [2.0])])
+    columns, want = by_sql(tmp_path, "q_lexical_score_all")
+    assert by_spark(spark, tmp_path, "q_lexical_score_all", columns) == want
+    assert dict(zip(columns, range(3))) == {"query_id": 0, "chunk_id": 1, "lexical_score": 2}
+    assert set(want) == {(7, 1, 2), (7, 2, 4), (7, 4, 9), (50, 1, 2), (50, 3, 2)}
