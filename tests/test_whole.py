@@ -1,13 +1,15 @@
 """Queries that take every benchmark item, with a vector or not, at any id, and look at all of what they rank."""
 
 import shutil
+from collections import Counter
 
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from quern.operators import search
+from quern.operators import context, search
+from quern.plans import catalogue
 from quern.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -20,7 +22,7 @@ def tables(tmp_path_factory):
     for name in ("nation", "region", "supplier"):
         shutil.copyfile(f"{SF}/{name}.parquet", at / f"{name}.parquet")
     say = lambda i: f"Document {i} tells of word{i % 7} and of other{i % 5} things at some length"
-    docs = [(i, say(i % 40), "en", f"src{i % 4}") for i in range(60)]
+    docs = [(i, say(i % 40) + (" and more" * 500 if i % 3 == 0 else ""), "en", f"src{i % 4}") for i in range(60)]
     items = [(1, "word1 with other2"), (3, "word3 or other0, things"), (50, "word5"), (51, "nowhere else"), (52, None)]
     vectors = [(i, [float(i % 9), float(i % 4), 1.0]) for i in range(55) if i != 3]
     put = lambda name, names, rows: pq.write_table(pa.table([pa.array(c) for c in zip(*rows)], names), at / f"{name}.parquet")
@@ -30,6 +32,10 @@ def tables(tmp_path_factory):
     return str(at)
 
 
+def reader(spark, at):
+    return lambda name: spark.read.parquet(f"{at}/{name}.parquet")
+
+
 def by_sql(at, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "embeddings"):
@@ -71,3 +77,20 @@ def test_all_terms_of_an_item(spark, tmp_path):
     assert by_spark(spark, tmp_path, "q_lexical_score_all", columns) == want
     assert dict(zip(columns, range(3))) == {"query_id": 0, "chunk_id": 1, "lexical_score": 2}
     assert set(want) == {(7, 1, 2), (7, 2, 4), (7, 4, 9), (50, 1, 2), (50, 3, 2)}
+
+
+def test_packed_hits_of_every_item(spark, tables):
+    """The hits of each item, cut and passed over as the budget has it, against plain Python."""
+    chunks, items = catalogue.chunk_table(reader(spark, tables)), catalogue.item_table(reader(spark, tables))
+    ranked = search.reranked(search.hybrid(chunks, items), chunks, items).where("rank <= 20").orderBy("query_id", "rank").collect()
+    want, used = set(), Counter()
+    for r in ranked:
+        left = 12000 - used[r.query_id]
+        cut = len(r.content) > left
+        if not cut or left >= 500:
+            size = len(r.content[: max(left, 0)].rstrip() + context.TRUNCATED) if cut else len(r.content)
+            used[r.query_id] += size
+            want.add((r.query_id, r["rank"], r.chunk_id, cut, size))
+    got = QUERIES["q_pack_truncate"](spark, tables).collect()
+    assert {(r.query_id, r.ordinal, r.chunk_id, r.truncated, r.n_chars) for r in got} == want
+    assert {r.query_id for r in got} == {1, 3, 50, 51, 52} and any(r.truncated for r in got)
