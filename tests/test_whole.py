@@ -94,3 +94,12 @@ def test_packed_hits_of_every_item(spark, tables):
     got = QUERIES["q_pack_truncate"](spark, tables).collect()
     assert {(r.query_id, r.ordinal, r.chunk_id, r.truncated, r.n_chars) for r in got} == want
     assert {r.query_id for r in got} == {1, 3, 50, 51, 52} and any(r.truncated for r in got)
+
+
+def test_gate_decides_on_every_item(spark, tables):
+    got = {r.query_id: r for r in QUERIES["q_relevance_gate"](spark, tables).collect()}
+    assert sorted(got) == [1, 3, 50, 51, 52]
+    # Item 3 has no vector: its hits are by words, so they have no distance to score them by. Item 51's words are in no document.
+    assert got[3].used and (got[3].top_score, got[3].before) == (0.35, 5)
+    assert not got[51].used and got[51].overlap == 0.0 and not got[52].used and got[52].before == 5
+    assert got[1].used and got[1].top_score > 0.35
