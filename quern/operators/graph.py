@@ -107,7 +107,7 @@ def bm25(names: DataFrame, queries: DataFrame, n: int = 20, k1: float = 1.2, b:
     return by_terms(queries, lambda asked: _bm25(names, asked, n, k1, b))
 
 
-def _bm25(names: DataFrame, queries: DataFrame, n: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def _bm25(names: DataFrame, queries: DataFrame, n: int | None = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     words = lambda c: F.array_compact(F.split(F.lower(c), "[^a-z0-9]+"))
     tokens = names.select("name").distinct().select("name", F.filter(words(F.col("name")), lambda w: w != "").alias("words"))
     posts = tokens.select("name", F.size("words").alias("len"), F.explode("words").alias("word")).groupBy("name", "len", "word").agg(F.count("*").alias("tf"))
@@ -120,25 +120,36 @@ def _bm25(names: DataFrame, queries: DataFrame, n: int = 20, k1: float = 1.2, b:
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     rows = rows.groupBy("query_id", "name").agg(F.round(F.sum(part), 6).alias("score"))
+    if n is None:
+        return rows
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "name"))).where(F.col("rank") <= n)
 
 
-def scored_search(edges: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
-    """Edges one hop from the entities that BM25 finds, by graph score; the best of each pair of ends."""
-    return with_sources(by_terms(queries, lambda asked: _scored(edges, asked, n)), edges)
+def scored_search(edges: DataFrame, queries: DataFrame, n: int = 10, whole: bool = False) -> DataFrame:
+    """Edges one hop from the entities that BM25 finds, by graph score; the best of each pair of ends.
+
+    The edges that are scored are the first 6 n of the 20 best entities, or with ``whole`` all of all entities that hold a word.
+    """
+    return with_sources(by_terms(queries, lambda asked: _scored(edges, asked, n, whole)), edges)
 
 
-def _scored(edges: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+def _scored(edges: DataFrame, queries: DataFrame, n: int, whole: bool) -> DataFrame:
     names = edges.select(F.col("source").alias("name")).unionByName(edges.select(F.col("target").alias("name")))
-    found = stored(_bm25(names, queries).select("query_id", "name", F.col("score").alias("fulltext")), "entities")
+    found = stored(_bm25(names, queries, None if whole else 20).select("query_id", "name", F.col("score").alias("fulltext")), "entities")
     allowed = edges.where(F.col("relation").isin(*V.RELATION_PRIORITY)).select(*EDGE, n_sources().alias("n"))
     ends = allowed.withColumn("name", F.col("source")).unionByName(allowed.where("source <> target").withColumn("name", F.col("target")))
-    # An edge is among a query's first 6 n only if it is among the first 6 n of the name that gives it its score.
     near = ends.join(in_place(found.select("name").distinct()), "name", "left_semi")
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy(*EDGE))).where(F.col("r") <= 6 * n).drop("r")
+    first = lambda rows, most, *by: rows.withColumn("r", F.row_number().over(Window.partitionBy(*by[0]).orderBy(*by[1]))).where(F.col("r") <= most).drop("r")
+    if whole:
+        # A name's edges have its points in common, so that what else counts ranks them: only the best edges of its n best pairs of ends can stay.
+        own = [S.graph_score(F.lit(0.0), F.col("relation"), F.col("n")).desc(), *[F.col(c) for c in EDGE]]
+        near = first(first(near, 1, ("name", F.lower("source"), F.lower("target")), own), n, ("name",), own)
+    else:
+        # An edge is among a query's first 6 n only if it is among the first 6 n of the name that gives it its score.
+        near = first(near, 6 * n, ("name",), EDGE)
     rows = near.join(in_place(found), "name").groupBy("query_id", *EDGE).agg(F.max("fulltext").alias("fulltext"), F.max("n").alias("n"))
-    cap = Window.partitionBy("query_id").orderBy(F.col("fulltext").desc(), *EDGE)
-    rows = rows.withColumn("r", F.row_number().over(cap)).where(F.col("r") <= 6 * n).drop("r")
+    if not whole:
+        rows = first(rows, 6 * n, ("query_id",), (F.col("fulltext").desc(), *EDGE))
     rows = rows.withColumn("graph_score", S.graph_score(F.col("fulltext"), F.col("relation"), F.col("n")))
     order = [F.col("graph_score").desc(), *[F.col(c) for c in EDGE]]
     pair = Window.partitionBy("query_id", F.lower("source"), F.lower("target")).orderBy(*order)

@@ -1,5 +1,8 @@
 """Queries that take every benchmark item, with a vector or not, at any id, and look at all of what they rank."""
 
+import math
+import random
+import re
 import shutil
 from collections import Counter
 
@@ -8,8 +11,9 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from quern.operators import context, search
-from quern.plans import catalogue
+from quern import vocabulary as V
+from quern.operators import context, graph, search
+from quern.plans import catalogue, pipelines
 from quern.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -103,3 +107,47 @@ def test_gate_decides_on_every_item(spark, tables):
     assert got[3].used and (got[3].top_score, got[3].before) == (0.35, 5)
     assert not got[51].used and got[51].overlap == 0.0 and not got[52].used and got[52].before == 5
     assert got[1].used and got[1].top_score > 0.35
+
+
+def test_fused_contexts_of_every_item(spark, tables):
+    got = QUERIES["q_hybrid_context_fused"](spark, tables).collect()
+    assert {r.query_id for r in got} == {1, 3, 50, 51, 52}
+
+
+def test_whole_graph_search_like_plain_search(spark):
+    """More entities than 20 and more edges than 6 n: the best of all of them, names of several spellings and edges listed twice among them."""
+    r = random.Random(6)
+    names = [f"bolt s{i}" for i in range(40)] + ["Bolt S1", "bolt", "ring bolt", "RING bolt", "old ring"]
+    rows = [(r.choice(names), r.choice(["uses", "provides", "likes", "is_a", "has"]), r.choice(names), [f"d{k}" for k in range(r.randrange(0, 8))]) for _ in range(500)]
+    rows += [("hub bolt", "has", f"spoke {i:03}", []) for i in range(90)] + [("hub bolt", "depends_on", "zz", ["a"] * 6)]
+    edges = list({x[:3]: x for x in rows}.values())
+    asked = [(1, ["bolt"]), (2, ["ring"]), (3, ["hub", "old"]), (4, ["S1 ring"]), (5, ["nothing"]), (6, ["BOLT"])]
+    split = lambda x: [w for w in re.split("[^a-z0-9]+", x.lower()) if w]
+    every = {e for s, _, t, _ in edges for e in (s, t)}
+    mean = sum(len(split(e)) for e in every) / len(every)
+    df = Counter(w for e in every for w in set(split(e)))
+    want = {}
+    for q, terms in asked:
+        words = {w for t in terms for w in split(t)}
+        points = {e: round(sum(math.log(1 + (len(every) - df[w] + 0.5) / (df[w] + 0.5)) * split(e).count(w) * 2.2 / (split(e).count(w) + 1.2 * (0.25 + 0.75 * len(split(e)) / mean)) for w in words if w in split(e)), 6) for e in every if words & set(split(e))}
+        scored = [(-round(0.5 * min(max(points.get(s, 0), points.get(t, 0)) / 4, 1) + 0.3 * V.RELATION_PRIORITY[rel] / 80 + 0.2 * min(len(ds) / 5, 1), 4), (s, rel, t)) for s, rel, t, ds in edges if rel in V.RELATION_PRIORITY and (s in points or t in points)]
+        pairs = {}
+        for x in sorted(scored):
+            pairs.setdefault((x[1][0].lower(), x[1][2].lower()), x)
+        want |= {(q, k + 1): (*x[1], round(-x[0], 4)) for k, x in enumerate(sorted(pairs.values())[:4])}
+    table, queries = spark.createDataFrame(edges + edges[:5], "source string, relation string, target string, sources array<string>"), spark.createDataFrame(asked, "query_id long, terms array<string>")
+    got = {(x.query_id, x["rank"]): (x.source, x.relation, x.target, round(x.graph_score, 4)) for x in graph.scored_search(table, queries, 4, whole=True).dropDuplicates(["query_id", "rank"]).collect()}
+    assert got == want and len(want) == 20
+    part = {(x.query_id, x["rank"]): (x.source, x.relation, x.target, round(x.graph_score, 4)) for x in graph.scored_search(table, queries, 4).dropDuplicates(["query_id", "rank"]).collect()}
+    assert part != want and got[3, 1][2] == "zz"
+
+
+def test_fused_evidence_beyond_the_first_chunks(spark):
+    """What tells of a relation is the 601st chunk of its document; it is evidence."""
+    chunks = [(i, f"hay of number {i} in plenty of words to read here", "wiki/far.md", [], "{}", None) for i in range(600)]
+    chunks += [(600, "Docker runs on Linux, as this chunk of many words says", "wiki/far.md", [], "{}", None), (900, "Everything that Docker is, in some plain words to read", "wiki/near.md", [], "{}", [0.0])]
+    chunks = spark.createDataFrame(chunks, "chunk_id long, content string, source string, tags array<string>, metadata string, embedding array<double>")
+    queries = spark.createDataFrame([(1, "everything Docker is", [0.0])], "query_id long, query string, embedding array<double>")
+    edges = spark.createDataFrame([("Docker", "runs_on", "Linux", ["wiki/far.md"])], "source string, relation string, target string, sources array<string>")
+    told = lambda **k: {(r.type, r.source) for r in pipelines.hybrid_context_fused(chunks, queries, edges, n_vector=1, **k)[0].collect()}
+    assert ("graph_evidence", "wiki/far.md") not in told() and ("graph_evidence", "wiki/far.md") in told(whole=True)
