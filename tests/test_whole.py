@@ -64,8 +64,10 @@ def test_texts_are_read_once_for_reranking(spark, tmp_path):
     queries = spark.createDataFrame([(q, "some words", [1.0]) for q in range(6)], "query_id long, query string, embedding array<double>")
     hits = spark.createDataFrame([(q, c, 0.5, 2, "vector", c + 1) for q in range(6) for c in range(3)], "query_id long, chunk_id long, distance double, lexical_score int, path string, ordinal int")
     got = search.reranked(hits, chunks, queries)
-    plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert "lower(content" not in plan and "regexp" not in plan
+    plan = search._ranked(hits, chunks, queries, None, None)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression") :]
+    assert plan.count("lower(content") == below.count("lower(content") > 0 and plan.count("regexp") == below.count("regexp") > 0
+    assert "LeftSemi" in below and "content" not in plan[: plan.index("RepartitionByExpression")]
     # Both words in the text, one in the heading, two hits, less distance and length.
     assert {(r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in got.collect()} == {(q, c + 1, c, round(10 + 8 + 12 - 0.125 - len(f"# words of {c}\nand more of some words") / 6000, 6)) for q in range(6) for c in range(3)}
 
